@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import simhash
+from gleaner.llm import packing, simhash
 from gleaner.llm.common import tables
 
 
@@ -19,8 +19,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    return packing.pack(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_best_fit_packing": op10_best_fit_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
