@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import packing, simhash
-from gleaner.llm.common import tables
+from gleaner.llm import packing, quality, simhash
+from gleaner.llm.common import crc_mod, tables
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    model = quality.train(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
+    return quality.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op5_quality_classifier": op5_quality_classifier,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
