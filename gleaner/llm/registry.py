@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import packing, quality, simhash
+from gleaner.llm import packing, quality, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
@@ -28,6 +28,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document with its nearest labelled examples."""
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    model = toxicity.train(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out, "score", "predicted", "evidence", "similarity"
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
     (docs,) = tables(spark, sf_dir, "documents")
@@ -36,6 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op5_quality_classifier": op5_quality_classifier,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
