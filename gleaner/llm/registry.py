@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import packing, quality, simhash, toxicity
+from gleaner.llm import langid, packing, quality, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    model = langid.train(docs, eligible=crc_mod(F.col("doc_id"), 4) != 2)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out, "lang_pred", "score", "rejected", "margin"
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     docs, labels = tables(spark, sf_dir, "documents", "labels")
@@ -46,6 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op5_quality_classifier": op5_quality_classifier,
