@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, packing, quality, simhash, toxicity
+from gleaner.llm import langid, packing, quality, sentencepieces, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
@@ -30,6 +30,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding of every document, decoded again: sizes and checksums of ids and text."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    return sentencepieces.digest(sentencepieces.encode(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     (docs,) = tables(spark, sf_dir, "documents")
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op5_quality_classifier": op5_quality_classifier,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
