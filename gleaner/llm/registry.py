@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, packing, quality, sentencepieces, simhash, toxicity
+from gleaner.llm import chat, langid, packing, quality, sentencepieces, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
@@ -21,6 +21,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, formatted and read back."""
+    (rows,) = tables(spark, sf_dir, "conversations")
+    tricky = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    extra = spark.createDataFrame(tricky, "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_conversations(rows.select(extra.columns).unionByName(extra)))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     docs, labels = tables(spark, sf_dir, "documents", "labels")
@@ -65,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op3_chat_formatting": op3_chat_formatting,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
