@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, langid, packing, quality, sentencepieces, simhash, toxicity
+from gleaner.llm import chat, langid, licenses, packing, quality, sentencepieces, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
@@ -38,6 +38,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, block or whole text of a document that is a known licence notice."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    return licenses.scan(docs).select(
+        F.col("id").alias("doc_id"), "unit", "unit_no", "license", F.round("dice", 6).alias("dice")
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding of every document, decoded again: sizes and checksums of ids and text."""
     (docs,) = tables(spark, sf_dir, "documents")
@@ -75,10 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op3_chat_formatting": op3_chat_formatting,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_license_scan": op6_license_scan,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": licenses.oracle()}
