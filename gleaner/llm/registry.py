@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, langid, licenses, packing, quality, sentencepieces, simhash, toxicity
+from gleaner.llm import chat, embedding_dedup, knn, langid, licenses, packing, quality, sentencepieces, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
@@ -21,6 +21,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
+    (rows,) = tables(spark, sf_dir, "embeddings")
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x).cast("double"))
+    valid = rows.where(knn.finite(F.col("embedding").cast("array<double>")))
+    return knn.top_k(valid.select("vec_id", whole.alias("v")), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal label at cosine 0.93 or more."""
+    (rows,) = tables(spark, sf_dir, "embeddings")
+    return embedding_dedup.near_duplicates(rows)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     (rows,) = tables(spark, sf_dir, "conversations")
@@ -81,6 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op2_exact_top_k": op2_exact_top_k,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op3_chat_formatting": op3_chat_formatting,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_license_scan": op6_license_scan,
