@@ -1,19 +1,492 @@
-"""All queries over the driver tables, with the SQL each is checked against."""
+"""All queries over the driver tables, with the SQL each is checked against.
+
+The tables hold few real credentials, so most queries use five demonstration rules for things
+that do occur: tokens, e-mail addresses, dotted quads, licence lines and URLs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleaner.functions import scalars as S
+from gleaner.functions.regexes import re2_form
+from gleaner.operators import dedup, dependencies, matcher, report, validate
+from gleaner.sources import blobs as B
+from gleaner.sources.git import first_seen_linear
+from gleaner.sources.rules import Rule, at_least, check_rules, load_rules, rules_table, select_rules
+
+TOKEN = Rule("demo.token", "Demo Token", r'token = "([0-9a-f]{40})"', min_entropy=3.0, confidence="high", examples=('token = "9f8e3d2c1b7a605948372615f4e3d2c19f8e3d2c"',))
+EMAIL = Rule("demo.email", "Demo Email", r"[a-z0-9._]{1,40}@[a-z0-9.]{1,40}\.[a-z]{2,4}", keywords=("@",), examples=("a@example.org",))
+QUAD = Rule("demo.ipv4", "Demo Address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", confidence="low", examples=("10.0.0.1",), depends_on=(("demo.email", "mail"),))
+LICENSE = Rule("demo.license", "Demo License", r"Licensed under [A-Za-z0-9 .,-]{3,60}\.", visible=False, examples=("Licensed under CC BY 4.0.",))
+URL = Rule("demo.url", "Demo URL", r"https?://[a-z0-9./_-]{4,80}", keywords=("http",), examples=("https://example.org/a",))
+RULES = [TOKEN, EMAIL, QUAD, LICENSE, URL]
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _doc_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return B.from_table(docs, "text", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+
+
+def _found(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES) -> DataFrame:
+    """Matches in the documents, with doc_id."""
+    found = matcher.scan(_doc_blobs(spark, sf_dir), rules)
+    return found.withColumn("doc_id", F.substring(B.path_of(), 5, 30).cast("long"))
 
-from pyspark.sql import DataFrame, SparkSession
+
+def _flat(found: DataFrame, *more) -> DataFrame:
+    return found.select("doc_id", "rule_id", "secret", "start", "end", *more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Secrets of all rules in the documents, once per rule and secret, with the places they were seen."""
+    blobs = B.distinct_blobs(_doc_blobs(spark, sf_dir))
+    found = report.shown(matcher.scan(blobs, at_least([*RULES, *load_rules()], "medium")))
+    return dedup.merge_origins(found, ["rule_id", "secret"], ["blob_id", "start"]).select(
+        "rule_id", "rule_name", "secret", "confidence", "entropy", "line_start", "fingerprint", F.size("origins").alias("seen")
+    )
+
+
+# --- SQL of the matcher: values and byte offsets from splitting around the matches ---------------------
+
+
+def _sql_matches(rule: Rule, table: str = "documents", key: str = "doc_id", text: str = "text", group: int | None = None) -> str:
+    pattern = re2_form(rule.pattern).replace("'", "''")
+    group = (1 if "(" in rule.pattern.replace("(?", "") else 0) if group is None else group
+    return f"""
+SELECT {key}, '{rule.id}' AS rule_id, value AS secret,
+    base + strlen(whole) * 0 + (instr(whole, value) - 1) AS start, base + (instr(whole, value) - 1) + strlen(value) AS "end",
+    {key}_body AS body
+FROM (SELECT {key}, {text} AS {key}_body, wholes[i] AS whole, vals[i] AS value,
+        CAST(list_sum(list_transform(pieces[1:i], lambda p: strlen(p))) + coalesce(list_sum(list_transform(wholes[1:i-1], lambda p: strlen(p))), 0) AS BIGINT) AS base
+      FROM (SELECT {key}, {text}, wholes, vals, pieces, unnest(range(1, len(wholes) + 1)) AS i
+            FROM (SELECT {key}, {text}, regexp_extract_all({text}, '{pattern}', 0) AS wholes,
+                    regexp_extract_all({text}, '{pattern}', {group}) AS vals, regexp_split_to_array({text}, '{pattern}') AS pieces
+                  FROM {table} WHERE {text} IS NOT NULL) WHERE len(wholes) > 0))"""
+
+
+_SQL_ENTROPY = """(SELECT -sum(c * 1.0 / n * log2(c * 1.0 / n)) FROM (SELECT count(*) AS c, any_value(n) AS n
+    FROM (SELECT unnest(string_split({v}, '')) AS ch, length({v}) AS n) GROUP BY ch))"""
+
+
+def _sql_found(rules: list[Rule] = RULES, **where) -> str:
+    """Matches of several rules after the entropy gate (the values of the demonstration rules are ASCII)."""
+    parts = " UNION ALL ".join(
+        f"SELECT * FROM ({_sql_matches(r, **where)}) WHERE {_SQL_ENTROPY.format(v='secret')} > {r.min_entropy} + 1e-6" for r in rules
+    )
+    safe = " OR ".join(f"regexp_matches(secret, '(?i){p.replace(chr(92) + 'Z', chr(36)).replace(chr(39), chr(39) * 2)}')" for p in S.SAFE_LIST)
+    return f"SELECT * FROM ({parts}) WHERE NOT ({safe})"
+
+
+_RULE_ROWS = ", ".join(f"('{r.id}', '{r.name}', '{r.confidence}', {str(r.visible).lower()}, {r.min_entropy})" for r in RULES)
+_RULES_SQL = f"(VALUES {_RULE_ROWS}) AS rules(rule_id, rule_name, confidence, visible, min_entropy)"
+_BLOB_SQL = "sha1(concat('blob ', strlen(text), chr(0), text))"
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- matching -------------------------------------------------------------------------------------------
+
+
+@query(f'SELECT doc_id, rule_id, secret, start, "end" FROM ({_sql_found([TOKEN])})')
+def scan_tokens(spark, sf_dir):
+    return _flat(_found(spark, sf_dir, [TOKEN]))
+
+
+@query(f'SELECT doc_id, rule_id, secret, start, "end" FROM ({_sql_found()})')
+def scan_multi_rule(spark, sf_dir):
+    return _flat(_found(spark, sf_dir))
+
+
+@query(f'SELECT page_id, rule_id, secret, start, "end" FROM ({_sql_found([EMAIL, URL], table="pages", key="page_id", text="html")})')
+def pages_scan(spark, sf_dir):
+    pages = B.from_table(_read(spark, sf_dir, "pages"), "html", F.col("page_id").cast("string"))
+    return matcher.scan(pages, [EMAIL, URL]).select(B.path_of().cast("long").alias("page_id"), "rule_id", "secret", "start", "end")
+
+
+@query(f'SELECT key, rule_id, secret, start, "end" FROM ({_sql_found([EMAIL, QUAD, URL], table="(SELECT conv_id * 1000 + turn AS key, text FROM conversations)", key="key")})')
+def conversation_scan(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    found = matcher.scan(B.from_table(rows, "text", F.col("key").cast("string")), [EMAIL, QUAD, URL])
+    return found.select(B.path_of().cast("long").alias("key"), "rule_id", "secret", "start", "end")
+
+
+_KEY_RULE = Rule("demo.k", "Demo Key", r'"k": ([0-9]{1,9})')
+
+
+@query(f"""SELECT event_id, secret, {_BLOB_SQL.replace('text', 'props')} AS blob_id
+FROM (SELECT event_id, props, regexp_extract(props, '"k": ([0-9]{{1,9}})', 1) AS secret FROM events) WHERE length(secret) > 1
+AND {_SQL_ENTROPY.format(v='secret')} > 0 AND NOT regexp_matches(secret, '123456789')""")
+def events_json_scan(spark, sf_dir):
+    """JSON lines with an origin each, as the line-oriented enumerator takes them."""
+    events = _read(spark, sf_dir, "events")
+    lines = events.select(F.to_json(F.struct(F.col("props").alias("content"), F.struct(F.col("event_id").cast("string").alias("path")).alias("origin"))).alias("value"))
+    found = matcher.scan(B.from_jsonl(lines), [_KEY_RULE])
+    return found.select(B.path_of().cast("long").alias("event_id"), "secret", "blob_id")
+
+
+@query()
+def base64_source(spark, sf_dir):
+    """The documents' contents in base64 as JSON lines, scanned for tokens."""
+    docs = _read(spark, sf_dir, "documents")
+    lines = docs.select(F.to_json(F.struct(F.base64(F.col("text").cast("binary")).alias("content_base64"), F.struct(F.col("doc_id").alias("path")).alias("origin"))).alias("value"))
+    return matcher.scan(B.from_jsonl(lines), [TOKEN]).select(B.path_of().cast("long").alias("doc_id"), "secret", "start", "end")
+
+
+SQL["base64_source"] = f'SELECT doc_id, secret, start, "end" FROM ({_sql_found([TOKEN])})'
+
+
+@query()
+def builtin_pack(spark, sf_dir):
+    """The whole built-in rule pack over the documents."""
+    return _flat(_found(spark, sf_dir, load_rules()), "rule_name", "confidence", "fingerprint")
+
+
+# --- scalars ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_BLOB_SQL} AS blob_id, strlen(text) AS num_bytes FROM documents WHERE text IS NOT NULL")
+def blob_ids(spark, sf_dir):
+    blobs = _doc_blobs(spark, sf_dir)
+    return blobs.select(F.substring(B.path_of(), 5, 30).cast("long").alias("doc_id"), "blob_id", "num_bytes")
+
+
+@query(f"SELECT {_BLOB_SQL} AS blob_id, count(*) AS appearances, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def blob_dedup(spark, sf_dir):
+    blobs = _doc_blobs(spark, sf_dir)
+    doc = F.substring(B.path_of(), 5, 30).cast("long")
+    return blobs.groupBy("blob_id").agg(F.count("*").alias("appearances"), F.min(doc).alias("first_doc"))
+
+
+@query(f"SELECT doc_id, secret, round({_SQL_ENTROPY.format(v='secret')}, 3) AS entropy FROM ({_sql_found([TOKEN, EMAIL])})")
+def entropy_values(spark, sf_dir):
+    found = _found(spark, sf_dir, [TOKEN, EMAIL])
+    return found.select("doc_id", "secret", F.round(F.col("entropy").cast("double"), 3).alias("entropy"))
+
+
+@query(f"SELECT doc_id, secret FROM ({_sql_found([replace(r, min_entropy=3.2) for r in (TOKEN, EMAIL, URL)])})")
+def entropy_gate(spark, sf_dir):
+    return _found(spark, sf_dir, [replace(r, min_entropy=3.2) for r in (TOKEN, EMAIL, URL)]).select("doc_id", "secret")
+
+
+_SAFE_SQL = " OR ".join(f"regexp_matches(line, '(?i){p.replace(chr(92) + 'Z', chr(36)).replace(chr(39), chr(39) * 2)}')" for p in S.SAFE_LIST)
+
+
+@query(f"""SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+WHERE contains(line, 'token') AND NOT ({_SAFE_SQL})""")
+def safe_list_filter(spark, sf_dir):
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.where(F.col("line").contains("token") & ~S.safe_listed(F.col("line")))
+
+
+@query(f"""SELECT doc_id, rule_id, start, 1 + length(b) - length(replace(b, chr(10), '')) AS line_start,
+    strlen(b) - coalesce(strlen(b) - strlen(list_last(string_split(b, chr(10)))), 0) AS column_start
+FROM (SELECT doc_id, rule_id, start, CASE WHEN start = 0 THEN '' ELSE decode(encode(body)[1:start]) END AS b FROM ({_sql_found([TOKEN, EMAIL, LICENSE])}))""")
+def source_location(spark, sf_dir):
+    found = _found(spark, sf_dir, [TOKEN, EMAIL, LICENSE])
+    return found.select("doc_id", "rule_id", "start", F.col("line_start").cast("long").alias("line_start"), F.col("column_start").cast("long").alias("column_start"))
+
+
+@query("""SELECT doc_id, contains(left(text, 1024), chr(0)) OR starts_with(text, '%PDF') AS binary FROM documents WHERE text IS NOT NULL""")
+def binary_sniff(spark, sf_dir):
+    blobs = _doc_blobs(spark, sf_dir)
+    return blobs.select(F.substring(B.path_of(), 5, 30).cast("long").alias("doc_id"), S.looks_binary(F.col("content")).alias("binary"))
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) <= 1048")
+def size_filter(spark, sf_dir):
+    kept = B.keep(_doc_blobs(spark, sf_dir), max_mb=0.001)
+    return kept.select(F.substring(B.path_of(), 5, 30).cast("long").alias("doc_id"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/[^/]*7[^/]*(/|$)')")
+def ignore_paths(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return pages.where(~B.ignored(F.col("url"), ["# numbers", "*7*"])).select("page_id")
+
+
+@query("""SELECT page_id, CASE lower(regexp_extract(url, '[^/]\\.([^./]*)$', 1)) WHEN 'html' THEN 'text/html' WHEN 'txt' THEN 'text/plain'
+    WHEN 'json' THEN 'application/json' WHEN 'xml' THEN 'application/xml' WHEN 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime,
+    CASE WHEN contains(html, 'public class') THEN 'Java' ELSE NULL END AS language, 'UTF-8' AS charset FROM pages""")
+def mime_language(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return pages.select(
+        "page_id", S.mime_type(F.col("url")).alias("mime"), S.language(F.col("url"), F.col("html")).alias("language"),
+        S.charset(F.col("html").cast("binary")).alias("charset"),
+    )
+
+
+@query("""SELECT doc_id, token, octet_length(from_base64(token)) AS decoded FROM
+(SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{12,}={0,2}')) AS token FROM documents) WHERE length(token) % 4 = 0""")
+def base64_candidates(spark, sf_dir):
+    tokens = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{12,}={0,2}"), 0)).alias("token"))
+    good = tokens.where(S.is_base64(F.col("token")))
+    return good.select("doc_id", "token", F.octet_length(F.unbase64("token")).cast("long").alias("decoded"))
+
+
+@query(f"SELECT doc_id, secret, concat('[REDACTED:', left(sha256(concat('salt', secret)), 8), ']') AS shown FROM ({_sql_found([TOKEN, EMAIL])})")
+def redact(spark, sf_dir):
+    return _found(spark, sf_dir, [TOKEN, EMAIL]).select("doc_id", "secret", S.redacted(F.col("secret"), F.lit("salt")).alias("shown"))
+
+
+@query()
+def fingerprints(spark, sf_dir):
+    return _found(spark, sf_dir).select("doc_id", "rule_id", "start", "end", "fingerprint")
+
+
+# --- deduplication and merging -------------------------------------------------------------------------------
+
+
+@query(f'SELECT rule_id, secret, min(doc_id) AS doc_id FROM ({_sql_found()}) GROUP BY ALL')
+def dedup_secret(spark, sf_dir):
+    found = _found(spark, sf_dir).withColumn("kind", F.lit("file"))
+    return dedup.first_per_secret(found, [F.col("doc_id"), F.col("start")]).select("rule_id", "secret", "doc_id")
+
+
+@query(f'SELECT secret, start, "end", count(DISTINCT doc_id) AS origins, min(doc_id) AS first_doc FROM ({_sql_found()}) GROUP BY secret, start, "end"')
+def dedup_fingerprint_origins(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    merged = dedup.merge_origins(found, ["fingerprint"], ["doc_id", "rule_id"])
+    return merged.select("secret", "start", "end", F.size("origins").cast("long").alias("origins"), F.col("doc_id").alias("first_doc"))
+
+
+@query(f"SELECT DISTINCT secret, start, concat('doc/', doc_id) AS path FROM ({_sql_found()})")
+def no_dedup_explode(spark, sf_dir):
+    merged = dedup.merge_origins(_found(spark, sf_dir), ["fingerprint"], ["doc_id", "rule_id"])
+    return dedup.one_row_per_origin(merged).select("secret", "start", F.col("origin.path").alias("path"))
+
+
+@query(f"""SELECT doc_id, rule_id, start, "end", EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b."end" >= a."end"
+    AND (b.start, b."end") <> (a.start, a."end")) AS contained FROM f a""".join(["WITH f AS (" + _sql_found([EMAIL, QUAD, URL]) + ") ", ""]))
+def overlap_containment(spark, sf_dir):
+    found = _found(spark, sf_dir, [EMAIL, QUAD, URL]).select("doc_id", "rule_id", "start", "end")
+    return dedup.inside_another(found, ["doc_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber, contained FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= e, false) AS contained FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_orderkey * 10 + l_linenumber AS k FROM lineitem))")
+def span_containment(spark, sf_dir):
+    """Containment over many spans: line items as intervals of parts, per supplier."""
+    items = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+    )
+    w = Window.partitionBy("l_suppkey").orderBy("s", F.desc("e"), "k").rowsBetween(Window.unboundedPreceding, -1)
+    return items.select("l_orderkey", "l_linenumber", F.coalesce(F.max("e").over(w) >= F.col("e"), F.lit(False)).alias("contained"))
+
+
+_COMMITS = "(SELECT o_orderkey AS commit_id, o_orderdate AS topo, o_custkey AS blob_id FROM orders)"
+
+
+@query(f"SELECT blob_id, commit_id FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY topo, commit_id) AS r FROM {_COMMITS}) WHERE r = 1")
+def first_seen(spark, sf_dir):
+    """First-seen commit over a line of history (orders as commits, customers as blobs)."""
+    orders = _read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("topo"), F.col("o_custkey").alias("blob_id"), F.lit("f").alias("path")
+    )
+    return first_seen_linear(orders).select("blob_id", "commit_id")
+
+
+# --- dependencies ------------------------------------------------------------------------------------------------
+
+
+def _dependencies(spark: SparkSession) -> DataFrame:
+    rows = [("demo.ipv4", "demo.email", "mail"), ("demo.token", "demo.license", "terms")]
+    return spark.createDataFrame(rows, "rule_id string, dep_rule_id string, variable string")
+
+
+_DEPS_SQL = "(VALUES ('demo.ipv4', 'demo.email', 'MAIL'), ('demo.token', 'demo.license', 'TERMS')) AS d(rule_id, dep_rule_id, variable)"
+
+
+@query(f"""WITH f AS ({_sql_found()}) SELECT n.doc_id, n.rule_id, d.variable, g.secret AS value, g.start
+FROM (SELECT DISTINCT doc_id, rule_id FROM f) n JOIN {_DEPS_SQL} USING (rule_id) JOIN f g ON g.doc_id = n.doc_id AND g.rule_id = d.dep_rule_id""")
+def dependency_join(spark, sf_dir):
+    got = dependencies.dependency_values(_found(spark, sf_dir), _dependencies(spark), blob="doc_id")
+    return got.select("doc_id", "rule_id", "variable", "value", "start")
+
+
+@query(f"""WITH f AS ({_sql_found()}) SELECT n.doc_id, n.rule_id, d.dep_rule_id FROM (SELECT DISTINCT doc_id, rule_id FROM f) n
+JOIN {_DEPS_SQL} USING (rule_id) WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = n.doc_id AND g.rule_id = d.dep_rule_id)""")
+def missing_dependency(spark, sf_dir):
+    return dependencies.missing_dependencies(_found(spark, sf_dir), _dependencies(spark), blob="doc_id")
+
+
+@query(f"""WITH f AS ({_sql_found()}) SELECT doc_id, rule_id, start, doc_id IN (SELECT doc_id FROM f WHERE rule_id IN ('demo.ipv4', 'demo.token')) AS dependent FROM f""")
+def dependent_blobs(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    simple, dependent = dependencies.split_phases(found, _dependencies(spark), blob="doc_id")
+    label = lambda df, v: df.select("doc_id", "rule_id", "start", F.lit(v).alias("dependent"))
+    return label(simple, False).unionByName(label(dependent, True))
+
+
+@query("""SELECT order_id, event_id FROM (SELECT a.event_id AS order_id, b.event_id, row_number() OVER (PARTITION BY a.event_id
+ORDER BY abs(epoch_us(b.ts) - epoch_us(a.ts)), epoch_us(b.ts), b.event_id) AS r FROM events a JOIN
+(SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) b
+ON a.user_id = b.user_id WHERE a.event_type = 'purchase') WHERE r = 1""")
+def nearest_variable(spark, sf_dir):
+    """The nearest value to each target, in either direction (clicks of a user around each purchase)."""
+    events = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    targets = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("order_id"), F.col("at").alias("end"))
+    values = events.where("event_type = 'click'").select("user_id", F.col("at").alias("start"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("value"))
+    near = dependencies.nearest_value(targets, values, blob="user_id")
+    return near.select("order_id", F.col("value").cast("long").alias("event_id"))
+
+
+# --- validation ----------------------------------------------------------------------------------------------------
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> tuple[list[Rule], DataFrame]:
+    request = {"method": "GET", "url": "https://api.invalid/check?t={{ TOKEN | sha256 }}", "headers": {"X-Token": "{{ TOKEN }}"}}
+    matchers = [{"type": "StatusMatch", "status": [200]}, {"type": "WordMatch", "words": ['"ok"']}]
+    rule = replace(TOKEN, validation={"type": "Http", "content": {"request": {**request, "response_matcher": matchers}}})
+    return [rule, EMAIL], _found(spark, sf_dir, [rule, EMAIL])
+
+
+def _answers(requests: DataFrame) -> DataFrame:
+    """Recorded responses made from the secrets: those that begin with a digit are good."""
+    good = F.substring("secret", 1, 1).rlike("[0-9]")
+    return requests.where("request is not null").select(
+        "request_key", F.when(good, 200).otherwise(401).alias("status"), F.create_map(F.lit("content-type"), F.lit("application/json")).alias("headers"),
+        F.when(good, '{"ok": true}').otherwise('{"error": "no"}').alias("body"),
+    ).dropDuplicates(["request_key"])
+
+
+@query(f"SELECT DISTINCT rule_id, secret, regexp_matches(secret, '^[0-9]') AS success FROM ({_sql_found([TOKEN])})")
+def validate_once(spark, sf_dir):
+    """One outcome for each distinct secret."""
+    rules, found = _probed(spark, sf_dir)
+    requests = validate.plan_requests(found, rules, blob="doc_id")
+    return validate.judge(requests, _answers(requests), rules).select("rule_id", "secret", "success")
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, found = _probed(spark, sf_dir)
+    requests = validate.plan_requests(found, rules, blob="doc_id")
+    return validate.join_back(found, validate.judge(requests, _answers(requests), rules), blob="doc_id")
+
+
+_VALID_SQL = f"""SELECT *, CASE WHEN rule_id = 'demo.email' THEN 100 WHEN regexp_matches(secret, '^[0-9]') THEN 200 ELSE 401 END AS status,
+rule_id = 'demo.token' AND regexp_matches(secret, '^[0-9]') AS success FROM ({_sql_found([TOKEN, EMAIL])})"""
+
+
+@query(f"SELECT doc_id, rule_id, start, status::INT AS status, success FROM ({_VALID_SQL})")
+def validate_join_back(spark, sf_dir):
+    """The outcome of each secret on every finding of it."""
+    return _validated(spark, sf_dir).select("doc_id", "rule_id", "start", F.col("validation_status").alias("status"), F.col("validation_success").alias("success"))
+
+
+@query(f"""SELECT doc_id, start, CASE WHEN success THEN 'Active Credential' WHEN status = 100 THEN 'Not Attempted' ELSE 'Inactive Credential' END AS label
+FROM ({_VALID_SQL})""")
+def validation_status(spark, sf_dir):
+    label = validate.status_label(F.col("validation_success"), F.col("validation_status"))
+    return _validated(spark, sf_dir).select("doc_id", "start", label.alias("label"))
+
+
+@query("""SELECT event_id, (s = 200 OR s = 201) AND contains(left(props, 512), 'k') AND json_valid(props) AND NOT contains(left(props, 512), '99') AS met
+FROM (SELECT event_id, props, 200 + (event_id % 3) AS s FROM events)""")
+def response_match(spark, sf_dir):
+    """Response matchers over recorded responses (events as responses)."""
+    matchers = [
+        {"type": "StatusMatch", "status": [200, 201]}, {"type": "WordMatch", "words": ["k"], "match_all_words": True},
+        {"type": "JsonValid"}, {"type": "WordMatch", "words": ["99"], "negative": True},
+    ]
+    events = _read(spark, sf_dir, "events").withColumn("status", F.lit(200) + F.col("event_id") % 3)
+    none = F.create_map().cast("map<string,string>")
+    return events.select("event_id", validate.response_matches(matchers, F.col("status"), none, F.col("props")).alias("met"))
+
+
+# --- reports -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT rule_name, count(*) AS findings FROM ({_sql_found()}) JOIN {_RULES_SQL} USING (rule_id) GROUP BY rule_name")
+def rule_summary(spark, sf_dir):
+    return report.count_by_rule(_found(spark, sf_dir))
+
+
+@query(f"""SELECT (SELECT count(*) FROM v) AS findings, coalesce((SELECT sum(1) FROM v WHERE success AND status <> 100), 0)::BIGINT AS successful,
+coalesce((SELECT sum(1) FROM v WHERE NOT success AND status <> 100), 0)::BIGINT AS failed, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS blobs,
+(SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes""".join([f"WITH v AS ({_VALID_SQL}) ", ""]))
+def scan_summary(spark, sf_dir):
+    return report.summary(_validated(spark, sf_dir), _doc_blobs(spark, sf_dir))
+
+
+@query(f"WITH v AS ({_VALID_SQL}) SELECT CASE WHEN count(*) = 0 THEN 0 WHEN count(*) FILTER (success AND status <> 100) > 0 THEN 205 ELSE 200 END AS exit_code FROM v")
+def exit_code(spark, sf_dir):
+    return report.exit_code(_validated(spark, sf_dir))
+
+
+@query(f"""SELECT doc_id, rule_name, snippet, entropy, status, path, "line" FROM (SELECT doc_id, rule_name, secret AS snippet,
+printf('%.2f', {_SQL_ENTROPY.format(v='secret')}) AS entropy, CASE WHEN success THEN 'Active Credential' WHEN status = 100 THEN 'Not Attempted' ELSE 'Inactive Credential' END AS status,
+concat('doc/', doc_id) AS path, 1 + length(b) - length(replace(b, chr(10), '')) AS "line" FROM (SELECT *, CASE WHEN start = 0 THEN '' ELSE decode(encode(body)[1:start]) END AS b FROM ({_VALID_SQL}))
+JOIN {_RULES_SQL} USING (rule_id) WHERE visible)""")
+def report_json(spark, sf_dir):
+    """The JSON report, read back into columns."""
+    rows = report.report_rows(report.shown(_validated(spark, sf_dir)))
+    m = F.col("matches")[0]
+    f = m["finding"]
+    return rows.select(
+        F.substring(f["path"], 5, 30).cast("long").alias("doc_id"), m["rule"]["name"].alias("rule_name"), f["snippet"].alias("snippet"),
+        f["entropy"].alias("entropy"), f["validation"]["status"].alias("status"), f["path"].alias("path"),
+        f["line"].cast("long").alias("line"),
+    )
+
+
+@query()
+def report_json_lines(spark, sf_dir):
+    return report.json_lines(report.shown(_found(spark, sf_dir)))
+
+
+@query()
+def report_bson(spark, sf_dir):
+    return report.bson(report.shown(_found(spark, sf_dir)))
+
+
+@query()
+def report_sarif(spark, sf_dir):
+    return report.sarif_results(report.shown(_found(spark, sf_dir)))
+
+
+@query()
+def report_pretty(spark, sf_dir):
+    return report.pretty(report.shown(_found(spark, sf_dir)))
+
+
+@query(f"SELECT rule_id, rule_name, confidence, visible, min_entropy::FLOAT AS min_entropy FROM {_RULES_SQL} WHERE confidence IN ('medium', 'high')")
+def rules_catalog(spark, sf_dir):
+    chosen = select_rules(at_least(RULES, "medium"), ["demo"])
+    return rules_table(spark, chosen).select("rule_id", "rule_name", "confidence", "visible", "min_entropy")
+
+
+@query("SELECT * FROM (VALUES ('demo.broken', 'error'), ('demo.broken', 'warning'), ('demo.short', 'warning')) AS t(rule_id, level)")
+def rules_check(spark, sf_dir):
+    """What the checker says about good and bad rules."""
+    bad = [Rule("demo.broken", "Broken", "([a-z"), Rule("demo.short", "xy", "[a-z]{4}", examples=("abcd",))]
+    found = sorted({(i, level) for i, level, _ in check_rules([*RULES, *load_rules(), *bad])})
+    return spark.createDataFrame(found, "rule_id string, level string")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
