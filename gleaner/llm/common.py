@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import checkpoint, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
-
-    The setting is read from the session; only where it is unset (tests, a laptop) is a
-    temporary folder chosen.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gleaner-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder: cuts the lineage, survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+__all__ = ["checkpoint", "crc_mod", "in_slices", "shared_folder", "tables"]
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
@@ -43,7 +25,7 @@ def in_slices(batches: Iterator[pd.DataFrame], text: str, budget: int = 8 << 20)
     one slice holds either less than the budget or a single row.
     """
     for batch in batches:
-        sizes = batch[text].str.len().fillna(0).astype("int64")
+        sizes = batch[text].map(lambda t: len(t) if t else 0).astype("int64")
         group = (sizes.cumsum() - sizes) // budget
         for _, rows in batch.groupby(group, sort=False):
             yield rows.reset_index(drop=True)

@@ -60,16 +60,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): one row per document, ``fp`` as a signed 64-bit integer."""
+    """(id, text_hash, fp): one row per document, ``fp`` as a signed 64-bit integer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in in_slices(batches, "text"):
             values = np.array([fingerprint(t, words) for t in rows["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": rows["id"], "fp": values.view(np.int64)})
+            yield pd.DataFrame({"id": rows["id"], "text_hash": rows["text_hash"], "fp": values.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, "id long, fp long"
-    )
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInPandas(run, "id long, text_hash long, fp long")
 
 
 def _segment(column, i: int):
@@ -174,6 +174,18 @@ def fingerprint_links(fps: DataFrame, dense: int = 64) -> DataFrame:
     return pairs.unionByName(crowded)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, dense: int) -> DataFrame:
+    """(id, text_hash, fp, component, component_id); ``component`` tells components apart even where ids do not."""
+    prints = checkpoint(fingerprints(docs, id_col, text_col, words))
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    comps = connected_components(fingerprint_links(classes, dense=dense), "fp", "other")
+    rooted = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    heads = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(heads, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, dense: int = 64
 ) -> DataFrame:
@@ -184,27 +196,20 @@ def near_duplicates(
     a row whose id is null keeps its row and takes the component's smallest id (null
     if no row of the component has one).  Repeated rows each give a row.
     """
-    prints = checkpoint(fingerprints(docs, id_col, text_col, words))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    classes = checkpoint(classes)
-    comps = connected_components(fingerprint_links(classes, dense=dense), "fp", "other")
-    rooted = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    heads = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(heads, "component").select("fp", "component_id")
-    return prints.join(placed, "fp").select("id", "fp", "component_id")
+    return _placed(docs, id_col, text_col, words, dense).select("id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate component the one with the smallest id.
+    """The rows of ``docs`` that stay: one of each near-duplicate component, with the smallest id.
 
-    Rows with a null id stay only if their component holds no id at all; rows
-    repeated with the kept id stay once.
+    Of several rows with that id the one whose text has the smallest hash stays; a row with a null
+    id only where its component holds no id at all.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("_kept")).agg(F.count("*").alias("_n"))
-    same = F.col(id_col).eqNullSafe(F.col("_kept"))
-    once = docs.join(kept.where("_n = 1"), same, "left_semi")
-    repeated = docs.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates([id_col])
+    rows = _placed(docs, id_col, text_col, 4, 64).groupBy("component", "id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull(), "id", "text_hash")
+    first = rows.groupBy("component").agg(F.min_by(F.struct("id", "text_hash", "n"), order).alias("kept"))
+    kept = first.select(F.col("kept.id").alias("_id"), F.col("kept.text_hash").alias("_hash"), F.col("kept.n").alias("_n"))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
+    once = docs.join(kept.where("_n = 1"), here, "left_semi")
+    repeated = docs.join(kept.where("_n > 1"), here, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(repeated)
