@@ -6,9 +6,11 @@ commit: struct<commit_id, committer_name, committer_email, committer_ts>, blob_p
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,39 @@ def from_table(rows: DataFrame, text: str, path: Column) -> DataFrame:
     return _blobs(rows.where(F.col(text).isNotNull()), content, origin("file", path))
 
 
+def _hidden_files(paths: Iterable[str], limit: int) -> list[tuple[str]]:
+    """Files on local paths that Spark's reader passes over: names (or folders) beginning with a dot or underscore."""
+    found = []
+    for root in (p.removeprefix("file://").removeprefix("file:") for p in paths):
+        for folder, _, names in os.walk(root) if "://" not in root else ():
+            apart = any(part[:1] in "._" for part in os.path.relpath(folder, root).split(os.sep) if part != ".")
+            full = [os.path.join(folder, n) for n in names if apart or n[:1] in "._"]
+            found += [(f,) for f in full if os.path.isfile(f) and not os.path.islink(f) and os.path.getsize(f) <= limit]
+    return found
+
+
 def from_files(spark: SparkSession, paths: Iterable[str], max_mb: float = DEFAULT_MAX_MB) -> DataFrame:
-    """All files below the paths, hidden ones included, up to ``max_mb`` MB (negative: 25); larger ones are not read."""
+    """All files below the paths up to ``max_mb`` MB (negative: 25); larger ones are not read.
+
+    Hidden files are included on local paths, which all executors must reach; in other stores
+    Spark's reader leaves out names that begin with a dot or underscore.
+    """
+    paths = list(paths)
     limit = int((max_mb if max_mb >= 0 else DEFAULT_MAX_MB) * 1024 * 1024)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return _blobs(read.where(F.col("length") <= limit), F.col("content"), origin("file", F.col("path")))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    found = _blobs(read.where(F.col("length") <= limit), F.col("content"), origin("file", F.col("path")))
+    hidden = _hidden_files(paths, limit)
+    if not hidden:
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with open(path, "rb") as file:
+                    yield pd.DataFrame({"path": [f"file:{path}"], "content": [file.read()]})
+
+    rows = spark.createDataFrame(hidden, "path string").mapInPandas(run, "path string, content binary")
+    return found.unionByName(_blobs(rows, F.col("content"), origin("file", F.col("path"))))
 
 
 def from_jsonl(lines: DataFrame, column: str = "value") -> DataFrame:
