@@ -5,8 +5,8 @@ chi-squared test ties them to the label; everything else in a text counts toward
 background term, so that the cosine sees how dense the telling terms are and not only
 which they are.  The examples sit in an inverted index whose postings are cut into
 blocks of examples with the largest weight of each term in each block (block-max).  A
-query visits blocks in order of their upper bound and stops once no block can hold
-one of its ``k`` nearest examples; the neighbours are exact.
+query scores the blocks of highest bound first and of the others only those that can
+hold one of its ``k`` nearest examples; the neighbours are exact.
 
 Votes are weighted by similarity and by how many labelled documents an example stands for,
 and shrunk towards the share of label 1, which makes the score a calibrated
@@ -89,7 +89,7 @@ class BlockMaxIndex:
         doc = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
         order = np.lexsort((doc, term))
         term, self.weight, doc = term[order], weight[order], doc[order]
-        self.local = doc % block
+        self.doc = doc
         cell = term * self.blocks + doc // block
         self.start = np.searchsorted(cell, np.arange(size * self.blocks + 1)).astype(np.int64)
         self.highest = np.zeros(size * self.blocks)
@@ -97,24 +97,38 @@ class BlockMaxIndex:
         self.highest = self.highest.reshape(size, self.blocks)
         self.n = n
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks with similarity above zero, and their similarities."""
+        cells = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        begin = self.start[cells]
+        length = self.start[cells + 1] - begin
+        at = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+        by = np.repeat(np.repeat(weights, len(blocks)), length)
+        got = np.bincount(self.doc[at], weights=by * self.weight[at], minlength=self.n)
+        hit = np.flatnonzero(got)
+        return hit, got[hit]
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and similarities, best first; only examples with similarity above zero."""
+        """Example numbers and similarities, best first; only examples with similarity above zero.
+
+        The blocks with the highest bounds that surely hold k examples come first; their k-th
+        similarity is a floor, and only blocks whose bound reaches it are scored as well.
+        """
         bound = weights @ self.highest[terms]
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
-                break
-            cells = terms * self.blocks + b
-            begin = self.start[cells]
-            length = self.start[cells + 1] - begin
-            total = int(length.sum())
-            at = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(total)
-            got = np.bincount(self.local[at], weights=np.repeat(weights, length) * self.weight[at], minlength=self.block)
-            hit = np.flatnonzero(got > 0)
-            best_id, best = np.concatenate((best_id, hit + b * self.block)), np.concatenate((best, got[hit]))
-            top = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[top], best[top]
-        return best_id, best
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
+        first = -(-2 * k // self.block) + 1
+        ids, found = self._scores(terms, weights, order[:first])
+        floor = np.partition(found, -k)[-k] if len(found) >= k else 0.0
+        rest = order[first:]
+        rest = rest[bound[rest] >= floor - 1e-12]
+        if len(rest):
+            more, scores = self._scores(terms, weights, rest)
+            ids, found = np.concatenate((ids, more)), np.concatenate((found, scores))
+        if len(found) > k:
+            good = np.flatnonzero(found >= np.partition(found, -k)[-k])
+            ids, found = ids[good], found[good]
+        top = np.lexsort((ids, -found))[:k]
+        return ids[top], found[top]
 
 
 @dataclass
