@@ -1,8 +1,8 @@
 """The match operator: every rule's secrets in a column of bytes.
 
-Only rows that can match reach Python: where each rule has a literal that all its matches
-contain, rows without any of them are dropped by a built-in filter first.  The
-matching itself is one Arrow-batched function from content to an array of matches, so
+Each rule's regex runs only on content that has one of the literals its matches contain.
+Where all rules together have only a few, rows without any of them do not even reach
+Python: a built-in filter drops them first.  The matching itself is one Arrow-batched function from content to an array of matches, so
 all other columns stay in the JVM.
 """
 
@@ -112,14 +112,26 @@ def find(rules: Sequence[Rule], compat_columns: bool = False):
     return run
 
 
+#: With more literals than this, looking for them in the JVM costs more than handing the content to Python.
+FEW_LITERALS = 4
+
+
 def may_match(rules: Sequence[Rule], content: Column) -> Column | None:
-    """A built-in filter that all matching content passes; None if some rule has no known literal."""
-    if not all(r.literals for r in rules):
-        return None
+    """A built-in filter that all matching content passes; None if some rule has no known literal or there are many."""
     literals = {k for r in rules for k in r.literals}
     # a literal within another makes the longer one needless
     needed = [a for a in sorted(literals) if not any(b != a and b in a for b in literals)]
-    return F.decode(content, "ISO-8859-1").rlike("(?i)" + "|".join("\\Q" + k + "\\E" for k in needed))
+    if not all(r.literals for r in rules) or len(needed) > FEW_LITERALS:
+        return None
+
+    def present(text: Column) -> Column:
+        found = F.lit(False)
+        for literal in needed:
+            found = found | text.contains(literal)
+        return found
+
+    # as an array of one, so that the content is decoded once and not for each literal
+    return F.exists(F.array(F.lower(F.decode(content, "ISO-8859-1"))), present)
 
 
 def scan(blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False) -> DataFrame:

@@ -49,8 +49,8 @@ def _flat(found: DataFrame, *more) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all rules in the documents, once per rule and secret, with the places they were seen."""
-    blobs = B.distinct_blobs(_doc_blobs(spark, sf_dir))
-    found = report.shown(matcher.scan(blobs, at_least([*RULES, *load_rules()], "medium")))
+    # copies are merged as findings, after the scan: the contents themselves are never shuffled
+    found = report.shown(matcher.scan(_doc_blobs(spark, sf_dir), at_least([*RULES, *load_rules()], "medium")))
     return dedup.merge_origins(found, ["rule_id", "secret"], ["blob_id", "start"]).select(
         "rule_id", "rule_name", "secret", "confidence", "entropy", "line_start", "fingerprint", F.size("origins").alias("seen")
     )
