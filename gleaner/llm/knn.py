@@ -116,7 +116,7 @@ def top_k(
 
     Vectors hold integers (as numbers of any type); scores are exact, and must fit 64 bits.
     Every row but the query's own is a candidate, repeated rows included; ties go to
-    the smaller id.  Null vectors and vectors with null or non-finite components take no part;
+    the smaller id.  Null and empty vectors, and vectors with null or non-finite components, take no part;
     of vectors of unequal lengths the shorter counts as filled up with zeros.  Fewer
     candidates than k give fewer rows, an empty table none.  The cells are fitted on
     at most ``sampled`` rows; no others are left out of anything else.

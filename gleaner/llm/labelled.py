@@ -23,13 +23,13 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, eligible: Column | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Sample:
-    """At most ``per_class`` labelled documents of each class, chosen by a hash of their id.
+    """At most ``per_class`` labelled documents of each class (0 and 1), chosen by a hash of their id.
 
-    Labels whose id or value is null are ignored; an id labelled more than once counts
+    Labels without an id or of another value are ignored; an id labelled more than once counts
     with its largest label.  Only the chosen ids (bounded) are broadcast, so the texts
     of the corpus are read but not shuffled.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if eligible is not None:
         known = known.where(eligible)
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("y"))

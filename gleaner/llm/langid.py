@@ -83,6 +83,10 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return c, np.argmax(x @ c.T, axis=1)
 
 
+#: Languages beyond the most common of this many are not learned; bounds what is broadcast.
+MAX_LANGS = 1000
+
+
 def sample(docs: DataFrame, per_lang: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(text, lang): at most ``per_lang`` texts of each language, chosen by a hash of the id.
 
@@ -92,7 +96,7 @@ def sample(docs: DataFrame, per_lang: int, id_col: str = "doc_id", text_col: str
     known = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("id is not null and text is not null and lang is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     thinned = known.join(F.broadcast(counts), "lang").where(hashed * F.col("n") < F.lit(1.5 * per_lang + 50) * (1 << 30))
     order = Window.partitionBy("lang").orderBy(hashed, "id")
