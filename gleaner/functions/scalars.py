@@ -225,3 +225,26 @@ def first_matching(conditions: Sequence[tuple[Column, str]], default: str) -> Co
     for condition, label in reversed(conditions):
         out = F.when(condition, label).otherwise(out)
     return out
+
+
+def is_mongodb_uri(value: Column) -> Column:
+    return value.rlike(r"^mongodb(\+srv)?://")
+
+
+def is_aws_pair(key_id: Column, secret: Column) -> Column:
+    """Whether an access key id and a secret are worth trying: lengths and alphabets."""
+    return key_id.rlike("^AKIA[A-Z0-9]{16}$") & secret.rlike("^[A-Za-z0-9/+]{40,}$")
+
+
+def cache_key(service: str, *parts: Column) -> Column:
+    """Key of a remembered outcome: the service's name and a SHA-1 of what identifies the request."""
+    return F.concat(F.lit(f"{service}:"), F.sha1(F.concat_ws("\x00", *parts)))
+
+
+def clone_folder(url: Column) -> Column:
+    """A folder name for a clone: slashes and colons become underscores."""
+    return F.translate(url, "/:", "__")
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
