@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import scalars as S
 from gleaner.functions.regexes import re2_form
 from gleaner.operators import dedup, dependencies, matcher, report, validate
+from gleaner.session import checkpoint
 from gleaner.sources import blobs as B
 from gleaner.sources.git import first_seen_linear
 from gleaner.sources.rules import Rule, at_least, check_rules, load_rules, rules_table, select_rules
@@ -43,6 +44,11 @@ def _found(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES) -> DataF
     return found.withColumn("doc_id", F.substring(B.path_of(), 5, 30).cast("long"))
 
 
+def _kept(spark: SparkSession, sf_dir: str, rules: list[Rule] = RULES) -> DataFrame:
+    """The same, written to the shared folder: for plans that use the findings more than once, so that the texts are scanned once."""
+    return checkpoint(_found(spark, sf_dir, rules))
+
+
 def _flat(found: DataFrame, *more) -> DataFrame:
     return found.select("doc_id", "rule_id", "secret", "start", "end", *more)
 
@@ -320,19 +326,19 @@ _DEPS_SQL = "(VALUES ('demo.ipv4', 'demo.email', 'MAIL'), ('demo.token', 'demo.l
 @query(f"""WITH f AS ({_sql_found()}) SELECT n.doc_id, n.rule_id, d.variable, g.secret AS value, g.start
 FROM (SELECT DISTINCT doc_id, rule_id FROM f) n JOIN {_DEPS_SQL} USING (rule_id) JOIN f g ON g.doc_id = n.doc_id AND g.rule_id = d.dep_rule_id""")
 def dependency_join(spark, sf_dir):
-    got = dependencies.dependency_values(_found(spark, sf_dir), _dependencies(spark), blob="doc_id")
+    got = dependencies.dependency_values(_kept(spark, sf_dir), _dependencies(spark), blob="doc_id")
     return got.select("doc_id", "rule_id", "variable", "value", "start")
 
 
 @query(f"""WITH f AS ({_sql_found()}) SELECT n.doc_id, n.rule_id, d.dep_rule_id FROM (SELECT DISTINCT doc_id, rule_id FROM f) n
 JOIN {_DEPS_SQL} USING (rule_id) WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = n.doc_id AND g.rule_id = d.dep_rule_id)""")
 def missing_dependency(spark, sf_dir):
-    return dependencies.missing_dependencies(_found(spark, sf_dir), _dependencies(spark), blob="doc_id")
+    return dependencies.missing_dependencies(_kept(spark, sf_dir), _dependencies(spark), blob="doc_id")
 
 
 @query(f"""WITH f AS ({_sql_found()}) SELECT doc_id, rule_id, start, doc_id IN (SELECT doc_id FROM f WHERE rule_id IN ('demo.ipv4', 'demo.token')) AS dependent FROM f""")
 def dependent_blobs(spark, sf_dir):
-    found = _found(spark, sf_dir)
+    found = _kept(spark, sf_dir)
     simple, dependent = dependencies.split_phases(found, _dependencies(spark), blob="doc_id")
     label = lambda df, v: df.select("doc_id", "rule_id", "start", F.lit(v).alias("dependent"))
     return label(simple, False).unionByName(label(dependent, True))
@@ -358,7 +364,7 @@ def _probed(spark: SparkSession, sf_dir: str) -> tuple[list[Rule], DataFrame]:
     request = {"method": "GET", "url": "https://api.invalid/check?t={{ TOKEN | sha256 }}", "headers": {"X-Token": "{{ TOKEN }}"}}
     matchers = [{"type": "StatusMatch", "status": [200]}, {"type": "WordMatch", "words": ['"ok"']}]
     rule = replace(TOKEN, validation={"type": "Http", "content": {"request": {**request, "response_matcher": matchers}}})
-    return [rule, EMAIL], _found(spark, sf_dir, [rule, EMAIL])
+    return [rule, EMAIL], _kept(spark, sf_dir, [rule, EMAIL])
 
 
 def _answers(requests: DataFrame) -> DataFrame:
