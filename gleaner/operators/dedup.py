@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def first_of_each(findings: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
+    """One finding of each key: the first by ``order``, the same on every run.
+
+    An aggregation, not a window: each task keeps one finding per key before the shuffle, so a key with a
+    third of all findings costs no more than others.
+    """
+    row = F.struct(*findings.columns)
+    return findings.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_first")).select("_first.*")
+
+
 def first_per_secret(findings: DataFrame, order: list[Column], kind: str = "kind", secret: str = "secret") -> DataFrame:
-    """One finding of each (rule, origin kind, secret): the first by ``order``, the same on every run."""
-    w = Window.partitionBy(F.upper("rule_id"), kind, secret).orderBy(*order)
-    return findings.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """One finding of each (rule, origin kind, secret): the first by ``order``."""
+    return first_of_each(findings, [F.upper("rule_id").alias("_rule"), F.col(kind).alias("_kind"), F.col(secret).alias("_secret")], order)
+
+
+def origin_rows(findings: DataFrame, keys: list[str], origins: str = "origins") -> DataFrame:
+    """(keys, origin), distinct: where each key was found, as rows of their own.
+
+    The form for keys found at any number of places; ``merge_origins`` holds the places of a key in one row.
+    """
+    return findings.select(*keys, F.explode(origins).alias("origin")).distinct()
 
 
 def merge_origins(findings: DataFrame, keys: list[str], order: list[str], origins: str = "origins") -> DataFrame:
-    """One row per key: the first finding by ``order``, with the distinct origins of all."""
+    """One row per key: the first finding by ``order``, with the distinct origins of all in one array."""
     rest = [c for c in findings.columns if c not in (*keys, origins)]
-    return (
-        findings.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(origins)))).alias(origins))
-        .select(*keys, origins, "_first.*")
-    )
+    first = findings.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    places = origin_rows(findings, keys, origins).groupBy(*keys).agg(F.array_sort(F.collect_list("origin")).alias(origins))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = first.alias("a").join(places.alias("b"), same)
+    return joined.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col(f"b.{origins}").alias(origins), "a._first.*")
 
 
 def one_row_per_origin(findings: DataFrame, origins: str = "origins") -> DataFrame:

@@ -57,8 +57,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all rules in the documents, once per rule and secret, with the places they were seen."""
     # copies are merged as findings, after the scan: the contents themselves are never shuffled
     found = report.shown(matcher.scan(_doc_blobs(spark, sf_dir), at_least([*RULES, *load_rules()], "medium")))
-    return dedup.merge_origins(found, ["rule_id", "secret"], ["blob_id", "start"]).select(
-        "rule_id", "rule_name", "secret", "confidence", "entropy", "line_start", "fingerprint", F.size("origins").alias("seen")
+    found = checkpoint(found)
+    first = dedup.first_of_each(found, ["rule_id", "secret"], ["blob_id", "start"])
+    seen = dedup.origin_rows(found, ["rule_id", "secret"]).groupBy("rule_id", "secret").agg(F.count("*").alias("seen"))
+    return first.join(seen, ["rule_id", "secret"]).select(
+        "rule_id", "rule_name", "secret", "confidence", "entropy", "line_start", "fingerprint", "seen"
     )
 
 
@@ -271,15 +274,15 @@ def dedup_secret(spark, sf_dir):
 
 @query(f'SELECT secret, start, "end", count(DISTINCT doc_id) AS origins, min(doc_id) AS first_doc FROM ({_sql_found()}) GROUP BY secret, start, "end"')
 def dedup_fingerprint_origins(spark, sf_dir):
-    found = _found(spark, sf_dir)
+    found = _kept(spark, sf_dir)
     merged = dedup.merge_origins(found, ["fingerprint"], ["doc_id", "rule_id"])
     return merged.select("secret", "start", "end", F.size("origins").cast("long").alias("origins"), F.col("doc_id").alias("first_doc"))
 
 
 @query(f"SELECT DISTINCT secret, start, concat('doc/', doc_id) AS path FROM ({_sql_found()})")
 def no_dedup_explode(spark, sf_dir):
-    merged = dedup.merge_origins(_found(spark, sf_dir), ["fingerprint"], ["doc_id", "rule_id"])
-    return dedup.one_row_per_origin(merged).select("secret", "start", F.col("origin.path").alias("path"))
+    rows = dedup.origin_rows(_found(spark, sf_dir), ["fingerprint", "secret", "start"])
+    return rows.select("secret", "start", F.col("origin.path").alias("path"))
 
 
 @query(f"""SELECT doc_id, rule_id, start, "end", EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b."end" >= a."end"

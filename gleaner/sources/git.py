@@ -6,7 +6,7 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.scalars import blob_id
@@ -69,8 +69,9 @@ def read_objects(spark: SparkSession, repo: str, partitions: int = 8) -> DataFra
 
 def first_seen_linear(changes: DataFrame, order: str = "topo") -> DataFrame:
     """For a line of history: of each blob the first commit that has it."""
-    w = Window.partitionBy("blob_id").orderBy(order, "commit_id", "path")
-    return changes.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    row = F.struct(*changes.columns)
+    first = changes.groupBy(F.col("blob_id").alias("_blob")).agg(F.min_by(row, F.struct(order, "commit_id", "path")).alias("_first"))
+    return first.select("_first.*")
 
 
 def first_seen(commits: DataFrame, changes: DataFrame) -> DataFrame:
