@@ -57,6 +57,17 @@ class Model:
         self.pieces = {p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i))}
         self.longest = max(map(len, self.pieces))
         self.inside = {s[i : i + 2] for s in self.pieces for i in range(len(s) - 1)}
+        self.spellings = [self._spelling(i) for i in range(p.get_piece_size())]
+
+    def _spelling(self, i: int) -> bytes:
+        p = self.processor
+        if p.is_byte(i):
+            return bytes([int(p.id_to_piece(i)[1:-1], 16)])
+        return b"" if p.is_control(i) else p.decode([i]).encode("utf-8") if p.is_unknown(i) else p.id_to_piece(i).replace("▁", " ").encode("utf-8")
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of the ids' text, its prefix included."""
+        return b"".join(map(self.spellings.__getitem__, ids.tolist()))
 
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.processor.encode_as_numpy(text), np.int32) if text else np.zeros(0, np.int32)
@@ -265,9 +276,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     @pandas_udf("string")
     def spell(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        processor = load(path).processor
+        model = load(path)
         for ids, ks in batches:
-            texts = [processor.decode(i.tolist()) if len(i) else "" for i in ids]
+            texts = [model.spell(i).decode("utf-8", "replace") for i in ids]
             yield pd.Series([t[1:] if k == 0 else t for t, k in zip(texts, ks, strict=True)], dtype=object)
 
     return encoded.withColumn("text", spell("ids", "k"))
@@ -298,14 +309,13 @@ def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        processor = load(path).processor
+        model = load(path)
         for rows in batches:
             out = []
             for uid, doc_id, k, n, ids in zip(rows["uid"], rows["id"], rows["k"], rows["n"], rows["ids"], strict=True):
-                text = processor.decode(ids.tolist()) if len(ids) else ""
-                text = text[1:] if k == 0 else text
-                raw = text.encode("utf-8", "replace")
-                out.append((uid, doc_id, k, n, len(ids), zlib.crc32(ids.astype("<i4").tobytes()), len(raw), zlib.crc32(raw), len(text)))
+                raw = model.spell(ids)[1 if k == 0 else 0 :]
+                chars = len(raw.decode("utf-8", "replace"))
+                out.append((uid, doc_id, k, n, len(ids), zlib.crc32(ids.astype("<i4").tobytes()), len(raw), zlib.crc32(raw), chars))
             yield pd.DataFrame(out, columns=["uid", "id", "k", "n_chunks", "n_tokens", "ids_crc32", "bytes", "text_crc32", "n_chars"])
 
     kinds = "uid long, id long, k int, n_chunks int, n_tokens long, ids_crc32 long, bytes long, text_crc32 long, n_chars long"
