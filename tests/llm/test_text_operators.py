@@ -230,6 +230,62 @@ def test_license_scan_matches_brute_force(spark, odd, empty):
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def _plain_runs(text, known, least):
+    """Runs of blocks by brute force: for each template, of the runs that overlap the best one."""
+    blocks = re.split("\n[ \t\r]*\n", text.lower())
+    bare = ["\n".join(x for x in b.split("\n") if not re.search("^[^a-z0-9]*copyright[^a-z].*[0-9]{4}", x)) for b in blocks]
+    words = [(no, w) for no, b in enumerate(bare) if (w := re.findall("[a-z0-9]+", b))]
+    found = {}
+    for name, grams in sorted(known.items()):
+        runs = []
+        for i in range(len(words)):
+            for j in range(i, len(words)):
+                own = [w for _, block in words[i : j + 1] for w in block]
+                own = {f"{a} {b}" for a, b in zip(own, own[1:], strict=False)}
+                dice = 2 * len(own & set(grams)) / (len(own) + len(grams))
+                if own and dice >= least:
+                    runs.append((-dice, j - i, i, j))
+        kept = []
+        for _, size, i, j in (r for r in sorted(runs)):
+            if all(j < a or b < i for a, b, _ in kept):
+                kept.append((i, j, size))
+        for i, j, size in kept:
+            if size and (i or j < len(words) - 1):
+                dice = -next(r[0] for r in runs if r[2:] == (i, j))
+                found[(i, j)] = min(found.get((i, j), (0, "")), (-dice, name))
+    return sorted((words[i][0], name, round(-less, 6)) for (i, _), (less, name) in found.items())
+
+
+def test_license_notice_of_several_blocks_within_a_document(spark):
+    words = licenses.TEMPLATES["MIT"].split(" ")
+    at = [words.index("The"), words.index("THE")]
+    mit = "\n\n".join(" ".join(words[a:b]) for a, b in zip([0, *at], [*at, None], strict=True))
+    gpl = licenses.TEMPLATES["GPL-3.0-header"].replace("version. This", "version.\n  \nThis").replace("PURPOSE. See", "PURPOSE.\n\nSee")
+    prose = "\n\n".join(f"Some paragraph number {k} of a guide that says nothing at all of rights" for k in range(30))
+    texts = [f"{prose}\n\nCopyright (c) 2020 A\n\n{mit}\n\n{prose}\n\n{gpl}\n\n{prose}", mit, prose, f"Released under\n\nthe MIT License.\n\n{prose}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in licenses.scan(docs).where("unit = 'run'").orderBy("id", "unit_no").collect()]
+    assert [g[:4] for g in got] == [(0, "run", 31, "MIT"), (0, "run", 64, "GPL-3.0-header"), (3, "run", 0, "MIT-line")]
+    assert all(g[4] > 0.99 for g in got)
+
+
+def test_license_runs_match_brute_force(spark):
+    rng = random.Random(8)
+    templates = {"A": "a b c d e f g h", "B": "a b c d e f g x y", "C": "c a c b c d", "D": "a b"}
+    known = {name: licenses.bigrams(t) for name, t in templates.items()}
+    texts = []
+    for k in range(400):
+        words = [w for _ in range(rng.randrange(1, 5)) for w in rng.choice([*templates.values(), "c d q", "u v", "a b"]).split(" ")]
+        words = [w if rng.random() < 0.96 else rng.choice("abcuv") for w in words]
+        text = "".join(w + rng.choice([" ", " ", "\n", "\n\n", "\n \n\n"] if k % 2 else [" ", " ", " ", "\n\n"]) for w in words)
+        texts.append(text + rng.choice(["", "\n\n!\n\nCopyright 1999\n\na b c", "\n\n" + text]))
+    for least in (0.6, 0.8):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = licenses.scan(docs, least=least, templates=templates).where("unit = 'run'").collect()
+        got = sorted((r["id"], r["unit_no"], r["license"], round(r["dice"], 6)) for r in rows)
+        assert got == sorted((i, *hit) for i, t in enumerate(texts) for hit in _plain_runs(t, known, least)) and len(got) > 100
+
+
 def test_packing_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
