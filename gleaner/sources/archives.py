@@ -8,11 +8,14 @@ import io
 import json
 import lzma
 import posixpath
+import shutil
 import struct
 import tarfile
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from gleaner.functions.scalars import ZIP_FAMILY, is_archive
 from gleaner.sources.blobs import _blobs, origin, path_of
 
-MEMBER_LIMIT = 256 << 20
+#: A longer member is given in pieces of this many bytes, each beginning with the last ``OVERLAP`` of the one before.
+PIECE = 256 << 20
+OVERLAP = 1 << 20
 
 
 def safe_member(name: str) -> bool:
@@ -29,65 +34,117 @@ def safe_member(name: str) -> bool:
     return not name.startswith("/") and ".." not in name.split("/")
 
 
-def _asar(data: bytes) -> Iterator[tuple[str, bytes]]:
-    size, length = struct.unpack_from("<I", data, 4)[0], struct.unpack_from("<I", data, 12)[0]
+class _Part(io.RawIOBase):
+    """Bytes ``at`` to ``end`` of a file."""
+
+    def __init__(self, file: BinaryIO, at: int, end: int) -> None:
+        self.file, self.at, self.end = file, at, end
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        self.file.seek(self.at)
+        data = self.file.read(max(0, min(len(into), self.end - self.at)))
+        into[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+class _Inflated(io.RawIOBase):
+    """The content of a zlib stream."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.file, self.stream, self.rest = file, zlib.decompressobj(), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while not self.stream.eof:
+            data = self.rest or self.file.read(1 << 16)
+            out = self.stream.decompress(data, len(into))
+            self.rest = self.stream.unconsumed_tail
+            into[: len(out)] = out
+            if out or not data:
+                return len(out)
+        return 0
+
+
+def _asar(file: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
+    head = file.read(16)
+    size, length = struct.unpack_from("<I", head, 4)[0], struct.unpack_from("<I", head, 12)[0]
     base = 8 + size
 
-    def walk(node: dict, path: str) -> Iterator[tuple[str, bytes]]:
+    def walk(node: dict, path: str) -> Iterator[tuple[str, BinaryIO]]:
         for name, entry in node.get("files", {}).items():
             inner = posixpath.join(path, name)
             if "files" in entry:
                 yield from walk(entry, inner)
             elif "offset" in entry:
                 at = base + int(entry["offset"])
-                yield inner, data[at : at + entry["size"]]
-
-    yield from walk(json.loads(data[16 : 16 + length]), "")
-
+                yield inner, io.BufferedReader(_Part(file, at, at + entry["size"]))
 
-def _inflate(data: bytes, kind: str, limit: int) -> bytes:
-    opener = {"gz": gzip.GzipFile, "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}.get(kind)
-    if opener:
-        with opener(fileobj=io.BytesIO(data)) if kind == "gz" else opener(io.BytesIO(data)) as file:
-            return file.read(limit)
-    return zlib.decompressobj().decompress(data, limit)
+    yield from walk(json.loads(file.read(length)), "")
 
 
-def members(path: str, data: bytes, depth: int = 2, limit: int = MEMBER_LIMIT) -> Iterator[tuple[str, bytes]]:
+def _entries(path: str, file: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
+    """(name, content) of every regular file in an archive; each is to be read before the next is asked for."""
+    name = posixpath.basename(path).lower()
+    ext = name.rpartition(".")[2]
+    if ext in ZIP_FAMILY:
+        with zipfile.ZipFile(file) as archive:
+            for i in archive.infolist():
+                if not i.is_dir() and safe_member(i.filename):
+                    with archive.open(i) as content:
+                        yield i.filename, content
+    elif ext == "tar" or ext == "tgz" or ".tar." in name:
+        with tarfile.open(fileobj=file) as archive:
+            for m in archive:
+                if m.isfile() and safe_member(m.name):
+                    yield m.name, archive.extractfile(m)
+    elif ext == "asar":
+        yield from ((n, content) for n, content in _asar(file) if safe_member(n))
+    elif ext in ("gz", "bz2", "xz", "zlib"):
+        opener = {"gz": lambda f: gzip.GzipFile(fileobj=f), "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}.get(ext)
+        yield posixpath.basename(path)[: -len(ext) - 1], opener(file) if opener else io.BufferedReader(_Inflated(file))
+
+
+def _pieces(name: str, file: BinaryIO, piece: int) -> Iterator[tuple[str, bytes]]:
+    """The whole content in pieces; those after the first have their offset in their name."""
+    overlap = min(OVERLAP, piece // 2)
+    data, at = file.read(piece), 0
+    yield name, data
+    while len(data) == piece and (more := file.read(piece - overlap)):
+        data, at = data[piece - overlap :] + more, at + piece - overlap
+        yield f"{name}@{at}", data
+
+
+def members(path: str, data: bytes | BinaryIO, depth: int = 2, piece: int = PIECE) -> Iterator[tuple[str, bytes]]:
     """(archive!member, bytes) of every regular file in an archive, nested ones down to ``depth``.
 
-    A member is read up to ``limit`` bytes.  Names that leave the archive are skipped; what cannot be
-    read as an archive yields itself.
+    Members are read whole: one of more than ``piece`` bytes comes in overlapping pieces, named
+    ``archive!member@offset`` from the second on; archives within are copied to a temporary file.  Names that
+    leave the archive are skipped; what cannot be read to its end as an archive yields itself (too).
     """
-    name = posixpath.basename(path).lower()
-    ext = name.rpartition(".")[2]
+    file = io.BytesIO(data) if isinstance(data, bytes) else data
+    whole = False
     try:
-        if ext in ZIP_FAMILY:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                inner = []
-                for i in archive.infolist():
-                    if not i.is_dir() and safe_member(i.filename):
-                        with archive.open(i) as file:
-                            inner.append((i.filename, file.read(limit)))
-        elif ext == "tar" or ext == "tgz" or ".tar." in name:
-            with tarfile.open(fileobj=io.BytesIO(data)) as archive:
-                inner = [(m.name, archive.extractfile(m).read(limit)) for m in archive if m.isfile() and safe_member(m.name)]
-        elif ext == "asar":
-            inner = [(n, b[:limit]) for n, b in _asar(data) if safe_member(n)]
-        elif ext in ("gz", "bz2", "xz", "zlib"):
-            inner = [(posixpath.basename(path)[: -len(ext) - 1], _inflate(data, ext, limit))]
-        else:
-            inner = []
+        for member, content in _entries(path, file):
+            nested = member.lower().rpartition(".")[2]
+            if depth > 1 and (nested in ZIP_FAMILY or nested in ("gz", "tgz", "bz2", "xz", "tar", "zlib", "asar")):
+                with tempfile.TemporaryFile() as inner:
+                    shutil.copyfileobj(content, inner)
+                    inner.seek(0)
+                    yield from members(f"{path}!{member}", inner, depth - 1, piece)
+            else:
+                yield from _pieces(f"{path}!{member}", content, piece)
+            whole = True
     except (OSError, EOFError, ValueError, KeyError, RuntimeError, NotImplementedError, zlib.error, lzma.LZMAError, zipfile.BadZipFile, tarfile.TarError, struct.error):
-        inner = []
-    if not inner:
-        yield path, data
-    for member, content in inner:
-        nested = member.lower().rpartition(".")[2]
-        if depth > 1 and (nested in ZIP_FAMILY or nested in ("gz", "tgz", "bz2", "xz", "tar", "zlib", "asar")):
-            yield from members(f"{path}!{member}", content, depth - 1, limit)
-        else:
-            yield f"{path}!{member}", content
+        whole = False
+    if not whole:
+        file.seek(0)
+        yield from _pieces(path, file, piece)
 
 
 def expand(blobs: DataFrame, depth: int = 2) -> DataFrame:

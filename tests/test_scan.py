@@ -136,6 +136,42 @@ def test_archives_expand(spark):
     assert blobs.keep(found, archives=False).count() == 1 and not archives.safe_member("/a") and archives.safe_member("a..b/c")
 
 
+def test_large_members_are_read_whole():
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+
+    rng = random.Random(4)
+    text = b"".join(b"%d " % rng.randrange(10**9) for _ in range(3000)) + b"secret_1234"
+    zipped, tarred = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a.txt", text)
+    with tarfile.open(fileobj=tarred, mode="w:gz") as t:
+        for name, data in (("b.txt", text), ("n.zip", zipped.getvalue())):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    header = json.dumps({"files": {"c.txt": {"offset": "0", "size": len(text)}}}).encode()
+    asar = (4).to_bytes(4, "little") + b"".join((len(header) + k).to_bytes(4, "little") for k in (8, 4, 0)) + header + text
+    items = {
+        "x.zip": zipped.getvalue(), "y.tar.gz": tarred.getvalue(), "z.asar": asar, "g.gz": gzip.compress(text), "h.bz2": bz2.compress(text),
+        "i.xz": lzma.compress(text), "j.zlib": zlib.compress(text),
+    }
+    seen = {}
+    for path, data in items.items():
+        for name, part in archives.members(path, data, 2, 4000):
+            member, _, at = name.partition("@")
+            so_far = seen.setdefault(member, b"")
+            at = int(at or 0)
+            assert len(part) <= 4000 and at <= len(so_far) and part.startswith(so_far[at:])
+            seen[member] = so_far[:at] + part
+    assert set(seen) == {"x.zip!a.txt", "y.tar.gz!b.txt", "y.tar.gz!n.zip!a.txt", "z.asar!c.txt", "g.gz!g", "h.bz2!h", "i.xz!i", "j.zlib!j"}
+    assert all(whole == text for whole in seen.values())
+    cut = gzip.compress(text)[:-20]
+    assert (("k.gz", cut) in archives.members("k.gz", cut)) and next(archives.members("k.gz", b"")) == ("k.gz!k", b"")
+
+
 def _repo(path):
     def run(*args):
         subprocess.run(["git", "-C", str(path), "-c", "user.name=A B", "-c", "user.email=a@b.c", *args], check=True, capture_output=True)
