@@ -8,6 +8,7 @@ expressions, and joined back to every finding they stand for.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -20,6 +21,7 @@ from gleaner.sources.rules import Rule
 
 BODY_LIMIT = 512
 TTL_SECONDS = 1200
+TRANSIENT = (502, 503, 504)
 Transport = Callable[[dict[str, Any]], tuple[int, dict[str, str], str]]
 
 
@@ -84,7 +86,10 @@ def template_variables(captures: Sequence[dict[str, Any]]) -> dict[str, str]:
 
 
 def request_of(rule: Rule, variables: dict[str, str]) -> dict[str, Any]:
-    """The HTTP request of a rule for these variables; TemplateError if it cannot be made."""
+    """The HTTP request of a rule for these variables; TemplateError if it cannot be made.
+
+    Multipart bodies are lists of parts; the content of a file part is the path of the file.
+    """
     raw = (rule.validation or {}).get("content", {}).get("request", {})
     headers = {}
     for name, value in sorted((raw.get("headers") or {}).items()):
@@ -95,7 +100,35 @@ def request_of(rule: Rule, variables: dict[str, str]) -> dict[str, Any]:
     url = render(str(raw.get("url", "")), variables).strip()
     if not url.startswith(("http://", "https://")):
         raise TemplateError(f"not a URL: {url!r}")
-    return {"method": str(raw.get("method", "GET")).upper(), "url": url, "headers": headers}
+    made = {"method": str(raw.get("method", "GET")).upper(), "url": url, "headers": headers}
+    if raw.get("multipart") is not None:
+        made["multipart"] = [_part(p, variables) for p in raw["multipart"].get("parts") or () if p.get("type") in PART_KINDS]
+    return made
+
+
+#: Kinds of parts and their content types where a rule gives none; others are left out.
+PART_KINDS = {"file": "application/octet-stream", "text": "text/plain"}
+
+
+def _part(part: dict[str, Any], variables: dict[str, str]) -> dict[str, str]:
+    """One part of a multipart body; content that cannot be rendered is empty."""
+    try:
+        content = render(str(part.get("content", "")), variables)
+    except TemplateError:
+        content = ""
+    return {"name": str(part["name"]), "type": part["type"], "content": content, "content_type": str(part.get("content_type") or PART_KINDS[part["type"]])}
+
+
+def _with_files(request: dict[str, Any]) -> dict[str, Any]:
+    """The request with the bytes of its file parts (none, where a file cannot be read)."""
+    for part in request.get("multipart", ()):
+        if part["type"] == "file":
+            try:
+                with open(part["content"], "rb") as file:
+                    part["content"] = file.read()
+            except OSError:
+                part["content"] = b""
+    return request
 
 
 def plan_requests(matches: DataFrame, rules: Sequence[Rule], values: DataFrame | None = None, blob: str = "blob_id") -> DataFrame:
@@ -133,17 +166,28 @@ def plan_requests(matches: DataFrame, rules: Sequence[Rule], values: DataFrame |
     return planned.withColumn("request_key", F.concat(F.lit("HTTP:"), F.sha1("request")))
 
 
-def send(requests: DataFrame, transport: Transport) -> DataFrame:
-    """(request_key, status, headers, body) from a live transport, one call per distinct request, on the executors."""
+def send(requests: DataFrame, transport: Transport, pause: float = 0.5) -> DataFrame:
+    """(request_key, status, headers, body) from a live transport, on the executors, once per distinct request.
+
+    A request is sent once more, ``2 * pause`` seconds later (two at most), after an error or a status of 502, 503 or 504.
+    Its ``multipart``, where it has one, is a list of parts: name, type, content (text, or the bytes of a file), content_type.
+    """
+
+    def answer(request: str) -> tuple[int, dict[str, str], str]:
+        for last in (False, True):
+            try:
+                status, headers, body = transport(_with_files(json.loads(request)))
+            except Exception as error:  # noqa: BLE001 - any transport failure is an outcome
+                status, headers, body = 502, {}, f"HTTP error: {error}"
+            if last or status not in TRANSIENT:
+                return status, headers, body
+            time.sleep(min(2 * pause, 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, request in zip(batch["request_key"], batch["request"], strict=True):
-                try:
-                    status, headers, body = transport(json.loads(request))
-                except Exception as error:  # noqa: BLE001 - any transport failure is an outcome
-                    status, headers, body = 502, {}, f"HTTP error: {error}"
+                status, headers, body = answer(request)
                 out.append((key, status, {k.lower(): v for k, v in headers.items()}, body[:BODY_LIMIT]))
             yield pd.DataFrame(out, columns=["request_key", "status", "headers", "body"])
 

@@ -283,6 +283,36 @@ def test_validation_end_to_end(spark):
     assert got[("demo.sure", "abcd")] == (True, 200, "Prevalidated") and got[("demo.pair", "abcd")][:2] == (False, 428)
 
 
+def test_multipart_and_one_retry(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"\xff\x00")
+    parts = [
+        {"name": "key", "type": "text", "content": "{{ TOKEN | upcase }}"}, {"name": "bad", "type": "text", "content": "{{ A | nosuch }}", "content_type": "a/b"},
+        {"name": "file", "type": "file", "content": f"{tmp_path}/f"}, {"name": "none", "type": "file", "content": "/no/such"}, {"name": "other", "type": "x"},
+    ]
+    raw = {"method": "POST", "url": "https://h.invalid/{{ TOKEN }}", "multipart": {"parts": parts}}
+    rule = Rule("demo.parts", "Parts", r"http_([a-z]{4})", validation={"type": "Http", "content": {"request": raw}})
+    calls = str(tmp_path / "calls")
+
+    def transport(request):
+        with open(calls, "a") as file:
+            file.write(request["url"][-4:] + "\n")
+        before = open(calls).read().count(request["url"][-4:])
+        kind = request["url"][-4:]
+        if kind == "once" and before == 1:
+            return 503, {}, "busy"
+        if kind == "errs" and before == 1:
+            raise OSError("down")
+        return 504 if kind == "dead" else 200, {}, repr([(p["name"], p["content"], p["content_type"]) for p in request["multipart"]])
+
+    found = _scan(spark, [("a", b"http_once http_errs http_dead http_good")], [rule])
+    requests = validate.plan_requests(found, [rule])
+    sent = validate.send(requests.coalesce(1), transport, pause=0).collect()
+    assert sorted(r["status"] for r in sent) == [200, 200, 200, 504]
+    made = lambda key: repr([("key", key, "text/plain"), ("bad", "", "a/b"), ("file", b"\xff\x00", "application/octet-stream"), ("none", b"", "application/octet-stream")])
+    assert {r["body"] for r in sent} == {made(k) for k in ("ONCE", "ERRS", "DEAD", "GOOD")}
+    assert sorted(open(calls).read().split()) == ["dead", "dead", "errs", "errs", "good", "once", "once"]
+
+
 def test_variables_and_requests():
     captures = [{"name": None, "value": "whole"}, {"name": "user", "value": "u"}, {"name": None, "value": "one"}, {"name": None, "value": "two"}]
     assert validate.template_variables(captures) == {"USER": "u", "TOKEN": "two"}
