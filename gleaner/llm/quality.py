@@ -26,6 +26,9 @@ from gleaner.llm.labelled import Sample, labelled_sample
 #: Hash space of shape n-grams, then that of words and word pairs.
 SHAPES, WORDS = 1 << 14, 1 << 16
 REMEMBERED = 300_000
+#: Longer runs, as of scripts without spaces, are cut into consecutive words of this length.
+LONGEST = 256
+_PIECES = re.compile(rf"\S{{1,{LONGEST}}}")
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
@@ -38,7 +41,7 @@ class _Tokens(dict):
     """Word -> hash of its shape * 2^32 + hash of the word."""
 
     def __missing__(self, word: str) -> int:
-        shape = _DIGITS.sub("9", _LETTERS.sub(_case, word[:256]))
+        shape = _DIGITS.sub("9", _LETTERS.sub(_case, word))
         code = zlib.crc32(shape.encode("utf-8", "replace")) << 31 | zlib.crc32(word.lower().encode("utf-8", "replace")) >> 1
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
@@ -64,6 +67,8 @@ class Indicators:
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
+        if max(map(len, words), default=0) > LONGEST:
+            words = _PIECES.findall(text)
         n = len(words)
         codes = np.fromiter(map(self.tokens.__getitem__, words), np.uint64, n)
         word, shape = codes & np.uint64(0x7FFFFFFF), codes >> np.uint64(31)

@@ -33,12 +33,12 @@ from gleaner.llm.labelled import Sample, labelled_sample
 PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 300_000
 BLOCK = 64
-_WORD = re.compile(r"\w+")
+#: Longer runs, as of scripts without spaces, are cut into consecutive words.
+_WORD = re.compile(r"\w{1,64}")
 
 
 def _terms(word: str) -> list[str]:
     """The word, and its prefixes marked by an asterisk."""
-    word = word[:64]
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
 
@@ -51,10 +51,9 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = tuple(self.vocabulary[t] for t in _terms(word) if t in self.vocabulary)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found
         return found
 
 

@@ -111,6 +111,17 @@ def test_classifiers_on_odd_rows(spark, odd, empty, module):
         assert len(got) == len(ODD) and len({r["score"] for r in got}) == 1
 
 
+def test_words_are_seen_to_their_end():
+    vectors = toxicity.Vectors({"scum*": 0, "idio*": 1}, np.ones(2), 0.1)
+    for text in ("x" * 64 + "scum" + " idiocy", "\u8a9e" * 128 + "idiocy scum", "_" * 64 + "scum" + "_" * 60 + "idiots"):
+        terms, weights = vectors(text)
+        assert terms.tolist() == [0, 1, 2] and weights.all()
+    shapes = lambda text: {int(f) for f in quality.Indicators()(text) if f < quality.SHAPES}
+    plain, words = shapes("x" * 256 + "aaaa"), shapes("x" * 256 + "99!?")
+    assert plain != words and shapes("x" * 256 + "99!? b") == shapes("x" * 256 + " 99!? b")
+    assert shapes("one\x1ctwo\x85three\u3000four") == shapes("one two three four")
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(0)
 
