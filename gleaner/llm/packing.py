@@ -11,7 +11,7 @@ their place by their rank among the pieces of equal length.
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -41,20 +41,31 @@ def tokenizer_path(name: str) -> str:
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary, as little-endian 32-bit bytes.
 
-    Strings of special tokens in a text are ordinary text.  The pattern always ends a
-    token before a space that is followed by something other than white space, so very
-    long texts are encoded in blocks cut there.
+    They are the ids that the ``tokenizers`` library gives for the vocabulary's JSON file without added
+    special tokens: the strings of its special tokens are single ids also within a text, and what stands between
+    them is encoded by itself (by tiktoken, which is faster and has the same merges).  The pattern always
+    ends a token before a space that is followed by something other than white space, so very
+    long stretches are encoded in blocks cut there; no block cuts a special string.
     """
 
-    def __init__(self, ranks_path: str) -> None:
+    def __init__(self, json_path: str) -> None:
         import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode = own.encode_ordinary
+        with open(json_path, encoding="utf-8") as file:
+            saved = json.load(file)
+        special = {t["content"]: t["id"] for t in saved["added_tokens"]}
+        plain = _byte_values()
+        ranks = {bytes(map(plain.__getitem__, piece)): i for piece, i in saved["model"]["vocab"].items() if piece not in special}
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
+        self.between = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
 
     def __call__(self, text: str) -> bytes:
+        if self.between is None or not any(s in text for s in self.special):
+            return self._plain(text)
+        return b"".join(self.special[part] if k % 2 else self._plain(part) for k, part in enumerate(self.between.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         parts, at = [], 0
         while len(text) - at > BLOCK and (cut := _CUT.search(text, at + BLOCK)):
             parts.append(text[at : cut.start()])
@@ -63,13 +74,21 @@ class ByteBpe:
         return b"".join(np.array(self.encode(x), dtype="<u4").tobytes() for x in parts)
 
 
+def _byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for
+    themselves, the others in order for the characters from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
-def byte_bpe(ranks_path: str) -> ByteBpe:
-    return ByteBpe(ranks_path)
+def byte_bpe(json_path: str) -> ByteBpe:
+    return ByteBpe(json_path)
 
 
 def pieces(
-    docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
     end_id: int = 2, with_ids: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end_id``.
@@ -79,7 +98,7 @@ def pieces(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = byte_bpe(ranks_path), np.array([end_id], "<u4").tobytes()
+        encode, end = byte_bpe(path), np.array([end_id], "<u4").tobytes()
         for rows in in_slices(batches, "text"):
             out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "ids")}
             for row, text in enumerate(rows["text"]):
@@ -238,18 +257,18 @@ def _slots(planned: dict[tuple[int, ...], int], capacity: int) -> tuple[np.ndarr
 
 
 def pack(
-    docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024,
     end_id: int = 2, with_ids: bool = False, max_groups: int = 50_000,
 ) -> DataFrame:
     """Every piece with its place: the columns of ``pieces``, sequence_id and offset.
 
     Sequences are gapless from offset 0 and hold at most ``capacity`` tokens.
-    Repeated rows are packed each for itself; null ids and other columns play no
-    part; an empty table gives an empty result.  ``max_groups`` bounds the table of counts
+    Repeated rows are packed each for itself; null ids and other columns, whatever their names, play no
+    part; an empty table gives an empty result.  Texts of any length are encoded whole, in bounded blocks.  ``max_groups`` bounds the table of counts
     that the driver reads to number the pieces of each length.
     """
-    ranks_path = ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")
-    cut = pieces(docs, ranks_path, id_col, text_col, capacity, end_id, with_ids)
+    path = path or tokenizer_path("byte_bpe_50k.json")
+    cut = pieces(docs, path, id_col, text_col, capacity, end_id, with_ids)
     cut = checkpoint(cut.withColumn("uid", F.monotonically_increasing_id()))
     spark = docs.sparkSession
     counts = np.zeros(capacity + 1, np.int64)

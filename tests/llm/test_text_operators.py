@@ -300,18 +300,35 @@ def test_license_runs_match_brute_force(spark):
 def test_packing_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    encode = packing.ByteBpe(packing.tokenizer_path("byte_bpe_50k.tiktoken"))
-    texts = ["", "a  b   c \n d", " lead", "trail ", "don't 'll 12", "<|endoftext|> x", "日本 é\x00", "\x1c x \x85y", "naïve ²Ⅷ"]
-    for text in texts:
-        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
-    block, packing.BLOCK = packing.BLOCK, 50
-    try:
-        text = "some words  and\n more é " * 40
-        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
-    finally:
-        packing.BLOCK = block
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    tokenizer, encode, end = Tokenizer.from_file(path), packing.ByteBpe(path), "<|endoftext|>"
+    texts = ["", "a  b   c \n d", " lead", "trail ", "don't 'll 12", "日本 é\x00", "\x1c x \x85y", "naïve ²Ⅷ", f"a {end} b", f"{end} x", f"x  {end}", end, end * 3]
+    texts += [f"{end}a{end}", f"  {end}\n\n{end} 's", "<|endoftext", "<|<|endoftext|>|>", f"é{end}日"]
+    rng = random.Random(4)
+    parts = [end, " ", "  ", "\n", "word", "'s", "12", "é", "<|", "|>", "endoftext", "日本"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(400)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[8] == [64, 220, 50256, 275]
+    block = packing.BLOCK
+    for size in (block, 7, 50):  # blocks begin and end within and around the special string
+        try:
+            packing.BLOCK = size
+            assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == want
+            text = f"some words  and\n more é {end} " * 40
+            assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        finally:
+            packing.BLOCK = block
+
+
+def test_special_strings_within_pieces(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    texts = [(1, "one <|endoftext|> two"), (2, "<|endoftext|>" * 3000), (3, "word " * 5000 + "<|endoftext|>")]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), with_ids=True).collect()
+    for doc_id, text in texts:
+        got = [i for r in sorted((r for r in rows if r["doc_id"] == doc_id), key=lambda r: r["piece"]) for i in r["ids"]]
+        assert got == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -352,7 +369,7 @@ def _check_packed(rows, docs, capacity, encode):
 
 
 def test_packing_of_odd_rows(odd, empty):
-    encode = packing.ByteBpe(packing.tokenizer_path("byte_bpe_50k.tiktoken"))
+    encode = packing.ByteBpe(packing.tokenizer_path("byte_bpe_50k.json"))
     rows = packing.pack(odd, capacity=256, with_ids=True, max_groups=2).collect()
     sequences, tokens = _check_packed(rows, [(r[0], r[1]) for r in ODD], 256, encode)
     assert sequences == -(-tokens // 256)
@@ -362,7 +379,7 @@ def test_packing_of_odd_rows(odd, empty):
 
 def test_packing_of_the_documents(spark):
     (docs,) = tables(spark, SF, "documents")
-    encode = packing.ByteBpe(packing.tokenizer_path("byte_bpe_50k.tiktoken"))
+    encode = packing.ByteBpe(packing.tokenizer_path("byte_bpe_50k.json"))
     rows = packing.pack(docs).collect()
     sequences, tokens = _check_packed(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 1024, encode)
     assert sequences <= -(-tokens // 1024) + 5
