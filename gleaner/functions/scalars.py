@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -15,34 +16,13 @@ from pyspark.sql.types import FloatType, StringType
 
 # --- fixed values: lists and patterns that results depend on -------------------------------------
 
-_CREDENTIAL = r"(password|pass|pwd|passwd|secret|cred|key|auth|authorization)"
-_ASSIGNED = _CREDENTIAL + r"[^=:?]{0,8}[=:?][^=:?]{0,8}"
-#: A value that matches one of these is a placeholder, not a secret.
-SAFE_LIST = (
-    r"[:=][^:=]{0,64}EXAMPLEKEY",
-    r"\b(AKIA(?:.*?EXAMPLE|.*?FAKE|TEST|.*?SAMPLE))\b",
-    _ASSIGNED + r"\s(&&|\|\||\*{5,50})",
-    _ASSIGNED + r"\b\w{4,12}\s{0,6}=\s{0,6}\D{0,3}\w{1,12}",
-    _ASSIGNED + r"\$\w{4,30}",
-    _CREDENTIAL + r"[^=:?]{0,16}[=:?][^=:?]{0,8}\bopenssl\s{0,4}rand\b",
-    _ASSIGNED + r"encrypted",
-    _ASSIGNED + r"\b(?:false|true)\b",
-    _ASSIGNED + r"\b(null|nil|none|password|pass|pwd|passwd|secret|cred|key|auth|authorization).{1,6}\Z",
-    _ASSIGNED + r"hunter2",
-    r"123456789|abcdefghij",
-    r"<secretmanager>",
-    r"[=:?][^=:?]{0,8}#/components/schemas/",
-    r"\b(mongodb(?:\+srv)?://(?:user|foo)[^:@]+:(?:pass|bar)[^@]+@[-\w.%+/:]{3,64}(?:/\w+)?)",
-    r"\b(classpath://)",
-    r"(\b[^\s\t]{0,16}[=:][^$]*\$\{[a-z_-]{5,30}\})",
-    r"\b((?:https?:)?//[^:@]{3,50}:[^:@]{3,50}@[\w.]{0,16}(?:example|test))",
-    r"[:=][^:=]{0,32}\bSECRETMANAGER",
-)
+#: A value that matches one of these patterns (a line each) is a placeholder, not a secret.
+SAFE_LIST = tuple(files("gleaner").joinpath("packs/safe_list.txt").read_text("utf-8").splitlines())
 ZIP_FAMILY = (
-    "zip zipx jar war ear aar jmod jhm jnlp nupkg vsix xap docx xlsx pptx odt ods odp odg odf epub gadget kmz widget "
-    "xpi sketch pages key numbers"
-).split()
-OTHER_ARCHIVES = "gz tgz bz2 xz tar zlib asar".split()
+    "zip", "zipx", "jar", "war", "ear", "aar", "jmod", "jhm", "jnlp", "nupkg", "vsix", "xap", "docx", "xlsx", "pptx",
+    "odt", "ods", "odp", "odg", "odf", "epub", "gadget", "kmz", "widget", "xpi", "sketch", "pages", "key", "numbers",
+)
+OTHER_ARCHIVES = ("gz", "tgz", "bz2", "xz", "tar", "zlib", "asar")
 MIME = {
     "txt": "text/plain", "md": "text/plain", "rst": "text/plain", "html": "text/html", "htm": "text/html",
     "css": "text/css", "js": "application/javascript", "json": "application/json", "xml": "application/xml",
@@ -146,7 +126,7 @@ def extension(path: Column) -> Column:
 
 def is_archive(path: Column) -> Column:
     ext = extension(path)
-    return F.coalesce(ext.isin(ZIP_FAMILY) | F.lower(ext).isin(OTHER_ARCHIVES), F.lit(False))
+    return F.coalesce(ext.isin(*ZIP_FAMILY) | F.lower(ext).isin(*OTHER_ARCHIVES), F.lit(False))
 
 
 def mime_type(path: Column) -> Column:
@@ -227,8 +207,9 @@ def first_matching(conditions: Sequence[tuple[Column, str]], default: str) -> Co
     return out
 
 
-def is_mongodb_uri(value: Column) -> Column:
-    return value.rlike(r"^mongodb(\+srv)?://")
+def has_scheme(value: Column, schemes: Sequence[str]) -> Column:
+    """Whether a value is a URI of one of the schemes (those of a rule: ``Rule.schemes``); never without any."""
+    return value.rlike(f"^({'|'.join(map(re.escape, schemes))})://") if schemes else F.lit(False)
 
 
 def is_aws_pair(key_id: Column, secret: Column) -> Column:

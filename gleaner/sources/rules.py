@@ -39,6 +39,8 @@ class Rule:
     validation: dict[str, Any] | None = field(default=None, hash=False)
     #: Any match contains one of these (case aside); by default found from the pattern.
     keywords: tuple[str, ...] = ()
+    #: For secrets that are URIs: the schemes they may have.
+    schemes: tuple[str, ...] = ()
 
     @property
     def literals(self) -> tuple[str, ...]:
@@ -67,7 +69,7 @@ class Rule:
             confidence=confidence, visible=bool(raw.get("visible", True)), examples=tuple(raw.get("examples") or ()),
             negative_examples=tuple(raw.get("negative_examples") or ()), references=tuple(raw.get("references") or ()),
             prevalidated=bool(raw.get("prevalidated", False)), depends_on=depends, validation=raw.get("validation"),
-            keywords=tuple(raw.get("keywords") or ()),
+            keywords=tuple(raw.get("keywords") or ()), schemes=tuple(raw.get("schemes") or ()),
         )
 
 
