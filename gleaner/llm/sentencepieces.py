@@ -7,12 +7,13 @@ encoding is a path problem over the states "token t covers the cut", with weight
 pairs that agree and minus infinity for the rest, and a giant text can be solved in
 pieces:
 
-1. The text is cut about every ``chunk`` characters, at a place that no piece of the
-   vocabulary spans if there is one near (most white space); there the state is single.
-   Elsewhere the states of a cut are the vocabulary's tokens that end at it or span it.
+1. The text is cut into chunks of equal length, wherever that falls.  The states of a cut are the
+   vocabulary's tokens that hold the character before it: those that end at it or span it.
 2. Each chunk, by itself, yields the max-plus matrix from the states of its left cut to those
    of its right one.  An entry is 0 if encoding the text from the one token to the other
-   begins and ends with them, else minus infinity.
+   begins and ends with them, else minus infinity.  Where the chunk has a border that no piece of the
+   vocabulary spans (most white space is one), every path goes through it, so both sides are tested by themselves,
+   on the few characters up to it; without one, pairs of states are tested on the whole chunk.
 3. The matrices of a text are combined by an associative max-plus product (prefixes and
    suffixes by doubling); the one state of each cut on a path of weight 0 is the token there.
 4. Each chunk is encoded on its own between the ends of its two tokens.
@@ -36,8 +37,6 @@ from gleaner.llm.common import checkpoint, in_slices
 from gleaner.llm.packing import tokenizer_path
 
 CHUNK = 32_768
-#: How far past its place a cut may move to a border that no piece spans.
-SEARCH = 2_048
 #: Characters within which the encodings from different states usually come together.
 MEET = 192
 #: Appended to a serialized model, this field merges into its normalizer settings: add_dummy_prefix = false.
@@ -82,12 +81,8 @@ class Model:
         return out
 
     def sure(self, text: str, at: int) -> bool:
-        """Whether no piece spans the border before ``at``."""
-        return text[at - 1 : at + 1].replace(" ", "▁") not in self.inside
-
-    def cut_near(self, text: str, at: int) -> int:
-        """The first sure border from ``at`` on, or ``at`` itself if there is none near."""
-        return next((i for i in range(at, min(at + SEARCH, len(text) - 1)) if self.sure(text, i)), at)
+        """Whether no piece spans the border before ``at`` (a place within the text)."""
+        return 0 < at < len(text) and text[at - 1 : at + 1].replace(" ", "▁") not in self.inside
 
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
         """(start, end) of every token that may hold the last character before ``at``; at a sure border
@@ -124,6 +119,14 @@ def transfer(model: Model, text: str, left: list[tuple[int, int]], right: list[t
     if len(left) == len(right) == 1 and left[0][0] == left[0][1] and right[0][0] == right[0][1]:
         out[0, 0] = 0.0
         return out
+    first, last = max(e for _, e in left), min(s for s, _ in right)
+    begin = next((b for b in range(first, last + 1) if model.sure(text, b)), None)
+    if begin is not None:
+        stop = next(b for b in range(last, begin - 1, -1) if model.sure(text, b))
+        heads = [_begins(model.ends(text[t[0] : begin]), t, t[0]) for t in left]
+        tails = [_closes(model.ends(text[stop : t[1]]), t, stop) for t in right]
+        out[np.ix_(np.flatnonzero(heads), np.flatnonzero(tails))] = 0.0
+        return out
     far = min(e for _, e in right) - max(s for s, _ in left) > 4 * MEET + 4 * model.longest
 
     def starts(token: tuple[int, int]) -> bool:
@@ -180,6 +183,12 @@ def _prefixed(text: str | None) -> str:
     return f" {text}" if text else ""
 
 
+def cuts_of(length: int, chunk: int) -> list[int]:
+    """Borders of the fewest chunks of at most ``chunk`` characters, all about equally long."""
+    n = max(1, -(-length // chunk))
+    return [k * length // n for k in range(n + 1)]
+
+
 def _giant_chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     """(uid, id, k, n, base, lo, hi, text): chunks with ``longest`` characters around them; lo and hi are
     the cuts, base the place of ``text``, all in the prefixed text."""
@@ -189,11 +198,8 @@ def _giant_chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         for rows in in_slices(batches, "text"):
             out = []
             for uid, doc_id, raw in zip(rows["uid"], rows["id"], rows["text"], strict=True):
-                text, cuts, at = _prefixed(raw), [0], chunk
-                while at < len(text) - chunk // 2:
-                    cuts.append(model.cut_near(text, at))
-                    at = cuts[-1] + chunk
-                cuts.append(len(text))
+                text = _prefixed(raw)
+                cuts = cuts_of(len(text), chunk)
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     base = max(0, lo - model.longest)
                     out.append((uid, doc_id, k, len(cuts) - 1, base, lo, hi, text[base : hi + model.longest]))
@@ -244,7 +250,9 @@ def encode(
     """(uid, id, k, n, ids): the ids of chunk k of n of each text; in order of k they are the text's encoding.
 
     ``uid`` tells rows apart, also where ids repeat or are null.  Null and empty texts
-    have one chunk without ids.
+    have one chunk without ids; repeated rows are encoded each for itself; an empty table gives an empty result; columns
+    other than the two named play no part, whatever their names.  Texts of more than ``chunk`` characters are cut;
+    ``chunk`` decides how the work is divided, never what the ids are.
     """
     path = path or tokenizer_path("piece_bpe_32k.model")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -319,7 +327,8 @@ def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=["uid", "id", "k", "n_chunks", "n_tokens", "ids_crc32", "bytes", "text_crc32", "n_chars"])
 
     kinds = "uid long, id long, k int, n_chunks int, n_tokens long, ids_crc32 long, bytes long, text_crc32 long, n_chars long"
-    parts = encoded.mapInPandas(sums, kinds)
+    # a few numbers for each chunk, used twice below: kept, so that the texts are encoded once
+    parts = checkpoint(encoded.mapInPandas(sums, kinds))
 
     @pandas_udf("ids_crc32 long, text_crc32 long")
     def joined(groups: pd.Series) -> pd.DataFrame:

@@ -169,25 +169,72 @@ def _library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
 
-def _in_chunks(model, text, chunk, forced):
-    full, cuts, at = sentencepieces._prefixed(text), [0], chunk
-    while at < len(full) - chunk // 2:
-        cuts.append(at if forced else model.cut_near(full, at))
-        at = cuts[-1] + chunk
-    cuts.append(len(full))
+def _in_chunks(model, text, chunk):
+    full = sentencepieces._prefixed(text)
+    cuts = sentencepieces.cuts_of(len(full), chunk)
     states = [model.states(full, c) for c in cuts]
-    chosen = sentencepieces.choose_states([sentencepieces.transfer(model, full, a, b) for a, b in zip(states, states[1:], strict=False)])
+    matrices = [sentencepieces.transfer(model, full, a, b) for a, b in zip(states, states[1:], strict=False)]
+    chosen = sentencepieces.choose_states(matrices)
     ends = [0, *(states[k + 1][s][1] for k, s in enumerate(chosen)), len(full)]
-    return np.concatenate([model.ids(full[a:b]) for a, b in zip(ends, ends[1:], strict=False)]).tolist()
+    return np.concatenate([model.ids(full[a:b]) for a, b in zip(ends, ends[1:], strict=False)]).tolist(), matrices
 
 
-@pytest.mark.parametrize("kind", range(5))
+@pytest.mark.parametrize("kind", range(6))
 def test_chunks_join_to_the_whole_encoding(kind):
     rng, model, library = random.Random(kind), sentencepieces.load(PIECES), _library()
-    alphabet = ["etaoinsthe", "abcdefghijklmnopqrstuvwxyz", ["the", "ing", " ", "  ", "日本", "é", "\n", "▁"], " a", ["0", "1", "\x00", "😀", "ß"]][kind]
+    alphabet = [
+        "etaoinsthe", "abcdefghijklmnopqrstuvwxyz", ["the", "ing", " ", "  ", "日本", "é", "\n", "▁"], " a", ["0", "1", "\x00", "😀", "ß"],
+        ["information ", "the ", "processing ", "of ", "language, "],
+    ][kind]
+    mixed = 0
     for _ in range(3):
-        text = "".join(rng.choice(alphabet) for _ in range(3000))
-        assert _in_chunks(model, text, 900, forced=True) == _in_chunks(model, text, 900, forced=False) == library.encode(text)
+        text = "".join(rng.choice(alphabet) for _ in range(3000 if kind < 5 else 600))
+        got, matrices = _in_chunks(model, text, 900)
+        assert got == library.encode(text)
+        # states that no encoding goes through are found out: matrices of more than one state with both kinds of entries
+        mixed += sum(m.size > 1 and (m == 0).any() and (m == sentencepieces.NEVER).any() for m in matrices)
+    assert kind in (3, 4) or mixed > 3
+
+
+def test_transfer_matrices_by_definition():
+    model, rng = sentencepieces.load(PIECES), random.Random(9)
+    for alphabet in ("etaoinsthe", ["the", "ing", " ", "an"], "日本語の"):
+        for _ in range(4):
+            text = "".join(rng.choice(alphabet) for _ in range(160))
+            a, b = len(text) // 4, 3 * len(text) // 4
+            left, right = model.states(text, a), model.states(text, b)
+            want = np.full((len(left), len(right)), -np.inf)
+            for i, (s, e) in enumerate(left):
+                for j, (p, q) in enumerate(right):
+                    ends = [s + x for x in model.ends(text[s:q])]
+                    if (s == e or ends[0] == e) and (p == q or ([s, *ends])[-2] == p):
+                        want[i, j] = 0.0
+            assert (sentencepieces.transfer(model, text, left, right) == want).all()
+
+
+def test_giant_documents_go_through_the_scan(spark):
+    """All giant texts of the documents, and ones without white space: several states at their cuts, and the library's ids."""
+    rng, library = random.Random(1), _library()
+    rows = [(r["doc_id"], r["text"]) for r in tables(spark, "/root/testdata/sf0.1", "documents")[0].where("length(text) > 32768").collect()]
+    rows += [(-1, "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(120_000)))]
+    rows += [(-2, "".join(rng.choice("etaoinsthe") for _ in range(100_000))), (-3, "".join(rng.choice("日本語の文字") for _ in range(70_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = sentencepieces.load(PIECES)
+    many = 0
+    for _, text in rows:
+        full = sentencepieces._prefixed(text)
+        many += sum(len(model.states(full, c)) > 1 for c in sentencepieces.cuts_of(len(full), sentencepieces.CHUNK)[1:-1])
+    assert many > 10
+    ids = {}
+    for r in sorted(sentencepieces.encode(frame).collect(), key=lambda r: r["k"]):
+        ids[r["id"]] = ids.get(r["id"], []) + r["ids"]
+    assert ids == {i: library.encode(t) for i, t in rows}
+
+
+def test_texts_are_encoded_once(spark):
+    (docs,) = tables(spark, "/root/testdata/sf0.001", "documents")
+    plan = sentencepieces.digest(sentencepieces.encode(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "parquet" not in plan.lower()
 
 
 def test_max_plus_product_is_associative():
@@ -199,7 +246,7 @@ def test_max_plus_product_is_associative():
 
 def test_encoding_of_odd_rows(spark):
     library = _library()
-    texts = [(1, "hello world"), (2, None), (3, ""), (4, " "), (5, "x" * 9000), (5, "x" * 9000), (None, "words  and\nmore " * 900), (6, "日本語 ▁ é\x00")]
+    texts = [(1, "hello world"), (2, None), (3, ""), (4, " "), (5, "x" * 9000), (5, "x" * 9000), (7, "etaoinsthe" * 1300), (8, "日本語の文字列" * 700), (None, "words  and\nmore " * 900), (6, "日本語 ▁ é\x00")]
     frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("uid", F.lit("u")).withColumn("n", F.lit(0)).withColumn("k", F.lit(0)).repartition(3)
     encoded = sentencepieces.encode(frame, chunk=1000)
     got = sorted(((str(r["id"]), r["n_tokens"], r["ids_crc32"], r["text_crc32"]) for r in sentencepieces.digest(encoded).collect()), key=str)
