@@ -229,19 +229,33 @@ def _resolved(chunks: DataFrame, path: str) -> DataFrame:
                 out.append((row.uid, row.k, [e + row.base for _, e in left], [e + row.base for _, e in right], m.ravel()))
             yield pd.DataFrame(out, columns=["uid", "k", "left", "right", "m"])
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        left, right = rows["left"].to_list(), rows["right"].to_list()
-        ms = [np.asarray(m).reshape(len(a), len(b)) for m, a, b in zip(rows["m"], left, right, strict=True)]
+    def solved(rows: list) -> pd.DataFrame:
+        left, right = [r.left for r in rows], [r.right for r in rows]
+        ms = [np.asarray(r.m).reshape(len(r.left), len(r.right)) for r in rows]
         ends = [right[k][s] for k, s in enumerate(choose_states(ms))]
         begin, stop = [left[0][0], *ends], [*ends, right[-1][0]]
-        return pd.DataFrame({"uid": rows["uid"], "k": rows["k"], "begin": begin, "stop": stop})
+        return pd.DataFrame({"uid": rows[0].uid, "k": [r.k for r in rows], "begin": begin, "stop": stop})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a text has at most 2^31 / chunk rows here, each a few numbers
+        own: list = []
+        for batch in batches:
+            done = []
+            for row in batch.itertuples():
+                if own and own[0].uid != row.uid:
+                    done.append(solved(own))
+                    own = []
+                own.append(row)
+            if done:
+                yield pd.concat(done)
+        if own:
+            yield solved(own)
 
     small = chunks.repartition("uid", "k").mapInPandas(
         matrices, "uid long, k int, left array<long>, right array<long>, m array<double>"
     )
-    # a text has at most 2^31 / chunk rows here, each a few numbers
-    return small.groupBy("uid").applyInPandas(solve, "uid long, k int, begin long, stop long")
+    ordered = small.repartition("uid").sortWithinPartitions("uid", "k")
+    return ordered.mapInPandas(solve, "uid long, k int, begin long, stop long")
 
 
 def encode(
@@ -292,22 +306,30 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.withColumn("text", spell("ids", "k"))
 
 
+def _times(matrix: tuple[int, ...], vector: int) -> int:
+    total, i = 0, 0
+    while vector:
+        if vector & 1:
+            total ^= matrix[i]
+        vector, i = vector >> 1, i + 1
+    return total
+
+
+@lru_cache(maxsize=64)
+def _zeros(power: int) -> tuple[int, ...]:
+    """What 2^power zero bits do to a CRC-32 register, as a matrix over two elements."""
+    if not power:
+        return (0xEDB88320, *(1 << i for i in range(31)))
+    half = _zeros(power - 1)
+    return tuple(_times(half, row) for row in half)
+
+
 def _shift(crc: int, zeros: int) -> int:
-    """The CRC-32 register after ``zeros`` zero bytes, by repeated squaring of the one-bit step."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        total, i = 0, 0
-        while vector:
-            if vector & 1:
-                total ^= matrix[i]
-            vector, i = vector >> 1, i + 1
-        return total
-
-    step, bits = [0xEDB88320, *(1 << i for i in range(31))], zeros * 8
-    while bits:
-        if bits & 1:
-            crc = times(step, crc)
-        step, bits = [times(step, row) for row in step], bits >> 1
+    """The CRC-32 register after ``zeros`` zero bytes."""
+    bits = zeros * 8
+    for power in range(bits.bit_length()):
+        if bits >> power & 1:
+            crc = _times(_zeros(power), crc)
     return crc
 
 
