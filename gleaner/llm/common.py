@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.session import checkpoint, shared_folder
 
-__all__ = ["checkpoint", "crc_mod", "in_slices", "shared_folder", "tables"]
+__all__ = ["balanced_join", "checkpoint", "crc_mod", "fresh_name", "in_slices", "shared_folder", "tables"]
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
@@ -33,3 +34,26 @@ def in_slices(batches: Iterator[pd.DataFrame], text: str, budget: int = 8 << 20)
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
+
+
+def fresh_name(hint: str) -> str:
+    """A column name that no table has, for columns added for a while."""
+    return f"_{hint}_{uuid.uuid4().hex[:12]}"
+
+
+def balanced_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, rows: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row per key and in ``rows`` how many rows of ``big`` have it.
+
+    A key with more than half a partition's share of the rows is split by a hash of the column ``spread``, its
+    row of ``small`` repeated for each part.  Such keys are fewer than twice the shuffle partitions, as their rows add up to
+    no more than all, so the table of them is broadcast.  ``small`` is read three times; keys are not null.
+    """
+    spark = big.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    share = max(1000, int(total) // (2 * partitions))
+    salts, salt = fresh_name("salts"), fresh_name("salt")
+    hot = F.broadcast(small.where(F.col(rows) > share).select(*on, (F.col(rows) / share + 1).cast("int").alias(salts)))
+    few = small.drop(rows).join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    many = big.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    return many.join(few, [*on, salt]).drop(salt)

@@ -2,43 +2,54 @@
 
 A vector is described by its ``nearest`` reference points in order of cosine (the prefix of its
 permutation of all of them).  Reference points are taken far apart from each other, from a
-bounded sample.  Inverted lists name, for each label and pivot, the vectors that have it in their
-prefix.  Two vectors of a list are candidates if their prefixes share ``shared`` pivots, and
-are then verified by cosine in double precision; a pair that meets in several lists
-counts in that of the smallest pivot it shares.
-
-A list is solved in blocks: every pair of blocks is a task of bounded size, in which
-the pairs are tested as matrix products and only counts and a spanning forest leave the
-task, so a list that holds a third of all rows costs time but neither memory nor rows.
-Equal vectors of a label are one class from the start.
+bounded sample; their number grows with the square root of the rows, which keeps lists short.
+Inverted lists name, for each label and pivot, the vectors that have it in their prefix.  Two
+vectors are candidates if their prefixes share ``shared`` pivots; only candidates are verified, by
+cosine in double precision.
+
+With the pivots in one order, rare ones first, two prefixes of m pivots that share t of them share one among
+the first m - t + 1 of each.  So a vector is posted under those only, and a pair belongs to the list of the
+first pivot it shares.  There the pivots that come later are counted through inverted lists within the list: the work is
+in proportion to the pivots that pairs do share, and pairs that share none are never formed.
+
+A long list is solved in blocks: every pair of blocks is a group of bounded size, from which only
+counts and a spanning forest leave, so a list that holds a third of all rows costs time but neither memory nor
+rows.  Equal vectors of a label are one class from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint
+from gleaner.llm.common import balanced_join, checkpoint
 from gleaner.llm.components import connected_components
 from gleaner.llm.knn import finite, matrix
 
 
+#: Reference points have at most this cosine, so that a crowd of near copies gets few of them.
+APART = 0.8
+#: Shared pivots counted, and pairs verified, at once.
+_AT_ONCE = 1 << 20
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     scaled = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares within range
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def reference_points(x: np.ndarray, count: int) -> np.ndarray:
-    """At most ``count`` rows of unit vectors, each in turn the farthest from those before."""
+    """At most ``count`` rows of unit vectors, each in turn the farthest from those before (none within ``APART`` of them)."""
     chosen = [0]
     near = x @ x[0]
     while len(chosen) < min(count, len(x)):
         nxt = int(near.argmin())
-        if near[nxt] > 0.999:
+        if near[nxt] > APART:
             break
         chosen.append(nxt)
         near = np.maximum(near, x @ x[nxt])
@@ -62,9 +73,149 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+@dataclass
+class Index:
+    """Reference points in order (rare ones first), the length of a prefix, and the pivots that candidates share."""
+
+    pivots: np.ndarray
+    prefix: int
+    shared: int
+
+    def describe(self, x: np.ndarray) -> np.ndarray:
+        """The pivots of the prefix of each unit vector, in the order of the index."""
+        near = np.argpartition(-(x @ self.pivots.T), self.prefix - 1, axis=1)[:, : self.prefix]
+        return np.sort(near, axis=1).astype(np.int32)
+
+    @property
+    def posted(self) -> int:
+        """How many pivots of a prefix a vector is posted under."""
+        return self.prefix - self.shared + 1
+
+
+def fit_index(x: np.ndarray, count: int, nearest: int, shared: int) -> Index:
+    """An index with at most ``count`` reference points among the unit vectors ``x``."""
+    pivots = reference_points(x, count)
+    prefix = min(nearest, len(pivots))
+    # with few reference points a prefix holds much of them, and sharing some says little but costs nothing
+    index = Index(pivots, prefix, min(shared, prefix))
+    often = np.bincount(index.describe(x).ravel(), minlength=len(pivots))
+    return Index(pivots[np.argsort(often, kind="stable")], prefix, index.shared)
+
+
+def candidates(index: Index, group: np.ndarray, pivot: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of ``left``, row of ``right``) of the same group that share enough pivots, the first of them that of the group.
+
+    ``group``, ``pivot`` and ``near`` are of all rows; the numbers of shared pivots are added up over the inverted lists of the group.
+    """
+    later = near > pivot[:, None]
+    size, n = len(index.pivots), len(group)
+
+    def postings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        who, at = np.nonzero(later[rows])
+        return rows[who], group[rows[who]] * size + near[rows[who], at]
+
+    def first_shared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same = (near[i][:, :, None] == near[j][:, None, :]) & ~later[i][:, :, None] & (near[i] != pivot[i][:, None])[:, :, None]
+        return ~same.any(axis=(1, 2))
+
+    if index.shared == 1:
+        # the group's own pivot is enough
+        postings = lambda rows: (rows, group[rows])
+    row, key = postings(left)
+    other, other_key = postings(right)
+    order = np.argsort(other_key, kind="stable")
+    other, other_key = other[order], other_key[order]
+    begin, stop = np.searchsorted(other_key, key, side="left"), np.searchsorted(other_key, key, side="right")
+    length = stop - begin
+    total = np.cumsum(length)
+    at = 0
+    while at < len(row):
+        # whole rows, about ``_AT_ONCE`` shared pivots
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, side="right"))
+        end = max(end, at + 1)
+        end = int(np.searchsorted(row, row[end - 1], side="right")) if end < len(row) else end
+        size_of = length[at:end]
+        i = np.repeat(row[at:end], size_of)
+        j = other[np.repeat(begin[at:end] - np.concatenate(([0], np.cumsum(size_of)[:-1])), size_of) + np.arange(size_of.sum())]
+        at = end
+        pair, times = np.unique(i.astype(np.int64) * n + j, return_counts=True)
+        pair = pair[times >= max(1, index.shared - 1)]
+        for k in range(0, len(pair), 1 << 17):
+            i, j = np.divmod(pair[k : k + (1 << 17)], n)
+            good = first_shared(i, j)
+            yield i[good], j[good]
+
+
+def _compare(index: Index, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of groups (label, pivot, a, b), which come one after another, to (x, y, n): links of x by number (y = -1),
+    a link x to y, or the number of pairs verified (y = -2)."""
+
+    def solve(part: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        x, near = _units(np.stack(part["v"].to_list()).astype(float)), np.stack(part["near"].to_list())
+        cid, copies, pivot = part["cid"].to_numpy(), part["copies"].to_numpy(), part["pivot"].to_numpy()
+        own, a, b = (part[c].to_numpy() for c in ("own", "a", "b"))
+        group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(part))))
+        counts, links, verified = np.zeros(len(part)), [], 0
+        for i, j in candidates(index, group, pivot, near, np.flatnonzero(own == a), np.flatnonzero(own == b)):
+            once = (own[i] != own[j]) | (cid[i] < cid[j])
+            i, j = i[once], j[once]
+            verified += len(i)
+            linked = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            i, j = i[linked], j[linked]
+            counts += np.bincount(i, weights=copies[j], minlength=len(part)) + np.bincount(j, weights=copies[i], minlength=len(part))
+            links += _forest(cid[i], cid[j])
+        hit = np.flatnonzero(counts)
+        forest = _forest(*np.array(links, np.int64).reshape(-1, 2).T) if links else []
+        out = [(-1, -2, verified), *zip(cid[hit].tolist(), [-1] * len(hit), counts[hit].astype(np.int64).tolist(), strict=True), *((v, w, 0) for v, w in forest)]
+        return pd.DataFrame(out, columns=["x", "y", "n"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            part = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = part[["label", "pivot", "a", "b"]]
+            begins = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            held = part.iloc[begins[-1] :]  # the last group may go on
+            if len(begins) > 1:
+                yield solve(part.iloc[: begins[-1]], begins[:-1])
+        if held is not None and len(held):
+            yield solve(held, np.zeros(1, np.int64))
+
+    return run
+
+
+def _found(
+    classes: DataFrame, kind: str, threshold: float, nearest: int, shared: int, sampled: int, max_pivots: int, block: int
+) -> DataFrame | None:
+    """What ``_compare`` finds among the classes (cid, label, v, copies); None without any."""
+    total, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not total:
+        return None
+    count = min(max_pivots, max(128, int(8 * total**0.5)))
+    picked = classes.orderBy(F.xxhash64("label", "v")).limit(min(sampled, 4 * count)).select("v").toPandas()
+    index = fit_index(_units(matrix(picked["v"], width)), count, nearest, shared)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = matrix(batch["v"], width)
+            yield batch.assign(v=list(x), near=list(index.describe(_units(x))))
+
+    indexed = classes.select("label", "cid", "copies", "v").mapInPandas(describe, f"label string, cid long, copies long, v {kind}, near array<int>")
+    posted = checkpoint(indexed).select("*", F.explode(F.slice("near", 1, index.posted)).alias("pivot"))
+    sizes = posted.groupBy("label", "pivot").agg(F.count("*").alias("rows"))
+    sizes = checkpoint(sizes.where("rows > 1").withColumn("blocks", F.floor(F.col("rows") / block).cast("int") + 1))
+    placed = balanced_join(posted, sizes, ["label", "pivot"], "cid", "rows")
+    spread = (
+        placed.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("blocks", "other")
+    )
+    groups = spread.repartition("label", "pivot", "a", "b").sortWithinPartitions("label", "pivot", "a", "b")
+    return checkpoint(groups.mapInPandas(_compare(index, threshold), "x long, y long, n long"))
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    nearest: int = 8, shared: int = 2, sampled: int = 4096, max_pivots: int = 512, block: int = 1500,
+    nearest: int = 10, shared: int = 3, sampled: int = 8192, max_pivots: int = 2048, block: int = 1500,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -73,10 +224,13 @@ def near_duplicates(
     components, link with nothing; of unequal lengths the shorter vector counts as filled up
     with zeros.  Repeated rows link with each other like any others.  A row without links is
     its own component and kept; ``component_id`` is null only where the ids are.
+    An empty table gives an empty result; other columns play no part, whatever their names.
     The pivots are fitted on at most ``sampled`` vectors; every vector is indexed.
     """
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # single precision travels as such
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"), F.col(label_col).cast("string").alias("label")
     ).withColumn("valid", finite(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull())
     rows = rows.withColumn("valid", F.coalesce("valid", F.lit(False)))
     alone = rows.where("not valid").select(
@@ -84,81 +238,21 @@ def near_duplicates(
     )
     classes = rows.where("valid").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = checkpoint(classes.withColumn("cid", F.monotonically_increasing_id()))
-    total, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not total:
+    found = _found(classes, kind, threshold, nearest, shared, sampled, max_pivots, block)
+    if found is None:
         return alone
-
-    picked = classes.orderBy(F.xxhash64("label", "v")).limit(sampled).select("v").toPandas()
-    pivots = reference_points(_units(matrix(picked["v"], width)), min(max_pivots, max(16, total // 100)))
-    prefix = min(nearest, len(pivots))
-    least_shared = min(shared, prefix)
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = _units(matrix(batch["v"], width))
-            order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype("int32")
-            yield pd.DataFrame({"label": batch["label"], "cid": batch["cid"], "copies": batch["copies"], "v": list(x), "near": list(order)})
-
-    indexed = classes.select("label", "cid", "copies", "v").mapInPandas(
-        describe, "label string, cid long, copies long, v array<double>, near array<int>"
-    )
-    lists = checkpoint(indexed)
-    posted = lists.select("label", "cid", "copies", "v", "near", F.explode("near").alias("pivot"))
-    # a row per label and pivot; labels may be many, so it is joined, not broadcast by hand
-    sizes = lists.select("label", F.explode("near").alias("pivot")).groupBy("label", "pivot").agg(F.count("*").alias("n"))
-    sizes = sizes.where("n > 1").withColumn("blocks", F.floor(F.col("n") / block).cast("int") + 1)
-    own = F.pmod(F.xxhash64("cid"), "blocks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = (
-        posted.join(sizes.select("label", "pivot", "blocks"), ["label", "pivot"]).withColumn("own", own).withColumn("other", other)
-        .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    )
-
-    def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, pivot, a, b = key
-        part = part.sort_values("cid")
-        x, cid, copies = matrix(part["v"], width), part["cid"].to_numpy(), part["copies"].to_numpy()
-        near = np.stack(part["near"].to_list())
-        has = np.zeros((len(part), len(pivots)), np.float32)
-        np.put_along_axis(has, near.astype(np.int64), 1, axis=1)
-        smaller = has[:, :pivot]
-        side = part["own"].to_numpy()
-        left = np.flatnonzero(side == a)
-        right = left if a == b else np.flatnonzero(side == b)
-        counts, links = np.zeros(len(part), np.int64), []
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            good = has[i] @ has[right].T >= least_shared
-            good &= (smaller[i] @ smaller[right].T) == 0 if pivot else True
-            good &= x[i] @ x[right].T >= threshold
-            if a == b:
-                good &= i[:, None] < right[None, :]
-            p, q = np.nonzero(good)
-            p, q = i[p], right[q]
-            np.add.at(counts, p, copies[q])
-            np.add.at(counts, q, copies[p])
-            links += _forest(cid[p], cid[q])
-        hit = np.flatnonzero(counts)
-        forest = _forest(*np.array(links, np.int64).reshape(-1, 2).T) if links else []
-        return pd.concat(
-            [
-                pd.DataFrame({"x": cid[hit], "y": -1, "n": counts[hit]}),
-                pd.DataFrame({"x": [v for v, _ in forest], "y": [w for _, w in forest], "n": 0}),
-            ]
-        )
-
-    found = checkpoint(spread.groupBy("label", "pivot", "a", "b").applyInPandas(verify, "x long, y long, n long"))
-    linked = found.where("y < 0").groupBy(F.col("x").alias("cid")).agg(F.sum("n").alias("linked"))
+    linked = found.where("y = -1").groupBy(F.col("x").alias("cid")).agg(F.sum("n").alias("linked"))
     comps = connected_components(found.where("y >= 0"), "x", "y").withColumnRenamed("node", "cid")
     placed = (
         classes.select("cid", "label", "v", "least", "copies").join(linked, "cid", "left").join(comps, "cid", "left")
         .withColumn("component", F.coalesce("component", "cid"))
     )
-    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(heads, "component").select(
-        "label", "v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+    placed = checkpoint(placed)
+    heads = checkpoint(placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("rows")))
+    placed = balanced_join(placed, heads, ["component"], "cid", "rows").select(
+        "label", "v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"
     )
-    out = rows.where("valid").join(placed, ["label", "v"]).select(
+    out = balanced_join(rows.where("valid"), checkpoint(placed), ["label", "v"], "vec_id", "copies").select(
         "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
     return out.unionByName(alone)

@@ -58,8 +58,8 @@ def test_top_k_of_the_table(spark):
     assert sorted(map(tuple, op2_exact_top_k(spark, sf).collect())) == _best(rows, lambda i: i % 50 == 0, 5)
 
 
-@pytest.mark.parametrize("block", [4, 1500])
-def test_embedding_links_match_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "shared"), [(4, 1), (1500, 1), (4, 3), (1500, 3)])
+def test_embedding_links_match_brute_force(spark, block, shared):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))
     rows = []
@@ -69,7 +69,7 @@ def test_embedding_links_match_brute_force(spark, block):
     rows += [(200 + i, rows[0][1], 0) for i in range(9)] + [(0, rows[0][1], 0)]
     rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] + [1.0] * 15, 1), (None, rows[0][1], 0), (304, [float("inf")] * 16, 1), (305, [], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cid", F.lit("x")).withColumn("n", F.lit(1)).repartition(3)
-    got = embedding_dedup.near_duplicates(frame, block=block, shared=1).collect()
+    got = embedding_dedup.near_duplicates(frame, block=block, shared=shared).collect()
     good = [i for i, (_, v, lab) in enumerate(rows) if lab is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in good}
     links = {i: [j for j in good if j != i and rows[j][2] == rows[i][2] and unit[i] @ unit[j] >= 0.93] for i in range(len(rows)) if i in unit}
@@ -91,18 +91,39 @@ def test_embedding_links_match_brute_force(spark, block):
     assert embedding_dedup.near_duplicates(frame.where("vec_id < 0")).count() == 0
 
 
-def test_embedding_recall_on_near_copies(spark):
+def _planted(pairs=800, crowd=300):
+    """Noise of two labels, pairs at cosine 0.93 to 0.95, and a crowd of near copies."""
     rng = np.random.default_rng(2)
-    base = rng.normal(size=(3000, 64))
-    base[1000:1600] = base[0] + rng.normal(size=(600, 64)) * 0.12  # one large group of near copies
-    base[2000:2500] = base[1600:2100] + rng.normal(size=(500, 64)) * 0.15
-    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(base)]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).toPandas()
-    unit = base.astype(np.float32).astype(float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    want = (unit @ unit.T >= 0.93).sum(1) - 1
-    found = got.sort_values("vec_id")["n_links"].to_numpy()
-    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+    base = rng.normal(size=(2 * pairs + crowd + 2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(pairs, 64))
+    off -= (off * base[:pairs]).sum(1, keepdims=True) * base[:pairs]
+    cosine = rng.uniform(0.931, 0.95, (pairs, 1))
+    base[pairs : 2 * pairs] = cosine * base[:pairs] + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    crowd_rows = slice(2 * pairs, 2 * pairs + crowd)
+    base[crowd_rows] = base[2 * pairs] + rng.normal(size=(crowd, 64)) * 0.03
+    label = np.arange(len(base)) % pairs % 2
+    label[crowd_rows] = 1
+    return base.astype(np.float32), label
+
+
+def test_embedding_recall_and_work_at_default_settings(spark):
+    x, label = _planted()
+    rows = [(i, [float(c) for c in v], int(lab)) for i, (v, lab) in enumerate(zip(x, label, strict=True))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(frame).toPandas().sort_values("vec_id")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    want, found = true.sum(1) - 1, got["n_links"].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() > 40_000
+    pairs = slice(0, 1600)
+    assert found[pairs].sum() >= 0.98 * want[pairs].sum() > 1500
+    # the work: pairs verified, against all pairs of a label
+    classes = frame.select(F.col("vec_id").alias("cid"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"), F.lit(1).cast("long").alias("copies"))
+    links = embedding_dedup._found(classes, "array<float>", 0.93, 10, 3, 8192, 2048, 1500)
+    verified = links.where("y = -2").agg(F.sum("n")).first()[0]
+    everything = sum(int(n) * int(n - 1) // 2 for n in np.bincount(label))
+    assert verified < 0.06 * everything and verified < 4 * want.sum() // 2
 
 
 # --- chat ----------------------------------------------------------------------------------------------------
