@@ -202,9 +202,13 @@ def _found(
 
     indexed = classes.select("label", "cid", "copies", "v").mapInPandas(describe, f"label string, cid long, copies long, v {kind}, near array<int>")
     posted = checkpoint(indexed).select("*", F.explode(F.slice("near", 1, index.posted)).alias("pivot"))
-    sizes = posted.groupBy("label", "pivot").agg(F.count("*").alias("rows"))
-    sizes = checkpoint(sizes.where("rows > 1").withColumn("blocks", F.floor(F.col("rows") / block).cast("int") + 1))
-    placed = balanced_join(posted, sizes, ["label", "pivot"], "cid", "rows")
+    # lists of more than ``block`` rows, or of more than a quarter of a partition's share if that is more, are cut into
+    # blocks; as their rows add up to no more than all, they are fewer than four times the shuffle partitions
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(block, total * index.posted // (4 * partitions))
+    sizes = posted.groupBy("label", "pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
+    crowded = F.broadcast(sizes.select("label", "pivot", F.floor(F.col("rows") / block + 1).cast("int").alias("blocks")))
+    placed = posted.join(crowded, ["label", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     spread = (
         placed.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("blocks", "other")
