@@ -1,13 +1,19 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
-Pivots (centres of a bounded sample) cut the data into Voronoi cells.  A summary of each
-cell holds its radius and the k + 1 members nearest to its pivot.  The queries are grouped by
-the cells they fall into.  From the summaries each query gets a floor under its k-th best
-score (the k-th best among the summarised members) and, for each cell, a ceiling over all scores
-in it: q.s = q.p + q.(s - p) <= q.p + |q| R.  The data of a cell go only to the groups
-with a query whose ceiling there reaches its floor, in blocks of bounded size; each
-block is solved by itself, and the best of all blocks are kept.  The result is exact
-whatever the data; the summaries only decide how much is replicated.
+Pivots (centres of a bounded sample, about the square root of the rows in number) cut the data into Voronoi
+cells, and each cell into rings by the angle to its pivot.  A row s is told by its part along the pivot's
+direction u, a = s.u, and the length r of the rest; a summary of each ring holds the range of a,
+the largest r and the number of rows.  For a query q the scores in a ring are at most
+q.u a + |q - (q.u) u| r.
+
+1. Cells near each other form bundles of bounded size, and queries groups.  Every query is first solved in the bundle
+   of its own cell; the k-th best score there is a floor.
+2. The rings whose ceiling for some query of a group reaches that query's floor are replicated to the group, the
+   others are not.  Within a group and bundle the cells are solved one after another, each for the queries whose ceiling
+   there still reaches their floor, which rises as better scores are found.
+3. The best of both steps are kept.
+
+The result is exact whatever the data; summaries and floors only decide how much is replicated and compared.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from gleaner.llm.common import checkpoint
 #: Integers up to this are exact in double precision.
 EXACT = 2.0**53
 _AT_ONCE = 256
+#: Rings of a cell, by the sine of the angle to its pivot.
+RINGS = 4
 
 
 def finite(vector: Column) -> Column:
@@ -53,64 +61,115 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Pivots, and per cell its radius and number of members; summarised members (their uids and vectors)."""
+    """Pivots, their directions (zero for a zero pivot) and the rings' summaries, in arrays of cells by rings."""
 
-    width: int
     pivots: np.ndarray
-    radius: np.ndarray
     size: np.ndarray
-    uids: np.ndarray
-    members: np.ndarray
-
-    def bounds(self, queries: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Floor under the k-th best score of each query; ceiling over its scores in each cell."""
-        floor = np.full(len(queries), -np.inf)
-        if len(self.members) > k:
-            scores = queries @ self.members.T
-            scores[uids[:, None] == self.uids[None, :]] = -np.inf
-            floor = np.partition(scores, -k, axis=1)[:, -k]
-        norm = np.linalg.norm(queries, axis=1)
-        ceiling = queries @ self.pivots.T + norm[:, None] * self.radius[None, :]
-        slack = 1e-9 * (1 + norm * (1 + np.abs(self.pivots).sum(1).max() + self.radius.max()))
-        return floor, np.where(self.size > 0, ceiling + slack[:, None], -np.inf)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best scores (minus infinity: none), ties to the smaller id."""
-    there = np.flatnonzero(scores > -np.inf) if scores.dtype != object else np.array([i for i, s in enumerate(scores) if s is not None], int)
-    if len(there) > k and scores.dtype != object:
-        there = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    return np.array(sorted(there, key=lambda i: (-scores[i], ids[i]))[:k], int)
+    low: np.ndarray
+    high: np.ndarray
+    rest: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.pivots.shape[1]
+
+    @property
+    def directions(self) -> np.ndarray:
+        return self.pivots / np.maximum(np.linalg.norm(self.pivots, axis=1, keepdims=True), 1e-300)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, ring, a, r) of each row."""
+        cell = ((self.pivots**2).sum(1) - 2 * x @ self.pivots.T).argmin(1)
+        along = np.einsum("ij,ij->i", x, self.directions[cell])
+        square = (x**2).sum(1)
+        rest = np.sqrt(np.maximum(square - along**2, 0))
+        ring = np.minimum(RINGS * rest / np.maximum(np.sqrt(square), 1e-300), RINGS - 1).astype(int)
+        return cell, ring, along, rest
+
+    def ceilings(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Upper bounds of the scores of each query in each ring of some cells; minus infinity for empty rings."""
+        along = queries @ self.directions[cells].T
+        square = (queries**2).sum(1)
+        rest = np.sqrt(np.maximum(square[:, None] - along**2, 0))
+        best = np.maximum(along[:, :, None] * self.low[cells], along[:, :, None] * self.high[cells])
+        longest = np.abs(self.high).max() + np.abs(self.low).max() + self.rest.max()
+        # rounding errors of bounds and summaries are far below this
+        slack = 1e-6 * (1 + np.sqrt(square) * (1 + longest))
+        bound = best + rest[:, :, None] * self.rest[cells] + slack[:, None, None]
+        return np.where(self.size[cells] > 0, bound, -np.inf)
+
+
+def _ranked(who: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each ``who``: highest score first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores if scores.dtype != object else np.argsort(np.argsort(-scores, kind="stable")), who))
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(who)), key=lambda i: (who[i], -scores[i], ids[i])), int)
+    own = who[order]
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, int)
+    nth = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+    return order[nth < k]
 
 
 def _solve(queries: pd.DataFrame, data: pd.DataFrame, cells: Cells, k: int) -> pd.DataFrame:
-    out = []
+    """(quid, query_id, vec_id, score): for each query its k best among the data, as far as they reach its floor; and
+    one row without ids whose score is the number of pairs compared."""
+    out, compared = [], 0
+    queries = queries[queries["home"] != queries["bundle"]]
     if len(queries) and len(data):
-        cell = int(data["c"].iloc[0])
+        data = data.sort_values("cell", kind="stable")
         x, ids, uids = matrix(data["v"], cells.width), data["vec_id"].to_numpy(), data["uid"].to_numpy()
+        there, begin = np.unique(data["cell"].to_numpy(), return_index=True)
+        spans = list(zip(begin, [*begin[1:], len(data)], strict=True))
         wide = np.abs(x).sum(1).max()
         for at in range(0, len(queries), _AT_ONCE):
             part = queries.iloc[at : at + _AT_ONCE]
-            q = matrix(part["qv"], cells.width)
-            floor, ceiling = cells.bounds(q, part["quid"].to_numpy(), k)
-            need = np.flatnonzero(ceiling[:, cell] >= floor)
-            exact = len(need) == 0 or wide * np.abs(q[need]).max() < EXACT
-            scores = q[need] @ x.T if exact else None
-            for row, i in enumerate(need):
-                own = uids == part["quid"].iloc[i]
+            q, quid = matrix(part["qv"], cells.width), part["quid"].to_numpy()
+            exact = wide * np.abs(q).max() < EXACT
+            ceiling = cells.ceilings(q, there).max(axis=2)
+            # best scores so far, the lowest first; what is below the floor counts for nothing
+            best = np.full((len(q), k), -np.inf, None if exact else object)
+            floor = part["floor"].to_numpy(float)
+            who, score, row = [], [], []
+            for c in np.argsort(-ceiling.max(axis=0), kind="stable"):
+                need = np.flatnonzero(ceiling[:, c] >= np.maximum(floor, best[:, 0].astype(float)))
+                lo, hi = spans[c]
+                if not len(need):
+                    continue
                 if exact:
-                    s = scores[row]
-                    s[own] = -np.inf
+                    s = q[need] @ x[lo:hi].T
                 else:  # beyond double precision: integers without bound
-                    a = [int(v) for v in q[i]]
-                    s = np.array([None if o else sum(u * int(v) for u, v in zip(a, r, strict=True)) for o, r in zip(own, x, strict=True)], object)
-                out += [(part["quid"].iloc[i], part["query_id"].iloc[i], ids[j], int(s[j])) for j in _best(s, ids, k)]
-    return pd.DataFrame(out, columns=["quid", "query_id", "vec_id", "score"])
+                    s = np.array([[int(v) for v in r] for r in q[need]], object) @ np.array([[int(v) for v in r] for r in x[lo:hi]], object).T
+                s[quid[need][:, None] == uids[None, lo:hi]] = -np.inf
+                compared += s.size
+                both = np.concatenate([best[need], s], axis=1)
+                best[need] = (np.partition(both, -k, axis=1) if exact else np.sort(both, axis=1))[:, -k:]
+                best[need] = np.sort(best[need], axis=1)
+                least = best[need][:, :1]
+                i, j = np.nonzero((s >= least) & (s > -np.inf))
+                who.append(need[i])
+                score.append(s[i, j])
+                row.append(lo + j)
+                if sum(map(len, who)) > 1 << 20:
+                    who, score, row = ([v] for v in _kept(who, score, row, ids, k))
+            if who:
+                w, s, r = _kept(who, score, row, ids, k)
+                out.append(pd.DataFrame({"quid": quid[w], "query_id": part["query_id"].to_numpy()[w], "vec_id": ids[r], "score": [int(v) for v in s]}))
+    out.append(pd.DataFrame({"quid": [-1], "query_id": [None], "vec_id": [None], "score": [compared]}))
+    return pd.concat([o.astype({"query_id": "Int64", "vec_id": "Int64"}) for o in out])
+
+
+def _kept(who: list, score: list, row: list, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w, s, r = np.concatenate(who), np.concatenate(score), np.concatenate(row)
+    good = _ranked(w, s, ids[r], k)
+    return w[good], s[good], r[good]
+
+
+_ANSWER = "quid long, query_id long, vec_id long, score long"
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "v",
-    sampled: int = 4096, block: int = 8192, group: int = 4096, max_cells: int = 256,
+    sampled: int = 8192, block: int = 8192, group: int = 4096, max_cells: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the highest inner products with each query.
 
@@ -118,89 +177,121 @@ def top_k(
     Every row but the query's own is a candidate, repeated rows included; ties go to
     the smaller id.  Null and empty vectors, and vectors with null or non-finite components, take no part;
     of vectors of unequal lengths the shorter counts as filled up with zeros.  Fewer
-    candidates than k give fewer rows, an empty table none.  The cells are fitted on
-    at most ``sampled`` rows; no others are left out of anything else.
+    candidates than k give fewer rows, an empty table none; columns other than the named play no part.  The cells are
+    fitted on at most ``sampled`` rows; no others are left out of anything else.
     """
+    solved = answers(vectors, is_query, k, id_col, vec_col, sampled, block, group, max_cells)
+    if solved is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    best = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
+    ranked = solved.where("quid >= 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def answers(
+    vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, sampled: int, block: int, group: int, max_cells: int
+) -> DataFrame | None:
+    """(quid, query_id, vec_id, score): the best of each query (by number) in each bundle, and in rows with the
+    number -1 how many pairs were compared; None without vectors."""
+    spark = vectors.sparkSession
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("query")
     ).where(finite(F.col("v")) & (F.size("v") > 0))
     rows = checkpoint(rows.withColumn("uid", F.monotonically_increasing_id()))
     total, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not total:
-        return vectors.sparkSession.createDataFrame([], schema)
-
-    picked = rows.orderBy(F.xxhash64("uid")).limit(sampled).toPandas()
-    count = min(max_cells, max(1, total // (block // 2)))
+        return None
+    count = min(max_cells, max(2, int(total**0.5)))
+    picked = rows.orderBy(F.xxhash64("uid")).limit(min(sampled, 8 * count)).toPandas()
     pivots = centres(matrix(picked["v"], width), count)
+    shape = (len(pivots), RINGS)
+    cells = Cells(pivots, np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape), np.zeros(shape))
 
-    @pandas_udf("cell int, distance double")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @pandas_udf("cell int, ring int, along double, rest double")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vs in batches:
-            x = matrix(vs, width)
-            square = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)
-            own = square.argmin(1)
-            away = np.linalg.norm(x - pivots[own], axis=1)
-            yield pd.DataFrame({"cell": own, "distance": away})
+            yield pd.DataFrame(dict(zip(("cell", "ring", "along", "rest"), cells.place(matrix(vs, width)), strict=True)))
 
-    placed = checkpoint(rows.withColumn("at", nearest("v")).select("*", "at.cell", "at.distance").drop("at"))
+    placed = checkpoint(rows.withColumn("at", place("v")).select("*", "at.*").drop("at"))
+    summary = placed.groupBy("cell", "ring").agg(F.count("*"), F.min("along"), F.max("along"), F.max("rest"), F.count_if("query"))
+    asked = np.zeros(len(pivots), np.int64)
+    for r in summary.collect():  # at most ``max_cells`` by ``RINGS`` rows
+        at = (r["cell"], r["ring"])
+        cells.size[at], cells.low[at], cells.high[at], cells.rest[at] = r[2:6]
+        asked[r["cell"]] += r[6]
+    size = cells.size.sum(axis=1)
 
-    # summaries: one row per cell, and its k + 1 members nearest to the pivot (found per task, then merged)
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            both = batch if kept is None else pd.concat([kept, batch])
-            kept = both.sort_values(["distance", "uid"]).groupby("cell").head(k + 1)
-        if kept is not None:
-            yield kept
-
-    columns = "cell int, distance double, uid long, v array<double>"
-    order = Window.partitionBy("cell").orderBy("distance", "uid")
-    members = placed.select("cell", "distance", "uid", "v").mapInPandas(near, columns)
-    members = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).toPandas()
-    radius, size, asked = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
-    for row in placed.groupBy("cell").agg(F.max("distance"), F.count("*"), F.count_if("query")).collect():
-        radius[row[0]], size[row[0]], asked[row[0]] = row[1:]
-    cells = Cells(width, pivots, radius, size, members["uid"].to_numpy(), matrix(members["v"], width))
-
-    # cells whose pivots lie near each other share a query group, up to ``group`` queries
-    walk, left = [0], set(range(1, len(pivots)))
-    while left:
-        walk.append(min(left, key=lambda j: (((pivots[j] - pivots[walk[-1]]) ** 2).sum(), j)))
-        left.remove(walk[-1])
-    group_of, so_far = np.zeros(len(pivots), np.int64), 0
-    for j in walk:
-        group_of[j] = so_far // group
-        so_far += int(asked[j])
-    spark = vectors.sparkSession
-    # a cell with more queries than ``group`` splits its own
-    splits = [(int(j), int(group_of[j]), int(asked[j]) // group + 1) for j in range(len(pivots))]
-    grouping = F.broadcast(spark.createDataFrame(splits, "cell int, grp long, splits long"))
-    queries = placed.where("query").join(grouping, "cell").select(
-        "uid", "vec_id", "v", (F.col("grp") * 1_000_003 + F.pmod(F.xxhash64("uid"), "splits")).alias("grp")
-    )
-    queries = checkpoint(queries)
+    # cells in a walk from neighbour to neighbour; bundles of about ``block`` rows, groups of about ``group`` queries
+    walk, left = [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        away = np.where(left, ((pivots - pivots[walk[-1]]) ** 2).sum(axis=1), np.inf)
+        walk.append(int(away.argmin()))
+        left[walk[-1]] = False
+    walk = np.array(walk)
+    bundle, team = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+    bundle[walk] = (np.cumsum(size[walk]) - size[walk]) // block
+    team[walk] = (np.cumsum(asked[walk]) - asked[walk]) // group
+    in_bundle, in_team = np.bincount(bundle, weights=size), np.bincount(team, weights=asked)
+    asked_in = np.bincount(bundle, weights=asked)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1000, int(total) // (2 * partitions))
+    known = [
+        (j, int(bundle[j]), max(1, round(in_bundle[bundle[j]] / block)), int(size[j]) // share + 1, int(team[j]),
+         int(in_team[team[j]]) // group + 1, int(asked_in[bundle[j]]) // group + 1)
+        for j in range(len(pivots))
+    ]
+    # one row for each cell, at most ``max_cells``
+    table = F.broadcast(spark.createDataFrame(known, "cell int, bundle long, parts long, salts long, team long, teams long, owns long"))
+    placed = placed.join(table, "cell")
+    number = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.pmod(F.xxhash64("uid"), n).alias("split"))
+    queries = placed.where("query").select(
+        "uid", "vec_id", "v", "cell", number(0, "bundle", F.col("owns")).alias("own"), number(1, "team", F.col("teams")).alias("grp"), F.col("bundle").alias("home")
+    )
+
+    def solve(asks: DataFrame, wanted: DataFrame) -> DataFrame:
+        """``asks``: queries with grp, floor and the bundle they are done with; ``wanted``: (grp, cell, rings) with the rings as bits."""
+        wanted = checkpoint(wanted.join(table, "cell"))
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        places = wanted.select("grp", "bundle", "parts").distinct().select("grp", "bundle", parts)
+        left = asks.join(places, "grp").select("grp", "bundle", "part", F.col("uid").alias("quid"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "floor", "home")
+        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("grp", "cell", "rings", "salt")
+        right = (
+            placed.withColumn("salt", F.pmod(F.xxhash64("uid", F.lit(1)), "salts")).join(salted, ["cell", "salt"])
+            .where(F.expr("shiftright(rings, ring) & 1") == 1)
+            .select(F.col("grp").alias("g"), F.col("bundle").alias("b"), F.pmod(F.xxhash64("uid"), "parts").alias("p"), "uid", "vec_id", "v", "cell")
+        )
+        return left.groupBy("grp", "bundle", "part").cogroup(right.groupBy("g", "b", "p")).applyInPandas(lambda a, b: _solve(a, b, cells, k), _ANSWER)
+
+    # the bundle of a query's own cell
+    homes = queries.select(F.col("own").alias("grp"), F.col("home").alias("bundle")).distinct()
+    all_cells = homes.join(F.broadcast(spark.createDataFrame([(int(b), j) for j, b in enumerate(bundle)], "bundle long, cell int")), "bundle")
+    at_home = queries.select(F.col("own").alias("grp"), "uid", "vec_id", "v", F.lit(float("-inf")).alias("floor"), F.lit(-1).cast("long").alias("home"))
+    first = checkpoint(solve(at_home, all_cells.select("grp", "cell", F.lit((1 << RINGS) - 1).alias("rings"))))
+    # at most parts times k answers of each query; of more than k the k-th best counts
+    floors = first.where("quid >= 0").groupBy(F.col("quid").alias("uid")).agg(F.sort_array(F.collect_list("score"), asc=False).alias("best"))
+    floors = floors.select("uid", F.coalesce(F.get("best", F.lit(k - 1)).cast("double"), F.lit(float("-inf"))).alias("floor"))
+    asks = checkpoint(queries.join(floors, "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
 
     def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = np.arange(len(pivots))
         for batch in batches:
-            floor, ceiling = cells.bounds(matrix(batch["v"], width), batch["uid"].to_numpy(), k)
-            reach = ceiling >= floor[:, None]
-            for g, own in batch.groupby("grp", sort=False).indices.items():
-                yield pd.DataFrame({"grp": g, "cell": np.flatnonzero(reach[own].any(axis=0)).astype("int32")})
-
-    blocks = spark.createDataFrame([(j, int(n) // block + 1) for j, n in enumerate(size)], "cell int, blocks long")
-    wanted = queries.mapInPandas(needs, "grp long, cell int").distinct().join(F.broadcast(blocks), "cell")
-    wanted = checkpoint(wanted)
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")
-    asks = queries.join(wanted.select("grp", "cell", parts), "grp").select("grp", "cell", "part", "uid", "vec_id", "v").toDF(
-        "grp", "cell", "part", "quid", "query_id", "qv"
-    )
-    gives = placed.join(wanted, "cell").select(
-        F.col("grp").alias("g"), F.col("cell").alias("c"), F.pmod(F.xxhash64("uid"), "blocks").alias("p"), "uid", "vec_id", "v"
-    )
-    solved = asks.groupBy("grp", "cell", "part").cogroup(gives.groupBy("g", "c", "p")).applyInPandas(
-        lambda a, b: _solve(a, b, cells, k), "quid long, query_id long, vec_id long, score long"
-    )
-    best = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
-    ranked = solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            teams: dict[tuple, np.ndarray] = {}
+            for at in range(0, len(batch), _AT_ONCE):
+                rows = batch.iloc[at : at + _AT_ONCE]
+                reach = cells.ceilings(matrix(rows["v"], width), every) >= rows["floor"].to_numpy()[:, None, None]
+                reach &= bundle[None, :, None] != rows["home"].to_numpy()[:, None, None]
+                rings = (reach * (1 << np.arange(RINGS))).sum(axis=2)
+                for i, g in enumerate(rows["grp"]):
+                    key = (g["kind"], g["key"], g["split"])
+                    teams[key] = teams.get(key, 0) | rings[i]
+            for key, rings in teams.items():
+                cell = np.flatnonzero(rings)
+                if not len(cell):
+                    continue
+                grp = [dict(zip(("kind", "key", "split"), key, strict=True))] * len(cell)
+                yield pd.DataFrame({"grp": grp, "cell": cell, "rings": rings[cell]})
+
+    kind = "grp struct<kind:int,key:bigint,split:bigint>, cell int, rings int"
+    wanted = asks.select("grp", "v", "floor", "home").mapInPandas(needs, kind).groupBy("grp", "cell").agg(F.bit_or("rings").alias("rings"))
+    return first.unionByName(solve(asks, wanted))

@@ -50,6 +50,24 @@ def test_top_k_beyond_double_precision_and_small_tables(spark):
     assert knn.top_k(frame.limit(1), F.lit(True)).count() == 0
 
 
+def test_top_k_prunes_where_vectors_cluster(spark):
+    """Few pairs are compared where the bounds can tell cells apart; the result is exact all the same."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(40, 32)) * 300
+    x = np.floor(centre[np.arange(6000) % 40] * rng.uniform(0.9, 1.1, (6000, 1)) + rng.normal(size=(6000, 32)) * 8)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(4)
+    found = knn.answers(frame, F.col("vec_id") % 50 == 0, 5, "vec_id", "v", 8192, 300, 30, 4096)
+    compared = found.where("quid < 0").agg(F.sum("score")).first()[0]
+    assert compared < 0.15 * 120 * 6000
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in knn.top_k(frame, F.col("vec_id") % 50 == 0, block=300, group=30).collect()}
+    scores = x[::50] @ x.T
+    for n, i in enumerate(range(0, 6000, 50)):
+        scores[n, i] = -np.inf
+        order = np.lexsort((np.arange(6000), -scores[n]))[:5]
+        assert [got[(i, r + 1)] for r in range(5)] == [(int(j), int(scores[n, j])) for j in order]
+
+
 def test_top_k_of_the_table(spark):
     from gleaner.llm.registry import op2_exact_top_k
 
