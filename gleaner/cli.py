@@ -1,16 +1,19 @@
 """Command line: scan paths, list and check rules.
 
-    python -m gleaner.cli scan PATH.. [--format json|jsonl|bson|sarif|pretty] [--output FILE]
+    python -m gleaner.cli scan PATH.. [--no-validate] [--format json|jsonl|bson|sarif|pretty] [--output FILE]
     python -m gleaner.cli rules list|check
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
+import secrets
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 from gleaner.sources.rules import CONFIDENCES, Rule, at_least, check_rules, load_rules, select_rules, with_min_entropy
 
@@ -19,8 +22,15 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gleaner", description="Find leaked credentials.")
     commands = parser.add_subparsers(dest="command", required=True)
     scan = commands.add_parser("scan", help="scan files, folders or Git repositories")
-    scan.add_argument("paths", nargs="+")
-    scan.add_argument("--git-history", action="store_true", help="the paths are repositories; scan all their history")
+    scan.add_argument("paths", nargs="*", help="files and folders; - (or none, with piped input) is standard input")
+    scan.add_argument("--git-history", action="store_true", help="the paths are repositories; scan only their history")
+    scan.add_argument("--no-git", action="store_true", help="do not scan the history of repositories below the paths")
+    scan.add_argument("--no-validate", action="store_true", help="do not ask services whether secrets are valid")
+    scan.add_argument("--transport", metavar="MODULE:FUNCTION", help="what sends validation requests; HTTP without it")
+    scan.add_argument("--redact", action="store_true", help="show salted hashes instead of secrets")
+    scan.add_argument("--rule-stats", action="store_true", help="tell on standard error how long each rule took")
+    scan.add_argument("--snippet-length", type=int, metavar="BYTES", help="show so many bytes around each match (JSON formats)")
+    scan.add_argument("--jobs", type=int, help="threads, where Spark runs on this machine")
     scan.add_argument("--format", choices=("pretty", "json", "jsonl", "bson", "sarif"), default="pretty")
     scan.add_argument("--output", help="a file; standard output without it")
     scan.add_argument("--only-valid", action="store_true")
@@ -58,38 +68,76 @@ def _list(rules: Sequence[Rule], form: str) -> str:
     return "\n".join(f"{r.id:{width}}  {r.confidence:6}  {r.name}  {' '.join(r.pattern.split())[:80]}" for r in rules)
 
 
+#: What a prevalidated rule's findings say.
+PREVALIDATED = {"validation_success": True, "validation_status": 200, "validation_body": "Prevalidated"}
+
+
+def _transport(name: str | None):
+    from gleaner.operators import validate
+
+    if name is None:
+        return validate.http_transport
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError) as error:
+        raise ValueError(f"No transport {name!r}: {error}") from error
+
+
 def _scan(args: argparse.Namespace) -> int:
-    from pyspark.sql import SparkSession
+    from pyspark.sql import DataFrame, SparkSession
     from pyspark.sql import functions as F
 
-    from gleaner.operators import dedup, matcher, report
+    from gleaner.operators import dedup, matcher, report, validate
+    from gleaner.session import checkpoint
     from gleaner.sources import archives, blobs, git
 
     rules = with_min_entropy(_rules(args), args.min_entropy)
-    for path in args.paths:
+    piped = "-" in args.paths or (not args.paths and not sys.stdin.isatty())
+    paths = [p for p in args.paths if p != "-"]
+    if not paths and not piped:
+        raise ValueError("Invalid input: no path given")
+    for path in paths:
         if "://" not in path and not os.path.exists(path):
             raise FileNotFoundError(f"Invalid input: {path}")
-    spark = SparkSession.builder.appName("gleaner").getOrCreate()
-    if args.git_history:
-        found = None
-        for repo in args.paths:
-            commits, changes = git.read_history(spark, repo)
-            one = git.from_history(git.read_objects(spark, repo), commits, git.first_seen(commits, changes), repo)
-            found = one if found is None else found.unionByName(one)
-    else:
-        found = blobs.from_files(spark, args.paths, args.max_file_size)
+    builder = SparkSession.builder.appName("gleaner")
+    spark = (builder.master(f"local[{args.jobs}]") if args.jobs else builder).getOrCreate()
+    transport = _transport(args.transport)
+    parts = []
+    if piped:
+        parts.append(blobs.from_bytes(spark, [("stdin_input", sys.stdin.buffer.read())]))
+    if paths and not args.git_history:
+        parts.append(blobs.from_files(spark, paths, args.max_file_size))
+    local = [p for p in paths if "://" not in p and os.path.isdir(p)]
+    repos = paths if args.git_history else [] if args.no_git else [r for p in local for r in git.repositories(p)]
+    for repo in repos:
+        commits, changes = git.read_history(spark, repo)
+        parts.append(git.from_history(git.read_objects(spark, repo), commits, git.first_seen(commits, changes), repo))
+    found = reduce(DataFrame.unionByName, parts)
     ignore = [line for name in args.ignore for line in open(name, encoding="utf-8").read().splitlines()]
-    found = blobs.keep(found, args.max_file_size, ignore, args.no_binary, not args.no_extract_archives)
+    roots = [os.path.abspath(p) for p in local]
+    found = blobs.keep(found, args.max_file_size, ignore, args.no_binary, not args.no_extract_archives, roots)
     if not args.no_extract_archives:
         found = archives.expand(found, args.extraction_depth)
-    matches = matcher.scan(found, rules)
+    # once: everything below uses the matches, not the contents
+    matches = checkpoint(matcher.scan(blobs.described(found), rules, context=args.snippet_length))
+    if args.rule_stats:
+        for r in report.rule_statistics(matcher.timings(found, rules)).collect():
+            print(f"{r['rule_id']}: {r['calls']} contents, {r['total']:.3f} s, mean {r['mean']:.6f}, slowest {r['slowest']:.6f} ({r['slowest_blob']})", file=sys.stderr)
+    # identical contents are one blob, with the origins of all
+    matches = dedup.merge_origins(matches, ["blob_id", "rule_id", "start", "end"], ["fingerprint"])
     if args.no_dedup:
         matches = dedup.one_row_per_origin(matches)
     else:
         first = F.get("origins", F.lit(0))["kind"]
-        kept = dedup.first_per_secret(matches.withColumn("kind", first), [blobs.path_of(), F.col("start"), F.col("blob_id")])
-        matches = dedup.merge_origins(kept.drop("kind"), ["fingerprint"], ["blob_id", "start", "rule_id"])
-    matches = matches.cache()
+        matches = dedup.first_per_secret(matches.withColumn("kind", first), [blobs.path_of(), F.col("start"), F.col("blob_id")]).drop("kind")
+    if args.no_validate:
+        matches = matches.withColumns({k: F.when(F.col("prevalidated"), v).otherwise(F.col(k)) for k, v in PREVALIDATED.items()})
+    else:
+        matches = validate.validated(checkpoint(matches), rules, transport)
+    if args.redact:
+        matches = report.redact(matches, secrets.token_hex(16))
+    matches = checkpoint(matches)
     shown = report.shown(matches, args.only_valid)
     if args.format == "bson":
         data = b"".join(bytes(r["value"]) for r in report.bson(shown).toLocalIterator())

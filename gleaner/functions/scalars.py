@@ -229,3 +229,19 @@ def clone_folder(url: Column) -> Column:
 
 def counted(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def finding_id(rule_sha1: Column, captures: Column) -> Column:
+    """A positive 63-bit number, as text, of a rule's pattern and the captures of a match: the head of a SHA-1."""
+    groups = F.to_json(F.struct(captures.alias("captures")), {"ignoreNullFields": "false"})
+    digest = F.sha1(F.concat(rule_sha1.cast("binary"), F.unhex(F.lit("00")), groups.cast("binary")))
+    low = F.conv(F.substring(digest, 2, 15), 16, 10).cast("long")
+    head = F.conv(F.substring(digest, 1, 1), 16, 10).cast("long").bitwiseAND(F.lit(7))
+    return (head * F.lit(1 << 60) + low).cast("string")
+
+
+def git_url_path(url: Column) -> Column:
+    """Where a repository's URL lies in a tree of clones: scheme/host[:port]/path."""
+    host = F.lower(F.regexp_extract(url, r"^[a-z]+://([^/]+)", 1))
+    path = F.regexp_extract(url, r"^[a-z]+://[^/]+/?(.*)$", 1)
+    return F.concat_ws("/", F.regexp_extract(url, "^([a-z]+)://", 1), host, F.when(path != "", path))

@@ -9,6 +9,7 @@ all other columns stay in the JVM.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleaner.functions.regexes import compile_bytes
+from gleaner.functions.regexes import Bounded, compile_bytes, runs_away
 from gleaner.functions.scalars import entropy_of, fingerprint_of, is_safe
+from gleaner.sources.blobs import path_of
 from gleaner.sources.rules import Rule, compiled, rules_table
 
 CAPTURE = StructType(
@@ -63,15 +65,29 @@ class Scanner:
     """Matches of a set of rules in one piece of content."""
 
     def __init__(self, rules: Sequence[Rule], compat_columns: bool = False) -> None:
-        self.rules = [(r.id, compile_bytes(r.pattern), r.min_entropy, [k.encode() for k in r.literals]) for r in rules]
+        self.rules = [
+            (r.id, Bounded(r.id, r.pattern) if runs_away(r.pattern) else compile_bytes(r.pattern), r.min_entropy, [k.encode() for k in r.literals]) for r in rules
+        ]
         self.literals = {k for *_, keys in self.rules for k in keys}
         self.compat = compat_columns
+        self.automaton = _automaton(self.literals) if len(self.literals) > MANY_LITERALS else None
+        #: Seconds that each rule took on the last content, where asked for.
+        self.seconds: dict[str, float] | None = None
 
-    def __call__(self, content: bytes, kind: str) -> list[dict]:
+    def _present(self, content: bytes) -> set[bytes]:
         lower = content.lower() if self.literals else b""
-        present = {k for k in self.literals if k in lower}
+        if self.automaton is None:
+            return {k for k in self.literals if k in lower}
+        return {k for _, k in self.automaton.iter(lower.decode("latin-1"))}
+
+    def __call__(self, content: bytes, kind: str) -> list[dict]:
+        present = self._present(content)
         lines, out = _Lines(content, self.compat), []
+        before = time.perf_counter() if self.seconds is not None else 0.0
         for rule_id, regex, least, keys in self.rules:
+            if self.seconds is not None:
+                now = time.perf_counter()
+                self.seconds[rule_id], before = 0.0, now
             if keys and present.isdisjoint(keys):
                 continue
             accepted: list[tuple[int, int]] = []
@@ -95,9 +111,26 @@ class Scanner:
                         "fingerprint": str(fingerprint_of(secret.encode("utf-8"), kind, start, end)),
                     }
                 )
+            if self.seconds is not None:
+                self.seconds[rule_id] = time.perf_counter() - before
         return out
 
 
+#: With more literals than this one automaton looks for all of them at once; below, separate searches are faster.
+MANY_LITERALS = 256
+
+
+def _automaton(literals: set[bytes]):
+    """An automaton over the literals (none within another's end is lost: all hits are reported)."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for literal in literals:
+        automaton.add_word(literal.decode("latin-1"), literal)
+    automaton.make_automaton()
+    return automaton
+
+
 def find(rules: Sequence[Rule], compat_columns: bool = False):
     """A Column function (content, origin kind) -> array of matches."""
     rules = list(rules)
@@ -134,9 +167,28 @@ def may_match(rules: Sequence[Rule], content: Column) -> Column | None:
     return F.exists(F.array(F.lower(F.decode(content, "ISO-8859-1"))), present)
 
 
-def scan(blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False) -> DataFrame:
+def timings(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule_id, blob_id, path, seconds): how long each rule's pattern ran on each blob that had one of its literals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(rules)
+        for batch in batches:
+            out = []
+            for blob_id, path, content in zip(batch["blob_id"], batch["path"], batch["content"], strict=True):
+                scanner.seconds = {}
+                scanner(bytes(content), "file")
+                out += [(rule_id, blob_id, path, s) for rule_id, s in scanner.seconds.items() if s > 0]
+            yield pd.DataFrame(out, columns=["rule_id", "blob_id", "path", "seconds"])
+
+    rows = blobs.where("content is not null").select("blob_id", path_of().alias("path"), "content")
+    return rows.mapInPandas(run, "rule_id string, blob_id string, path string, seconds double")
+
+
+def scan(blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False, context: int | None = None) -> DataFrame:
     """One row per match: the columns of ``blobs`` but ``content``, and those of MATCH with the rule's.
 
+    With ``context`` also ``before`` and ``after``: so many bytes on either side of the match.
+
     ``blobs`` has ``content`` (binary) and ``origins`` (array of structs with ``kind``).  Per rule,
     matches go from left to right and do not overlap; ``value`` is group 1 if it took part, else the
     whole match.  Values of too little entropy, placeholders, and spans inside or around an
@@ -149,7 +201,19 @@ def scan(blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False)
     first = F.get("origins", F.lit(0))["kind"]
     kind = F.when(first == "git_repo", "git").when(first == "extended", "ext").otherwise("file")
     found = blobs.withColumn("_found", find(rules, compat_columns)(F.col("content"), kind)).where(F.size("_found") > 0)
-    matches = found.select(*(c for c in blobs.columns if c != "content"), F.explode("_found").alias("m")).select("*", "m.*").drop("m")
+    if context is not None:
+        around = F.transform(
+            "_found",
+            lambda m: F.struct(
+                m.alias("m"),
+                F.substring("content", (F.greatest(m["start"] - context, F.lit(0)) + 1).cast("int"), F.least(m["start"], F.lit(context)).cast("int")).alias("before"),
+                F.substring("content", (m["end"] + 1).cast("int"), F.lit(context)).alias("after"),
+            ),
+        )
+        found = found.withColumn("_around", around)
+        matches = found.select(*(c for c in blobs.columns if c != "content"), F.explode("_around").alias("x")).select("*", "x.m.*", "x.before", "x.after").drop("x")
+    else:
+        matches = found.select(*(c for c in blobs.columns if c != "content"), F.explode("_found").alias("m")).select("*", "m.*").drop("m")
     known = rules_table(blobs.sparkSession, rules).select("rule_id", "rule_name", "confidence", "visible", "prevalidated", "rule_sha1")
     # the rule table is held in every task already; its size is that of the rule files
     return matches.join(F.broadcast(known), "rule_id").withColumns(

@@ -1,4 +1,8 @@
-"""Reports and summaries of findings."""
+"""Reports and summaries of findings.
+
+``json_text`` and ``sarif_text`` build a whole report on the driver, for the console; for many findings
+write ``json_lines``, ``bson`` or ``sarif_results`` from the executors.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalars import repo_url
+from gleaner.functions.scalars import escaped, redacted, repo_url
 from gleaner.operators.validate import BODY_LIMIT, status_label
 from gleaner.sources.blobs import path_of
 
@@ -44,6 +48,13 @@ def _git_metadata(origins: Column, line: Column) -> Column:
     )
 
 
+def redact(findings: DataFrame, salt: str) -> DataFrame:
+    """Findings whose secrets are replaced by a salted hash everywhere they would be shown."""
+    hidden = redacted(F.col("secret"), F.lit(salt))
+    out = findings.withColumns({"secret": hidden, "value": hidden.cast("binary"), "captures": F.array().cast(findings.schema["captures"].dataType), "validation_body": F.replace("validation_body", F.col("secret"), hidden)})
+    return out.drop("before", "after")
+
+
 def report_rows(findings: DataFrame) -> DataFrame:
     """(id, matches) per finding, the nested shape of the JSON report; in order of path, start and rule."""
     response = F.when(
@@ -56,6 +67,9 @@ def report_rows(findings: DataFrame) -> DataFrame:
         F.coalesce(language, F.lit("Unknown")).alias("language"), F.col("line_start").alias("line"), F.col("column_start"), F.col("column_end"),
         path_of().alias("path"), _git_metadata(F.col("origins"), F.col("line_start")).alias("git_metadata"),
     )
+    if "before" in findings.columns:
+        around = F.struct(F.decode("before", "UTF-8").alias("before"), F.decode("after", "UTF-8").alias("after"))
+        finding = F.struct(finding.alias("f"), around.alias("context")).withField("f.context", around)["f"]
     rule = F.struct(F.col("rule_name").alias("name"), F.col("rule_id").alias("id"))
     return findings.select(
         F.col("rule_id").alias("id"), F.array(F.struct(rule.alias("rule"), finding.alias("finding"))).alias("matches"), path_of().alias("_path"), "start"
@@ -158,12 +172,23 @@ def pretty(findings: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f" |{name:.<15}: "), value)
     attempted = F.col("validation_status") != 100
     language = F.col("language") if "language" in findings.columns else F.lit(None).cast("string")
+    shown_as = lambda o: F.when(
+        (o["kind"] == "git_repo") & o["commit"].isNotNull(),
+        F.concat_ws(
+            "\n", line("Git Repo", repo_url(o["repo_path"])), line("Commit", o["commit"]["commit_id"]),
+            line("Committer", F.concat_ws(" ", o["commit"]["committer_name"], F.concat(F.lit("<"), o["commit"]["committer_email"], F.lit(">")))),
+            line("Date", F.date_format(o["commit"]["committer_ts"], "yyyy-MM-dd")), line("Path", o["blob_path"]),
+            line("Git Link", F.concat(repo_url(o["repo_path"]), F.lit("/blob/"), o["commit"]["commit_id"], F.lit("/"), o["blob_path"], F.lit("#L"), F.col("line_start").cast("string"))),
+            line("Git Command", F.concat(F.lit("git -C "), o["repo_path"], F.lit(" show "), o["commit"]["commit_id"], F.lit(":"), o["blob_path"])),
+        ),
+    ).when(o["kind"] == "git_repo", line("Git Repo", repo_url(o["repo_path"]))).when(o["kind"] == "extended", line("Extended", o["extended_json"])).otherwise(line("Path", o["path"]))
     block = F.concat_ws(
-        "\n", F.concat(F.upper("rule_name"), F.lit(" => ["), F.upper("rule_id"), F.lit("]")), line("Finding", F.col("secret")),
+        "\n", F.concat(F.upper("rule_name"), F.lit(" => ["), F.upper("rule_id"), F.lit("]")), line("Finding", escaped(F.col("secret"))),
         line("Fingerprint", F.col("fingerprint")), line("Confidence", F.col("confidence")),
         line("Entropy", F.format_string("%.2f", F.col("entropy").cast("double"))), line("Validation", label),
-        F.when(attempted, line("Response", F.substring("validation_body", 1, BODY_LIMIT))),
-        line("Language", F.coalesce(language, F.lit("Unknown"))), line("Line Num", F.col("line_start").cast("string")), line("Path", path_of()),
+        F.when(attempted, line("Response", escaped(F.substring("validation_body", 1, BODY_LIMIT)))),
+        line("Language", F.coalesce(language, F.lit("Unknown"))), line("Line Num", F.col("line_start").cast("string")),
+        F.array_join(F.transform("origins", shown_as), "\n"),
     )
     return findings.select(block.alias("value"), path_of().alias("_p"), "start", "rule_id").orderBy("_p", "start", "rule_id").select("value")
 
@@ -173,7 +198,7 @@ def count_by_rule(findings: DataFrame) -> DataFrame:
 
 
 def summary(findings: DataFrame, blobs: DataFrame, per_origin: bool = False) -> DataFrame:
-    """One row: findings, successes, failures (attempted and not successful), blobs and bytes.
+    """One row: findings, successes, failures (attempted and not successful), distinct blobs and their bytes.
 
     ``per_origin`` counts a finding once for each of its origins.
     """
@@ -184,7 +209,8 @@ def summary(findings: DataFrame, blobs: DataFrame, per_origin: bool = False) ->
         F.coalesce(F.sum(F.when(F.col("validation_success") & attempted, weight)), F.lit(0)).alias("successful"),
         F.coalesce(F.sum(F.when(~F.col("validation_success") & attempted, weight)), F.lit(0)).alias("failed"),
     )
-    return of.crossJoin(blobs.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("bytes")))
+    once = blobs.groupBy("blob_id").agg(F.max("num_bytes").alias("num_bytes"))
+    return of.crossJoin(once.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("bytes")))  # one row and one
 
 
 def exit_code(findings: DataFrame) -> DataFrame:

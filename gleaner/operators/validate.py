@@ -9,7 +9,12 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 from typing import Any
 
 import pandas as pd
@@ -17,11 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.templates import TemplateError, render
-from gleaner.sources.rules import Rule
+from gleaner.operators import dependencies
+from gleaner.session import checkpoint
+from gleaner.sources.rules import HTTP_METHODS, Rule, dependencies_table
 
 BODY_LIMIT = 512
 TTL_SECONDS = 1200
 TRANSIENT = (502, 503, 504)
+#: Seconds that one validation may take, its second try included, and that the connection may stand still.
+DEADLINE, STILL = 30.0, 10.0
+#: Headers of every HTTP request; they replace a rule's own of the same names.
+STANDARD_HEADERS = {
+    "User-Agent": "gleaner/1.0", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
+    "Accept-Language": "en-US,en;q=0.5",
+}
 Transport = Callable[[dict[str, Any]], tuple[int, dict[str, str], str]]
 
 
@@ -100,7 +114,10 @@ def request_of(rule: Rule, variables: dict[str, str]) -> dict[str, Any]:
     url = render(str(raw.get("url", "")), variables).strip()
     if not url.startswith(("http://", "https://")):
         raise TemplateError(f"not a URL: {url!r}")
-    made = {"method": str(raw.get("method", "GET")).upper(), "url": url, "headers": headers}
+    method = str(raw.get("method", "GET")).upper()
+    if method not in HTTP_METHODS:
+        raise TemplateError(f"unsupported HTTP method {method!r}")
+    made = {"method": method, "url": url, "headers": headers}
     if raw.get("multipart") is not None:
         made["multipart"] = [_part(p, variables) for p in raw["multipart"].get("parts") or () if p.get("type") in PART_KINDS]
     return made
@@ -132,7 +149,9 @@ def _with_files(request: dict[str, Any]) -> dict[str, Any]:
 
 
 def plan_requests(matches: DataFrame, rules: Sequence[Rule], values: DataFrame | None = None, blob: str = "blob_id") -> DataFrame:
-    """(rule_id, secret, vars, request_key, request, problem): one row per distinct secret and set of variables.
+    """(rule_id, secret, extra, request_key, request, problem, problem_status): one row per distinct secret and set of variables.
+
+    A request that cannot be made has a problem: 400 if a template or URL is at fault, 500 for anything else.
 
     ``values`` are dependency values (blob, rule_id, variable, value).  Secrets are grouped before any
     request is rendered, so a secret found a million times is asked about once.
@@ -154,22 +173,46 @@ def plan_requests(matches: DataFrame, rules: Sequence[Rule], values: DataFrame |
             for row in batch.itertuples():
                 given = dict(row.extra) if row.extra is not None else {}
                 variables = template_variables([dict(c) for c in row.captures]) | given
-                request, problem = None, None
+                request, problem, status = None, None, None
                 try:
                     request = json.dumps(request_of(by_id[row.rule_id], variables), sort_keys=True)
                 except TemplateError as error:
-                    problem = str(error)
-                out.append((row.rule_id, row.secret, given or None, request, problem))
-            yield pd.DataFrame(out, columns=["rule_id", "secret", "extra", "request", "problem"])
+                    problem, status = str(error), 400
+                except Exception as error:  # noqa: BLE001 - a rule that cannot be carried out is an outcome
+                    problem, status = f"Validation failed: {error}", 500
+                out.append((row.rule_id, row.secret, given or None, request, problem, status))
+            yield pd.DataFrame(out, columns=["rule_id", "secret", "extra", "request", "problem", "problem_status"]).astype({"problem_status": "Int32"})
 
-    planned = grouped.mapInPandas(run, "rule_id string, secret string, extra map<string,string>, request string, problem string")
+    planned = grouped.mapInPandas(run, "rule_id string, secret string, extra map<string,string>, request string, problem string, problem_status int")
     return planned.withColumn("request_key", F.concat(F.lit("HTTP:"), F.sha1("request")))
 
 
-def send(requests: DataFrame, transport: Transport, pause: float = 0.5) -> DataFrame:
+def http_transport(request: dict[str, Any]) -> tuple[int, dict[str, str], str]:
+    """Sends a request over HTTP; redirects are followed, and a status of any kind is an answer."""
+    standard = {name.lower() for name in STANDARD_HEADERS}
+    body, headers = None, {n: v for n, v in request["headers"].items() if n.lower() not in standard} | STANDARD_HEADERS
+    if "multipart" in request:
+        border = uuid.uuid4().hex
+        body = b""
+        for part in request["multipart"]:
+            content = part["content"] if isinstance(part["content"], bytes) else part["content"].encode("utf-8")
+            name = part["name"].replace('"', "%22")
+            body += f'--{border}\r\nContent-Disposition: form-data; name="{name}"\r\nContent-Type: {part["content_type"]}\r\n\r\n'.encode() + content + b"\r\n"
+        body += f"--{border}--\r\n".encode()
+        headers["Content-Type"] = f"multipart/form-data; boundary={border}"
+    asked = urllib.request.Request(request["url"], data=body, headers=headers, method=request["method"])
+    try:
+        with urllib.request.urlopen(asked, timeout=STILL) as answer:  # noqa: S310 - only http and https are planned
+            return answer.status, dict(answer.headers.items()), answer.read(BODY_LIMIT * 8).decode("utf-8", "replace")
+    except urllib.error.HTTPError as error:
+        return error.code, dict(error.headers.items()), error.read(BODY_LIMIT * 8).decode("utf-8", "replace")
+
+
+def send(requests: DataFrame, transport: Transport, pause: float = 0.5, deadline: float = DEADLINE, at_once: int = 16) -> DataFrame:
     """(request_key, status, headers, body) from a live transport, on the executors, once per distinct request.
 
-    A request is sent once more, ``2 * pause`` seconds later (two at most), after an error or a status of 502, 503 or 504.
+    A request is sent once more, ``2 * pause`` seconds later (two at most), after an error or a status of 502, 503 or 504;
+    without an answer within ``deadline`` seconds its status is 408.  Every task has ``at_once`` requests under way.
     Its ``multipart``, where it has one, is a list of parts: name, type, content (text, or the bytes of a file), content_type.
     """
 
@@ -185,11 +228,19 @@ def send(requests: DataFrame, transport: Transport, pause: float = 0.5) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, request in zip(batch["request_key"], batch["request"], strict=True):
-                status, headers, body = answer(request)
-                out.append((key, status, {k.lower(): v for k, v in headers.items()}, body[:BODY_LIMIT]))
-            yield pd.DataFrame(out, columns=["request_key", "status", "headers", "body"])
+            for at in range(0, len(batch), at_once):
+                part = batch.iloc[at : at + at_once]
+                pool = ThreadPoolExecutor(at_once)
+                waiting = [pool.submit(answer, r) for r in part["request"]]
+                end, out = time.monotonic() + deadline, []
+                for key, future in zip(part["request_key"], waiting, strict=True):
+                    try:
+                        status, headers, body = future.result(max(0.0, end - time.monotonic()))
+                    except Late:
+                        status, headers, body = 408, {}, "Validation timed out"
+                    out.append((key, status, {k.lower(): v for k, v in headers.items()}, body[:BODY_LIMIT]))
+                pool.shutdown(wait=False, cancel_futures=True)  # one that hangs does not hold up the task
+                yield pd.DataFrame(out, columns=["request_key", "status", "headers", "body"])
 
     wanted = requests.where("request is not null").select("request_key", "request").dropDuplicates(["request_key"])
     return wanted.mapInPandas(run, "request_key string, status int, headers map<string,string>, body string")
@@ -210,7 +261,7 @@ def judge(requests: DataFrame, responses: DataFrame, rules: Sequence[Rule]) -> D
     return joined.select(
         "rule_id", "secret", "extra",
         F.coalesce(success & answered, F.lit(False)).alias("success"),
-        F.when(F.col("problem").isNotNull(), 400).when(answered, status).otherwise(502).alias("status"),
+        F.when(F.col("problem").isNotNull(), F.col("problem_status")).when(answered, status).otherwise(502).alias("status"),
         F.coalesce("problem", F.when(answered, F.substring(body, 1, BODY_LIMIT)), F.lit("HTTP error: no response")).alias("body"),
     )
 
@@ -240,3 +291,42 @@ def join_back(matches: DataFrame, results: DataFrame, missing: DataFrame | None
 def still_fresh(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     """Cached responses that are younger than ``ttl`` seconds (column ``validated_at``)."""
     return cache.where(F.unix_timestamp(now) - F.unix_timestamp("validated_at") < ttl)
+
+
+def validated(
+    matches: DataFrame, rules: Sequence[Rule], transport: Transport | None = None, responses: DataFrame | None = None,
+    cache: DataFrame | None = None, blob: str = "blob_id",
+) -> DataFrame:
+    """``matches`` with the outcome of every secret that can be validated.
+
+    Requests are planned once per secret and the values it depends on; those answered by ``responses`` (request_key,
+    status, headers, body) or by a fresh row of ``cache`` (the same with validated_at) are not sent, the others go to
+    ``transport``.  Without a transport, requests that nothing answers stay "Not Attempted".  Rules with a validation
+    of type Raw give 501; rules that lack a value they depend on 428; prevalidated ones succeed.
+    """
+    spark = matches.sparkSession
+    needs = dependencies_table(spark, rules)
+    requests = checkpoint(plan_requests(matches, rules, dependencies.dependency_values(matches, needs, blob), blob))
+    known = responses
+    if cache is not None:
+        fresh = still_fresh(cache, F.current_timestamp()).select("request_key", "status", "headers", "body")
+        known = fresh if known is None else known.unionByName(fresh.join(known, "request_key", "left_anti"))
+    if transport is not None:
+        rest = requests if known is None else requests.join(known, "request_key", "left_anti")
+        sent = checkpoint(send(rest, transport))
+        known = sent if known is None else known.unionByName(sent)
+    if known is None:
+        known = spark.createDataFrame([], "request_key string, status int, headers map<string,string>, body string")
+    known = known.dropDuplicates(["request_key"])
+    tried = requests if transport is not None else requests.where("problem is not null").unionByName(
+        requests.where("problem is null").join(known, "request_key", "left_semi").select(requests.columns)
+    )
+    outcomes = judge(tried, known, rules)
+    raw = [r.id for r in rules if (r.validation or {}).get("type") == "Raw"]
+    if raw:
+        never = matches.where(F.col("rule_id").isin(raw)).select("rule_id", "secret").distinct()
+        outcomes = outcomes.unionByName(never.select(
+            "rule_id", "secret", F.lit(None).cast("map<string,string>").alias("extra"), F.lit(False).alias("success"), F.lit(501).alias("status"),
+            F.lit("Validation of this kind is not supported").alias("body"),
+        ))
+    return join_back(matches, outcomes, dependencies.missing_dependencies(matches, needs, blob), blob)

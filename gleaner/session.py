@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session; only where it is unset (tests, a laptop) is a
-    temporary folder chosen.
+    The setting is read from the session.  Where it is unset, a session of one machine gets a
+    temporary folder, one of a cluster a folder in the warehouse, which its executors share.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="gleaner-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        folder = tempfile.mkdtemp(prefix="gleaner-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 

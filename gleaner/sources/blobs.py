@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalars import blob_id, is_archive, looks_binary
+from gleaner.functions.scalars import blob_id, is_archive, language, looks_binary, mime_type
 
 DEFAULT_MAX_MB = 25.0
 
@@ -101,40 +101,72 @@ def path_of(origins: str = "origins") -> Column:
     )
 
 
-def glob_to_regex(line: str) -> str | None:
-    """A gitignore line as a regex over absolute paths; None for blanks, comments and negations."""
-    line = line.strip()
-    if not line or line[0] in "#!":
+def glob_to_regex(line: str, roots: Iterable[str] = ()) -> str | None:
+    """A gitignore line (without its ``!``) as a regex over absolute paths; None for blanks and comments.
+
+    A slash at the start or within anchors the pattern to one of ``roots`` (without any, to the start of the path).
+    """
+    line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\r\n"))
+    if not line or line[0] == "#":
         return None
-    folder, body, out, i = line.endswith("/"), line.strip("/"), "", 0
+    folder, anchored = line.endswith("/"), "/" in line.rstrip("/")
+    body, out, i = line.strip("/"), "", 0
     while i < len(body):
+        c = body[i]
         if body[i : i + 3] == "**/":
             out, i = out + "(?:.*/)?", i + 3
         elif body[i : i + 2] == "**":
             out, i = out + ".*", i + 2
+        elif c == "[" and (end := body.find("]", i + 2)) > 0:
+            inner = body[i + 1 : end]
+            negated = inner[0] in "!^"
+            inner = re.sub(r"([\\\[&])", r"\\\1", inner[1:] if negated else inner)
+            out, i = out + f"[{'^/' if negated else ''}{inner}]", end + 1
+        elif c == "\\" and i + 1 < len(body):
+            out, i = out + re.escape(body[i + 1]), i + 2
         else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(body[i], re.escape(body[i]))
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
             i += 1
-    return f"(?:^|/){out}{'/' if folder else '(?:/|$)'}"
+    bases = [re.escape(r.rstrip("/")) for r in roots]
+    start = (f"^(?:file:/*(?=/))?(?:{'|'.join(bases)})/" if bases else "^(?:file:/*(?=/))?/?") if anchored else "(?:^|/)"
+    return f"{start}{out}{'/' if folder else '(?:/|$)'}"
 
 
-def ignored(path: Column, lines: Iterable[str]) -> Column:
-    patterns = [p for p in map(glob_to_regex, lines) if p]
-    return path.rlike("|".join(patterns)) if patterns else F.lit(False)
+def ignored(path: Column, lines: Iterable[str], roots: Iterable[str] = ()) -> Column:
+    """Whether a gitignore list leaves a path out: of the lines that match, the last decides (``!`` keeps)."""
+    roots, out = list(roots), F.lit(False)
+    for line in lines:
+        kept = line.startswith("!")
+        pattern = glob_to_regex(line[1:] if kept else line, roots)
+        if pattern:
+            out = out & ~path.rlike(pattern) if kept else out | path.rlike(pattern)
+    return out
 
 
 def keep(
-    blobs: DataFrame, max_mb: float = DEFAULT_MAX_MB, ignore: Iterable[str] = (), no_binary: bool = False, archives: bool = True
-) -> DataFrame:
-    """Size, ignore-list, binary and archive filters."""
+    blobs: DataFrame, max_mb: float = DEFAULT_MAX_MB, ignore: Iterable[str] = (), no_binary: bool = False, archives: bool = True,
+    roots: Iterable[str] = (),
+) -> DataFrame:
+    """Size, ignore-list, binary and archive filters; anchored lines of the ignore list count from ``roots``."""
     limit = int((max_mb if max_mb >= 0 else DEFAULT_MAX_MB) * 1024 * 1024)
     path = path_of()
-    out = blobs.where((F.col("num_bytes") <= limit) & ~ignored(path, ignore))
+    out = blobs.where((F.col("num_bytes") <= limit) & ~ignored(path, ignore, roots))
     if no_binary:
         out = out.where(~looks_binary(F.col("content")) | is_archive(path))
     return out if archives else out.where(~is_archive(path))
 
 
+def described(blobs: DataFrame) -> DataFrame:
+    """``blobs`` with language and MIME type, by path and marks in the content; ``scan`` keeps both for the reports."""
+    path = path_of()
+    return blobs.withColumns({"language": language(path, F.decode("content", "ISO-8859-1")), "mime": mime_type(path)})
+
+
+def unseen(blobs: DataFrame, history: DataFrame) -> DataFrame:
+    """Blobs that earlier runs (``history``, with blob_id) have not seen."""
+    return blobs.join(history.select("blob_id").distinct(), "blob_id", "left_anti")
+
+
 def distinct_blobs(blobs: DataFrame) -> DataFrame:
     """One row per blob id, with the origins of all its appearances in order."""
     return blobs.groupBy("blob_id").agg(

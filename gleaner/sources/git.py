@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -17,6 +18,22 @@ def _git(repo: str, *args: str, data: bytes | None = None) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], input=data, capture_output=True, check=True).stdout
 
 
+def is_repository(path: str) -> bool:
+    """Whether a local folder is a working copy or a bare repository."""
+    bare = all(os.path.exists(os.path.join(path, n)) for n in ("HEAD", "objects", "refs"))
+    return os.path.isdir(path) and (bare or os.path.exists(os.path.join(path, ".git")))
+
+
+def repositories(path: str) -> list[str]:
+    """The repositories at and below a local path."""
+    found = []
+    for folder, folders, _ in os.walk(path):
+        if is_repository(folder):
+            found.append(folder)
+        folders[:] = sorted(f for f in folders if f != ".git")
+    return found
+
+
 def read_history(spark: SparkSession, repo: str) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of all refs of a local repository.
 

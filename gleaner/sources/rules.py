@@ -16,6 +16,7 @@ from gleaner.functions.regexes import PatternError, compile_bytes, mandatory_lit
 
 PACK = Path(__file__).resolve().parent.parent / "packs"
 CONFIDENCES = ("low", "medium", "high")
+HTTP_METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "TRACE", "CONNECT")
 RULE_SCHEMA = (
     "rule_id string, rule_name string, pattern string, min_entropy float, confidence string, visible boolean, "
     "examples array<string>, negative_examples array<string>, references array<string>, prevalidated boolean, "
@@ -63,12 +64,17 @@ class Rule:
         confidence = str(raw.get("confidence") or "medium").lower()
         if confidence not in CONFIDENCES:
             raise ValueError(f"Failed to load rules: {raw['id']}: confidence {confidence!r}")
+        validation = raw.get("validation")
+        if validation and validation.get("type") == "Http":
+            method = str(((validation.get("content") or {}).get("request") or {}).get("method", "GET"))
+            if method.upper() not in HTTP_METHODS:
+                raise ValueError(f"Failed to load rules: {raw['id']}: unsupported HTTP method {method!r}")
         depends = tuple((d["rule_id"], d["variable"]) for d in raw.get("depends_on_rule") or () if d)
         return cls(
             id=raw["id"], name=raw["name"], pattern=raw["pattern"], min_entropy=float(raw.get("min_entropy") or 0.0),
             confidence=confidence, visible=bool(raw.get("visible", True)), examples=tuple(raw.get("examples") or ()),
             negative_examples=tuple(raw.get("negative_examples") or ()), references=tuple(raw.get("references") or ()),
-            prevalidated=bool(raw.get("prevalidated", False)), depends_on=depends, validation=raw.get("validation"),
+            prevalidated=bool(raw.get("prevalidated", False)), depends_on=depends, validation=validation,
             keywords=tuple(raw.get("keywords") or ()), schemes=tuple(raw.get("schemes") or ()),
         )
 

@@ -4,31 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gleaner.functions.scalars import blob_id
 from gleaner.operators.matcher import scan
-from gleaner.sources.blobs import _blobs, origin
+from gleaner.sources.blobs import origin
 from gleaner.sources.rules import Rule
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New files below a folder as blobs, with the time they were last changed."""
+    """New files below a folder as blobs, with the time they were last changed as ``seen_at``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     read = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
     rows = read.load(path)
-    blobs = _blobs(rows.select("content", "path"), F.col("content"), origin("file", F.col("path")))
-    return blobs
+    return _seen(rows, F.col("content"), F.col("path"), F.col("modificationTime"))
+
+
+def _seen(rows: DataFrame, content: Column, path: Column, time: Column) -> DataFrame:
+    return rows.select(
+        blob_id(content).alias("blob_id"), content.alias("content"), F.octet_length(content).cast("long").alias("num_bytes"),
+        F.array(origin("file", path)).alias("origins"), time.alias("seen_at"),
+    )
 
 
 def table_stream(rows: DataFrame, text: str, time: str, path: str) -> DataFrame:
     """A stream with a text column as blobs that keep their event time as ``seen_at``."""
-    content = F.col(text).cast("binary")
-    return rows.where(F.col(text).isNotNull()).select(
-        F.sha1(content).alias("blob_id"), content.alias("content"), F.octet_length(content).cast("long").alias("num_bytes"),
-        F.array(origin("file", F.col(path).cast("string"))).alias("origins"), F.col(time).alias("seen_at"),
-    )
+    return _seen(rows.where(F.col(text).isNotNull()), F.col(text).cast("binary"), F.col(path).cast("string"), F.col(time))
 
 
 def scan_stream(blobs: DataFrame, rules: Sequence[Rule], lateness: str = "1 hour") -> DataFrame:
