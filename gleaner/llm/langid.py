@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,36 +20,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gleaner.llm.common import checkpoint, in_slices
+from gleaner.llm.common import checkpoint, fresh_name, in_slices
 
 SIZE = 1 << 13
 UNKNOWN = "und"
 _ROWS = 256
+_SLICE = 1 << 20
 
 
 class Grams:
     """Texts to counts of hashed n-grams; None for texts without a letter."""
 
     def __init__(self) -> None:
-        self.letter = np.array([chr(i).isalpha() for i in range(0x30000)])
+        self.letter = _letters()
 
     def __call__(self, text: str) -> np.ndarray | None:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        letter = self.letter[np.minimum(codes, len(self.letter) - 1)]
-        if not letter.any():
-            return None
-        # one mark (zero) for every run of other signs, and one at either end
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        body = np.where(letter, codes, 0)[keep].astype(np.uint64)
-        marked = np.concatenate(([0], body, [0])).astype(np.uint64)
-        counts = np.zeros(SIZE)
+        counts, any_letter, before = np.zeros(SIZE), False, np.zeros(1, np.uint64)
+        # in slices, so that memory does not grow with the text; each begins with the two signs before it
+        for at in range(0, len(codes), _SLICE):
+            part = codes[at : at + _SLICE]
+            letter = self.letter[part]
+            any_letter |= bool(letter.any())
+            # one mark (zero) for every run of other signs, and one at either end
+            keep = letter.copy()
+            keep[1:] |= letter[:-1]
+            keep[0] |= bool(before[-1])
+            body = np.where(letter, part, 0)[keep].astype(np.uint64)
+            first = at == 0
+            if at + _SLICE >= len(codes):
+                body = np.append(body, np.uint64(0))
+            self._count(counts, np.concatenate((before, body)), len(before) if not first else 0)
+            before = np.concatenate((before, body))[-2:]
+        return counts if any_letter else None
+
+    @staticmethod
+    def _count(counts: np.ndarray, marked: np.ndarray, known: int) -> None:
+        """Adds the n-grams that end after the first ``known`` signs."""
         h = np.zeros(len(marked), np.uint64)
         for n in (1, 2, 3):
             h = (h[: len(marked) - n + 1] * np.uint64(0x100000001B3)) ^ (marked[n - 1 :] + np.uint64(n))
-            mixed = h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(51)
+            mixed = h[max(0, known - n + 1) :] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(51)
             counts += np.bincount(mixed.astype(np.int64), minlength=SIZE)
-        return counts
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -83,22 +102,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return c, np.argmax(x @ c.T, axis=1)
 
 
-#: Languages beyond the most common of this many are not learned; bounds what is broadcast.
-MAX_LANGS = 1000
-
-
 def sample(docs: DataFrame, per_lang: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(text, lang): at most ``per_lang`` texts of each language, chosen by a hash of the id.
 
-    Rows are thinned by hash first, so that the window that sets the exact bound sees a
-    bounded number of rows of each language, however common it is.
+    The rows of common languages are thinned by hash first, so that the window that sets the exact bound sees few
+    rows of each.  Common is what has more than a 4096th of all rows, so fewer than 4096 languages are broadcast.
     """
     known = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("id is not null and text is not null and lang is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    enough = int(1.5 * per_lang + 50)
+    common = known.count() // 4096
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > max(enough, common))
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    thinned = known.join(F.broadcast(counts), "lang").where(hashed * F.col("n") < F.lit(1.5 * per_lang + 50) * (1 << 30))
+    thinned = known.join(F.broadcast(counts), "lang", "left").where(F.col("n").isNull() | (hashed * F.col("n") < F.lit(float(enough * (1 << 30)))))
     order = Window.partitionBy("lang").orderBy(hashed, "id")
     return thinned.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("text", "lang")
 
@@ -109,7 +126,9 @@ def train(
 ) -> LanguageModel:
     """Fit on at most ``per_lang`` texts of each language that occurs; ``keep`` of them lie within reach.
 
-    Rows with a null text, language or id teach nothing, nor do texts without letters.
+    Rows with a null text, language or id teach nothing, nor do texts without letters; from an empty table nothing is
+    learned and every text is ``und``.  A language has ``clusters`` centroids, a rare one fewer (one for each 50 of its texts).  The
+    model grows with the languages (32 kB for each centroid), not with the rows.
     """
     rows = checkpoint(sample(docs if eligible is None else docs.where(eligible), per_lang, id_col, text_col, lang_col))
 
@@ -134,7 +153,7 @@ def train(
         if not counts:
             return pd.DataFrame({"lang": [], "cluster": [], "reach": [], "v": []})
         x = _vectors(np.stack(counts), idf)
-        c, own = _kmeans(x, clusters)
+        c, own = _kmeans(x, min(clusters, -(-len(x) // 50)))
         cosine = np.einsum("ij,ij->i", x, c[own])
         used = [j for j in range(len(c)) if (own == j).any()]
         reach = [float(np.quantile(cosine[own == j], 1 - keep)) for j in used]
@@ -181,8 +200,13 @@ def scorer(model: LanguageModel) -> Callable[[Column], Column]:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score, rejected and margin; clashing columns are replaced."""
-    out = docs.withColumn("_found", scorer(model)(F.col(text_col).cast("string")))
+    """``docs`` with lang_pred, score, rejected and margin; columns of these four names are replaced, all others stay.
+
+    Null texts and texts without a letter are ``und``.  Repeated rows are judged each for itself; an empty table gives an
+    empty result.  Texts of any length are read whole, in bounded slices.
+    """
+    found = fresh_name("found")
+    out = docs.withColumn(found, scorer(model)(F.col(text_col).cast("string")))
     for name, field in (("lang_pred", "lang"), ("score", "score"), ("rejected", "rejected"), ("margin", "margin")):
-        out = out.withColumn(name, F.col(f"_found.{field}"))
-    return out.drop("_found")
+        out = out.withColumn(name, F.col(f"{found}.{field}"))
+    return out.drop(found)

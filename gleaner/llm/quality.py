@@ -147,7 +147,10 @@ def _platt(margins: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> tu
 
 
 def fit(sample: Sample, cost: float = 1.0, epochs: int = 20, alpha: float = 1.0) -> QualityModel:
-    """Fit on a sample with y in {0, 1}.  With one class only, every score is 1 or 0 for that class; with none, 0.5."""
+    """Fit on a sample with y in {0, 1}.  With one class only, every score is 1 or 0 for that class; with none, 0.5.
+
+    The features of the sampled texts (a few thousand arrays of at most 2^17 numbers) come to the driver, where the model is fitted.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         indicators = Indicators()
@@ -165,13 +168,23 @@ def fit(sample: Sample, cost: float = 1.0, epochs: int = 20, alpha: float = 1.0)
     for f, one in zip(features, positive, strict=True):
         (p if one else q)[f] += 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    w, bias = _descend(features, np.where(positive, 1, -1), ratio, cost, epochs)
-    model = QualityModel(w * ratio, bias, 1.0, 0.0)
-    margins = np.array([model.margin(f) for f in features])
+    y = np.where(positive, 1, -1)
+    w, bias = _descend(features, y, ratio, cost, epochs)
+    # the sigmoid is fitted on margins of texts that the model behind them has not seen (a quarter of each class)
+    apart = np.zeros(len(y), bool)
+    for one in (True, False):
+        apart[np.flatnonzero(positive == one)[::4]] = True
+    rest = np.flatnonzero(~apart)
+    held = np.flatnonzero(apart)
+    if len(set(y[rest].tolist())) < 2:
+        rest = held = np.arange(len(y))
+    v, tilt = _descend([features[i] for i in rest], y[rest], ratio, cost, epochs)
+    other = QualityModel(v * ratio, tilt, 1.0, 0.0)
+    margins = np.array([other.margin(features[i]) for i in held])
     rates = {y: sample.counts[y] / sample.taken[y] for y in sample.taken}
-    weight = np.where(positive, rates.get(1, 1.0), rates.get(0, 1.0))
-    slope, offset = _platt(margins, positive, weight / weight.mean())
-    return QualityModel(model.weights, bias, slope, offset)
+    weight = np.where(positive[held], rates.get(1, 1.0), rates.get(0, 1.0))
+    slope, offset = _platt(margins, positive[held], weight / weight.mean())
+    return QualityModel(w * ratio, bias, slope, offset)
 
 
 def scorer(model: QualityModel) -> Callable[[Column], Column]:
@@ -194,6 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, pe
 
 
 def classify(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (probability of label 1) and predicted (1 if score >= 0.5); clashing columns are replaced."""
+    """``docs`` with score (probability of label 1) and predicted (1 if score >= 0.5); columns of these names are
+    replaced, all others stay.
+
+    Null and empty texts get the score of no features.  Repeated rows are scored each for itself; an empty table gives an
+    empty result.  Texts of any length are read whole.
+    """
     scored = docs.withColumn("score", scorer(model)(F.col(text_col).cast("string")))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

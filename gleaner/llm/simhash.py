@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, in_slices
+from gleaner.llm.common import balanced_join, checkpoint, fresh_name, in_slices
 from gleaner.llm.components import connected_components
 
 #: Bits in which linked fingerprints may differ; the five segments below follow from it.
@@ -65,11 +65,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in in_slices(batches, "text"):
             values = np.array([fingerprint(t, words) for t in rows["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": rows["id"], "text_hash": rows["text_hash"], "fp": values.view(np.int64)})
+            yield rows.drop(columns="text").assign(fp=values.view(np.int64))
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInPandas(run, "id long, text_hash long, fp long")
+    spread = F.xxhash64(F.col(id_col).cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), spread.alias("spread"), text.alias("text"))
+    return rows.mapInPandas(run, "id long, text_hash long, spread long, fp long")
 
 
 def _segment(column, i: int):
@@ -177,13 +178,15 @@ def fingerprint_links(fps: DataFrame, dense: int = 64) -> DataFrame:
 def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, dense: int) -> DataFrame:
     """(id, text_hash, fp, component, component_id); ``component`` tells components apart even where ids do not."""
     prints = checkpoint(fingerprints(docs, id_col, text_col, words))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     comps = connected_components(fingerprint_links(classes, dense=dense), "fp", "other")
-    rooted = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
+    rooted = checkpoint(
+        classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     )
-    heads = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(heads, "component").select("fp", "component", "component_id"), "fp")
+    heads = checkpoint(rooted.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("rows")))
+    placed = checkpoint(balanced_join(rooted, heads, ["component"], "fp", "rows").select("fp", "component", "component_id", "copies"))
+    # a fingerprint or component may have a third of all rows
+    return balanced_join(prints, placed, ["fp"], "spread", "copies")
 
 
 def near_duplicates(
@@ -194,7 +197,9 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over links of at most four bits.
     Null texts and texts without words have fingerprint zero and link like any other;
     a row whose id is null keeps its row and takes the component's smallest id (null
-    if no row of the component has one).  Repeated rows each give a row.
+    if no row of the component has one).  Repeated rows each give a row; an empty table gives an empty
+    result.  Texts of any length are read whole; columns other than the two named play no part, whatever their names.
+    ``dense`` decides how links are found, never which components they make.
     """
     return _placed(docs, id_col, text_col, words, dense).select("id", "fp", "component_id")
 
@@ -203,13 +208,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay: one of each near-duplicate component, with the smallest id.
 
     Of several rows with that id the one whose text has the smallest hash stays; a row with a null
-    id only where its component holds no id at all.
+    id only where its component holds no id at all.  Repeated rows count once.  All columns of ``docs`` are kept, whatever their
+    names; an empty table gives an empty result.
     """
     rows = _placed(docs, id_col, text_col, 4, 64).groupBy("component", "id", "text_hash").agg(F.count("*").alias("n"))
     order = F.struct(F.col("id").isNull(), "id", "text_hash")
     first = rows.groupBy("component").agg(F.min_by(F.struct("id", "text_hash", "n"), order).alias("kept"))
-    kept = first.select(F.col("kept.id").alias("_id"), F.col("kept.text_hash").alias("_hash"), F.col("kept.n").alias("_n"))
-    here = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    once = docs.join(kept.where("_n = 1"), here, "left_semi")
-    repeated = docs.join(kept.where("_n > 1"), here, "left_semi").dropDuplicates([id_col, text_col])
+    key, digest, times = fresh_name("id"), fresh_name("hash"), fresh_name("n")
+    kept = checkpoint(first.select(F.col("kept.id").alias(key), F.col("kept.text_hash").alias(digest), F.col("kept.n").alias(times)))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(digest))
+    once = docs.join(kept.where(F.col(times) == 1), here, "left_semi")
+    repeated = docs.join(kept.where(F.col(times) > 1), here, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(repeated)

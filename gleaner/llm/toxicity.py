@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are whole words and word prefixes of four to seven letters, kept where a
-chi-squared test ties them to the label; everything else in a text counts towards one
+chi-squared test ties them to either label; everything else in a text counts towards one
 background term, so that the cosine sees how dense the telling terms are and not only
 which they are.  The examples sit in an inverted index whose postings are cut into
 blocks of examples with the largest weight of each term in each block (block-max).  A
@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gleaner.llm.common import in_slices
+from gleaner.llm.common import fresh_name, in_slices
 from gleaner.llm.labelled import Sample, labelled_sample
 
 PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 300_000
 BLOCK = 64
+#: Similarities that differ by less are equal: the same sum may round differently.
+TIE = 1e-9
 #: Longer runs, as of scripts without spaces, are cut into consecutive words.
 _WORD = re.compile(r"\w{1,64}")
 
@@ -74,10 +76,7 @@ class Vectors:
 
 
 class BlockMaxIndex:
-    """Exact k nearest vectors by inner product of non-negative sparse vectors.
-
-    Equal similarities go to the smaller example number.
-    """
+    """Exact k nearest vectors by inner product of non-negative sparse vectors."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, block: int = BLOCK) -> None:
         # neighbours in number share their heaviest term, which keeps blocks alike and bounds tight
@@ -107,8 +106,9 @@ class BlockMaxIndex:
         hit = np.flatnonzero(got)
         return hit, got[hit]
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and similarities, best first; only examples with similarity above zero.
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, ties: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Example numbers and similarities, best first; only examples with similarity above zero.  With ``ties`` all
+        that are as near as the k-th (up to ``TIE``), else k, of equal ones those of smaller number.
 
         The blocks with the highest bounds that surely hold k examples come first; their k-th
         similarity is a floor, and only blocks whose bound reaches it are scored as well.
@@ -119,19 +119,23 @@ class BlockMaxIndex:
         ids, found = self._scores(terms, weights, order[:first])
         floor = np.partition(found, -k)[-k] if len(found) >= k else 0.0
         rest = order[first:]
-        rest = rest[bound[rest] >= floor - 1e-12]
+        rest = rest[bound[rest] >= floor - TIE]
         if len(rest):
             more, scores = self._scores(terms, weights, rest)
             ids, found = np.concatenate((ids, more)), np.concatenate((found, scores))
         if len(found) > k:
-            good = np.flatnonzero(found >= np.partition(found, -k)[-k])
+            good = np.flatnonzero(found >= np.partition(found, -k)[-k] - TIE)
             ids, found = ids[good], found[good]
-        top = np.lexsort((ids, -found))[:k]
+        top = np.lexsort((ids, -found))
+        top = top if ties else top[:k]
         return ids[top], found[top]
 
 
 @dataclass
 class ToxicityModel:
+    """An example is a vector that one or more labelled documents have: ``ids`` is the smallest of theirs, ``weight`` how
+    many labelled documents they stand for, ``toxic`` the share of those with label 1."""
+
     vocabulary: dict[str, int]
     idf: np.ndarray
     vectors: list[tuple[np.ndarray, np.ndarray]]
@@ -150,7 +154,7 @@ class ToxicityModel:
 
 
 def _chosen_terms(sample: Sample, least: int, chi: float, most: int) -> list[tuple[str, int]]:
-    """(term, documents) of the terms that lean towards label 1 by a chi-squared test, strongest first."""
+    """(term, documents) of the terms that lean towards either label by a chi-squared test, strongest first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ones, zeros = Counter(), Counter()
@@ -165,7 +169,7 @@ def _chosen_terms(sample: Sample, least: int, chi: float, most: int) -> list[tup
 
     def frame(ones: Counter, zeros: Counter) -> pd.DataFrame:
         terms = list(ones.keys() | zeros.keys())
-        return pd.DataFrame({"term": terms, "a": [ones[t] for t in terms], "b": [zeros[t] for t in terms]})
+        return pd.DataFrame({"term": pd.Series(terms, dtype=object), "a": [ones[t] for t in terms], "b": [zeros[t] for t in terms]})
 
     # each sampled document stands for this many labelled ones
     rate = {y: sample.counts[y] / sample.taken[y] for y in sample.taken}
@@ -176,7 +180,7 @@ def _chosen_terms(sample: Sample, least: int, chi: float, most: int) -> list[tup
         .mapInPandas(run, "term string, a long, b long")
         .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .withColumn("expected", (F.col("a") + F.col("b")) * n1 / n)
-        .where((F.col("a") + F.col("b") >= least) & (F.col("a") > F.col("expected")))
+        .where(F.col("a") + F.col("b") >= least)
         .withColumn("chi", F.pow(F.col("a") - F.col("expected"), 2) / F.col("expected") * n / n0)
         .where(F.col("chi") > chi)
         .withColumn("docs", F.col("a") * rate.get(1, 1.0) + F.col("b") * rate.get(0, 1.0))
@@ -206,15 +210,22 @@ def fit(sample: Sample, least: int = 5, chi: float = 15.0, most: int = 4000, **s
             yield pd.DataFrame({"doc_id": rows["doc_id"], "y": rows["y"], "t": [t for t, _ in got], "w": [w for _, w in got]})
 
     got = sample.rows.mapInPandas(run, "doc_id long, y int, t array<long>, w array<double>").toPandas()
-    # examples whose heaviest terms agree stand together
-    heaviest = [t[np.argmax(w)] if len(t) else -1 for t, w in zip(got["t"], got["w"], strict=True)]
-    got = got.assign(h=heaviest).sort_values(["y", "h", "doc_id"], kind="stable")
     rate = {y: sample.counts[y] / sample.taken[y] for y in sample.taken}
-    weight = got["y"].map(rate).to_numpy(float)
-    vectors = [(np.asarray(t, np.int64), np.asarray(w, float)) for t, w in zip(got["t"], got["w"], strict=True)]
+    # equal vectors are one example, which votes for all its documents
+    examples: dict[bytes, list] = {}
+    for doc_id, y, t, w in zip(got["doc_id"], got["y"], got["t"], got["w"], strict=True):
+        t, w = np.asarray(t, np.int64), np.asarray(w, float)
+        own = examples.setdefault(t.tobytes() + np.round(w, 12).tobytes(), [t, w, doc_id, 0.0, 0.0])
+        own[2] = min(own[2], doc_id)
+        own[3] += rate[y]
+        own[4] += rate[y] * y
+    # those whose heaviest terms agree stand together; the order does not know the labels
+    found = sorted(examples.values(), key=lambda e: (e[0][np.argmax(e[1])] if len(e[0]) else -1, e[2]))
+    weight = np.array([e[3] for e in found])
     return ToxicityModel(
-        vocabulary, idf, vectors, got["doc_id"].to_numpy(np.int64), got["y"].to_numpy(float), weight / weight.min(), prior, **settings
-    )
+        vocabulary, idf, [(e[0], e[1]) for e in found], np.array([e[2] for e in found], np.int64), np.array([e[4] for e in found]) / weight,
+        weight / min(rate.values()), prior, **settings,
+    )
 
 
 class _Judge:
@@ -229,8 +240,10 @@ class _Judge:
         key = terms.tobytes() + weights.tobytes() if len(terms) < 3 else b""
         if key in self.seen:
             return self.seen[key]
-        numbers, similarity = self.index.search(terms, weights, self.model.k) if len(terms) else (terms, weights)
-        out = (self.model.vote(numbers, similarity), self.model.ids[numbers], similarity)
+        numbers, similarity = self.index.search(terms, weights, self.model.k, ties=True) if len(terms) else (terms, weights)
+        ids = self.model.ids[numbers]
+        shown = np.lexsort((ids, -np.round(similarity, 9)))[: self.model.k]
+        out = (self.model.vote(numbers, similarity), ids[shown], similarity[shown])
         if key and len(self.seen) < 10_000:
             self.seen[key] = out
         return out
@@ -258,13 +271,18 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, pe
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with score, predicted (1 if score >= 0.5), evidence (nearest examples, best first)
-    and similarity (theirs); clashing columns are replaced."""
-    judged = docs.withColumn("_judged", scorer(model)(F.col(text_col).cast("string")))
+    """``docs`` with score, predicted (1 if score >= 0.5), evidence (nearest examples, best first, at most ``k``)
+    and similarity (theirs); columns of these four names are replaced, all others stay.
+
+    Null and empty texts score the share of label 1 and have no evidence.  Repeated rows are scored each for itself; an
+    empty table gives an empty result.  Texts of any length are read whole.
+    """
+    name = fresh_name("judged")
+    judged = docs.withColumn(name, scorer(model)(F.col(text_col).cast("string")))
     return (
-        judged.withColumn("score", F.col("_judged.score"))
+        judged.withColumn("score", F.col(f"{name}.score"))
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-        .withColumn("evidence", F.col("_judged.ids"))
-        .withColumn("similarity", F.col("_judged.similarity"))
-        .drop("_judged")
+        .withColumn("evidence", F.col(f"{name}.ids"))
+        .withColumn("similarity", F.col(f"{name}.similarity"))
+        .drop(name)
     )

@@ -145,6 +145,149 @@ def test_block_max_index_is_exact():
             assert np.allclose(got, want[want > 0])
 
 
+def _plain_neighbours(vectors, k, text, words):
+    """Similarities of all examples to a text, by dictionaries; positions of the k nearest and of those tied with the k-th."""
+    query = dict(zip(*(a.tolist() for a in words(text)), strict=True))
+    sims = [sum(query.get(t, 0.0) * w for t, w in zip(ts.tolist(), ws.tolist(), strict=True)) for ts, ws in vectors]
+    order = sorted((i for i, s in enumerate(sims) if s > 1e-12), key=lambda i: -sims[i])
+    return [(i, sims[i]) for i in order if sims[i] >= sims[order[min(k, len(order)) - 1]] - 1e-9]
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    docs, labels = tables(spark, "/root/testdata/sf0.001", "documents", "labels")
+    model = toxicity.train(docs, labels, per_class=120)
+    assert len(model.vocabulary) > 3
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, model).collect()}
+    vectors = toxicity.Vectors(model.vocabulary, model.idf, model.background)
+    for r in docs.collect():
+        near = _plain_neighbours(model.vectors, model.k, r["text"] or "", vectors)
+        w = [min(s, 1.0) ** model.power * model.weight[i] for i, s in near]
+        score = (sum(v * model.toxic[i] for v, (i, _) in zip(w, near, strict=True)) + model.shrink * model.prior) / (sum(w) + model.shrink)
+        row = got[r["doc_id"]]
+        assert abs(row["score"] - score) < 1e-9
+        assert np.allclose(row["similarity"], [s for _, s in near][: model.k], atol=1e-9)
+
+
+def test_toxicity_ties_do_not_know_the_labels(spark):
+    """Of 40 equal examples half of which are toxic, all vote, whatever their ids."""
+    plain = [(i, f"calm words about nothing {i}", 0) for i in range(100, 160)] + [(i, f"idiot words about nothing {i}", 1) for i in range(200, 260)]
+    tied = [(i, "same old text", i % 2) for i in range(40)]
+    rows = spark.createDataFrame([*plain, *tied], "doc_id long, text string, toxic int")
+    model = toxicity.train(rows, rows.select("doc_id", "toxic"))
+    got = toxicity.classify(spark.createDataFrame([(1, "same old text")], "doc_id long, text string"), model).first()
+    swapped = rows.withColumn("toxic", F.when(F.col("doc_id") < 40, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = toxicity.classify(spark.createDataFrame([(1, "same old text")], "doc_id long, text string"), toxicity.train(rows, swapped.select("doc_id", "toxic"))).first()
+    assert abs(got["score"] - 0.5) < 0.02 and got["score"] == other["score"]
+
+
+def test_quality_scores_match_brute_force(spark):
+    docs, labels = tables(spark, "/root/testdata/sf0.001", "documents", "labels")
+    model = quality.train(docs, labels, per_class=150)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, model).collect()}
+
+    def mixed(*parts):
+        out = 0
+        for p in parts:
+            out = (out ^ p) * 0x9E3779B97F4A7C15 % 2**64
+            out ^= out >> 29
+        return out
+
+    for r in docs.collect():
+        words = re.findall(r"\S{1,256}", r["text"] or "") if max(map(len, (r["text"] or "").split()), default=0) > 256 else (r["text"] or "").split()
+        case = lambda m: "X" if m[0].isupper() else "x" if m[0].islower() else "Xx" if m[0][0].isupper() else "xX"
+        shapes = [zlib.crc32(re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", case, w)).encode()) for w in words]
+        names = [zlib.crc32(w.lower().encode()) >> 1 for w in words]
+        shapes = [1 if i and words[i - 1].lower() == w.lower() and shapes[i - 1] == shapes[i] else shapes[i] for i, w in enumerate(words)]
+        features = {mixed(*shapes[i : i + k]) % quality.SHAPES for k in (1, 2, 3) for i in range(len(words) - k + 1)}
+        features |= {quality.SHAPES + mixed(*names[i : i + k]) % quality.WORDS for k in (1, 2) for i in range(len(words) - k + 1)}
+        margin = sum(float(np.float32(model.weights[f])) for f in features) / (len(features) + 1) ** 0.5 + model.bias
+        want = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -50, 50)))
+        assert abs(got[r["doc_id"]] - want) < 1e-4
+
+
+def test_languages_match_brute_force(spark):
+    (docs,) = tables(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.train(docs, per_lang=40)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+
+    def grams(text):
+        text, counts = text.lower(), {}
+        signs = re.sub("\0+", "\0", "\0" + "".join(c if c.isalpha() else "\0" for c in text))
+        signs = signs if text and not text[-1].isalpha() else signs + "\0"
+        # a mark at either end, runs of other signs being one mark
+        signs = ["\0", *("".join(c if c.isalpha() else "\0" for c in text)), "\0"]
+        kept = [signs[0]] + [c for i, c in enumerate(signs[1:-1], 1) if c != "\0" or (i > 1 and signs[i - 1] != "\0")] + [signs[-1]]
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                h = 0
+                for m, c in enumerate(kept[i : i + n], 1):
+                    h = (h * 0x100000001B3 % 2**64) ^ (ord(c) + m)
+                cell = (h * 0x9E3779B97F4A7C15 % 2**64) >> 51
+                counts[cell] = counts.get(cell, 0) + 1
+        return counts
+
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        v = np.zeros(langid.SIZE)
+        for cell, n in grams(r["text"]).items():
+            v[cell] = np.log1p(n) * model.idf[cell]
+        v /= np.linalg.norm(v)
+        cosine = model.centroids.astype(float) @ v
+        best = {}
+        for lang, c in zip(model.langs, cosine, strict=True):
+            best[lang] = max(best.get(lang, 0), c)
+        row = got[r["doc_id"]]
+        assert abs(row["score"] - max(best.values())) < 1e-4 and best[row["lang_pred"]] > max(best.values()) - 1e-4
+
+
+def test_grams_do_not_depend_on_slices(monkeypatch):
+    texts = ["ab  c1d ee", " x", "x ", "1 2", "a", "ab", "abc 12 def, ghi" * 20, "\U00030001\U0003134a word", ""]
+    want = [langid.Grams()(t) for t in texts]
+    assert want[3] is None and want[-1] is None and want[-2] is not None
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "_SLICE", size)
+        for t, w in zip(texts, want, strict=True):
+            g = langid.Grams()(t)
+            assert (g is None and w is None) or (g == w).all()
+
+
+def test_rare_letters_and_many_languages(spark):
+    rows = [(i, "\U00030001\U00030002\U00030003 " * 5, "rare") for i in range(30)] + [(100 + i, f"plain words {i}", "en") for i in range(30)]
+    rows += [(1000 + i, chr(0x4E00 + i) * 3, f"l{i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, clusters=2)
+    assert len(set(model.langs)) == 1202
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got[0] == "rare" and got[100] == "en"
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.9 * len(rows)
+
+
+def test_columns_of_any_name_are_left_alone(spark):
+    names = ["_found", "_judged", "_id", "_hash", "_n", "_score", "score2", "fp", "component", "salt", "rows"]
+    docs = spark.createDataFrame([(1, "good words here", *names), (2, "idiot words there", *names), (2, "idiot words there", *names)], ["doc_id", "text", *names])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (
+        langid.identify(docs, langid.train(docs.withColumn("lang", F.lit("en")))), toxicity.classify(docs, toxicity.train(docs, labels)),
+        quality.classify(docs, quality.train(docs, labels)), simhash.representatives(docs),
+    ):
+        kept = out.select(*names).collect()
+        assert kept and all(list(r) == names for r in kept)
+    assert simhash.representatives(docs).columns == docs.columns and simhash.representatives(docs).count() == 2
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "word " * 900_000), (2, "x" * 4_000_000), (3, "idiot " * 700_000), (4, "語" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labelled = spark.createDataFrame([(i, f"good calm prose number {i}" if i % 2 else f"idiot scum trash {i} idiot!!") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {r["predicted"] for r in toxicity.classify(docs, toxicity.train(labelled, labels)).where("doc_id = 3").collect()} == {1}
+    assert quality.classify(docs, quality.train(labelled, labels)).where("score between 0 and 1").count() == 4
+    assert langid.identify(docs, langid.train(labelled.withColumn("lang", F.lit("en")))).where("lang_pred = 'en'").count() >= 2
+    assert simhash.near_duplicates(docs).select("fp").distinct().count() == 4
+
+
 def _plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     shingles = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])
