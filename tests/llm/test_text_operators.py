@@ -423,6 +423,27 @@ def test_license_notice_of_several_blocks_within_a_document(spark):
     assert all(g[4] > 0.99 for g in got)
 
 
+def test_complete_license_files_are_found(spark):
+    """Files as they lie in repositories: title, copyright line, the licence's own blocks; the short ones also within other text."""
+    prose = "\n\n".join(f"Some paragraph number {k} of a guide that says nothing at all of rights" for k in range(25))
+    titles = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "MIT": "MIT License", "ISC": "ISC License"}
+    rows, want = [], {}
+    for name in [*licenses.TEXTS, "MIT"]:
+        text = licenses.TEMPLATES[name]
+        head = f"{titles[name]}\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n" if name in titles else ""
+        rows.append((len(rows), head + text))
+        want[rows[-1][0]] = ("text" if "\n\n" in head + text else "block", name)
+        if name in titles:
+            rows.append((len(rows), f"{prose}\n\nCopyright (c) 2021, Some Body\n\n{text}\n\n{prose}"))
+            want[rows[-1][0]] = ("run", name)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r["id"], set()).add((r["unit"], r["license"]))
+    for i, (unit, name) in want.items():
+        assert any(n == name and (u == unit or unit == "run") for u, n in got.get(i, ())), (i, unit, name, got.get(i))
+
+
 def test_license_runs_match_brute_force(spark):
     rng = random.Random(8)
     templates = {"A": "a b c d e f g h", "B": "a b c d e f g x y", "C": "c a c b c d", "D": "a b"}
