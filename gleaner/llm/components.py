@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import checkpoint
 
 
+#: Vertices held at once while links are contracted.
+HELD = 1_000_000
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fewer links that connect the same, from runs of links of at most about ``HELD`` vertices."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -26,14 +31,20 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x] = x = parent.setdefault(up, up)
         return x
 
+    def told() -> Iterator[pd.DataFrame]:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        for i in range(0, len(pairs), 50_000):
+            yield pd.DataFrame(pairs[i : i + 50_000], columns=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    for i in range(0, len(pairs), 50_000):
-        yield pd.DataFrame(pairs[i : i + 50_000], columns=["a", "b"])
+        if len(parent) > HELD:
+            yield from told()
+            parent.clear()
+    yield from told()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -41,7 +41,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_components_match_union_find(spark, held, monkeypatch):
+    monkeypatch.setattr(components, "HELD", held)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(60)] + [(900, 1000 + i) for i in range(80)]
     parent = {}
