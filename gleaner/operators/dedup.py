@@ -54,11 +54,11 @@ def without_redundant_git(origins: Column) -> Column:
     )
 
 
-def inside_another(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+def inside_another(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", tie: list[str] = ()) -> DataFrame:
     """``spans`` with ``contained``: whether another span of the same keys begins no later and ends no earlier.
 
-    Of equal spans the first stays free.  Spans are ordered by start (longest first), so the farthest end
+    Of equal spans the first (by ``tie``) stays free.  Spans are ordered by start (longest first), so the farthest end
     so far decides, and no pair of spans is formed.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(start), F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(F.col(start), F.desc(end), *tie).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("contained", F.coalesce(F.max(end).over(w) >= F.col(end), F.lit(False)))

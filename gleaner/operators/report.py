@@ -120,6 +120,42 @@ def bson_document(fields: dict) -> bytes:
     return struct.pack("<i", len(body) + 5) + body + b"\0"
 
 
+def bson_fields(raw: bytes, array: bool = False) -> dict | list:
+    """The fields of a BSON document made by ``bson_document``."""
+    out, at = {}, 4
+    while raw[at]:
+        kind, stop = raw[at], raw.index(b"\0", at + 1)
+        name, at = raw[at + 1 : stop].decode("utf-8"), stop + 1
+        if kind == 0x0A:
+            value = None
+        elif kind == 0x08:
+            value, at = bool(raw[at]), at + 1
+        elif kind in (0x01, 0x09, 0x10, 0x12):
+            form = {0x01: "<d", 0x09: "<q", 0x10: "<i", 0x12: "<q"}[kind]
+            value = struct.unpack_from(form, raw, at)[0]
+            at += struct.calcsize(form)
+        elif kind in (0x02, 0x03, 0x04):
+            size = struct.unpack_from("<i", raw, at)[0]
+            if kind == 0x02:
+                value, at = raw[at + 4 : at + 3 + size].decode("utf-8"), at + 4 + size
+            else:
+                value, at = bson_fields(raw[at : at + size], kind == 0x04), at + size
+        else:
+            raise ValueError(f"BSON kind {kind:#x}")
+        out[name] = value
+    return list(out.values()) if array else out
+
+
+def read_bson(documents: DataFrame) -> DataFrame:
+    """BSON documents (binary ``value``) as JSON in a column ``value``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"value": pd.Series([json.dumps(bson_fields(bytes(v))) for v in batch["value"]], dtype=object)})
+
+    return documents.select("value").mapInPandas(run, "value string")
+
+
 def bson(findings: DataFrame) -> DataFrame:
     """One BSON document per finding in a binary column ``value``."""
 

@@ -6,25 +6,35 @@ that do occur: tokens, e-mail addresses, dotted quads, licence lines and URLs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
 from gleaner.functions.regexes import re2_form
 from gleaner.operators import dedup, dependencies, matcher, report, validate
-from gleaner.session import checkpoint
+from gleaner.functions import templates
+from gleaner.session import checkpoint, shared_folder
+from gleaner.sources import archives
 from gleaner.sources import blobs as B
+from gleaner.sources import git
 from gleaner.sources.git import first_seen_linear
 from gleaner.sources.rules import Rule, at_least, check_rules, load_rules, rules_table, select_rules
+from gleaner.streaming import scan as streams
 
 TOKEN = Rule("demo.token", "Demo Token", r'token = "([0-9a-f]{40})"', min_entropy=3.0, confidence="high", examples=('token = "9f8e3d2c1b7a605948372615f4e3d2c19f8e3d2c"',))
 EMAIL = Rule("demo.email", "Demo Email", r"[a-z0-9._]{1,40}@[a-z0-9.]{1,40}\.[a-z]{2,4}", keywords=("@",), examples=("a@example.org",))
 QUAD = Rule("demo.ipv4", "Demo Address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", confidence="low", examples=("10.0.0.1",), depends_on=(("demo.email", "mail"),))
 LICENSE = Rule("demo.license", "Demo License", r"Licensed under [A-Za-z0-9 .,-]{3,60}\.", visible=False, examples=("Licensed under CC BY 4.0.",))
 URL = Rule("demo.url", "Demo URL", r"https?://[a-z0-9./_-]{4,80}", keywords=("http",), examples=("https://example.org/a",))
+WORD = Rule("demo.word", "Demo Word", r"\b([a-z]{14,40})\b", examples=("internationalisation",))
+LINK = Rule("demo.link", "Demo Link", r"(?<scheme>https?)://(?<host>[a-z0-9.]{4,60})(/[a-z0-9./_-]{1,60})?", keywords=("http",), examples=("https://example.org/a",))
 RULES = [TOKEN, EMAIL, QUAD, LICENSE, URL]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,10 +143,10 @@ def pages_scan(spark, sf_dir):
     return matcher.scan(pages, [EMAIL, URL]).select(B.path_of().cast("long").alias("page_id"), "rule_id", "secret", "start", "end")
 
 
-@query(f'SELECT key, rule_id, secret, start, "end" FROM ({_sql_found([EMAIL, QUAD, URL], table="(SELECT conv_id * 1000 + turn AS key, text FROM conversations)", key="key")})')
+@query(f'SELECT key, rule_id, secret, start, "end" FROM ({_sql_found([EMAIL, QUAD, URL, WORD], table="(SELECT conv_id * 1000 + turn AS key, text FROM conversations)", key="key")})')
 def conversation_scan(spark, sf_dir):
     rows = _read(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
-    found = matcher.scan(B.from_table(rows, "text", F.col("key").cast("string")), [EMAIL, QUAD, URL])
+    found = matcher.scan(B.from_table(rows, "text", F.col("key").cast("string")), [EMAIL, QUAD, URL, WORD])
     return found.select(B.path_of().cast("long").alias("key"), "rule_id", "secret", "start", "end")
 
 
@@ -165,6 +175,120 @@ def base64_source(spark, sf_dir):
 SQL["base64_source"] = f'SELECT doc_id, secret, start, "end" FROM ({_sql_found([TOKEN])})'
 
 
+#: SQL cannot repeat as often as the pattern of this rule may.
+_IN_SQL = [r for r in load_rules() if r.id != "pem.private_key"]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT doc_id, rule_id, '{r.name}' AS rule_name, '{r.confidence}' AS confidence, secret, start, \"end\" FROM ({_sql_found([r])})" for r in _IN_SQL
+))
+def builtin_pack_findings(spark, sf_dir):
+    """The built-in rule pack over the documents, without fingerprints, which SQL cannot compute."""
+    return _found(spark, sf_dir, _IN_SQL).select("doc_id", "rule_id", "rule_name", "confidence", "secret", "start", "end")
+
+
+_LINK_RE = re2_form(LINK.pattern).replace("?<", "?P<")
+
+
+@query(f"""SELECT page_id, name, value FROM (SELECT page_id, unnest(['scheme', 'host']) AS name, unnest([regexp_extract(w, '{_LINK_RE}', 1), regexp_extract(w, '{_LINK_RE}', 2)]) AS value
+FROM (SELECT page_id, unnest(regexp_extract_all(url, '{_LINK_RE}', 0)) AS w FROM pages))""")
+def named_captures(spark, sf_dir):
+    """The named groups of every match in the addresses of the pages."""
+    pages = B.from_table(_read(spark, sf_dir, "pages"), "url", F.col("page_id").cast("string"))
+    found = matcher.scan(pages, [LINK]).select(B.path_of().cast("long").alias("page_id"), F.explode("captures").alias("c"))
+    return found.where("c.match_number = -1").select("page_id", "c.name", "c.value")
+
+
+@query(f"""SELECT doc_id, start, CAST(CAST(('0x' || substr(h, 1, 16)) AS UBIGINT) & 9223372036854775807 AS VARCHAR) AS finding_id FROM (SELECT doc_id, start, sha1(concat(
+'{TOKEN.sha1}', chr(0), '{{"captures":[{{"name":null,"match_number":0,"start":', start - 9, ',"end":', "end" + 1, ',"value":"token = \\"', secret, '\\""}},{{"name":null,"match_number":1,"start":', start, ',"end":', "end",
+',"value":"', secret, '"}}]}}')) AS h FROM ({_sql_found([TOKEN])}))""")
+def finding_ids(spark, sf_dir):
+    return _found(spark, sf_dir, [TOKEN]).select("doc_id", "start", S.finding_id(F.col("rule_sha1"), F.col("captures")).alias("finding_id"))
+
+
+@query(f'SELECT doc_id, secret, start, "end" FROM ({_sql_found([TOKEN, EMAIL])})')
+def archive_scan(spark, sf_dir):
+    """The documents as members of zip archives, one of each, expanded and scanned."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr(f"{doc_id}.txt", text.encode("utf-8"))
+                yield pd.DataFrame({"path": [f"{doc_id}.zip"], "content": [file.getvalue()]})
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    packed = B.from_table(docs.mapInPandas(pack, "path string, content binary"), "content", F.col("path"))
+    found = matcher.scan(archives.expand(packed), [TOKEN, EMAIL])
+    return found.select(F.regexp_extract(B.path_of(), r"!(\d+)\.txt$", 1).cast("long").alias("doc_id"), "secret", "start", "end")
+
+
+@query(f"SELECT {_BLOB_SQL} AS blob_id, any_value(strlen(text)) AS num_bytes, list_sort(list(concat('doc/', doc_id))) AS paths FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def distinct_blobs(spark, sf_dir):
+    """Identical contents as one blob with the places of all."""
+    one = B.distinct_blobs(_doc_blobs(spark, sf_dir))
+    return one.select("blob_id", "num_bytes", F.array_sort(F.transform("origins", lambda o: o["path"])).alias("paths"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {_BLOB_SQL} NOT IN (SELECT {_BLOB_SQL} FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+def unseen_blobs(spark, sf_dir):
+    """Blobs that an earlier run, over every third document, has not seen."""
+    blobs = _doc_blobs(spark, sf_dir)
+    doc = F.substring(B.path_of(), 5, 30).cast("long")
+    return B.unseen(blobs, blobs.where(doc % 3 == 0)).select(doc.alias("doc_id"))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{r.id}' AS rule_id, count(DISTINCT {_BLOB_SQL}) AS blobs, count(*) AS calls FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{k}')" for k in r.literals)
+    + " HAVING count(*) > 0" for r in RULES if r.literals
+))
+def rule_calls(spark, sf_dir):
+    """In how many contents each rule's pattern was run, from the timings of a scan."""
+    times = checkpoint(matcher.timings(_doc_blobs(spark, sf_dir), [r for r in RULES if r.literals]))
+    calls = report.rule_statistics(times).select("rule_id", "calls")
+    return times.groupBy("rule_id").agg(F.count_distinct("blob_id").alias("blobs")).join(calls, "rule_id")
+
+
+@query("""SELECT window_start, count(*) AS findings, count(DISTINCT secret) AS secrets FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start,
+regexp_extract(props, '"k": ([0-9]{1,9})', 1) AS secret FROM events) WHERE secret <> '' AND length(list_distinct(string_split(secret, ''))) > 1 GROUP BY 1""")
+def stream_scan(spark, sf_dir):
+    """The events as a stream, scanned and written exactly once, then counted in windows."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = f"{folder}/in"  # a stream of files is read from a folder
+    events = _read(spark, sf_dir, "events")
+    events.repartition(4).write.parquet(source)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source).withColumn("seen", F.col("ts").cast("timestamp"))
+    found = matcher.scan(streams.table_stream(rows, "props", "seen", "event_id"), [_KEY_RULE])
+    streams.write_findings(found, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    done = spark.read.parquet(f"{folder}/out")
+    window = F.window("seen_at", "10 minutes").start.cast("timestamp_ntz")
+    return done.groupBy(window.alias("window_start")).agg(F.count("*").alias("findings"), F.count_distinct("secret").alias("secrets"))
+
+
+@query("""SELECT page_id, base64(encode(url)) AS b64, sha256(url) AS hash, url_encode(url) AS pct, upper(replace(url, '/', '-')) AS mixed FROM pages""")
+def template_filters(spark, sf_dir):
+    """Request templates over a column."""
+    forms = {"b64": "{{ URL | b64enc }}", "hash": "{{ URL | sha256 }}", "mixed": "{{ URL | replace: '/', '-' | upcase }}"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = {k: [templates.render(t, {"URL": u}) for u in batch["url"]] for k, t in forms.items()}
+            # everything but letters and digits is escaped; plain URL encoding leaves four signs
+            made["pct"] = [templates.render("{{ URL | url_encode }}", {"URL": u}).replace("%2D", "-").replace("%5F", "_").replace("%2E", ".").replace("%7E", "~") for u in batch["url"]]
+            yield pd.DataFrame({"page_id": batch["page_id"], **{k: pd.Series(v, dtype=object) for k, v in made.items()}})
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.mapInPandas(run, "page_id long, b64 string, hash string, mixed string, pct string")
+
+
+@query(r"""SELECT page_id FROM pages WHERE NOT ((regexp_matches(url, '(^|/)[^/]*[78][^/]*(/|$)') AND NOT regexp_matches(url, '(^|/)en(/|$)')) OR regexp_matches(url, '^http://[^/]*/fr(/|$)'))""")
+def ignore_list(spark, sf_dir):
+    """An ignore list with a class, a line that keeps what an earlier one leaves out, and an anchored line."""
+    pages = _read(spark, sf_dir, "pages")
+    return pages.where(~B.ignored(F.col("url"), ["*[78]*", "!en", "/http:/*/*/fr"])).select("page_id")
+
+
 @query()
 def builtin_pack(spark, sf_dir):
     """The whole built-in rule pack over the documents."""
@@ -292,15 +416,15 @@ def overlap_containment(spark, sf_dir):
     return dedup.inside_another(found, ["doc_id"])
 
 
-@query("SELECT l_orderkey, l_linenumber, contained FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= e, false) AS contained FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_orderkey * 10 + l_linenumber AS k FROM lineitem))")
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_orderkey * 10 + l_linenumber AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM i b WHERE b.l_suppkey = a.l_suppkey AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e OR b.k < a.k)) AS contained FROM i a""")
 def span_containment(spark, sf_dir):
     """Containment over many spans: line items as intervals of parts, per supplier."""
     items = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"),
+        "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
     )
-    w = Window.partitionBy("l_suppkey").orderBy("s", F.desc("e"), "k").rowsBetween(Window.unboundedPreceding, -1)
-    return items.select("l_orderkey", "l_linenumber", F.coalesce(F.max("e").over(w) >= F.col("e"), F.lit(False)).alias("contained"))
+    return dedup.inside_another(items, ["l_suppkey"], tie=["k"]).select("l_orderkey", "l_linenumber", "contained")
 
 
 _COMMITS = "(SELECT o_orderkey AS commit_id, o_orderdate AS topo, o_custkey AS blob_id FROM orders)"
@@ -315,6 +439,24 @@ def first_seen(spark, sf_dir):
     return first_seen_linear(orders).select("blob_id", "commit_id")
 
 
+_HISTORY_SQL = """n AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+edges AS (SELECT a.id, b.id AS parent FROM n a JOIN n b ON a.c = b.c AND (b.r = a.r - 1 - (a.r % 2) OR (a.r % 5 = 0 AND b.r = a.r - 1)))"""
+
+
+@query(f"""WITH RECURSIVE {_HISTORY_SQL}, up AS (SELECT id, parent FROM edges UNION SELECT up.id, e.parent FROM up JOIN edges e ON e.id = up.parent)
+SELECT id AS commit_id, c || '/' || p AS blob_id FROM n a WHERE NOT EXISTS (SELECT 1 FROM up JOIN n b ON b.id = up.parent WHERE up.id = a.id AND b.c = a.c AND b.p = a.p)""")
+def history_first_seen(spark, sf_dir):
+    """First-seen commits over branching histories: the orders of a customer as commits with branches and merges, priorities as blobs."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    n = checkpoint(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.row_number().over(order).alias("r")))
+    at = lambda back: F.lag("o_orderkey", back).over(order).cast("string")
+    first = F.when(F.col("r") % 2 == 1, at(2)).otherwise(at(1))
+    parents = F.array_distinct(F.array_compact(F.array(first, F.when(F.col("r") % 5 == 0, at(1)))))
+    commits = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), parents.alias("parents"))
+    changes = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), F.lit("f").alias("path"), F.concat_ws("/", "o_custkey", "o_orderpriority").alias("blob_id"))
+    return git.first_seen(commits, changes).select(F.col("commit_id").cast("long").alias("commit_id"), "blob_id")
+
+
 # --- dependencies ------------------------------------------------------------------------------------------------
 
 
@@ -423,6 +565,37 @@ def response_match(spark, sf_dir):
     return events.select("event_id", validate.response_matches(matchers, F.col("status"), none, F.col("props")).alias("met"))
 
 
+_ACCOUNT = Rule("demo.account", "Demo Account", r"acct ([0-9]{1,9})\b", min_entropy=-1.0)
+_PIN = Rule(
+    "demo.pin", "Demo Pin", r"pin ([0-9]{1,12})\b", min_entropy=-1.0, depends_on=(("demo.account", "AKID"),),
+    validation={"type": "Http", "content": {"request": {
+        "method": "GET", "url": "https://api.invalid/{{ AKID }}/{{ TOKEN }}", "response_matcher": [{"type": "StatusMatch", "status": [200]}]}}},
+)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 428 WHEN (o_custkey + o_orderkey) % 3 = 0 THEN 200 ELSE 401 END::INT AS status,
+o_custkey % 10 <> 0 AND (o_custkey + o_orderkey) % 3 = 0 AS success, CASE WHEN o_custkey % 10 = 0 THEN 'Validation skipped – missing dependent rules: demo.account' ELSE 'answer' END AS body
+FROM orders WHERE NOT regexp_matches(o_orderkey::VARCHAR, '123456789')""")
+def validate_dependent(spark, sf_dir):
+    """Secrets that need a second value from the same blob (orders as texts; every tenth customer's lack it), answered from a record."""
+    orders = _read(spark, sf_dir, "orders")
+    account = F.when(F.col("o_custkey") % 10 != 0, F.concat(F.lit("acct "), "o_custkey", F.lit(" "))).otherwise("")
+    texts = orders.select("o_orderkey", F.concat(account, F.lit("pin "), "o_orderkey").alias("text"))
+    found = checkpoint(matcher.scan(B.from_table(texts, "text", F.col("o_orderkey").cast("string")), [_ACCOUNT, _PIN]))
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    url = F.concat(F.lit("https://api.invalid/"), c, F.lit("/"), k)
+    request = F.concat(F.lit('{"headers": {}, "method": "GET", "url": "'), url, F.lit('"}'))
+    record = orders.select(
+        F.concat(F.lit("HTTP:"), F.sha1(request.cast("binary"))).alias("request_key"), F.when((c + k) % 3 == 0, 200).otherwise(401).alias("status"),
+        F.create_map(F.lit("content-type"), F.lit("text/plain")).alias("headers"), F.lit("answer").alias("body"),
+    )
+    told = validate.validated(found, [_ACCOUNT, _PIN], responses=record).where("rule_id = 'demo.pin'")
+    return told.select(
+        F.col("secret").cast("long").alias("o_orderkey"), F.col("validation_status").alias("status"), F.col("validation_success").alias("success"),
+        F.col("validation_body").alias("body"),
+    )
+
+
 # --- reports -----------------------------------------------------------------------------------------------------------
 
 
@@ -432,8 +605,8 @@ def rule_summary(spark, sf_dir):
 
 
 @query(f"""SELECT (SELECT count(*) FROM v) AS findings, coalesce((SELECT sum(1) FROM v WHERE success AND status <> 100), 0)::BIGINT AS successful,
-coalesce((SELECT sum(1) FROM v WHERE NOT success AND status <> 100), 0)::BIGINT AS failed, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS blobs,
-(SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes""".join([f"WITH v AS ({_VALID_SQL}) ", ""]))
+coalesce((SELECT sum(1) FROM v WHERE NOT success AND status <> 100), 0)::BIGINT AS failed, (SELECT count(DISTINCT {_BLOB_SQL}) FROM documents WHERE text IS NOT NULL) AS blobs,
+(SELECT sum(strlen(text))::BIGINT FROM (SELECT DISTINCT text FROM documents)) AS bytes""".join([f"WITH v AS ({_VALID_SQL}) ", ""]))
 def scan_summary(spark, sf_dir):
     return report.summary(_validated(spark, sf_dir), _doc_blobs(spark, sf_dir))
 
@@ -479,6 +652,52 @@ def report_pretty(spark, sf_dir):
     return report.pretty(report.shown(_found(spark, sf_dir)))
 
 
+_SHOWN_SQL = f"""SELECT doc_id, rule_id, rule_name, secret AS snippet, concat('doc/', doc_id) AS path, 1 + length(b) - length(replace(b, chr(10), '')) AS "line"
+FROM (SELECT *, CASE WHEN start = 0 THEN '' ELSE decode(encode(body)[1:start]) END AS b FROM ({_sql_found()})) JOIN {_RULES_SQL} USING (rule_id) WHERE visible"""
+_REPORT = "struct<id:string,matches:array<struct<rule:struct<name:string,id:string>,finding:struct<snippet:string,path:string,line:bigint>>>>"
+
+
+def _read_back(lines: DataFrame) -> DataFrame:
+    m = F.from_json("value", _REPORT)["matches"][0]
+    return lines.select(m["rule"]["id"].alias("rule_id"), m["rule"]["name"].alias("rule_name"), m["finding"]["snippet"].alias("snippet"), m["finding"]["path"].alias("path"), m["finding"]["line"].alias("line"))
+
+
+@query(f'SELECT rule_id, rule_name, snippet, path, "line" FROM ({_SHOWN_SQL})')
+def report_json_lines_read(spark, sf_dir):
+    """The JSON lines, written and read back."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    report.write_json_lines(report.shown(_found(spark, sf_dir)), path)
+    return _read_back(spark.read.text(path))
+
+
+@query(f'SELECT rule_id, rule_name, snippet, path, "line" FROM ({_SHOWN_SQL})')
+def report_bson_read(spark, sf_dir):
+    """The BSON documents, read back."""
+    return _read_back(report.read_bson(report.bson(report.shown(_found(spark, sf_dir)))))
+
+
+@query(f'SELECT rule_id, rule_name, snippet, path, "line" FROM ({_SHOWN_SQL})')
+def report_sarif_read(spark, sf_dir):
+    """The SARIF results, read back."""
+    place = "$.locations[0].physicalLocation."
+    get = lambda path: F.get_json_object("result", path)
+    return report.sarif_results(report.shown(_found(spark, sf_dir))).select(
+        get("$.ruleId").alias("rule_id"), "rule_name", get(place + "region.snippet.text").alias("snippet"), get(place + "artifactLocation.uri").alias("path"),
+        get(place + "region.startLine").cast("long").alias("line"),
+    )
+
+
+@query(f'SELECT upper(rule_id) AS rule_id, upper(rule_name) AS rule_name, snippet, path, "line" FROM ({_SHOWN_SQL})')
+def report_pretty_read(spark, sf_dir):
+    """The blocks of text, read back."""
+    blocks = report.pretty(report.shown(_found(spark, sf_dir)))
+    take = lambda pattern: F.regexp_extract("value", pattern, 1)
+    return blocks.select(
+        take(r"=> \[([^\]]*)\]").alias("rule_id"), take(r"^(.*?) => \[").alias("rule_name"), take(r"\|Finding\.*: (.*)").alias("snippet"),
+        take(r"\|Path\.*: (.*)").alias("path"), take(r"\|Line Num\.*: (.*)").cast("long").alias("line"),
+    )
+
+
 @query(f"SELECT rule_id, rule_name, confidence, visible, min_entropy::FLOAT AS min_entropy FROM {_RULES_SQL} WHERE confidence IN ('medium', 'high')")
 def rules_catalog(spark, sf_dir):
     chosen = select_rules(at_least(RULES, "medium"), ["demo"])

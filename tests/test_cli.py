@@ -1,12 +1,19 @@
 """The command line, and predicates around validators."""
 
 import json
+import subprocess
 
+import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from gleaner import cli
+from gleaner.functions import regexes
 from gleaner.functions import scalars as S
-from gleaner.sources.rules import load_rules
+from gleaner.operators import matcher, validate
+from gleaner.sources import blobs
+from gleaner.sources.rules import Rule, load_rules
+from gleaner.streaming import scan as streams
 
 TOKEN = "ghp_x7Kq2LmZ9rTvB4nWc8YdHs1FgJp6UeAoRi3N"
 
@@ -51,3 +58,161 @@ def test_predicates(spark):
     ).first()
     assert (row["o"], row["p"], row["q"]) == (False, False, False)
     assert (row["m"], row["a"], row["b"], row["c"], row["n"]) == (True, True, False, "https___a_b", "1 rule") and row["k"].startswith("AWS:") and len(row["k"]) == 44
+
+
+RULES = """
+rules:
+  - {id: demo.live, name: Live Demo, pattern: 'live_([a-z0-9]{16})', min_entropy: 2.0, examples: ['live_q8z3lmxv7ktrn2wc'],
+     validation: {type: Http, content: {request: {method: GET, url: 'https://h.invalid/{{ TOKEN }}', response_matcher: [{type: StatusMatch, status: [200]}]}}}}
+  - {id: demo.pre, name: Known Demo, pattern: 'pre_([a-z0-9]{16})', min_entropy: 2.0, prevalidated: true, examples: ['pre_q8z3lmxv7ktrn2wc']}
+"""
+
+
+def answering(request):
+    """A transport: secrets that begin with a letter are good, one cannot be reached at first."""
+    import os
+
+    last = request["url"].rsplit("/", 1)[1]
+    if last.startswith("z"):
+        mark = os.path.join(os.environ["GLEANER_TEST_MARKS"], last)
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            return 503, {}, ""
+    return (200 if last[0].isalpha() else 401), {"Content-Type": "text/plain"}, "ok"
+
+
+def _folder(tmp_path, monkeypatch, text):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text(text)
+    (tmp_path / "r.yml").write_text(RULES)
+    monkeypatch.setenv("GLEANER_TEST_MARKS", str(tmp_path))
+    return [tmp_path / "in", "--rules-path", tmp_path / "r.yml", "--load-builtins", "false", "--transport", "tests.test_cli:answering", "--format", "json"]
+
+
+def _told(out):
+    return {m["finding"]["snippet"]: m["finding"]["validation"]["status"] for r in json.loads(out or "[]") for m in r["matches"]}
+
+
+def test_scan_validates(spark, tmp_path, monkeypatch, capfd):
+    monkeypatch.setattr(cli, "_transport", lambda name: answering)
+    args = _folder(tmp_path, monkeypatch, "x = 'live_a8z3lmxv7ktrn2wc'\ny = 'live_98z3lmxv7ktrn2wc'\n")
+    code, out = _scan(capfd, *args)
+    assert code == 205 and _told(out.out) == {"a8z3lmxv7ktrn2wc": "Active Credential", "98z3lmxv7ktrn2wc": "Inactive Credential"}
+    assert json.loads(out.out)[0]["matches"][0]["finding"]["language"] == "Python"
+    code, out = _scan(capfd, *args, "--only-valid")
+    assert code == 205 and _told(out.out) == {"a8z3lmxv7ktrn2wc": "Active Credential"}
+    code, out = _scan(capfd, *args, "--no-validate")
+    assert code == 200 and set(_told(out.out).values()) == {"Not Attempted"}
+
+
+def test_prevalidated_and_redacted(spark, tmp_path, monkeypatch, capfd):
+    args = _folder(tmp_path, monkeypatch, "x = 'pre_a8z3lmxv7ktrn2wc'\n")
+    for more in ([], ["--no-validate"], ["--only-valid"]):
+        code, out = _scan(capfd, *args, *more)
+        assert code == 205 and _told(out.out) == {"a8z3lmxv7ktrn2wc": "Active Credential"}
+    code, out = _scan(capfd, *args, "--redact", "--rule-stats", "--snippet-length", 4)
+    assert code == 205 and "a8z3lmxv7ktrn2wc" not in out.out and "[REDACTED:" in out.out and "demo.pre: 1 contents" in out.err
+    code, out = _scan(capfd, *args, "--snippet-length", "5")
+    assert json.loads(out.out)[0]["matches"][0]["finding"]["context"] == {"before": " 'pre_"[1:], "after": "'\n"}
+
+
+def test_origins_of_identical_contents_are_kept(spark, tmp_path, monkeypatch, capfd):
+    args = _folder(tmp_path, monkeypatch, "x = 'pre_a8z3lmxv7ktrn2wc'\n")
+    (tmp_path / "in" / "b.py").write_text("x = 'pre_a8z3lmxv7ktrn2wc'\n")
+    code, out = _scan(capfd, *args[:-1], "pretty")
+    assert code == 205 and out.out.count("|Path") == 2 and out.out.count("KNOWN DEMO") == 1
+
+
+def test_standard_input_repositories_and_ignore_lists(spark, tmp_path, monkeypatch, capfd):
+    import io
+
+    args = _folder(tmp_path, monkeypatch, "x = 1\n")
+    monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": io.BytesIO(b"pre_a8z3lmxv7ktrn2wc"), "isatty": lambda self: False})())
+    code, out = _scan(capfd, "-", *args[1:])
+    assert code == 205 and json.loads(out.out)[0]["matches"][0]["finding"]["path"] == "stdin_input"
+    repo = tmp_path / "in" / "repo"
+    repo.mkdir()
+    git = ["git", "-C", str(repo), "-c", "user.name=A", "-c", "user.email=a@b.c"]
+    for step in (["init", "-q"], ["add", "."], ["commit", "-q", "-m", "one"], ["rm", "-q", "s.txt"], ["commit", "-q", "-m", "two"]):
+        if step == ["add", "."]:
+            (repo / "s.txt").write_text("pre_b8z3lmxv7ktrn2wc")
+        subprocess.run([*git, *step], check=True)
+    code, out = _scan(capfd, *args)
+    assert code == 205 and json.loads(out.out)[0]["matches"][0]["finding"]["git_metadata"]["file"]["path"] == "s.txt"
+    assert _scan(capfd, *args, "--no-git")[0] == 0
+    (tmp_path / "in" / "build").mkdir()
+    (tmp_path / "in" / "build" / "c.py").write_text("pre_c8z3lmxv7ktrn2wc")
+    (tmp_path / "ignore").write_text("/build\n!/build\n/repo/\n")
+    assert _scan(capfd, *args, "--no-git", "--ignore", tmp_path / "ignore")[0] == 205
+    (tmp_path / "ignore").write_text("/build\n")
+    assert _scan(capfd, *args, "--no-git", "--ignore", tmp_path / "ignore")[0] == 0
+
+
+def test_rules_with_unknown_methods_do_not_load(tmp_path, capfd):
+    (tmp_path / "bad.yml").write_text(RULES.replace("method: GET", "method: BREW"))
+    assert cli.main(["rules", "check", "--rules-path", str(tmp_path)]) == 1
+    assert "Failed to load rules" in capfd.readouterr().err
+
+
+def test_send_retries_and_gives_up_in_time(spark):
+    rows = [("a", '{"n": 1}'), ("b", '{"n": 2}'), ("c", '{"n": 3}'), ("a", '{"n": 1}')]
+    requests = spark.createDataFrame(rows, "request_key string, request string")
+
+    def transport(request, seen={}):  # noqa: B006 - remembers how often each was asked in a task
+        import time
+
+        seen[request["n"]] = seen.get(request["n"], 0) + 1
+        if request["n"] == 1:
+            return (503, {}, "") if seen[1] == 1 else (200, {"A": "b"}, "x" * 900)
+        if request["n"] == 2:
+            time.sleep(6)
+        raise OSError("no route")
+
+    got = {r["request_key"]: r for r in validate.send(requests.coalesce(1), transport, pause=0.01, deadline=2.0).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"a": 200, "b": 408, "c": 502}
+    assert got["a"]["headers"] == {"a": "b"} and len(got["a"]["body"]) == 512
+
+
+def test_cached_answers_are_not_asked_for_again(spark):
+    rule = Rule.of(yaml.safe_load(RULES)["rules"][0])
+    found = matcher.scan(blobs.from_bytes(spark, [("f", b"live_a8z3lmxv7ktrn2wc live_b8z3lmxv7ktrn2wc live_c8z3lmxv7ktrn2wc")]), [rule])
+    keys = {r["secret"]: r["request_key"] for r in validate.plan_requests(found, [rule]).collect()}
+    cache = spark.createDataFrame([(keys["a8z3lmxv7ktrn2wc"], 200, {}, "old", 0), (keys["b8z3lmxv7ktrn2wc"], 200, {}, "old", 2000)], "request_key string, status int, headers map<string,string>, body string, age int")
+    cache = cache.withColumn("validated_at", F.current_timestamp() - F.make_interval(secs=F.col("age"))).drop("age")
+    told = {r["secret"]: r for r in validate.validated(found, [rule], lambda request: (401, {}, "new"), cache=cache).collect()}
+    assert {s[0]: (r["validation_status"], r["validation_body"]) for s, r in told.items()} == {"a": (200, "old"), "b": (401, "new"), "c": (401, "new")}
+    without = validate.validated(found, [rule], cache=cache).groupBy("validation_status").count().collect()
+    assert {r[0]: r[1] for r in without} == {200: 1, 100: 2}
+
+
+def test_paths_of_clones_and_schemes(spark):
+    urls = ["https://Host.example:8080/a/b.git", "https://h.example/", "http://h.example/x"]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select(S.git_url_path(F.col("u")).alias("p")).collect()
+    assert [r["p"] for r in rows] == ["https/host.example:8080/a/b.git", "https/h.example", "http/h.example/x"]
+
+
+def test_patterns_that_run_away_are_stopped():
+    assert regexes.runs_away(r"(a+)+$") and regexes.runs_away(r"(?:x|(b*c)*)+") and not regexes.runs_away(r"[a-z]{3,40}\.(com|org)+")
+    bounded = regexes.Bounded("demo.bad", r"(x+x+)+y", seconds=0.2)
+    assert [m.group() for m in bounded.finditer(b"xxxxy")] == [b"xxxxy"]
+    with pytest.raises(regexes.PatternError, match="demo.bad"):
+        list(bounded.finditer(b"x" * 3000))
+
+
+def test_many_literals_are_found_by_one_automaton():
+    rules = [Rule(f"r.{i}", f"rule {i}", f"key{i:03d}=([a-z]{{8}})", examples=()) for i in range(300)]
+    scanner = matcher.Scanner(rules)
+    assert scanner.automaton is not None
+    found = scanner(b"x key007=abcdefgh KEY008=abcdefgh key299=qwertyui", "file")
+    assert [m["rule_id"] for m in found] == ["r.7", "r.299"]
+
+
+def test_file_streams_are_scanned(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / f"{name}.txt").write_text(f"token {TOKEN} {name}\n")
+    rule = [r for r in load_rules() if r.id == "github.pat"]
+    found = streams.scan_stream(streams.file_stream(spark, str(tmp_path / "in")), rule)
+    streams.write_findings(found, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r["secret"] for r in rows] == [TOKEN] and rows[0]["seen_at"] is not None and len(rows[0]["blob_id"]) == 40
