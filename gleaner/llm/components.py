@@ -47,11 +47,17 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from told()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over edges (a, b), a > b."""
+def _star(edges: DataFrame, large: bool, share: int) -> DataFrame:
+    """One large-star or small-star step over edges (a, b), a > b.
+
+    Vertices with more than ``share`` edges are joined by broadcast, so that no task gets all edges of a hub; as ``share``
+    is a part of all edges, there are few of them.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > share).select("a", "m"))
+    others = least.where(F.col("n") <= share).select("a", "m")
+    joined = both.join(hubs, "a").unionByName(both.join(hubs.select("a"), "a", "left_anti").join(others, "a"))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -82,7 +88,9 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 50)
         if state == before or not state["n"]:
             break
         before = state
-        edges = checkpoint(_star(_star(edges, large=True), large=False))
+        # half a partition's share of the edges in both directions: fewer than four times the partitions are hubs
+        share = max(1000, state["n"] // (2 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        edges = checkpoint(_star(_star(edges, True, share), False, share))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
