@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -115,7 +116,8 @@ def format_conversations(
 
     Turns go by ``turn`` (nulls first), equal ones by role and text; repeated rows are
     turns of their own.  Null texts and roles are empty; rows without a conv_id form one
-    conversation with a null id.
+    conversation with a null id.  An empty table gives an empty result; columns other than the four named play no
+    part, whatever their names.  Texts of any length are encoded whole.
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
     ordered = rows.select(
@@ -139,7 +141,7 @@ def format_conversations(
             encoded = encoder.encode_batch([text for text, _ in rendered], add_special_tokens=False)
             out = []
             for (conv, k, own), (text, spans), code in zip(ready, rendered, encoded, strict=True):
-                offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
+                offsets = np.fromiter(chain.from_iterable(code.offsets), np.int64, 2 * len(code.ids)).reshape(-1, 2)
                 mask = token_mask(offsets[:, 0], offsets[:, 1], spans)
                 out.append((conv, k, len(own), text, code.ids, offsets[:, 0], offsets[:, 1], mask))
             ready.clear()

@@ -331,6 +331,49 @@ def test_pipeline_stages(spark):
     assert total.max() <= 1024 and set(packed["doc_id"]) <= {r["doc_id"] for r in docs.collect()}
 
 
+def test_pipeline_is_its_stages_one_after_another(spark):
+    """What ``run`` returns against the operators by themselves: scores on all rows, components among what is left, the tokenizer."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from gleaner.llm import packing, quality, simhash, toxicity
+    from gleaner.llm.common import crc_mod
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = tables(spark, sf, "documents", "labels")
+    toxic = toxicity.classify(docs, toxicity.train(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)).where("predicted = 1").select("doc_id").collect()
+    good = quality.classify(docs, quality.train(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)).where("predicted = 1").select("doc_id").collect()
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    left = sorted({r["doc_id"] for r in good} - {r["doc_id"] for r in toxic})
+    prints = {i: simhash.fingerprint(rows[i]) for i in left}
+    root = {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in left:
+        for j in left:
+            if j > i and bin(prints[i] ^ prints[j]).count("1") <= 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    kept = [i for i in left if find(i) == i]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    want = {i: [*tokenizer.encode(rows[i], add_special_tokens=False).ids, 2] for i in kept}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert 0 < len(kept) < len(rows) and {r["doc_id"] for r in got} == set(kept)
+    for r in got:
+        ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"]
+    assert sum(r["length"] for r in got) == sum(map(len, want.values()))
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert ends.get(r["sequence_id"], 0) == r["offset"]
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024 and len(ends) <= -(-sum(ends.values()) // 1024) + 3
+
+
 def test_every_operator_is_registered():
     from gleaner import llm
 
