@@ -34,31 +34,52 @@ def repositories(path: str) -> list[str]:
     return found
 
 
-def read_history(spark: SparkSession, repo: str) -> tuple[DataFrame, DataFrame]:
+_HISTORY = "commit_id string, parents array<string>, topo long, committer_name string, committer_email string, seconds long, path string, blob_id string"
+
+
+def read_history(spark: SparkSession, repo: str, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of all refs of a local repository.
 
     commits: commit_id, parents, topo (ancestors first), committer_name, committer_email, committer_ts.
     changes: commit_id, path, blob_id of the files each commit adds or changes against each of its parents.
+    Only the ids of the commits come to the driver; they are dealt out, and tasks read and compare them.  The repository must
+    be reachable from the executors.
     """
-    log = _git(repo, "log", "--all", "--topo-order", "--reverse", "--format=%H%x00%P%x00%cn%x00%ce%x00%ct").decode("utf-8", "replace")
-    commits = []
-    for topo, line in enumerate(filter(None, log.split("\n"))):
-        oid, parents, name, mail, when = line.split("\0")
-        commits.append((oid, parents.split(), topo, name, mail, int(when)))
-    table = spark.createDataFrame(
-        commits, "commit_id string, parents array<string>, topo long, committer_name string, committer_email string, seconds long"
-    ).withColumn("committer_ts", F.timestamp_seconds("seconds")).drop("seconds")
-    raw = _git(repo, "log", "--all", "-m", "--raw", "--no-abbrev", "--no-renames", "--root", "-z", "--format=%x01%H").decode("utf-8", "replace")
-    changes = set()
-    for part in raw.split("\x01")[1:]:
-        fields = part.replace("\n", "\0").split("\0")
-        oid, rest = fields[0].split(" ")[0], [f for f in fields[1:] if f]
-        for i, f in enumerate(rest):
-            if f.startswith(":") and i + 1 < len(rest):
-                _, mode, _, new, status = f.split(" ")
-                if status[0] != "D" and mode not in ("160000", "120000"):
-                    changes.add((oid, rest[i + 1], new))
-    return table, spark.createDataFrame(sorted(changes), "commit_id string, path string, blob_id string")
+    ids = [(oid, topo) for topo, oid in enumerate(_git(repo, "rev-list", "--all", "--topo-order", "--reverse").decode().split())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                topo = dict(zip(part["commit_id"], part["topo"], strict=True))
+                asked = ("\n".join(topo) + "\n").encode()
+                found = []
+                told = ("log", "--no-walk=unsorted", "--stdin")
+                for line in filter(None, _git(repo, *told, "--format=%H%x00%P%x00%cn%x00%ce%x00%ct", data=asked).decode("utf-8", "replace").split("\n")):
+                    oid, parents, name, mail, when = line.split("\0")
+                    found.append((oid, parents.split(), topo[oid], name, mail, int(when), None, None))
+                raw = _git(repo, *told, "-m", "--raw", "--no-abbrev", "--no-renames", "--root", "-z", "--format=%x01%H", data=asked).decode("utf-8", "replace")
+                changes = set()
+                for one in raw.split("\x01")[1:]:
+                    fields = one.replace("\n", "\0").split("\0")
+                    oid, rest = fields[0].split(" ")[0], [f for f in fields[1:] if f]
+                    for i, f in enumerate(rest):
+                        if f.startswith(":") and i + 1 < len(rest):
+                            _, mode, _, new, status = f.split(" ")
+                            if status[0] != "D" and mode not in ("160000", "120000"):
+                                changes.add((oid, None, None, None, None, None, rest[i + 1], new))
+                yield _rows(found + sorted(changes, key=lambda c: (c[0], c[6], c[7])))
+
+    rows = checkpoint(spark.createDataFrame(ids, "commit_id string, topo long").repartition(partitions, "commit_id").mapInPandas(run, _HISTORY))
+    commits = rows.where("topo is not null").select(
+        "commit_id", "parents", "topo", "committer_name", "committer_email", F.timestamp_seconds("seconds").alias("committer_ts")
+    )
+    return commits, rows.where("topo is null").select("commit_id", "path", "blob_id")
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    names = [f.split(" ")[0] for f in _HISTORY.split(", ")]
+    return pd.DataFrame(rows, columns=names, dtype=object).astype({"topo": "Int64", "seconds": "Int64"})
 
 
 def read_objects(spark: SparkSession, repo: str, partitions: int = 8) -> DataFrame:
