@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import scalars as S
 from gleaner.functions.regexes import re2_form
 from gleaner.operators import dedup, dependencies, matcher, report, validate
+from gleaner.functions import sql as sql_functions
 from gleaner.functions import templates
 from gleaner.session import checkpoint, shared_folder
 from gleaner.sources import archives
@@ -403,6 +404,19 @@ def dedup_fingerprint_origins(spark, sf_dir):
     return merged.select("secret", "start", "end", F.size("origins").cast("long").alias("origins"), F.col("doc_id").alias("first_doc"))
 
 
+@query(f"""SELECT doc_id, rule_id, start, round({_SQL_ENTROPY.format(v='secret')}, 3) AS entropy, {_BLOB_SQL.replace('text', 'body')} AS blob_id, false AS safe,
+concat('[REDACTED:', left(sha256(concat('salt', secret)), 8), ']') AS shown FROM ({_sql_found([TOKEN, EMAIL])})""")
+def sql_scan(spark, sf_dir):
+    """A scan in SQL, by the registered functions and the table function."""
+    sql_functions.register(spark, [TOKEN, EMAIL])
+    found = spark.sql(
+        "SELECT doc_id, s.rule_id, s.start, gleaner_entropy(cast(s.secret AS BINARY)) AS e, gleaner_blob_id(cast(text AS BINARY)) AS blob_id, "
+        "gleaner_is_safe(s.secret) AS safe, gleaner_redacted(s.secret, 'salt') AS shown FROM {docs} d, LATERAL gleaner_scan_text(d.text) s",
+        docs=_read(spark, sf_dir, "documents"),
+    )
+    return found.select("doc_id", "rule_id", "start", F.round(F.col("e").cast("double"), 3).alias("entropy"), "blob_id", "safe", "shown")
+
+
 @query(f"SELECT DISTINCT secret, start, concat('doc/', doc_id) AS path FROM ({_sql_found()})")
 def no_dedup_explode(spark, sf_dir):
     rows = dedup.origin_rows(_found(spark, sf_dir), ["fingerprint", "secret", "start"])
