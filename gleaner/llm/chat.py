@@ -22,14 +22,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.packing import tokenizer_path
+from gleaner.llm.packing import byte_bpe, tokenizer_path
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 LOSS_ROLE = "assistant"
@@ -78,6 +77,48 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     ]
 
 
+class Encoder:
+    """Ids and character spans of rendered texts, those that ``tokenizer`` gives, several times as fast.
+
+    Control strings are single tokens; what stands between them is encoded by itself, and the lengths of its tokens in bytes
+    give their places.  A token that holds part of a character spans the whole of it.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.bpe = byte_bpe(path)
+        self.between = re.compile(f"({'|'.join(map(re.escape, CONTROLS))})")
+        self.ids = {c: np.array([self.bpe.size + i], np.int32) for i, c in enumerate(CONTROLS)}
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, begins, stops, at = [], [], [], 0
+        for k, part in enumerate(self.between.split(text)):
+            if k % 2:
+                ids.append(self.ids[part])
+                begins.append([at])
+                stops.append([at + len(part)])
+            elif part:
+                own = np.frombuffer(self.bpe(part), "<i4")
+                end = np.cumsum(self.bpe.lengths[own])
+                raw = part.encode("utf-8", "replace")
+                if len(raw) == len(part):
+                    begin, stop = end - self.bpe.lengths[own], end
+                else:
+                    seen = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                    begin, stop = seen[end - self.bpe.lengths[own]] - 1, seen[end - 1]
+                ids.append(own)
+                begins.append(at + begin)
+                stops.append(at + stop)
+            at += len(part)
+        if not ids:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(begins).astype(np.int64), np.concatenate(stops).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import AddedToken, Tokenizer
@@ -129,7 +170,7 @@ def format_conversations(
     ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = tokenizer(path)
+        encode = encoder(path)
         current, number, turns, size, ready = None, 0, [], 0, []
 
         def close() -> None:
@@ -137,13 +178,11 @@ def format_conversations(
                 ready.append((current, number, list(turns)))
 
         def flush() -> pd.DataFrame:
-            rendered = [render(t) for _, _, t in ready]
-            encoded = encoder.encode_batch([text for text, _ in rendered], add_special_tokens=False)
             out = []
-            for (conv, k, own), (text, spans), code in zip(ready, rendered, encoded, strict=True):
-                offsets = np.fromiter(chain.from_iterable(code.offsets), np.int64, 2 * len(code.ids)).reshape(-1, 2)
-                mask = token_mask(offsets[:, 0], offsets[:, 1], spans)
-                out.append((conv, k, len(own), text, code.ids, offsets[:, 0], offsets[:, 1], mask))
+            for conv, k, own in ready:
+                text, spans = render(own)
+                ids, begin, stop = encode(text)
+                out.append((conv, k, len(own), text, ids, begin, stop, token_mask(begin, stop, spans)))
             ready.clear()
             frame = pd.DataFrame(out, columns=["conv_id", "segment", "n_turns", "text", "ids", "begin", "stop", "mask"])
             return frame.astype({"conv_id": "Int64"})

@@ -57,6 +57,13 @@ class ByteBpe:
         plain = _byte_values()
         ranks = {bytes(map(plain.__getitem__, piece)): i for piece, i in saved["model"]["vocab"].items() if piece not in special}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        #: How many ids there are, special ones included, and how many bytes each stands for.
+        self.size = len(ranks) + len(special)
+        self.lengths = np.zeros(self.size, np.int64)
+        for piece, i in ranks.items():
+            self.lengths[i] = len(piece)
+        for piece, i in special.items():
+            self.lengths[i] = len(piece.encode("utf-8"))
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.between = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
 

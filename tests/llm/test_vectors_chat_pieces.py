@@ -167,6 +167,18 @@ def test_mask_covers_assistant_texts_exactly(turns):
     assert chat.loss_text(text, offsets[:, 0], offsets[:, 1], mask) == "".join(t for r, t in turns if r == "assistant")
 
 
+PARTS = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<s", "words ", "  ", "\n\n", "é", "日本語", "😀", "'s", "12", "\x00", "ß\u0301", "<|endoftext|>"]), max_size=25).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PARTS)
+def test_encoder_gives_what_the_tokenizer_gives(text):
+    path = tokenizer_path("byte_bpe_50k.json")
+    code = chat.tokenizer(path).encode(text, add_special_tokens=False)
+    ids, begin, stop = chat.encoder(path)(text)
+    assert ids.tolist() == code.ids and list(zip(begin.tolist(), stop.tolist(), strict=True)) == code.offsets
+
+
 def _expected(turns):
     said = "".join(f"{r}\n{t}\n" for r, t in turns)
     lost = "".join(t for r, t in turns if r == "assistant")
