@@ -8,8 +8,9 @@ blocks of examples with the largest weight of each term in each block (block-max
 query scores the blocks of highest bound first and of the others only those that can
 hold one of its ``k`` nearest examples; the neighbours are exact.
 
-Votes are weighted by similarity and by how many labelled documents an example stands for,
-and shrunk towards the share of label 1, which makes the score a calibrated
+The ``k`` nearest sampled documents vote; documents with equal vectors are one example, and those that tie for the last
+places share them, so that votes depend neither on ids nor on the order of the labels.  Votes are
+weighted by similarity and by how many labelled documents an example stands for, and shrunk towards the share of label 1, which makes the score a calibrated
 probability.  The neighbours are returned as evidence.
 """
 
@@ -133,8 +134,8 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    """An example is a vector that one or more labelled documents have: ``ids`` is the smallest of theirs, ``weight`` how
-    many labelled documents they stand for, ``toxic`` the share of those with label 1."""
+    """An example is a vector that one or more sampled documents have: ``ids`` is the smallest of theirs, ``docs`` their
+    number, ``weight`` how many labelled documents they stand for, ``toxic`` the share of those with label 1."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -142,14 +143,24 @@ class ToxicityModel:
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
+    docs: np.ndarray
     prior: float
     background: float = 0.05
     k: int = 15
     power: int = 4
     shrink: float = 0.5
 
+    def shares(self, numbers: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+        """How much of each example counts, nearest first: all, until ``k`` documents are reached; those that tie for the
+        last places share them alike."""
+        if not len(numbers):
+            return similarity
+        tie = np.concatenate(([0], np.cumsum(similarity[:-1] - similarity[1:] > TIE)))
+        size = np.bincount(tie, weights=self.docs[numbers])
+        return np.clip((self.k - (np.cumsum(size) - size)) / size, 0, 1)[tie]
+
     def vote(self, numbers: np.ndarray, similarity: np.ndarray) -> float:
-        w = np.minimum(similarity, 1.0) ** self.power * self.weight[numbers]
+        w = np.minimum(similarity, 1.0) ** self.power * self.weight[numbers] * self.shares(numbers, similarity)
         return float((w @ self.toxic[numbers] + self.shrink * self.prior) / (w.sum() + self.shrink))
 
 
@@ -197,7 +208,7 @@ def fit(sample: Sample, least: int = 5, chi: float = 15.0, most: int = 4000, **s
     total = sum(sample.counts.values())
     prior = sample.counts.get(1, 0) / total if total else 0.0
     if min(sample.taken.get(0, 0), sample.taken.get(1, 0)) == 0:
-        return ToxicityModel({}, np.zeros(0), [], np.zeros(0, np.int64), np.zeros(0), np.zeros(0), prior, **settings)
+        return ToxicityModel({}, np.zeros(0), [], np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0), prior, **settings)
     chosen = _chosen_terms(sample, least, chi, most)
     vocabulary = {t: i for i, (t, _) in enumerate(chosen)}
     idf = np.array([math.log((1 + total) / (1 + d)) + 1 for _, d in chosen])
@@ -215,16 +226,17 @@ def fit(sample: Sample, least: int = 5, chi: float = 15.0, most: int = 4000, **s
     examples: dict[bytes, list] = {}
     for doc_id, y, t, w in zip(got["doc_id"], got["y"], got["t"], got["w"], strict=True):
         t, w = np.asarray(t, np.int64), np.asarray(w, float)
-        own = examples.setdefault(t.tobytes() + np.round(w, 12).tobytes(), [t, w, doc_id, 0.0, 0.0])
+        own = examples.setdefault(t.tobytes() + np.round(w, 12).tobytes(), [t, w, doc_id, 0.0, 0.0, 0])
         own[2] = min(own[2], doc_id)
         own[3] += rate[y]
         own[4] += rate[y] * y
+        own[5] += 1
     # those whose heaviest terms agree stand together; the order does not know the labels
     found = sorted(examples.values(), key=lambda e: (e[0][np.argmax(e[1])] if len(e[0]) else -1, e[2]))
     weight = np.array([e[3] for e in found])
     return ToxicityModel(
         vocabulary, idf, [(e[0], e[1]) for e in found], np.array([e[2] for e in found], np.int64), np.array([e[4] for e in found]) / weight,
-        weight / min(rate.values()), prior, **settings,
+        weight / min(rate.values()), np.array([e[5] for e in found], float), prior, **settings,
     )
 
 
@@ -241,9 +253,10 @@ class _Judge:
         if key in self.seen:
             return self.seen[key]
         numbers, similarity = self.index.search(terms, weights, self.model.k, ties=True) if len(terms) else (terms, weights)
-        ids = self.model.ids[numbers]
+        score, used = self.model.vote(numbers, similarity), self.model.shares(numbers, similarity) > 0
+        ids, similarity = self.model.ids[numbers[used]], similarity[used]
         shown = np.lexsort((ids, -np.round(similarity, 9)))[: self.model.k]
-        out = (self.model.vote(numbers, similarity), ids[shown], similarity[shown])
+        out = (score, ids[shown], similarity[shown])
         if key and len(self.seen) < 10_000:
             self.seen[key] = out
         return out

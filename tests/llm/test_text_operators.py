@@ -147,12 +147,18 @@ def test_block_max_index_is_exact():
             assert np.allclose(got, want[want > 0])
 
 
-def _plain_neighbours(vectors, k, text, words):
-    """Similarities of all examples to a text, by dictionaries; positions of the k nearest and of those tied with the k-th."""
+def _plain_neighbours(model, text, words):
+    """(example, similarity, share) of the k nearest documents to a text, by dictionaries; ties for the last places share them."""
     query = dict(zip(*(a.tolist() for a in words(text)), strict=True))
-    sims = [sum(query.get(t, 0.0) * w for t, w in zip(ts.tolist(), ws.tolist(), strict=True)) for ts, ws in vectors]
+    sims = [sum(query.get(t, 0.0) * w for t, w in zip(ts.tolist(), ws.tolist(), strict=True)) for ts, ws in model.vectors]
     order = sorted((i for i, s in enumerate(sims) if s > 1e-12), key=lambda i: -sims[i])
-    return [(i, sims[i]) for i in order if sims[i] >= sims[order[min(k, len(order)) - 1]] - 1e-9]
+    out, left, at = [], model.k, 0
+    while at < len(order) and left > 0:
+        tied = [i for i in order[at:] if sims[i] > sims[order[at]] - 1e-9]
+        docs = sum(model.docs[i] for i in tied)
+        out += [(i, sims[i], min(1.0, left / docs)) for i in tied]
+        left, at = left - docs, at + len(tied)
+    return out
 
 
 def test_toxicity_scores_match_brute_force(spark):
@@ -162,12 +168,12 @@ def test_toxicity_scores_match_brute_force(spark):
     got = {r["doc_id"]: r for r in toxicity.classify(docs, model).collect()}
     vectors = toxicity.Vectors(model.vocabulary, model.idf, model.background)
     for r in docs.collect():
-        near = _plain_neighbours(model.vectors, model.k, r["text"] or "", vectors)
-        w = [min(s, 1.0) ** model.power * model.weight[i] for i, s in near]
-        score = (sum(v * model.toxic[i] for v, (i, _) in zip(w, near, strict=True)) + model.shrink * model.prior) / (sum(w) + model.shrink)
+        near = _plain_neighbours(model, r["text"] or "", vectors)
+        w = [min(s, 1.0) ** model.power * model.weight[i] * share for i, s, share in near]
+        score = (sum(v * model.toxic[i] for v, (i, _, _) in zip(w, near, strict=True)) + model.shrink * model.prior) / (sum(w) + model.shrink)
         row = got[r["doc_id"]]
         assert abs(row["score"] - score) < 1e-9
-        assert np.allclose(row["similarity"], [s for _, s in near][: model.k], atol=1e-9)
+        assert np.allclose(row["similarity"], [s for _, s, _ in near][: model.k], atol=1e-9)
 
 
 def test_toxicity_ties_do_not_know_the_labels(spark):
