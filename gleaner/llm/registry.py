@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, embedding_dedup, knn, langid, licenses, packing, quality, sentencepieces, simhash, toxicity
+from gleaner.llm import chat, digests, embedding_dedup, hard_negatives, knn, langid, licenses, packing, periodic, quality, sentencepieces, simhash, toxicity
 from gleaner.llm.common import crc_mod, tables
 
 
@@ -90,6 +90,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its five nearest of the same label the five hardest negatives within 80 to 100 % of the score."""
+    (rows,) = tables(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x).cast("double"))
+    valid = rows.where(knn.finite(F.col("embedding").cast("array<double>")))
+    return hard_negatives.hard_negatives(valid.select("vec_id", label.alias("label"), whole.alias("v")), F.col("vec_id") % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words in every document, the tail of every tenth replaced by repeats of its start."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    # nothing but blanks counts as no words; a text's word number is that of the blanks that are followed by a word
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    begin = F.floor(h / 10) % n
+    tail = F.when((h % 10 == 0) & (n > 0), F.struct(begin.alias("begin"), (1 + F.floor((n - begin) / (3 + F.floor(h / 10) % 8))).alias("period")))
+    found = periodic.periodic_runs(docs.select("doc_id", "text", tail.alias("tail")), tail="tail")
+    return periodic.longest(found).withColumnRenamed("id", "doc_id")
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the last quarter replaced by the start of the next."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    return digests.edited_chain(docs).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -102,8 +129,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_document_fingerprints": op13_document_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.oracle()}
+    return {"op6_license_scan": licenses.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op13_document_fingerprints": digests.oracle()}
