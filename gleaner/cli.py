@@ -28,6 +28,7 @@ def _parser() -> argparse.ArgumentParser:
     scan.add_argument("--no-validate", action="store_true", help="do not ask services whether secrets are valid")
     scan.add_argument("--transport", metavar="MODULE:FUNCTION", help="what sends validation requests; HTTP without it")
     scan.add_argument("--redact", action="store_true", help="show salted hashes instead of secrets")
+    scan.add_argument("--rule-timeout", type=float, default=60.0, metavar="SECONDS", help="what a rule may take on one content")
     scan.add_argument("--rule-stats", action="store_true", help="tell on standard error how long each rule took")
     scan.add_argument("--snippet-length", type=int, metavar="BYTES", help="show so many bytes around each match (JSON formats)")
     scan.add_argument("--jobs", type=int, help="threads, where Spark runs on this machine")
@@ -120,7 +121,10 @@ def _scan(args: argparse.Namespace) -> int:
     if not args.no_extract_archives:
         found = archives.expand(found, args.extraction_depth)
     # once: everything below uses the matches, not the contents
-    matches = checkpoint(matcher.scan(blobs.described(found), rules, context=args.snippet_length))
+    matches = checkpoint(matcher.scan(blobs.described(found), rules, context=args.snippet_length, limit=args.rule_timeout, problems=True))
+    for r in matches.where("problem is not null").groupBy("rule_id", "problem").count().collect():
+        print(f"{r['rule_id']}: {r['problem']} in {r['count']} contents", file=sys.stderr)
+    matches = matches.where("problem is null").drop("problem")
     if args.rule_stats:
         for r in report.rule_statistics(matcher.timings(found, rules)).collect():
             print(f"{r['rule_id']}: {r['calls']} contents, {r['total']:.3f} s, mean {r['mean']:.6f}, slowest {r['slowest']:.6f} ({r['slowest_blob']})", file=sys.stderr)

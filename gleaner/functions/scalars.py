@@ -40,7 +40,12 @@ LANGUAGE_MARKS = (
 
 # --- plain Python, shared with the matcher ---------------------------------------------------------
 
-_SAFE = re.compile(b"|".join(f"(?:{p})".encode() for p in SAFE_LIST), re.I)
+#: Most patterns hold an assignment or an address, so that every match has one of three characters; values without these need only the others.
+_MARKED = tuple(p for p in SAFE_LIST if any(mark in p for mark in ("[:=", "[=:", "://", "//")))
+_MARKS = re.compile(rb"[:=?]")
+_SAFE, _PLAIN = (
+    re.compile(b"|".join(f"(?:{p})".encode() for p in chosen), re.I) for chosen in (SAFE_LIST, [p for p in SAFE_LIST if p not in _MARKED])
+)
 _ANSI = re.compile(r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b[@-Z\\-_]")
 
 
@@ -54,7 +59,7 @@ def entropy_of(value: bytes) -> float:
 
 
 def is_safe(value: bytes) -> bool:
-    return _SAFE.search(value) is not None
+    return (_SAFE if _MARKS.search(value) else _PLAIN).search(value) is not None
 
 
 def fingerprint_of(value: bytes, kind: str, start: int, end: int) -> int:

@@ -40,6 +40,8 @@ def register(spark: SparkSession, rules: Sequence[Rule] | None = None) -> None:
 
         def eval(self, text: str):
             for m in self.scanner(text.encode("utf-8"), "file") if text is not None else ():
+                if "problem" in m:
+                    raise TimeoutError(f"{m['rule_id']}: {m['problem']}")  # a table function has no row for it
                 yield m["rule_id"], m["start"], m["end"], m["secret"], m["line_start"], m["entropy"]
 
     shape = "rule_id string, start long, end long, secret string, line_start int, entropy float"

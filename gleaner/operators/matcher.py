@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from contextlib import nullcontext
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-from gleaner.functions.regexes import Bounded, compile_bytes, runs_away
+from gleaner.functions.regexes import Bounded, OutOfTime, compile_bytes, interruptible, time_limit
 from gleaner.functions.scalars import entropy_of, fingerprint_of, is_safe
 from gleaner.sources.blobs import path_of
 from gleaner.sources.rules import Rule, compiled, rules_table
@@ -35,10 +39,15 @@ MATCH = StructType(
         StructField("value", BinaryType()), StructField("secret", StringType()), StructField("captures", ArrayType(CAPTURE)),
         StructField("entropy", FloatType()), StructField("line_start", IntegerType()), StructField("column_start", IntegerType()),
         StructField("line_end", IntegerType()), StructField("column_end", IntegerType()), StructField("fingerprint", StringType()),
+        StructField("problem", StringType()),
     ]
 )
 
 
+#: Seconds that a rule may take on one content.
+LIMIT = 60.0
+
+
 def _captures(m: re.Match[bytes]) -> list[tuple]:
     """Named groups first (number -1), then all groups in order; those that took no part are left out."""
     names = m.re.groupindex
@@ -48,26 +57,51 @@ def _captures(m: re.Match[bytes]) -> list[tuple]:
 
 
 class _Lines:
-    """Offsets to (line from 1, column from 0)."""
+    """Offsets to (line from 1, column from 0), by binary search among the offsets of line feeds."""
 
     def __init__(self, content: bytes, compat: bool) -> None:
-        self.content, self.compat, self.many = content, compat, b"\n" in content
+        self.content, self.compat, self.feeds = content, compat, None
 
     def at(self, offset: int) -> tuple[int, int]:
-        line = self.content.count(b"\n", 0, offset) + 1
-        if self.content[offset : offset + 1] == b"\n":
-            return line + 1, 0
-        column = offset - self.content.rfind(b"\n", 0, offset) - 1
-        return line, 0 if self.compat and line == 1 and self.many else column
+        if self.feeds is None:  # contents without matches need none
+            self.feeds = np.flatnonzero(np.frombuffer(self.content, np.uint8) == 10).tolist()
+        before = bisect_left(self.feeds, offset)
+        if before < len(self.feeds) and self.feeds[before] == offset:
+            return before + 2, 0
+        column = offset - self.feeds[before - 1] - 1 if before else offset
+        return before + 1, 0 if self.compat and not before and self.feeds else column
+
+
+class _Spans:
+    """Accepted spans, none within another: in order of their starts their ends ascend too, so only neighbours need a look."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def accept(self, start: int, end: int) -> bool:
+        """Takes the span unless it lies in or around an accepted one."""
+        at = bisect_left(self.starts, start)
+        if at < len(self.starts) and (self.ends[at] <= end or self.starts[at] == start):
+            return False
+        if at and self.ends[at - 1] >= end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
 
 
 class Scanner:
-    """Matches of a set of rules in one piece of content."""
+    """Matches of a set of rules in one piece of content.
+
+    A rule may run for ``limit`` seconds on one content; then what it has found there stays, and one more entry tells of
+    the ``problem``.
+    """
 
-    def __init__(self, rules: Sequence[Rule], compat_columns: bool = False) -> None:
-        self.rules = [
-            (r.id, Bounded(r.id, r.pattern) if runs_away(r.pattern) else compile_bytes(r.pattern), r.min_entropy, [k.encode() for k in r.literals]) for r in rules
-        ]
+    def __init__(self, rules: Sequence[Rule], compat_columns: bool = False, limit: float = LIMIT) -> None:
+        self.stoppable, self.limit = interruptible(), limit
+        pattern = compile_bytes if self.stoppable else lambda p: Bounded(p, limit)
+        self.rules = [(r.id, pattern(r.pattern), r.min_entropy, [k.encode() for k in r.literals]) for r in rules]
         self.literals = {k for *_, keys in self.rules for k in keys}
         self.compat = compat_columns
         self.automaton = _automaton(self.literals) if len(self.literals) > MANY_LITERALS else None
@@ -82,39 +116,45 @@ class Scanner:
 
     def __call__(self, content: bytes, kind: str) -> list[dict]:
         present = self._present(content)
-        lines, out = _Lines(content, self.compat), []
-        before = time.perf_counter() if self.seconds is not None else 0.0
-        for rule_id, regex, least, keys in self.rules:
-            if self.seconds is not None:
-                now = time.perf_counter()
-                self.seconds[rule_id], before = 0.0, now
-            if keys and present.isdisjoint(keys):
-                continue
-            accepted: list[tuple[int, int]] = []
-            for m in regex.finditer(content):
-                group = 1 if m.re.groups and m[1] is not None else 0
-                value, (start, end) = m[group], m.span(group)
-                bits = entropy_of(value)
-                if bits <= least or is_safe(value):
-                    continue
-                if any(s <= start and end <= e or start <= s and e <= end for s, e in accepted):
-                    continue
-                accepted.append((start, end))
-                captures = _captures(m)
-                secret = captures[min(1, len(captures) - 1)][4]
-                (l0, c0), (l1, c1) = lines.at(start), lines.at(max(start, end - 1))
-                out.append(
-                    {
-                        "rule_id": rule_id, "start": start, "end": end, "value": value, "secret": secret,
-                        "captures": [dict(zip(("name", "match_number", "start", "end", "value"), c, strict=True)) for c in captures],
-                        "entropy": bits, "line_start": l0, "column_start": c0, "line_end": l1, "column_end": c1,
-                        "fingerprint": str(fingerprint_of(secret.encode("utf-8"), kind, start, end)),
-                    }
-                )
-            if self.seconds is not None:
-                self.seconds[rule_id] = time.perf_counter() - before
+        due = [r for r in self.rules if not (r[3] and present.isdisjoint(r[3]))]
+        lines, out, at = _Lines(content, self.compat), [], 0
+        if self.seconds is not None:
+            self.seconds.update((r[0], 0.0) for r in self.rules)
+        with time_limit(self.limit) if due and self.stoppable else nullcontext(lambda: None) as again:
+            while at < len(due):
+                before = time.perf_counter()
+                try:
+                    again()  # the limit is each rule's own
+                    self._match(*due[at][:3], content, kind, lines, out)
+                except OutOfTime:
+                    again()
+                    out.append({"rule_id": due[at][0], "problem": f"no end of matching after {self.limit} seconds"})
+                if self.seconds is not None:
+                    self.seconds[due[at][0]] = time.perf_counter() - before
+                at += 1
         return out
 
+    @staticmethod
+    def _match(rule_id: str, regex, least: float, content: bytes, kind: str, lines: _Lines, out: list[dict]) -> None:
+        accepted = _Spans()
+        for m in regex.finditer(content):
+            group = 1 if m.re.groups and m[1] is not None else 0
+            value, (start, end) = m[group], m.span(group)
+            bits = entropy_of(value)
+            if bits <= least or is_safe(value) or not accepted.accept(start, end):
+                continue
+            captures = _captures(m)
+            secret = captures[min(1, len(captures) - 1)][4]
+            (l0, c0), (l1, c1) = lines.at(start), lines.at(max(start, end - 1))
+            out.append(
+                {
+                    "rule_id": rule_id, "start": start, "end": end, "value": value, "secret": secret,
+                    "captures": [dict(zip(("name", "match_number", "start", "end", "value"), c, strict=True)) for c in captures],
+                    "entropy": bits, "line_start": l0, "column_start": c0, "line_end": l1, "column_end": c1,
+                    "fingerprint": str(fingerprint_of(secret.encode("utf-8"), kind, start, end)),
+                }
+            )
+
 
 #: With more literals than this one automaton looks for all of them at once; below, separate searches are faster.
 MANY_LITERALS = 256
@@ -131,13 +171,13 @@ def _automaton(literals: set[bytes]):
     return automaton
 
 
-def find(rules: Sequence[Rule], compat_columns: bool = False):
-    """A Column function (content, origin kind) -> array of matches."""
+def find(rules: Sequence[Rule], compat_columns: bool = False, limit: float = LIMIT):
+    """A Column function (content, origin kind) -> array of matches (and of problems, where ``problem`` is not null)."""
     rules = list(rules)
 
     @pandas_udf(ArrayType(MATCH))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scanner = Scanner(rules, compat_columns)
+        scanner = Scanner(rules, compat_columns, limit)
         for contents, kinds in batches:
             found = [scanner(bytes(c), k) if c is not None else [] for c, k in zip(contents, kinds, strict=True)]
             yield pd.Series(found, dtype=object)
@@ -184,7 +224,13 @@ def timings(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.mapInPandas(run, "rule_id string, blob_id string, path string, seconds double")
 
 
-def scan(blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False, context: int | None = None) -> DataFrame:
+#: What a match adds to a blob.
+_RULE = ("rule_name", "confidence", "visible", "prevalidated", "rule_sha1")
+
+
+def scan(
+    blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False, context: int | None = None, limit: float = LIMIT, problems: bool = False
+) -> DataFrame:
     """One row per match: the columns of ``blobs`` but ``content``, and those of MATCH with the rule's.
 
     With ``context`` also ``before`` and ``after``: so many bytes on either side of the match.
@@ -192,29 +238,38 @@ def scan(blobs: DataFrame, rules: Sequence[Rule], compat_columns: bool = False,
     ``blobs`` has ``content`` (binary) and ``origins`` (array of structs with ``kind``).  Per rule,
     matches go from left to right and do not overlap; ``value`` is group 1 if it took part, else the
     whole match.  Values of too little entropy, placeholders, and spans inside or around an
-    accepted one of the same rule are dropped.  Null content has no matches.
+    accepted one of the same rule are dropped.  Null content has no matches.  Columns of ``blobs`` named like one that a match adds give way to it.
+
+    A rule that takes more than ``limit`` seconds on one content ends there; its matches so far stay.  With ``problems`` such cases are rows too, with
+    the ``problem`` in words and neither span nor secret; without, there is no such column and no such row.
     """
     compiled(rules)  # reports every pattern that fails before any task runs
     coarse = may_match(rules, F.col("content"))
     if coarse is not None:
         blobs = blobs.where(coarse)
-    first = F.get("origins", F.lit(0))["kind"]
-    kind = F.when(first == "git_repo", "git").when(first == "extended", "ext").otherwise("file")
-    found = blobs.withColumn("_found", find(rules, compat_columns)(F.col("content"), kind)).where(F.size("_found") > 0)
-    if context is not None:
-        around = F.transform(
-            "_found",
+    kinds = F.get("origins", F.lit(0))["kind"]
+    kind = F.when(kinds == "git_repo", "git").when(kinds == "extended", "ext").otherwise("file")
+    found, one = f"_found_{uuid.uuid4().hex[:8]}", f"_match_{uuid.uuid4().hex[:8]}"
+    added = {f.name for f in MATCH.fields} | set(_RULE) | {"validation_success", "validation_status", "validation_body"}
+    around = [F.col(f"{one}.{c}") for c in ("before", "after")] if context is not None else []
+    added |= {"before", "after"} if context is not None else set()
+    own = [c for c in blobs.columns if c != "content" and c not in added]
+    rows = blobs.withColumn(found, find(rules, compat_columns, limit)(F.col("content"), kind)).where(F.size(found) > 0)
+    if context is None:
+        matches = rows.select(*own, F.explode(found).alias(one)).select(*own, f"{one}.*")
+    else:
+        cut = F.transform(
+            found,
             lambda m: F.struct(
                 m.alias("m"),
                 F.substring("content", (F.greatest(m["start"] - context, F.lit(0)) + 1).cast("int"), F.least(m["start"], F.lit(context)).cast("int")).alias("before"),
                 F.substring("content", (m["end"] + 1).cast("int"), F.lit(context)).alias("after"),
             ),
         )
-        found = found.withColumn("_around", around)
-        matches = found.select(*(c for c in blobs.columns if c != "content"), F.explode("_around").alias("x")).select("*", "x.m.*", "x.before", "x.after").drop("x")
-    else:
-        matches = found.select(*(c for c in blobs.columns if c != "content"), F.explode("_found").alias("m")).select("*", "m.*").drop("m")
-    known = rules_table(blobs.sparkSession, rules).select("rule_id", "rule_name", "confidence", "visible", "prevalidated", "rule_sha1")
+        matches = rows.withColumn(found, cut).select(*own, F.explode(found).alias(one)).select(*own, f"{one}.m.*", *around)
+    if not problems:
+        matches = matches.where("problem is null").drop("problem")
+    known = rules_table(blobs.sparkSession, rules).select("rule_id", *_RULE)
     # the rule table is held in every task already; its size is that of the rule files
     return matches.join(F.broadcast(known), "rule_id").withColumns(
         {"validation_success": F.lit(False), "validation_status": F.lit(100), "validation_body": F.lit("")}

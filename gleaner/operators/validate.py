@@ -162,9 +162,7 @@ def plan_requests(matches: DataFrame, rules: Sequence[Rule], values: DataFrame |
         grouped = secrets.groupBy("rule_id", "secret").agg(F.any_value("captures").alias("captures"))
         grouped = grouped.withColumn("extra", F.lit(None).cast("map<string,string>"))
     else:
-        given = values.groupBy(blob, "rule_id", "variable").agg(F.min("value").alias("value"))
-        given = given.groupBy(blob, "rule_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("variable", "value")))).alias("extra"))
-        joined = secrets.join(given, [blob, "rule_id"], "left").withColumn("extra_json", F.to_json("extra"))
+        joined = secrets.join(value_sets(values, blob), [blob, "rule_id"], "left").withColumn("extra_json", _as_key(F.col("extra")))
         grouped = joined.groupBy("rule_id", "secret", "extra_json").agg(F.any_value("captures").alias("captures"), F.any_value("extra").alias("extra")).drop("extra_json")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,30 +244,100 @@ def send(requests: DataFrame, transport: Transport, pause: float = 0.5, deadline
     return wanted.mapInPandas(run, "request_key string, status int, headers map<string,string>, body string")
 
 
-def judge(requests: DataFrame, responses: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule_id, secret, extra, success, status, body): the outcome of each planned request."""
-    joined = requests.join(responses, "request_key", "left")
-    status, headers, body = F.col("status"), F.col("headers"), F.coalesce("body", F.lit(""))
-    success = F.lit(False)
+_MATCHERS = "rule_id string, html boolean, matchers array<struct<kind:string,words:array<string>,codes:array<int>,header:string,every:boolean,negative:boolean>>"
+
+
+def matchers_table(spark, rules: Sequence[Rule]) -> DataFrame:
+    """(rule_id, html, matchers): a row for each rule with a request, its response matchers as data."""
+    rows = []
     for rule in rules:
         content = (rule.validation or {}).get("content", {})
         request = content.get("request", {}) if isinstance(content, dict) else {}
         if request:
-            met = response_matches(request.get("response_matcher") or (), status, headers, body, bool(request.get("response_is_html")))
-            success = F.when(F.col("rule_id") == rule.id, met).otherwise(success)
+            told = [_matcher_row(m) for m in request.get("response_matcher") or ()]
+            rows.append((rule.id, bool(request.get("response_is_html")), told))
+    return spark.createDataFrame(rows, _MATCHERS)
+
+
+def _matcher_row(matcher: dict[str, Any]) -> tuple:
+    """(kind, words, codes, header, every, negative) of one matcher, whose kind is told by its keys."""
+    kind, negative = str(matcher.get("type", "")), bool(matcher.get("negative"))
+    if kind == "WordMatch" or "words" in matcher:
+        return "word", [str(w) for w in matcher.get("words") or ()], [], "", bool(matcher.get("match_all_words")), negative
+    if kind == "StatusMatch" or "status" in matcher:
+        return "status", [], [int(c) for c in matcher.get("status") or ()], "", bool(matcher.get("match_all_status")), negative
+    if kind == "HeaderMatch" or "header" in matcher:
+        return "header", [str(e).lower() for e in matcher.get("expected") or ()], [], str(matcher["header"]).lower(), bool(matcher.get("match_all_values")), False
+    return {"JsonValid": "json", "XmlValid": "xml"}.get(kind, "any"), [], [], "", True, False
+
+
+def judge(requests: DataFrame, responses: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule_id, secret, extra, success, status, body): the outcome of each planned request.
+
+    The matchers of all rules are one table, joined by rule (its size is that of the rule files) and folded over each answer, so
+    the plan does not grow with the rules.
+    """
+    known = F.broadcast(matchers_table(requests.sparkSession, rules))
+    joined = requests.join(responses, "request_key", "left").join(known, "rule_id", "left")
+    status, headers, body = F.col("status"), F.col("headers"), F.coalesce("body", F.lit(""))
+    shown = F.substring(body, 1, BODY_LIMIT)
+    needs = lambda kind: F.exists("matchers", lambda m: m["kind"] == kind)
+    # what does not depend on the matcher is worked out once, and only where one asks for it
+    whole = lambda kind: F.when(needs(kind), matcher_condition({"type": f"{kind.capitalize()}Valid"}, status, headers, shown)).otherwise(False)
+    joined = joined.withColumns({"_json": whole("json"), "_xml": whole("xml"), "_body": shown})
+
+    def among(items: Column, every: Column, hit: Callable[[Column], Column]) -> Column:
+        return F.when(every, F.forall(items, hit)).otherwise(F.exists(items, hit))
+
+    def met(m: Column) -> Column:
+        value = F.lower(F.coalesce(F.try_element_at(headers, m["header"]), F.lit("")))
+        found = (
+            F.when(m["kind"] == "word", among(m["words"], m["every"], lambda w: F.col("_body").contains(w)))
+            .when(m["kind"] == "status", among(m["codes"], m["every"], lambda c: status == c))
+            .when(m["kind"] == "header", among(m["words"], m["every"], lambda w: value.contains(w)))
+            .when(m["kind"] == "json", F.col("_json")).when(m["kind"] == "xml", F.col("_xml")).otherwise(True)
+        )
+        return F.coalesce(found != m["negative"], F.lit(False))
+
+    success = F.forall("matchers", met) & (F.col("html") | ~looks_html(headers, F.col("_body")))
     answered = status.isNotNull()
     return joined.select(
         "rule_id", "secret", "extra",
         F.coalesce(success & answered, F.lit(False)).alias("success"),
         F.when(F.col("problem").isNotNull(), F.col("problem_status")).when(answered, status).otherwise(502).alias("status"),
-        F.coalesce("problem", F.when(answered, F.substring(body, 1, BODY_LIMIT)), F.lit("HTTP error: no response")).alias("body"),
+        F.coalesce("problem", F.when(answered, F.col("_body")), F.lit("HTTP error: no response")).alias("body"),
     )
 
 
-def join_back(matches: DataFrame, results: DataFrame, missing: DataFrame | None = None, blob: str = "blob_id") -> DataFrame:
-    """``matches`` with the outcome of their secret; prevalidated rules succeed, missing dependencies give 428."""
-    best = results.groupBy("rule_id", "secret").agg(F.max_by(F.struct("success", "status", "body"), F.struct("success", "status", "body")).alias("_r"))
-    out = matches.join(best, ["rule_id", "secret"], "left")
+def value_sets(values: DataFrame, blob: str = "blob_id") -> DataFrame:
+    """(blob, rule_id, extra): the dependency values of each rule in each blob as one map, the least value of a variable."""
+    given = values.groupBy(blob, "rule_id", "variable").agg(F.min("value").alias("value"))
+    return given.groupBy(blob, "rule_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("variable", "value")))).alias("extra"))
+
+
+def _as_key(extra: Column) -> Column:
+    """A map as text, the same for equal maps; null for none."""
+    return F.to_json(F.sort_array(F.map_entries(extra)))
+
+
+def join_back(
+    matches: DataFrame, results: DataFrame, missing: DataFrame | None = None, blob: str = "blob_id", values: DataFrame | None = None
+) -> DataFrame:
+    """``matches`` with the outcome of their secret; prevalidated rules succeed, missing dependencies give 428.
+
+    With ``values`` (the dependency values that the requests were planned with) an outcome counts only where the blob holds the values it
+    was asked with: a secret that is valid with one blob's account says nothing of another blob's.
+    """
+    order = F.struct("success", "status", "body")
+    best = results.groupBy("rule_id", "secret", _as_key(F.col("extra")).alias("_extra")).agg(F.max_by(order, order).alias("_r"))
+    if values is None:
+        best = best.groupBy("rule_id", "secret").agg(F.max_by("_r", "_r").alias("_r"))
+        out = matches.join(best, ["rule_id", "secret"], "left")
+    else:
+        sets = value_sets(values, blob).withColumn("_own", _as_key(F.col("extra"))).drop("extra")
+        same = [F.col(f"_m.{c}") == F.col(f"_b.{c}") for c in ("rule_id", "secret")] + [F.col("_m._own").eqNullSafe(F.col("_b._extra"))]
+        mine = matches.join(sets, [blob, "rule_id"], "left").select(*matches.columns, "_own")
+        out = mine.alias("_m").join(best.alias("_b"), same, "left").select(*(f"_m.{c}" for c in matches.columns), "_b._r")
     if missing is None:
         out = out.withColumn("_lacking", F.lit(None).cast("string"))
     else:
@@ -306,7 +374,8 @@ def validated(
     """
     spark = matches.sparkSession
     needs = dependencies_table(spark, rules)
-    requests = checkpoint(plan_requests(matches, rules, dependencies.dependency_values(matches, needs, blob), blob))
+    values = dependencies.dependency_values(matches, needs, blob)
+    requests = checkpoint(plan_requests(matches, rules, values, blob))
     known = responses
     if cache is not None:
         fresh = still_fresh(cache, F.current_timestamp()).select("request_key", "status", "headers", "body")
@@ -324,9 +393,11 @@ def validated(
     outcomes = judge(tried, known, rules)
     raw = [r.id for r in rules if (r.validation or {}).get("type") == "Raw"]
     if raw:
-        never = matches.where(F.col("rule_id").isin(raw)).select("rule_id", "secret").distinct()
+        # once for each set of values, as requests are
+        own = value_sets(values, blob)
+        never = matches.where(F.col("rule_id").isin(raw)).join(own, [blob, "rule_id"], "left").select("rule_id", "secret", F.map_entries("extra").alias("e")).distinct()
         outcomes = outcomes.unionByName(never.select(
-            "rule_id", "secret", F.lit(None).cast("map<string,string>").alias("extra"), F.lit(False).alias("success"), F.lit(501).alias("status"),
+            "rule_id", "secret", F.map_from_entries("e").alias("extra"), F.lit(False).alias("success"), F.lit(501).alias("status"),
             F.lit("Validation of this kind is not supported").alias("body"),
         ))
-    return join_back(matches, outcomes, dependencies.missing_dependencies(matches, needs, blob), blob)
+    return join_back(matches, outcomes, dependencies.missing_dependencies(matches, needs, blob), blob, values)

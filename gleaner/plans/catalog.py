@@ -579,6 +579,62 @@ def response_match(spark, sf_dir):
     return events.select("event_id", validate.response_matches(matchers, F.col("status"), none, F.col("props")).alias("met"))
 
 
+#: 750 rules for judging: what they ask of an answer, as (number, word, every word, status, negative, header's value).
+_ASKED = [(i, f"{i % 97}", i % 3 == 0, 200 + i % 4, i % 5 == 0, f"v{i % 7}") for i in range(750)]
+
+
+def _many_rules() -> list[Rule]:
+    def matchers(word: str, every: bool, status: int, negative: bool, value: str) -> list[dict]:
+        return [
+            {"type": "WordMatch", "words": [word, "k"], "match_all_words": every, "negative": negative}, {"type": "StatusMatch", "status": [status, 204]},
+            {"type": "HeaderMatch", "header": "X-Kind", "expected": [value, "V9"]}, {"type": "JsonValid"},
+        ]
+
+    return [
+        Rule(f"many.{i}", f"Many {i}", "x", validation={"type": "Http", "content": {"request": {"url": "https://api.invalid/", "response_matcher": matchers(*rest)}}})
+        for i, *rest in _ASKED
+    ]
+
+
+@query(f"""WITH asked(n, word, every, status, negative, value) AS (VALUES {', '.join(f"({n}, '{w}', {e}, {s}, {g}, '{v}')" for n, w, e, s, g, v in _ASKED)}),
+told AS (SELECT event_id, event_id % 750 AS n, 200 + (event_id // 750) % 5 AS status, left(props, 512) AS body, props, 'v' || (event_id // 7) % 10 AS kind FROM events)
+SELECT event_id, 'many.' || n AS rule_id, t.status::INT AS status,
+(CASE WHEN every THEN contains(body, word) AND contains(body, 'k') ELSE contains(body, word) OR contains(body, 'k') END) <> negative
+AND t.status IN (a.status, 204) AND (contains(kind, value) OR contains(kind, 'v9')) AND json_valid(props) AS success FROM told t JOIN asked a USING (n)""")
+def judge_many_rules(spark, sf_dir):
+    """Answers judged by 750 rules with four matchers each (events as answers), in one plan."""
+    events = _read(spark, sf_dir, "events").withColumn("key", F.col("event_id").cast("string"))
+    none = F.lit(None).cast("string")
+    requests = events.select(
+        F.concat(F.lit("many."), F.col("event_id") % 750).alias("rule_id"), F.col("key").alias("secret"), F.lit(None).cast("map<string,string>").alias("extra"),
+        F.col("key").alias("request_key"), none.alias("problem"), F.lit(None).cast("int").alias("problem_status"),
+    )
+    kind = F.concat(F.lit("V"), F.floor(F.col("event_id") / 7) % 10)
+    answers = events.select(
+        F.col("key").alias("request_key"), (200 + F.floor(F.col("event_id") / 750) % 5).cast("int").alias("status"), F.create_map(F.lit("x-kind"), kind).alias("headers"), F.col("props").alias("body")
+    )
+    told = validate.judge(requests, answers, _many_rules())
+    return told.select(F.col("secret").cast("long").alias("event_id"), "rule_id", "status", "success")
+
+
+@query("""WITH f AS (SELECT o_orderkey, o_custkey % 50 AS secret, o_orderkey % 7 AS account FROM orders)
+SELECT o_orderkey, (secret * 7 + account) % 3 = 0 AS success, CASE WHEN (secret * 7 + account) % 3 = 0 THEN 200 ELSE 401 END::INT AS status FROM f""")
+def validate_by_values(spark, sf_dir):
+    """One secret in many blobs, each with an account of its own: its outcome there is that of the request with that account."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("secret"), (F.col("o_orderkey") % 7).alias("account"))
+    texts = orders.select("o_orderkey", F.concat(F.lit("acct "), "account", F.lit(" pin "), "secret").alias("text"))
+    found = checkpoint(matcher.scan(B.from_table(texts, "text", F.col("o_orderkey").cast("string")), [_ACCOUNT, _PIN]))
+    found = found.withColumn("place", B.path_of())
+    asked = orders.select("secret", "account").distinct()
+    request = F.concat(F.lit('{"headers": {}, "method": "GET", "url": "https://api.invalid/'), "account", F.lit("/"), "secret", F.lit('"}'))
+    record = asked.select(
+        F.concat(F.lit("HTTP:"), F.sha1(request.cast("binary"))).alias("request_key"), F.when((F.col("secret") * 7 + F.col("account")) % 3 == 0, 200).otherwise(401).alias("status"),
+        F.create_map(F.lit("content-type"), F.lit("text/plain")).alias("headers"), F.lit("answer").alias("body"),
+    )
+    told = validate.validated(found, [_ACCOUNT, _PIN], responses=record, blob="place").where("rule_id = 'demo.pin'")
+    return told.select(F.col("place").cast("long").alias("o_orderkey"), F.col("validation_success").alias("success"), F.col("validation_status").alias("status"))
+
+
 _ACCOUNT = Rule("demo.account", "Demo Account", r"acct ([0-9]{1,9})\b", min_entropy=-1.0)
 _PIN = Rule(
     "demo.pin", "Demo Pin", r"pin ([0-9]{1,12})\b", min_entropy=-1.0, depends_on=(("demo.account", "AKID"),),

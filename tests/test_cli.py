@@ -1,10 +1,14 @@
 """The command line, and predicates around validators."""
 
+import hashlib
 import json
+import re
 import subprocess
 
 import pytest
 import yaml
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner import cli
@@ -191,12 +195,86 @@ def test_paths_of_clones_and_schemes(spark):
     assert [r["p"] for r in rows] == ["https/host.example:8080/a/b.git", "https/h.example", "http/h.example/x"]
 
 
-def test_patterns_that_run_away_are_stopped():
-    assert regexes.runs_away(r"(a+)+$") and regexes.runs_away(r"(?:x|(b*c)*)+") and not regexes.runs_away(r"[a-z]{3,40}\.(com|org)+")
-    bounded = regexes.Bounded("demo.bad", r"(x+x+)+y", seconds=0.2)
-    assert [m.group() for m in bounded.finditer(b"xxxxy")] == [b"xxxxy"]
-    with pytest.raises(regexes.PatternError, match="demo.bad"):
-        list(bounded.finditer(b"x" * 3000))
+def test_patterns_that_run_away_are_an_outcome_of_their_content(spark):
+    """Nested repeats, alternatives that overlap, and repeats side by side: any rule is stopped, the others go on."""
+    bad = [Rule(f"demo.bad{i}", "Bad", p, min_entropy=-1.0) for i, p in enumerate((r"(x+x+)+y", r"(?:x|xx)+$", r"x*x*x*x*x*x*x*x*y"))]
+    good = Rule("demo.good", "Good", r"key=([a-z0-9]{6})")
+    texts = ["x" * 3000 + " key=a1b2c3", "key=d4e5f6 xy"]
+    rows = blobs.from_table(spark.createDataFrame([(t,) for t in texts], "t string"), "t", F.lit("p"))
+    got = matcher.scan(rows, [*bad, good], limit=0.2, problems=True)
+    told = got.select("rule_id", "secret", "problem").collect()
+    assert {r["secret"] for r in told if r["rule_id"] == "demo.good"} == {"a1b2c3", "d4e5f6"}
+    assert {r["rule_id"] for r in told if r["problem"]} == {"demo.bad0", "demo.bad1", "demo.bad2"}
+    without = matcher.scan(rows, [*bad, good], limit=0.2)
+    assert "problem" not in without.columns and without.where("rule_id = 'demo.good'").count() == 2
+
+
+def test_patterns_are_stopped_outside_of_the_main_thread_too():
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run():
+        return matcher.Scanner([Rule("demo.bad", "Bad", r"(x+x+)+y", min_entropy=-1.0)], limit=0.2)(b"xxxxy " + b"x" * 3000, "file")
+
+    with ThreadPoolExecutor(1) as pool:
+        found = pool.submit(run).result()
+    assert [m.get("secret") for m in found] == ["xxxx", None] and "0.2 seconds" in found[1]["problem"]
+
+
+def test_matching_is_linear_in_the_matches():
+    """Lines and spans cost no more where a content has many matches; 40,000 take seconds, not minutes."""
+    import time
+
+    rule = Rule("demo.token", "Token", r'token = "([0-9a-f]{40})"', min_entropy=3.0)
+    scanner, took = matcher.Scanner([rule]), []
+    for n in (10_000, 40_000):
+        content = b"\n".join(b'x token = "%s"' % hashlib.sha1(b"%d" % i).hexdigest().encode() for i in range(n))
+        began = time.perf_counter()
+        found = scanner(content, "file")
+        took.append(time.perf_counter() - began)
+        assert len(found) == n and found[-1]["line_start"] == n and found[-1]["column_start"] == 11
+    assert took[1] < 10 * took[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60).map(lambda b: b.replace(b"\x00", b"\n")), st.booleans())
+def test_lines_are_those_of_counting(content, compat):
+    lines = matcher._Lines(content, compat)
+    for offset in range(len(content) + 1):
+        line = content.count(b"\n", 0, offset) + 1
+        if content[offset : offset + 1] == b"\n":
+            want = (line + 1, 0)
+        else:
+            want = (line, 0 if compat and line == 1 and b"\n" in content else offset - content.rfind(b"\n", 0, offset) - 1)
+        assert lines.at(offset) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 6)), max_size=25))
+def test_spans_are_those_of_comparing_all(pairs):
+    spans, accepted = matcher._Spans(), []
+    for start, size in pairs:
+        end = start + size
+        want = not any(s <= start and end <= e or start <= s and e <= end for s, e in accepted)
+        assert spans.accept(start, end) == want
+        if want:
+            accepted.append((start, end))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "=", ":", "?", " ", "hunter2", "AKIA", "EXAMPLE", "123456789", "//", "ab", "test", "$", "{", "<secretmanager>", "&&", "null."]), max_size=8))
+def test_placeholders_are_those_of_all_patterns(parts):
+    value = "".join(parts).encode()
+    assert S.is_safe(value) == any(re.search(p.encode(), value, re.I) for p in S.SAFE_LIST)
+
+
+def test_columns_of_blobs_give_way_to_those_of_matches(spark):
+    rows = blobs.from_table(spark.createDataFrame([("key=a1b2c3",)], "t string"), "t", F.lit("p"))
+    odd = rows.withColumns({"_found": F.lit(1), "start": F.lit("s"), "secret": F.lit(2), "rule_name": F.lit("r"), "before": F.lit(1), "m": F.lit(3)})
+    for context in (None, 4):
+        got = matcher.scan(odd, [Rule("demo.good", "Good", r"key=([a-z0-9]{6})")], context=context)
+        row = got.first()
+        assert len(set(got.columns)) == len(got.columns) and (row["start"], row["secret"], row["rule_name"], row["_found"], row["m"]) == (4, "a1b2c3", "Good", 1, 3)
+        assert row["before"] == (1 if context is None else b"key=")
 
 
 def test_many_literals_are_found_by_one_automaton():
