@@ -466,11 +466,36 @@ def history_first_seen(spark, sf_dir):
     at = lambda back: F.lag("o_orderkey", back).over(order).cast("string")
     first = F.when(F.col("r") % 2 == 1, at(2)).otherwise(at(1))
     parents = F.array_distinct(F.array_compact(F.array(first, F.when(F.col("r") % 5 == 0, at(1)))))
-    commits = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), parents.alias("parents"))
+    commits = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), parents.alias("parents"), F.col("o_orderkey").alias("topo"))
     changes = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), F.lit("f").alias("path"), F.concat_ws("/", "o_custkey", "o_orderpriority").alias("blob_id"))
     return git.first_seen(commits, changes).select(F.col("commit_id").cast("long").alias("commit_id"), "blob_id")
 
 
+@query("""WITH n AS (SELECT o_orderkey AS id, o_custkey AS blob_id, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders)
+SELECT id AS commit_id, blob_id FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.blob_id = a.blob_id AND b.r < a.r AND
+CASE WHEN b.r % 10 <> 0 THEN TRUE ELSE b.r % 30 <> 0 AND b.r + 5 <= a.r - CASE WHEN a.r % 10 = 0 THEN 1 ELSE 0 END END)""")
+def history_deep_first_seen(spark, sf_dir):
+    """One history as deep as there are orders: every tenth order is a branch of one commit, merged five commits later or (every thirtieth) never; customers as blobs."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # numbered by ranges of keys, so that no task orders all rows
+    ranged = checkpoint(orders.repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+    before = {r["part"]: sum(x["n"] for x in sizes if x["part"] < r["part"]) for r in sizes}
+    starts = F.create_map(*(F.lit(v) for item in before.items() for v in item))
+    n = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) + starts[F.col("part")])
+    n = checkpoint(n.select(F.col("o_orderkey").cast("string").alias("commit_id"), F.col("o_custkey").cast("string").alias("blob_id"), F.col("r").cast("long").alias("topo")))
+    r = F.col("topo")
+    # the commit before on the line, and the branch that is merged here
+    line = F.when(r % 10 == 1, r - 2).otherwise(r - 1)
+    wanted = F.array(line, F.when((r % 10 == 5) & ((r - 5) % 30 != 0), r - 5))
+    links = n.select("commit_id", "topo", F.posexplode(F.array_compact(wanted)).alias("k", "at"))
+    named = links.join(n.select(F.col("commit_id").alias("parent"), F.col("topo").alias("at")), "at")
+    parents = named.groupBy("commit_id").agg(F.sort_array(F.collect_list(F.struct("k", "parent"))).alias("p")).select("commit_id", F.col("p.parent").alias("parents"))
+    commits = n.select("commit_id", "topo").join(parents, "commit_id", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    changes = n.select("commit_id", F.lit("f").alias("path"), "blob_id")
+    return git.first_seen(commits, changes, block=4096).select(F.col("commit_id").cast("long").alias("commit_id"), F.col("blob_id").cast("long").alias("blob_id"))
+
+
 # --- dependencies ------------------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +38,36 @@ def repositories(path: str) -> list[str]:
 _HISTORY = "commit_id string, parents array<string>, topo long, committer_name string, committer_email string, seconds long, path string, blob_id string"
 
 
+def _listed(spark: SparkSession, repo: str, command: list[str], keep: str = "") -> DataFrame:
+    """(id, n): the first word of each line that a git command prints (of those that end in ``keep``), numbered from 0.
+
+    One task reads the lines as they come; neither it nor the driver holds them all.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            with subprocess.Popen(["git", "-C", repo, *command], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as process:
+                lines, n = (x.decode().rstrip("\n") for x in process.stdout), 0
+                while part := [x.split(" ")[0] for x in islice((x for x in lines if x.endswith(keep)), 10_000)]:
+                    yield pd.DataFrame({"id": part, "n": range(n, n + len(part))})
+                    n += len(part)
+                said = process.stderr.read()
+            if process.returncode:
+                raise subprocess.CalledProcessError(process.returncode, command, stderr=said)
+
+    return spark.range(1).mapInPandas(run, "id string, n long")
+
+
 def read_history(spark: SparkSession, repo: str, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of all refs of a local repository.
 
     commits: commit_id, parents, topo (ancestors first), committer_name, committer_email, committer_ts.
     changes: commit_id, path, blob_id of the files each commit adds or changes against each of its parents.
-    Only the ids of the commits come to the driver; they are dealt out, and tasks read and compare them.  The repository must
+    A task lists the ids of the commits; they are dealt out, and tasks read and compare them.  The repository must
     be reachable from the executors.
     """
-    ids = [(oid, topo) for topo, oid in enumerate(_git(repo, "rev-list", "--all", "--topo-order", "--reverse").decode().split())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,7 +92,8 @@ def read_history(spark: SparkSession, repo: str, partitions: int = 8) -> tuple[D
                                 changes.add((oid, None, None, None, None, None, rest[i + 1], new))
                 yield _rows(found + sorted(changes, key=lambda c: (c[0], c[6], c[7])))
 
-    rows = checkpoint(spark.createDataFrame(ids, "commit_id string, topo long").repartition(partitions, "commit_id").mapInPandas(run, _HISTORY))
+    ids = _listed(spark, repo, ["rev-list", "--all", "--topo-order", "--reverse"]).select(F.col("id").alias("commit_id"), F.col("n").alias("topo"))
+    rows = checkpoint(ids.repartition(partitions, "commit_id").mapInPandas(run, _HISTORY))
     commits = rows.where("topo is not null").select(
         "commit_id", "parents", "topo", "committer_name", "committer_email", F.timestamp_seconds("seconds").alias("committer_ts")
     )
@@ -83,12 +106,11 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_objects(spark: SparkSession, repo: str, partitions: int = 8) -> DataFrame:
-    """(blob_id, content) of every blob in the object store, reachable or not; contents are read in tasks.
+    """(blob_id, content) of every blob in the object store, reachable or not; ids are listed and contents read in tasks.
 
     The repository must be reachable from the executors.
     """
-    listing = _git(repo, "cat-file", "--batch-all-objects", "--batch-check=%(objectname) %(objecttype)").decode().split("\n")
-    ids = [(x.split(" ")[0],) for x in listing if x.endswith(" blob")]
+    ids = _listed(spark, repo, ["cat-file", "--batch-all-objects", "--batch-check=%(objectname) %(objecttype)"], " blob").select(F.col("id").alias("blob_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,7 +124,7 @@ def read_objects(spark: SparkSession, repo: str, partitions: int = 8) -> DataFra
                     i = end + 2 + int(size)
                 yield pd.DataFrame(out, columns=["blob_id", "content"])
 
-    return spark.createDataFrame(ids, "blob_id string").repartition(partitions).mapInPandas(run, "blob_id string, content binary")
+    return ids.repartition(partitions, "blob_id").mapInPandas(run, "blob_id string, content binary")
 
 
 def first_seen_linear(changes: DataFrame, order: str = "topo") -> DataFrame:
@@ -112,30 +134,100 @@ def first_seen_linear(changes: DataFrame, order: str = "topo") -> DataFrame:
     return first.select("_first.*")
 
 
-def first_seen(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """(commit_id, path, blob_id): the commits that introduce a blob, none of their ancestors having it.
+#: Commits in which chains are sought together.
+BLOCK = 65_536
 
-    Commits on separate branches can both introduce a blob.  A change is dropped when the same
-    blob changes in a commit that is an ancestor; ancestry is followed only from commits that share a blob,
-    by joins on the parent edges until no new pair appears.
+
+def chains(commits: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(commit_id, topo, chain, pos): commits as lines of first parents, each told by its first commit.
+
+    Of a commit's children that follow it as their first parent the one with the longest line after it goes on with
+    the chain.  Chains are sought in blocks of commits that follow each other in ``topo``, so none is longer than a block, and all blocks at once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                held.append(batch.iloc[at : at + block])
+                if sum(map(len, held)) >= block:
+                    rows = pd.concat(held, ignore_index=True)
+                    yield _chains_of(rows.iloc[:block])
+                    held = [rows.iloc[block:]]
+        rows = pd.concat(held, ignore_index=True) if held else ()
+        if len(rows):
+            yield _chains_of(rows)
+
+    slices = max(1, commits.count() // block)
+    rows = commits.select("commit_id", F.get("parents", F.lit(0)).alias("parent"), F.col("topo").cast("long").alias("topo"))
+    ordered = rows.repartitionByRange(slices, "topo").sortWithinPartitions("topo", "commit_id")
+    return ordered.mapInPandas(run, "commit_id string, topo long, chain string, pos long")
+
+
+def _chains_of(rows: pd.DataFrame) -> pd.DataFrame:
+    ids = rows["commit_id"].tolist()
+    place = {c: i for i, c in enumerate(ids)}
+    parent = [place.get(p, -1) for p in rows["parent"]]
+    length, heir = [1] * len(ids), [-1] * len(ids)
+    for i in range(len(ids) - 1, -1, -1):
+        p = parent[i]
+        if 0 <= p < i and length[i] + 1 > length[p]:
+            length[p], heir[p] = length[i] + 1, i
+    chain, pos = list(ids), [0] * len(ids)
+    for i, p in enumerate(parent):
+        if 0 <= p < i and heir[p] == i:
+            chain[i], pos[i] = chain[p], pos[p] + 1
+    return pd.DataFrame({"commit_id": ids, "topo": rows["topo"], "chain": chain, "pos": pos})
+
+
+def first_seen(commits: DataFrame, changes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``changes`` (commit_id, path, blob_id) whose commits introduce a blob, none of their ancestors having it.
+
+    ``commits`` has commit_id, parents (the first parent first) and topo (a number larger than those of all ancestors).  Commits on separate
+    branches can both introduce a blob.  Parents that are not among the commits (shallow clones) count as none.
+
+    Commits lie on chains of first parents.  Of a chain, only the first commit with a blob can introduce it.  Where a blob is on
+    several chains, it is asked which places on which chains these first commits can reach, the farthest of each chain being enough: one round
+    goes along all edges between chains at once.  Only commits not yet known to be late go on, and only as far
+    back as the earliest commit with one of their blobs.  So rounds are as many as changes from chain to chain on the way to an ancestor,
+    whatever the length of the history, and a blob that is in all commits counts once for each chain.
     """
-    edges = commits.select("commit_id", F.explode("parents").alias("parent"))
-    shared = changes.groupBy("blob_id").agg(F.count_distinct("commit_id").alias("n")).where("n > 1").select("blob_id")
-    wanted = changes.join(shared, "blob_id").select("commit_id", "blob_id").distinct()
-    reach = wanted.select("commit_id").distinct().select("commit_id", F.col("commit_id").alias("ancestor"))
-    frontier = reach
+    placed = checkpoint(chains(commits, block))
+    child, parent = placed.alias("c"), placed.alias("p")
+    links = commits.select("commit_id", F.explode("parents").alias("parent"))
+    edges = (
+        links.join(child, "commit_id").select("chain", "pos", "parent")
+        .join(parent.select(F.col("p.commit_id").alias("parent"), F.col("p.chain").alias("to"), F.col("p.pos").alias("to_pos"), F.col("p.topo").alias("to_topo")), "parent")
+        .where("chain <> to").select("chain", F.col("pos").alias("from_pos"), "to", "to_pos", "to_topo")
+    )
+    edges = checkpoint(edges)
+    has = changes.select("commit_id", "blob_id").join(placed, "commit_id")
+    least = checkpoint(has.groupBy("blob_id", "chain").agg(F.min("pos").alias("first"), F.min("topo").alias("topo")))
+    several = least.groupBy("blob_id").agg(F.count("*").alias("n"), F.min("topo").alias("floor")).where("n > 1").select("blob_id", "floor")
+    # the earliest of all cannot be late
+    asked = least.join(several, "blob_id").where("topo > floor").select("blob_id", F.col("chain").alias("own"), F.col("first").alias("at"), "floor")
+    asked, late = checkpoint(asked), []
+    sources = asked.groupBy("own", "at").agg(F.min("floor").alias("floor"))
+    frontier = sources.select("own", "at", F.col("own").alias("chain"), F.col("at").alias("pos"), "floor")
+    reached = checkpoint(frontier.select("own", "at", "chain", "pos"))
     while True:
-        step = frontier.join(edges.withColumnRenamed("commit_id", "ancestor"), "ancestor").select("commit_id", F.col("parent").alias("ancestor"))
-        frontier = step.distinct().join(reach, ["commit_id", "ancestor"], "left_anti")
-        frontier = checkpoint(frontier)
-        if frontier.isEmpty():
+        step = frontier.join(edges, "chain").where("from_pos <= pos and to_topo >= floor")
+        step = step.groupBy("own", "at", F.col("to").alias("chain")).agg(F.max("to_pos").alias("pos"))
+        before = reached.withColumnRenamed("pos", "known")
+        fresh = checkpoint(step.join(before, ["own", "at", "chain"], "left").where("known is null or pos > known").drop("known"))
+        if fresh.isEmpty():
             break
-        reach = reach.unionByName(frontier)
-    older = wanted.select(F.col("commit_id").alias("ancestor"), "blob_id")
-    late = (
-        wanted.join(reach.where("commit_id <> ancestor"), "commit_id").join(older, ["ancestor", "blob_id"]).select("commit_id", "blob_id").distinct()
-    )
-    return changes.join(late, ["commit_id", "blob_id"], "left_anti")
+        hit = fresh.join(asked, ["own", "at"]).join(least.select("blob_id", "chain", "first"), ["blob_id", "chain"]).where("first <= pos")
+        late.append(checkpoint(hit.select("blob_id", F.col("own").alias("chain")).distinct()))
+        asked = checkpoint(asked.join(late[-1].withColumnRenamed("chain", "own"), ["blob_id", "own"], "left_anti"))
+        sources = asked.groupBy("own", "at").agg(F.min("floor").alias("floor"))
+        frontier = checkpoint(fresh.join(sources, ["own", "at"]))
+        reached = checkpoint(reached.unionByName(fresh).groupBy("own", "at", "chain").agg(F.max("pos").alias("pos")))
+    first = least.select("blob_id", "chain", "first")
+    for part in late:
+        first = first.join(part, ["blob_id", "chain"], "left_anti")
+    kept = placed.join(first.withColumnRenamed("first", "pos"), ["chain", "pos"]).select("commit_id", "blob_id")
+    return changes.join(kept, ["commit_id", "blob_id"], "left_semi").select(changes.columns)
 
 
 def from_history(objects: DataFrame, commits: DataFrame, introduced: DataFrame, repo: str) -> DataFrame:
