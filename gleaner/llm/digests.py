@@ -38,7 +38,7 @@ BOUND = BUCKETS * (6 * PRICE[1] + 4 * PRICE[2] + 2 * PRICE[3]) // 16
 LENGTHS = [f << e for e in range(38) for f in (4, 5, 6, 7)]
 _AT_ONCE = 1 << 19
 #: Ranges for each shuffle partition, and keys sampled for each range.
-_RANGES, _KEYS = 4, 20
+_RANGES, _KEYS = 4, 16
 
 
 def bucket_counts(raw: bytes, settled: int = 0) -> np.ndarray:
@@ -159,8 +159,9 @@ def edited_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = checkpoint(rows.select("id", "hash"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = partitions * _RANGES
-    # borders of the ranges only; every row is dealt out by them
-    sample = keys.orderBy(F.xxhash64("id", "hash"), "id", "hash").limit(ranges * _KEYS).collect()
+    # borders of the ranges only; every row is dealt out by them.  About so many keys, each once, whatever the number of rows
+    every = max(1, keys.count() // (ranges * _KEYS))
+    sample = keys.where(F.pmod(F.xxhash64("id", "hash"), F.lit(every)) == 0).distinct().collect() or keys.limit(1).collect()
     if not sample:
         return spark.createDataFrame([], _CHAIN)
     ordered = sorted({(r["id"] is not None, r["id"] or 0, r["hash"]) for r in sample})
