@@ -1,8 +1,11 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by its ``nearest`` reference points in order of cosine (the prefix of its
-permutation of all of them).  Reference points are taken far apart from each other, from a
-bounded sample; their number grows with the square root of the rows, which keeps lists short.
+A vector is described by its nearest reference points in order of cosine (the prefix of its
+permutation of all of them), after the mean of a sample is taken from it, as vectors of a model often share a direction that
+tells nothing.  Reference points are taken far apart from each other, from a
+bounded sample; their number grows with the square root of the rows, which keeps lists short.  How long prefixes are, and how
+many pivots candidates share, is found on the sample: partners at just the threshold are made of its vectors, and the cheapest
+setting that finds nearly all of them is used.
 Inverted lists name, for each label and pivot, the vectors that have it in their prefix.  Two
 vectors are candidates if their prefixes share ``shared`` pivots; only candidates are verified, by
 cosine in double precision.
@@ -12,7 +15,7 @@ the first m - t + 1 of each.  So a vector is posted under those only, and a pair
 first pivot it shares.  There the pivots that come later are counted through inverted lists within the list: the work is
 in proportion to the pivots that pairs do share, and pairs that share none are never formed.
 
-A long list is solved in blocks: every pair of blocks is a group of bounded size, from which only
+A list longer than a block is solved in blocks: every pair of blocks is a group of bounded size, from which only
 counts and a spanning forest leave, so a list that holds a third of all rows costs time but neither memory nor
 rows.  Equal vectors of a label are one class from the start.
 """
@@ -20,7 +23,7 @@ rows.  Equal vectors of a label are one class from the start.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,8 +42,8 @@ _AT_ONCE = 1 << 20
 
 
 def _units(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(axis=1, keepdims=True)  # keeps squares within range
-    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    scaled = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)  # keeps squares within range
+    return scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-300)
 
 
 def reference_points(x: np.ndarray, count: int) -> np.ndarray:
@@ -73,18 +76,47 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: Settings from the cheapest on: pivots of a prefix, those that candidates share, and whether the mean is taken away first.
+SETTINGS = (*((n, 3, True) for n in range(10, 25, 2)), *((n, 3, False) for n in range(10, 25, 2)), (24, 2, True), (24, 1, True))
+#: Share of the partners made of the sample that the setting finds at least.
+FOUND = 0.985
+#: With more reference points than this, the others are not sought far apart, and are looked up through their nearest of these.
+_FIRST = 2048
+
+
 @dataclass
 class Index:
-    """Reference points in order (rare ones first), the length of a prefix, and the pivots that candidates share."""
+    """Reference points in order (rare ones first), the length of a prefix, the pivots that candidates share, and what is taken from vectors first.
+
+    ``cells``, where there are very many reference points: (centres, the numbers of the reference points nearest to each).
+    """
 
     pivots: np.ndarray
     prefix: int
     shared: int
+    mean: np.ndarray
+    cells: tuple[np.ndarray, list[np.ndarray]] | None = None
 
     def describe(self, x: np.ndarray) -> np.ndarray:
         """The pivots of the prefix of each unit vector, in the order of the index."""
-        near = np.argpartition(-(x @ self.pivots.T), self.prefix - 1, axis=1)[:, : self.prefix]
-        return np.sort(near, axis=1).astype(np.int32)
+        x = _units(x - self.mean)
+        if self.cells is None:
+            near = np.argpartition(-(x @ self.pivots.T), self.prefix - 1, axis=1)[:, : self.prefix]
+            return np.sort(near, axis=1).astype(np.int32)
+        # the reference points of as many centres as hold several prefixes
+        centres, members = self.cells
+        order = np.argsort(-(x @ centres.T), axis=1)
+        out = np.empty((len(x), self.prefix), np.int32)
+        for i, near in enumerate(order):
+            seen, count = [], 0
+            for c in near:
+                seen.append(members[c])
+                count += len(members[c])
+                if count >= 16 * self.prefix:
+                    break
+            among = np.concatenate(seen)
+            out[i] = np.sort(among[np.argpartition(-(self.pivots[among] @ x[i]), self.prefix - 1)[: self.prefix]])
+        return out
 
     @property
     def posted(self) -> int:
@@ -92,14 +124,63 @@ class Index:
         return self.prefix - self.shared + 1
 
 
-def fit_index(x: np.ndarray, count: int, nearest: int, shared: int) -> Index:
-    """An index with at most ``count`` reference points among the unit vectors ``x``."""
-    pivots = reference_points(x, count)
-    prefix = min(nearest, len(pivots))
+def _partners(x: np.ndarray, cosine: float) -> np.ndarray:
+    """For each unit vector another at this cosine, in a direction of its own; the same every time."""
+    away = np.random.default_rng(7).normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    return cosine * x + (1 - cosine**2) ** 0.5 * np.divide(away, size, out=np.zeros_like(away), where=size > 0)
+
+
+def _referenced(x: np.ndarray, count: int, centred: bool) -> Index:
+    """Reference points among the unit vectors ``x``, with a prefix of one so far."""
+    mean = x.mean(axis=0) if centred else np.zeros(x.shape[1])
+    bare = x - mean
+    bare = bare[np.linalg.norm(bare, axis=1) > 1e-6]  # what is the mean has no direction left
+    if not len(bare):
+        return Index(x[:1], 1, 1, np.zeros(x.shape[1]))
+    bare = _units(bare)
+    pivots, cells = reference_points(bare[: 4 * _FIRST], min(count, _FIRST)), None
+    if count > _FIRST and len(pivots) == _FIRST and len(bare) > _FIRST:
+        more = bare[-(count - _FIRST) :]
+        pivots = np.concatenate([pivots, more[(more @ pivots.T).max(axis=1) <= APART]])
+        centres = pivots[: int(len(pivots) ** 0.5)]
+        own = (pivots @ centres.T).argmax(axis=1)
+        cells = (centres, [np.flatnonzero(own == c) for c in range(len(centres))])
+    return Index(pivots, 1, 1, mean, cells)
+
+
+def fit_index(x: np.ndarray, count: int, nearest: int | None = None, shared: int | None = None, cosine: float = 0.93) -> Index:
+    """An index with at most ``count`` reference points among the unit vectors ``x``.
+
+    Without ``nearest`` and ``shared`` the cheapest of ``SETTINGS`` that finds ``FOUND`` of the partners at ``cosine``; where none
+    does, one reference point, under which all vectors of a label are compared.
+    """
+    made = {centred: _referenced(x, count, centred) for centred in (True, False)}
+    if nearest is not None or shared is not None:
+        index = _set(made[True], nearest or 10, shared or 3)
+    else:
+        partners, index = _partners(x[:2000], cosine), None
+        for n, t, centred in SETTINGS:
+            tried = _set(made[centred], n, t)
+            a, b = tried.describe(x[:2000]), tried.describe(partners)
+            common = sum((a[:, :, None] == b[:, None, k : k + 1])[:, :, 0].sum(axis=1) for k in range(b.shape[1]))
+            if (common >= tried.shared).mean() >= FOUND:
+                index = tried
+                break
+        index = index or Index(x[:1], 1, 1, np.zeros(x.shape[1]))
+    often = np.bincount(index.describe(x).ravel(), minlength=len(index.pivots))
+    order = np.argsort(often, kind="stable")
+    if index.cells is not None:
+        place = np.argsort(order)
+        index = replace(index, cells=(index.cells[0], [place[m] for m in index.cells[1]]))
+    return replace(index, pivots=index.pivots[order])
+
+
+def _set(index: Index, nearest: int, shared: int) -> Index:
     # with few reference points a prefix holds much of them, and sharing some says little but costs nothing
-    index = Index(pivots, prefix, min(shared, prefix))
-    often = np.bincount(index.describe(x).ravel(), minlength=len(pivots))
-    return Index(pivots[np.argsort(often, kind="stable")], prefix, index.shared)
+    prefix = min(nearest, len(index.pivots))
+    return replace(index, prefix=prefix, shared=min(shared, prefix))
 
 
 def candidates(index: Index, group: np.ndarray, pivot: np.ndarray, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,7 +266,7 @@ def _compare(index: Index, threshold: float) -> Callable[[Iterator[pd.DataFrame]
 
 
 def _found(
-    classes: DataFrame, kind: str, threshold: float, nearest: int, shared: int, sampled: int, max_pivots: int, block: int
+    classes: DataFrame, kind: str, threshold: float, nearest: int | None, shared: int | None, sampled: int, max_pivots: int, block: int
 ) -> DataFrame | None:
     """What ``_compare`` finds among the classes (cid, label, v, copies); None without any."""
     total, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -193,7 +274,7 @@ def _found(
         return None
     count = min(max_pivots, max(128, int(8 * total**0.5)))
     picked = classes.orderBy(F.xxhash64("label", "v")).limit(min(sampled, 4 * count)).select("v").toPandas()
-    index = fit_index(_units(matrix(picked["v"], width)), count, nearest, shared)
+    index = fit_index(_units(matrix(picked["v"], width)), count, nearest, shared, threshold)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -202,13 +283,18 @@ def _found(
 
     indexed = classes.select("label", "cid", "copies", "v").mapInPandas(describe, f"label string, cid long, copies long, v {kind}, near array<int>")
     posted = checkpoint(indexed).select("*", F.explode(F.slice("near", 1, index.posted)).alias("pivot"))
-    # lists of more than ``block`` rows, or of more than a quarter of a partition's share if that is more, are cut into
-    # blocks; as their rows add up to no more than all, they are fewer than four times the shuffle partitions
+    # lists of more than ``block`` rows are cut into blocks.  The lists of more than a quarter of a partition's share are fewer than
+    # four times the shuffle partitions, as their rows add up to no more than all, and are broadcast; the others are joined by key, which is even
     partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(block, total * index.posted // (4 * partitions))
-    sizes = posted.groupBy("label", "pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
-    crowded = F.broadcast(sizes.select("label", "pivot", F.floor(F.col("rows") / block + 1).cast("int").alias("blocks")))
-    placed = posted.join(crowded, ["label", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    share = max(block, total * index.posted // (4 * partitions))
+    blocks = F.floor(F.col("rows") / block + 1).cast("int").alias("blocks")
+    sizes = posted.groupBy("label", "pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > block)
+    crowded = F.broadcast(sizes.where(F.col("rows") > share).select("label", "pivot", blocks))
+    placed = posted.join(crowded, ["label", "pivot"], "left")
+    if share > block:
+        rest = placed.where("blocks is null").drop("blocks").join(sizes.where(F.col("rows") <= share).select("label", "pivot", blocks), ["label", "pivot"], "left")
+        placed = placed.where("blocks is not null").unionByName(rest)
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     spread = (
         placed.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("blocks", "other")
@@ -219,7 +305,7 @@ def _found(
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    nearest: int = 10, shared: int = 3, sampled: int = 8192, max_pivots: int = 2048, block: int = 1500,
+    nearest: int | None = None, shared: int | None = None, sampled: int = 65_536, max_pivots: int = 16_384, block: int = 1500, exact: bool = False,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -229,8 +315,12 @@ def near_duplicates(
     with zeros.  Repeated rows link with each other like any others.  A row without links is
     its own component and kept; ``component_id`` is null only where the ids are.
     An empty table gives an empty result; other columns play no part, whatever their names.
-    The pivots are fitted on at most ``sampled`` vectors; every vector is indexed.
+    The pivots are fitted on at most ``sampled`` vectors (four times as many as there are pivots); every vector is indexed.  ``nearest`` pivots describe a
+    vector and candidates share ``shared``, found on the sample where they are not given.  ``exact`` compares all vectors of a label, in blocks: nothing is
+    missed, at a cost that grows with the square of the label.
     """
+    if exact:
+        nearest, shared, max_pivots = 1, 1, 1
     kind = vectors.schema[vec_col].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"  # single precision travels as such
     rows = vectors.select(

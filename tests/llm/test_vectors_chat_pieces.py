@@ -144,6 +144,47 @@ def test_embedding_recall_and_work_at_default_settings(spark):
     assert verified < 0.06 * everything and verified < 4 * want.sum() // 2
 
 
+@pytest.mark.parametrize(("width", "length"), [(64, 1.1), (64, 1.5), (64, 2.0), (384, 1.5)])
+def test_embedding_recall_where_vectors_share_a_direction(spark, width, length):
+    """Vectors of a model with a common mean (0.55 to 0.8 mean cosine), pairs at cosine 0.93 to 0.95, through Spark."""
+    rng, pairs, n = np.random.default_rng(4), 600, 3000
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += length
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(pairs, width))
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    cosine = rng.uniform(0.931, 0.95, (pairs, 1))
+    x[pairs : 2 * pairs] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    got = embedding_dedup.near_duplicates(frame).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.96 * want.sum() >= 0.96 * 2 * pairs
+    if length == 2.0:
+        exact = embedding_dedup.near_duplicates(frame, exact=True, block=400).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+        assert (exact == want).all()
+
+
+@pytest.mark.parametrize("spread", [0.001, 0.1])
+def test_embeddings_that_are_all_near_copies(spark, spread):
+    rng = np.random.default_rng(6)
+    x = 1 + rng.normal(size=(400, 16)) * spread
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(frame).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got == (x @ x.T >= 0.93).sum(1) - 1).all()
+
+
+def test_very_many_reference_points_are_looked_up_through_centres(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_FIRST", 64)
+    rng = np.random.default_rng(8)
+    x = embedding_dedup._units(rng.normal(size=(3000, 32)))
+    index = embedding_dedup.fit_index(x, 600)
+    assert index.cells is not None and len(index.pivots) > 500 and sum(map(len, index.cells[1])) == len(index.pivots)
+    a, b = index.describe(x[:500]), index.describe(embedding_dedup._partners(x[:500], 0.94))
+    assert np.mean([len(np.intersect1d(p, q)) >= index.shared for p, q in zip(a, b, strict=True)]) >= 0.97
+
+
 # --- chat ----------------------------------------------------------------------------------------------------
 
 MARKS = st.lists(st.sampled_from(["<", "[", "\\", "/", "s>", "INST]", "</s>", "[INST]", "\n", "|endoftext|>", "n", " ", "é"]), max_size=9).map("".join)
