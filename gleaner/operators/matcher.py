@@ -1,6 +1,7 @@
 """The match operator: every rule's secrets in a column of bytes.
 
-Each rule's regex runs only on content that has one of the literals its matches contain.
+Each rule's regex runs only on content that meets its condition over literals: of each clause one is there.  All literals of all
+rules are looked for in one pass.
 Where all rules together have only a few, rows without any of them do not even reach
 Python: a built-in filter drops them first.  The matching itself is one Arrow-batched function from content to an array of matches, so
 all other columns stay in the JVM.
@@ -101,8 +102,16 @@ class Scanner:
     def __init__(self, rules: Sequence[Rule], compat_columns: bool = False, limit: float = LIMIT) -> None:
         self.stoppable, self.limit = interruptible(), limit
         pattern = compile_bytes if self.stoppable else lambda p: Bounded(p, limit)
-        self.rules = [(r.id, pattern(r.pattern), r.min_entropy, [k.encode() for k in r.literals]) for r in rules]
-        self.literals = {k for *_, keys in self.rules for k in keys}
+        self.rules = [(r.id, pattern(r.pattern), r.min_entropy) for r in rules]
+        clauses = [[frozenset(k.encode() for k in c) for c in r.clauses] for r in rules]
+        self.literals = {k for own in clauses for c in own for k in c}
+        #: Rules that nothing is known of, and those of each literal of a first clause, with their other clauses.
+        self.always = [i for i, own in enumerate(clauses) if not own]
+        self.by_literal: dict[bytes, list[int]] = {}
+        self.further = [own[1:] for own in clauses]
+        for i, own in enumerate(clauses):
+            for k in own[0] if own else ():
+                self.by_literal.setdefault(k, []).append(i)
         self.compat = compat_columns
         self.automaton = _automaton(self.literals) if len(self.literals) > MANY_LITERALS else None
         #: Seconds that each rule took on the last content, where asked for.
@@ -114,9 +123,14 @@ class Scanner:
             return {k for k in self.literals if k in lower}
         return {k for _, k in self.automaton.iter(lower.decode("latin-1"))}
 
-    def __call__(self, content: bytes, kind: str) -> list[dict]:
+    def due(self, content: bytes) -> list[int]:
+        """The rules whose conditions the content meets, in order."""
         present = self._present(content)
-        due = [r for r in self.rules if not (r[3] and present.isdisjoint(r[3]))]
+        first = {i for k in present for i in self.by_literal.get(k, ())}
+        return sorted([*self.always, *(i for i in first if not any(present.isdisjoint(c) for c in self.further[i]))])
+
+    def __call__(self, content: bytes, kind: str) -> list[dict]:
+        due = [self.rules[i] for i in self.due(content)]
         lines, out, at = _Lines(content, self.compat), [], 0
         if self.seconds is not None:
             self.seconds.update((r[0], 0.0) for r in self.rules)
@@ -125,7 +139,7 @@ class Scanner:
                 before = time.perf_counter()
                 try:
                     again()  # the limit is each rule's own
-                    self._match(*due[at][:3], content, kind, lines, out)
+                    self._match(*due[at], content, kind, lines, out)
                 except OutOfTime:
                     again()
                     out.append({"rule_id": due[at][0], "problem": f"no end of matching after {self.limit} seconds"})
@@ -157,7 +171,7 @@ class Scanner:
 
 
 #: With more literals than this one automaton looks for all of them at once; below, separate searches are faster.
-MANY_LITERALS = 256
+MANY_LITERALS = 24
 
 
 def _automaton(literals: set[bytes]):

@@ -12,7 +12,7 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.functions.regexes import PatternError, compile_bytes, mandatory_literal
+from gleaner.functions.regexes import PatternError, compile_bytes, literal_clauses
 
 PACK = Path(__file__).resolve().parent.parent / "packs"
 CONFIDENCES = ("low", "medium", "high")
@@ -43,13 +43,16 @@ class Rule:
     #: For secrets that are URIs: the schemes they may have.
     schemes: tuple[str, ...] = ()
 
+    @property
+    def clauses(self) -> tuple[tuple[str, ...], ...]:
+        """Lower-case literals in clauses: every match contains one of each; empty if none are known."""
+        known = (tuple(sorted({k.lower() for k in self.keywords})), *literal_clauses(self.pattern)) if self.keywords else literal_clauses(self.pattern)
+        return tuple(dict.fromkeys(known))
+
     @property
     def literals(self) -> tuple[str, ...]:
-        """Lower-case literals of which every match contains one; empty if none are known."""
-        if self.keywords:
-            return tuple(k.lower() for k in self.keywords)
-        found = mandatory_literal(self.pattern)
-        return (found,) if found else ()
+        """The most telling clause; empty if none is known."""
+        return self.clauses[0] if self.clauses else ()
 
     @property
     def sha1(self) -> str:

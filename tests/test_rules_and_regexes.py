@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
-from gleaner.functions.regexes import PatternError, compile_bytes, mandatory_literal, one_line, re2_form
+from gleaner.functions.regexes import PatternError, compile_bytes, literal_clauses, one_line, re2_form
 from gleaner.functions.templates import TemplateError, render
 from gleaner.sources import rules as R
 
@@ -47,20 +47,41 @@ def test_all_bad_patterns_are_reported():
         R.compiled([])
 
 
-def test_mandatory_literals():
-    assert mandatory_literal(r'token = "([0-9a-f]{40})"') == 'token = "'
-    assert mandatory_literal(r"(?i)(GHP_)[a-z]+") == "ghp_"
-    assert mandatory_literal(r"(foo|bar)[0-9]") is None
-    assert mandatory_literal(r"x?(?:longer){0,2}abc") == "abc"
+def test_literal_clauses():
+    assert literal_clauses(r'token = "([0-9a-f]{40})"') == (('token = "',),)
+    assert literal_clauses(r"(?i)(GHP_)[a-z]+") == (("ghp_",),)
+    assert literal_clauses(r"(foo|bar)[0-9]") == (("bar", "foo"),)
+    assert literal_clauses(r"x?(?:longer){0,2}abc") == (("abc",),)
+    assert literal_clauses(r"(?:api|app)[-_]?key\s+(?:live|te[sx]t)_\w+") == (("api-key", "api_key", "apikey", "app-key", "app_key", "appkey"), ("live_", "test_", "text_"))
+    assert literal_clauses(r"(?:abc\d+|[a-z]+)x") == () and literal_clauses(r"(?:abc\d+|\w+xyz)") == (("abc", "xyz"),)
+    assert literal_clauses(r"(?:abc)+\d(?:def)*\d(?=ghi)(?:jkl){2}") == (("jkljkl",), ("abc",))
+    assert literal_clauses(r"é+abc[\x80-\xff]") == (("abc",),) and literal_clauses("([a-z") == ()
     assert re2_form("(?xi) a b # c") == "(?i)ab" and one_line("a\n  b") == "ab"
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.text("abcxyz019 =", max_size=40))
-def test_literal_never_hides_a_match(text):
-    for pattern in (r"abc[0-9]", r"x=(?:ab)+c?", r"(z0)1*"):
-        if re.search(pattern, text):
-            assert mandatory_literal(pattern) is None or mandatory_literal(pattern) in text
+    assert R.Rule("a.1", "A", r"key=\d+", keywords=("KEY",)).clauses == (("key",), ("key=",))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(
+    st.sampled_from(["a", "b", "ab", "[ab]", "[a-c]", "\\d", "abc", "C", "."]),
+    lambda inner: st.one_of(
+        st.lists(inner, min_size=1, max_size=4).map("".join), st.lists(inner, min_size=2, max_size=3).map(lambda p: f"(?:{'|'.join(p)})"),
+        st.tuples(inner, st.sampled_from(["?", "*", "+", "{2}", "{1,3}"])).map(lambda p: f"(?:{p[0]}){p[1]}"),
+    ), max_leaves=8), st.text("abcABC01", min_size=1, max_size=30), st.booleans())
+def test_literal_clauses_never_hide_a_match(pattern, text, fold):
+    pattern = ("(?i)" if fold else "") + pattern
+    m = compile_bytes(pattern).search(text.encode())
+    if m:
+        assert all(any(k in m[0].decode().lower() for k in clause) for clause in literal_clauses(pattern))
+
+
+def test_rules_run_where_their_conditions_are_met():
+    from gleaner.operators.matcher import Scanner
+
+    rules = [R.Rule(f"r.{i}", f"R {i}", rf"key{i:02d}=\d+ (?:on|off)line") for i in range(40)] + [R.Rule("r.any", "Any", r"\d{9}")]
+    for many in (rules, rules[:3] + rules[-1:]):  # by one automaton, and one by one
+        scanner = Scanner(many)
+        assert [many[i].id for i in scanner.due(b"KEY01=1 offline key02=2")] == ["r.1", "r.2", "r.any"]
+        assert [many[i].id for i in scanner.due(b"key01=1")] == ["r.any"]
 
 
 def test_rule_files(tmp_path):
