@@ -28,6 +28,7 @@ from gleaner.sources import git
 from gleaner.sources.git import first_seen_linear
 from gleaner.sources.rules import Rule, at_least, check_rules, load_rules, rules_table, select_rules
 from gleaner.streaming import scan as streams
+from gleaner.streaming import validity
 
 TOKEN = Rule("demo.token", "Demo Token", r'token = "([0-9a-f]{40})"', min_entropy=3.0, confidence="high", examples=('token = "9f8e3d2c1b7a605948372615f4e3d2c19f8e3d2c"',))
 EMAIL = Rule("demo.email", "Demo Email", r"[a-z0-9._]{1,40}@[a-z0-9.]{1,40}\.[a-z]{2,4}", keywords=("@",), examples=("a@example.org",))
@@ -682,6 +683,27 @@ def validate_by_values(spark, sf_dir):
     return told.select(F.col("place").cast("long").alias("o_orderkey"), F.col("validation_success").alias("success"), F.col("validation_status").alias("status"))
 
 
+@query("""SELECT k, unnest(asks) AS asked_at FROM (SELECT user_id % 10 AS k, list_reduce(list_sort(list(epoch_us(ts))),
+lambda a, t: CASE WHEN t >= list_last(a) + 1200000000 THEN list_append(a, t) ELSE a END, [min(epoch_us(ts))]) AS asks FROM events GROUP BY 1)""")
+def validation_windows(spark, sf_dir):
+    """The events as a stream of requests (ten keys): when each key is asked, an answer being good for 1,200 seconds.
+
+    They arrive in three parts, each read by a run of the stream that goes on from the state of the one before.
+    """
+    events = _read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    third = F.floor((F.unix_micros("ts") - (first or 0)) * 3 / ((last or 0) - (first or 0) + 1))
+    key = (F.col("user_id") % 10).cast("string")
+    for part in range(3):
+        events.where(third == part).write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        asked = validity.asks(rows.select(key.alias("request_key"), F.concat(F.lit("GET /"), key).alias("request"), "ts"), "ts")
+        writer = asked.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.start().awaitTermination()
+    return spark.read.schema(asked.schema).parquet(f"{folder}/out").select(F.col("request_key").cast("long").alias("k"), F.unix_micros("asked_at").alias("asked_at"))
+
+
 _ACCOUNT = Rule("demo.account", "Demo Account", r"acct ([0-9]{1,9})\b", min_entropy=-1.0)
 _PIN = Rule(
     "demo.pin", "Demo Pin", r"pin ([0-9]{1,12})\b", min_entropy=-1.0, depends_on=(("demo.account", "AKID"),),
