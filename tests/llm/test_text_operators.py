@@ -560,3 +560,87 @@ def test_packing_of_the_documents(spark):
 def test_crc_mod_of_nulls(spark):
     rows = spark.createDataFrame([(17,), (None,)], "i long").select(crc_mod(F.col("i"), 4).alias("m")).collect()
     assert rows[0]["m"] == zlib.crc32(b"17") % 4 and rows[1]["m"] is None
+
+
+def _prose(rng, words):
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(words))
+
+
+def test_complete_licences_within_longer_documents(spark):
+    """Every licence text between as many words again of other paragraphs, two of them in one document, and one changed here and there."""
+    rng, rows = random.Random(11), []
+    for i, name in enumerate([*licenses.TEXTS, "MIT"]):
+        text = licenses.TEMPLATES[name]
+        half = len(text.split()) // 2
+        around = ["\n\n".join(_prose(rng, min(60, half)) for _ in range(max(1, half // 60))) for _ in range(2)]
+        rows.append((i, f"{around[0]}\n\n{text}\n\n{around[1]}", name))
+    two = "\n\n".join(f"{licenses.TEMPLATES[n]}\n\n" + "\n\n".join(_prose(rng, 50) for _ in range(40)) for n in ("BSD-3-Clause", "LGPL-3.0", "MPL-2.0"))
+    changed = [w if rng.random() > 0.04 else "changed" for w in licenses.TEMPLATES["CC0-1.0"].split(" ")]
+    rows += [(50, two, None), (51, f"{_prose(rng, 300)}\n\n{' '.join(changed)}\n\n{_prose(rng, 300)}", "CC0-1.0"), (52, "\n\n".join(_prose(rng, 50) for _ in range(200)), None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for held in (licenses.HELD, 3000):
+        found = {}
+        for r in licenses.scan(docs, held=held).where("unit <> 'text'").collect():
+            found.setdefault(r["id"], set()).add(r["license"])
+        for i, _, name in rows:
+            assert name is None or name in found.get(i, ()), (held, i, name, found.get(i))  # MIT is one line here
+        assert found[50] >= {"BSD-3-Clause", "LGPL-3.0", "MPL-2.0"} and 52 not in found
+
+
+@pytest.mark.parametrize("held", [150, 900])
+def test_texts_taken_apart_as_rows_give_the_same_units(spark, held):
+    rng, rows = random.Random(held), []
+    pieces = [*licenses.NOTICES.values(), *(licenses.TEMPLATES[n][:900] for n in ("MIT", "ISC")), "Copyright (c) 2020 A", "", "", " \t", "x", "plain words here", "MIT " * 90]
+    for i in range(40):
+        parts = [rng.choice(pieces).replace(". ", rng.choice([". ", ".\n", ".\n\n"])) for _ in range(rng.randint(1, 12))]
+        rows.append((i, rng.choice(["\n", "\n\n", "\n\n\n"]).join(parts) + rng.choice(["", "\n", "\n\n"])))
+    rows += [(100, None), (101, ""), (102, "\n" * 2000), (103, "\n\n" + licenses.NOTICES["Apache-2.0-header"] + "\n" * 900), (104, rows[0][1]), (104, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda h: sorted((str(r["id"]), r["unit"], r["unit_no"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs, held=h).where("unit <> 'run'").collect())
+    whole = told(licenses.HELD)
+    assert told(held) == whole and {u for _, u, *_ in whole} == {"line", "block", "text"}
+
+
+def test_scored_runs_are_those_of_brute_force(spark):
+    """Sums of scores, rises and coefficients worked out in Python."""
+    rng, known = random.Random(3), {"a": [f"a{i} a{i + 1}" for i in range(40)], "b": [f"b{i} b{i + 1}" for i in range(30)]}
+    rows, want = [], []
+    for doc in range(30):
+        blocks = []
+        for _ in range(rng.randint(2, 14)):
+            letter, at, n = rng.choice("aabx"), rng.randint(0, 25), rng.randint(1, 15)
+            blocks.append([f"{letter}{at + k}" if rng.random() > 0.05 else "odd" for k in range(n)])
+        rows += [(doc, doc, no, b) for no, b in enumerate(blocks)]
+        kept = {}
+        for name, grams in known.items():
+            pairs = [set(f"{x} {y}" for x, y in zip(b, b[1:], strict=False)) for b in blocks]
+            total, low, rises = 0, None, []
+            for no, p in enumerate(pairs):
+                if low is None or total < low:
+                    low = total
+                    rises.append([no, no, None, 0])
+                total += 20 * len(p & set(grams)) - 14 * len(p)
+                rises[-1][3] += len(p & set(grams))
+                if rises[-1][2] is None or total > rises[-1][2]:
+                    rises[-1][1:3] = no, total
+                rises[-1].append(low)
+            for i, j, top, hits, lowest, *_ in rises:
+                if top <= lowest or j <= i or hits < min(licenses.admissible(len(grams), 0.6)) or (i == 0 and j == len(blocks) - 1):
+                    continue
+                words = [w for b in blocks[i : j + 1] for w in b]
+                own = set(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))
+                dice = 2 * len(own & set(grams)) / (len(own) + len(grams))
+                if dice >= 0.6:
+                    kept[i, j] = min(kept.get((i, j), (0, "")), (-dice, name))
+        want += [(doc, i, name, round(-less, 9)) for (i, _), (less, name) in kept.items()]
+    frame = spark.createDataFrame(rows, "key long, id long, no int, words array<string>")
+    got = licenses._scored_runs(frame, known, 0.6).select("id", "unit_no", "best.license", F.round(-F.col("best.less"), 9).alias("dice")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_one_very_long_text_of_short_lines(spark):
+    """Millions of lines in one text, with a licence in the midst."""
+    text = "some line\n" * 400_000 + "\n" + licenses.TEMPLATES["MIT"] + "\n\n" + "other words\n" * 400_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(r["unit"], r["license"]) for r in licenses.scan(docs).collect()}
+    assert any(name == "MIT" for _, name in got)
