@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.session import checkpoint, shared_folder
 
-__all__ = ["balanced_join", "checkpoint", "crc_mod", "fresh_name", "in_slices", "shared_folder", "tables"]
+__all__ = ["balanced_join", "checkpoint", "crc_mod", "fresh_name", "in_slices", "shared_folder", "split_join", "tables"]
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
@@ -57,3 +57,22 @@ def balanced_join(big: DataFrame, small: DataFrame, on: list[str], spread: str,
     few = small.drop(rows).join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
     many = big.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
     return many.join(few, [*on, salt]).drop(salt)
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, spread: str, rows: str, total: int) -> DataFrame:
+    """Inner join of ``big``, of ``total`` rows, with ``small``, which has one row per ``key`` and in ``rows`` how many rows of ``big`` have it.
+
+    A key with more than half a partition's share of the rows is split by a hash of ``spread``, its row of ``small`` repeated for each
+    part.  Such keys are fewer than twice the shuffle partitions, so they are written into the plan as they are, which
+    stays as small as that of the plain join.  Keys are whole numbers and not null.  ``small`` is read twice.
+    """
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1000, total // (2 * partitions))
+    hot = small.where(F.col(rows) > share).select(key, rows).collect() if total > share else []
+    if not hot:
+        return big.join(small.drop(rows), key)
+    keys, parts = [r[key] for r in hot], max(r[rows] for r in hot) // share + 1
+    salt = fresh_name("salt")
+    many = big.withColumn(salt, F.when(F.col(key).isin(keys), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0))
+    few = small.drop(rows).withColumn(salt, F.explode(F.when(F.col(key).isin(keys), F.sequence(F.lit(0), F.lit(int(parts - 1)))).otherwise(F.array(F.lit(0)))))
+    return many.join(few, [key, salt]).drop(salt)

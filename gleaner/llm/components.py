@@ -4,7 +4,7 @@ Links are contracted inside each partition first (a partition's links become a
 spanning forest), then rounds of the large-star / small-star algorithm of
 Kiveris et al. (2014) run as joins and aggregations until nothing changes.  No
 vertex's neighbour list is ever collected: minima are aggregated map-side and
-joined back, so a hub costs no more than its links.
+joined back, the links of a hub split among tasks, so a hub costs no more than its links.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint
+from gleaner.llm.common import checkpoint, split_join
 
 
 #: Vertices held at once while links are contracted.
@@ -47,11 +47,11 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from told()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over edges (a, b), a > b."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One large-star or small-star step over ``total`` edges (a, b), a > b."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    joined = split_join(both, least, "a", "b", "n", 2 * total if large else total)
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -82,7 +82,9 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 50)
         if state == before or not state["n"]:
             break
         before = state
-        edges = checkpoint(_star(_star(edges, large=True), large=False))
+        # written between the steps, as the small one asks for its hubs first
+        large = checkpoint(_star(edges, True, state["n"]))
+        edges = checkpoint(_star(large, False, large.count()))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -164,12 +164,18 @@ def fit(sample: Sample, cost: float = 1.0, epochs: int = 20, alpha: float = 1.0)
         return QualityModel(np.zeros(size), only, 1.0, 0.0)
     features = [np.asarray(f, np.int64) for f in got["f"]]
     positive = got["y"].to_numpy() == 1
-    p, q = np.full(size, alpha), np.full(size, alpha)
-    for f, one in zip(features, positive, strict=True):
-        (p if one else q)[f] += 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     y = np.where(positive, 1, -1)
-    w, bias = _descend(features, y, ratio, cost, epochs)
+
+    def fitted(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights and offset learned from these rows alone, their log-count ratios included."""
+        p, q = np.full(size, alpha), np.full(size, alpha)
+        for i in rows:
+            (p if positive[i] else q)[features[i]] += 1
+        ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+        w, bias = _descend([features[i] for i in rows], y[rows], ratio, cost, epochs)
+        return w * ratio, bias
+
+    weights, bias = fitted(np.arange(len(y)))
     # the sigmoid is fitted on margins of texts that the model behind them has not seen (a quarter of each class)
     apart = np.zeros(len(y), bool)
     for one in (True, False):
@@ -178,13 +184,12 @@ def fit(sample: Sample, cost: float = 1.0, epochs: int = 20, alpha: float = 1.0)
     held = np.flatnonzero(apart)
     if len(set(y[rest].tolist())) < 2:
         rest = held = np.arange(len(y))
-    v, tilt = _descend([features[i] for i in rest], y[rest], ratio, cost, epochs)
-    other = QualityModel(v * ratio, tilt, 1.0, 0.0)
+    other = QualityModel(*fitted(rest), 1.0, 0.0)
     margins = np.array([other.margin(features[i]) for i in held])
     rates = {y: sample.counts[y] / sample.taken[y] for y in sample.taken}
     weight = np.where(positive[held], rates.get(1, 1.0), rates.get(0, 1.0))
     slope, offset = _platt(margins, positive[held], weight / weight.mean())
-    return QualityModel(w * ratio, bias, slope, offset)
+    return QualityModel(weights, bias, slope, offset)
 
 
 def scorer(model: QualityModel) -> Callable[[Column], Column]:

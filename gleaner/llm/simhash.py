@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import balanced_join, checkpoint, fresh_name, in_slices
+from gleaner.llm.common import balanced_join, checkpoint, fresh_name, in_slices, split_join
 from gleaner.llm.components import connected_components
 
 #: Bits in which linked fingerprints may differ; the five segments below follow from it.
@@ -160,7 +160,7 @@ def fingerprint_links(fps: DataFrame, dense: int = 64) -> DataFrame:
     """(fp, other): links whose components are those of all pairs within MAX_BITS bits."""
     keys = checkpoint(_keys(fps.select("fp")))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("probe")).alias("own"))
-    live = keys.join(sizes.where("n > 1 and own > 0"), "key")
+    live = split_join(keys, sizes.where("n > 1 and own > 0").withColumn("rows", F.col("n")), "key", "fp", "rows", keys.count())
     sparse = live.where(F.col("n") <= dense)
     left = sparse.where("not probe").select("key", F.col("fp").alias("x"))
     right = sparse.select("key", F.col("fp").alias("y"), "probe")

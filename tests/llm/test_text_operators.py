@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gleaner.llm import components, langid, licenses, packing, quality, simhash, toxicity
-from gleaner.llm.common import crc_mod, tables
+from gleaner.llm.common import checkpoint, crc_mod, tables
 
 SF = "/root/testdata/sf0.01"
 LONG = "the quick brown fox jumps over it " * 12_000
@@ -644,3 +644,36 @@ def test_one_very_long_text_of_short_lines(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = {(r["unit"], r["license"]) for r in licenses.scan(docs).collect()}
     assert any(name == "MIT" for _, name in got)
+
+
+def test_hubs_are_split_in_joins(spark):
+    from gleaner.llm.common import split_join
+
+    links = [(0, i) for i in range(1, 4000)] + [(i, i + 1) for i in range(5000, 5200)] + [(3999, 7000), (7000, 7001)]
+    frame = spark.createDataFrame([(b, a) for a, b in links], "a long, b long").repartition(7)
+    small = frame.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    joined = split_join(frame, small, "b", "a", "n", len(links))
+    assert "salt" in joined._jdf.queryExecution().toString() and sorted(joined.columns) == ["a", "b", "m"]
+    assert joined.count() == len(links) and joined.where("b = 0 and m = 1").count() == 3999
+    edges = checkpoint(frame.select("a", "b"))
+    star = sorted(map(tuple, components._star(edges, True, len(links)).collect()))
+    assert len(star) == len(set(star)) and (7001, 3999) in star
+    got = {r["node"]: r["component"] for r in components.connected_components(frame, "a", "b").collect()}
+    assert all(got[i] == 0 for i in range(4000)) and got[7001] == 0 and all(got[i] == 5000 for i in range(5000, 5201)) and len(got) == 4000 + 2 + 201
+
+
+def test_scores_are_calibrated_on_documents_held_out(spark):
+    """Of held-out documents with a score in each tenth, the share of label 1 is near the mean score (toxicity and quality)."""
+    from gleaner.llm.common import crc_mod, tables
+
+    docs, labels = tables(spark, "/root/testdata/sf0.1", "documents", "labels")
+    for module, label, modulus, held in ((toxicity, "toxic", 5, 0), (quality, "quality", 3, 1)):
+        part = crc_mod(F.col("doc_id"), modulus)
+        model = module.train(docs, labels, part != held, per_class=600)
+        known = docs.where(part == held).join(labels.select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"]), "doc_id")
+        rows = module.classify(known.select("doc_id", "text", "y"), model).select("score", "y").toPandas()
+        error, n = 0.0, len(rows)
+        for _, own in rows.groupby((rows["score"] * 10).clip(upper=9).astype(int)):
+            error += len(own) / n * abs(own["score"].mean() - own["y"].mean())
+        assert n > 500 and error < 0.05, (label, error)
+        assert ((rows["score"] - rows["y"]) ** 2).mean() < 0.04
