@@ -89,8 +89,8 @@ def _scan(args: argparse.Namespace) -> int:
     from pyspark.sql import DataFrame, SparkSession
     from pyspark.sql import functions as F
 
-    from gleaner.operators import dedup, matcher, report, validate
-    from gleaner.session import checkpoint
+    from gleaner.operators import dedup, documents, matcher, report, validate
+    from gleaner.session import checkpoint, shared_folder
     from gleaner.sources import archives, blobs, git
 
     rules = with_min_entropy(_rules(args), args.min_entropy)
@@ -143,6 +143,12 @@ def _scan(args: argparse.Namespace) -> int:
         matches = report.redact(matches, secrets.token_hex(16))
     matches = checkpoint(matches)
     shown = report.shown(matches, args.only_valid)
+    if args.output and args.format in ("json", "sarif"):
+        # as many tasks as there are findings for write one document
+        folder = f"{shared_folder(spark)}/report-{secrets.token_hex(8)}"
+        (report.write_json if args.format == "json" else report.write_sarif)(shown, folder)
+        documents.join_files(spark, folder, os.path.abspath(args.output) if "://" not in args.output else args.output)
+        return report.exit_code(matches).first()["exit_code"]
     if args.format == "bson":
         data = b"".join(bytes(r["value"]) for r in report.bson(shown).toLocalIterator())
     elif args.format in ("jsonl", "pretty"):

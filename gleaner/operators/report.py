@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.scalars import escaped, redacted, repo_url
 from gleaner.operators.validate import BODY_LIMIT, status_label
+from gleaner.operators.documents import write_document
+from gleaner.session import checkpoint
 from gleaner.sources.blobs import path_of
 
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -55,8 +57,8 @@ def redact(findings: DataFrame, salt: str) -> DataFrame:
     return out.drop("before", "after")
 
 
-def report_rows(findings: DataFrame) -> DataFrame:
-    """(id, matches) per finding, the nested shape of the JSON report; in order of path, start and rule."""
+def report_rows(findings: DataFrame, ordered: bool = True) -> DataFrame:
+    """(id, matches) per finding, the nested shape of the JSON report; in order of path, start and rule (or with _path and start, in any order)."""
     response = F.when(
         F.octet_length("validation_body") > BODY_LIMIT, F.concat(F.substring("validation_body", 1, BODY_LIMIT), F.lit("..."))
     ).otherwise(F.col("validation_body"))
@@ -71,9 +73,10 @@ def report_rows(findings: DataFrame) -> DataFrame:
         around = F.struct(F.decode("before", "UTF-8").alias("before"), F.decode("after", "UTF-8").alias("after"))
         finding = F.struct(finding.alias("f"), around.alias("context")).withField("f.context", around)["f"]
     rule = F.struct(F.col("rule_name").alias("name"), F.col("rule_id").alias("id"))
-    return findings.select(
+    rows = findings.select(
         F.col("rule_id").alias("id"), F.array(F.struct(rule.alias("rule"), finding.alias("finding"))).alias("matches"), path_of().alias("_path"), "start"
-    ).orderBy("_path", "start", "id").select("id", "matches")
+    )
+    return rows.orderBy("_path", "start", "id").select("id", "matches") if ordered else rows
 
 
 def json_lines(findings: DataFrame) -> DataFrame:
@@ -85,6 +88,12 @@ def write_json_lines(findings: DataFrame, path: str) -> None:
     json_lines(findings).write.mode("overwrite").text(path)
 
 
+def write_json(findings: DataFrame, path: str) -> None:
+    """The whole report as one JSON array, in parts below ``path`` that are the document one after another (``documents.join_files`` joins them)."""
+    rows = report_rows(findings, ordered=False).select(F.to_json(F.struct("id", "matches")).alias("value"), "_path", "start", "id")
+    write_document(rows, ["_path", "start", "id", "value"], path, "[\n", "\n]")
+
+
 def json_text(findings: DataFrame) -> str:
     """The whole report as one JSON array on the driver, for console output; empty without findings."""
     rows = [json.loads(r["value"]) for r in json_lines(findings).toLocalIterator()]
@@ -202,6 +211,16 @@ def sarif_text(findings: DataFrame, tool: str = "gleaner") -> str:
     return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False)
 
 
+def write_sarif(findings: DataFrame, path: str, tool: str = "gleaner") -> None:
+    """A SARIF 2.1.0 log as one JSON document, in parts below ``path``; rules listed are those with results (at most those of the rule files)."""
+    results = checkpoint(sarif_results(findings))
+    rules = results.groupBy("rule_id").agg(F.max("rule_name").alias("name")).orderBy("rule_id").collect()
+    listed = [{"id": r["rule_id"], "name": r["name"], "shortDescription": {"text": r["name"]}} for r in rules]
+    head = {"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": listed}}, "results": []}]}
+    text = json.dumps(head, ensure_ascii=False)
+    write_document(results.select(F.col("result").alias("value"), "rule_id"), ["rule_id", "value"], path, text[:-4] + "\n", "\n" + text[-4:])
+
+
 def pretty(findings: DataFrame) -> DataFrame:
     """One block of text per finding in a column ``value``, in order of path, start and rule."""
     label = status_label(F.col("validation_success"), F.col("validation_status"), attempted_first=True)

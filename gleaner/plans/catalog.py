@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scalars as S
 from gleaner.functions.regexes import re2_form
-from gleaner.operators import dedup, dependencies, matcher, report, validate
+from gleaner.operators import dedup, dependencies, documents, matcher, report, validate
 from gleaner.functions import sql as sql_functions
 from gleaner.functions import templates
 from gleaner.session import checkpoint, shared_folder
@@ -809,6 +809,35 @@ def report_json_lines_read(spark, sf_dir):
     return _read_back(spark.read.text(path))
 
 
+def _document(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """A report written by many tasks, joined into one file and parsed as one document."""
+    folder = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
+    write(report.shown(_found(spark, sf_dir)), f"{folder}/parts")
+    documents.join_files(spark, f"{folder}/parts", f"{folder}/whole.json")
+    return spark.read.option("multiLine", "true").json(f"{folder}/whole.json")
+
+
+@query(f'SELECT rule_id, rule_name, snippet, path, "line" FROM ({_SHOWN_SQL})')
+def report_json_document(spark, sf_dir):
+    """The whole JSON report as one array, written in parts and parsed as one."""
+    m = F.col("matches")[0]
+    f = m["finding"]
+    rows = _document(spark, sf_dir, report.write_json)
+    return rows.select(m["rule"]["id"].alias("rule_id"), m["rule"]["name"].alias("rule_name"), f["snippet"].alias("snippet"), f["path"].alias("path"), f["line"].alias("line"))
+
+
+@query(f"""SELECT rule_id, rule_name, snippet, path, "line", (SELECT count(DISTINCT rule_id) FROM ({_SHOWN_SQL})) AS rules FROM ({_SHOWN_SQL})""")
+def report_sarif_document(spark, sf_dir):
+    """The SARIF log as one document, its results and the rules it lists."""
+    run = _document(spark, sf_dir, report.write_sarif).select(F.explode("runs").alias("run")).select(F.explode("run.results").alias("r"), F.col("run.tool.driver.rules").alias("listed"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    own = F.filter("listed", lambda x: x["id"] == F.col("r.ruleId"))[0]
+    return run.select(
+        F.col("r.ruleId").alias("rule_id"), own["name"].alias("rule_name"), place["region"]["snippet"]["text"].alias("snippet"), place["artifactLocation"]["uri"].alias("path"),
+        place["region"]["startLine"].alias("line"), F.size("listed").cast("long").alias("rules"),
+    )
+
+
 @query(f'SELECT rule_id, rule_name, snippet, path, "line" FROM ({_SHOWN_SQL})')
 def report_bson_read(spark, sf_dir):
     """The BSON documents, read back."""
