@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.slices import LEAST, SLICE, carried, sliced
+
 
 def first_of_each(findings: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """One finding of each key: the first by ``order``, the same on every run.
@@ -54,11 +58,15 @@ def without_redundant_git(origins: Column) -> Column:
     )
 
 
-def inside_another(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", tie: list[str] = ()) -> DataFrame:
+def inside_another(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end", tie: list[str] = (), least: int = LEAST) -> DataFrame:
     """``spans`` with ``contained``: whether another span of the same keys begins no later and ends no earlier.
 
     Of equal spans the first (by ``tie``) stays free.  Spans are ordered by start (longest first), so the farthest end
-    so far decides, and no pair of spans is formed.
+    so far decides, and no pair of spans is formed.  A key with very many spans is cut into slices by their starts; the farthest end of the
+    slices before is carried over.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(start), F.desc(end), *tie).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("contained", F.coalesce(F.max(end).over(w) >= F.col(end), F.lit(False)))
+    rows = sliced(spans, keys, start, least)
+    far = f"_far_{uuid.uuid4().hex[:8]}"
+    rows = carried(rows, keys, **{far: (F.max(end), F.max(far), False)})
+    w = Window.partitionBy(*keys, SLICE).orderBy(F.col(start), F.desc(end), *tie).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(*spans.columns, F.coalesce(F.greatest(F.max(end).over(w), F.col(far)) >= F.col(end), F.lit(False)).alias("contained"))

@@ -464,6 +464,18 @@ def span_containment(spark, sf_dir):
     return dedup.inside_another(items, ["l_suppkey"], tie=["k"]).select("l_orderkey", "l_linenumber", "contained")
 
 
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 = 0 AS g, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e, l_orderkey * 10 + l_linenumber AS k FROM lineitem),
+o AS (SELECT *, max(e) OVER (PARTITION BY g ORDER BY s, e DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM i)
+SELECT l_orderkey, l_linenumber, coalesce(far >= e, FALSE) AS contained FROM o""")
+def span_containment_hot(spark, sf_dir):
+    """Containment with two keys for all line items, one of which has nearly all: cut into slices, the farthest end carried over."""
+    items = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50 == 0).alias("g"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+    )
+    return dedup.inside_another(items, ["g"], tie=["k"], least=1000).select("l_orderkey", "l_linenumber", "contained")
+
+
 _COMMITS = "(SELECT o_orderkey AS commit_id, o_orderdate AS topo, o_custkey AS blob_id FROM orders)"
 
 
@@ -564,6 +576,19 @@ def nearest_variable(spark, sf_dir):
     return near.select("order_id", F.col("value").cast("long").alias("event_id"))
 
 
+@query("""SELECT order_id, event_id FROM (SELECT a.event_id AS order_id, b.event_id, row_number() OVER (PARTITION BY a.event_id
+ORDER BY abs(epoch_us(b.ts) - epoch_us(a.ts)), epoch_us(b.ts), b.event_id) AS r FROM events a JOIN
+(SELECT user_id % 10 = 0 AS g, ts, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, ts) b
+ON (a.user_id % 10 = 0) = b.g WHERE a.event_type = 'purchase') WHERE r = 1""")
+def nearest_variable_hot(spark, sf_dir):
+    """The nearest value with two keys for all events, one of which has nine tenths: cut into slices, values carried over in both directions."""
+    events = _read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10 == 0).alias("g"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    targets = events.where("event_type = 'purchase'").select("g", F.col("event_id").alias("order_id"), F.col("at").alias("end"))
+    values = events.where("event_type = 'click'").select("g", F.col("at").alias("start"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("value"))
+    near = dependencies.nearest_value(targets, values, blob="g", least=500)
+    return near.select("order_id", F.col("value").cast("long").alias("event_id"))
+
+
 # --- validation ----------------------------------------------------------------------------------------------------
 
 
