@@ -60,6 +60,39 @@ def _listed(spark: SparkSession, repo: str, command: list[str], keep: str = "")
     return spark.range(1).mapInPandas(run, "id string, n long")
 
 
+def history_of(repo: str, topo: dict[str, int]) -> tuple[list[tuple], list[tuple]]:
+    """(commits, changes) of some commits by id: (id, parents, topo, name, mail, seconds), and (id, path, blob) in order."""
+    if not topo:
+        return [], []
+    asked, told, found = ("\n".join(topo) + "\n").encode(), ("log", "--no-walk=unsorted", "--stdin"), []
+    for line in filter(None, _git(repo, *told, "--format=%H%x00%P%x00%cn%x00%ce%x00%ct", data=asked).decode("utf-8", "replace").split("\n")):
+        oid, parents, name, mail, when = line.split("\0")
+        found.append((oid, parents.split(), topo[oid], name, mail, int(when)))
+    raw = _git(repo, *told, "-m", "--raw", "--no-abbrev", "--no-renames", "--root", "-z", "--format=%x01%H", data=asked).decode("utf-8", "replace")
+    changes = set()
+    for one in raw.split("\x01")[1:]:
+        fields = one.replace("\n", "\0").split("\0")
+        oid, rest = fields[0].split(" ")[0], [f for f in fields[1:] if f]
+        for i, f in enumerate(rest):
+            if f.startswith(":") and i + 1 < len(rest):
+                _, mode, _, new, status = f.split(" ")
+                if status[0] != "D" and mode not in ("160000", "120000"):
+                    changes.add((oid, rest[i + 1], new))
+    return found, sorted(changes)
+
+
+def contents_of(repo: str, ids: list[str]) -> Iterator[tuple[str, bytes]]:
+    """(id, content) of blobs, 256 at a time."""
+    for at in range(0, len(ids), 256):
+        part = ids[at : at + 256]
+        stream, i = _git(repo, "cat-file", "--batch", data="\n".join(part).encode() + b"\n"), 0
+        for _ in part:
+            end = stream.index(b"\n", i)
+            oid, _, size = stream[i:end].decode().split(" ")
+            yield oid, stream[end + 1 : end + 1 + int(size)]
+            i = end + 2 + int(size)
+
+
 def read_history(spark: SparkSession, repo: str, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of all refs of a local repository.
 
@@ -73,24 +106,8 @@ def read_history(spark: SparkSession, repo: str, partitions: int = 8) -> tuple[D
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                topo = dict(zip(part["commit_id"], part["topo"], strict=True))
-                asked = ("\n".join(topo) + "\n").encode()
-                found = []
-                told = ("log", "--no-walk=unsorted", "--stdin")
-                for line in filter(None, _git(repo, *told, "--format=%H%x00%P%x00%cn%x00%ce%x00%ct", data=asked).decode("utf-8", "replace").split("\n")):
-                    oid, parents, name, mail, when = line.split("\0")
-                    found.append((oid, parents.split(), topo[oid], name, mail, int(when), None, None))
-                raw = _git(repo, *told, "-m", "--raw", "--no-abbrev", "--no-renames", "--root", "-z", "--format=%x01%H", data=asked).decode("utf-8", "replace")
-                changes = set()
-                for one in raw.split("\x01")[1:]:
-                    fields = one.replace("\n", "\0").split("\0")
-                    oid, rest = fields[0].split(" ")[0], [f for f in fields[1:] if f]
-                    for i, f in enumerate(rest):
-                        if f.startswith(":") and i + 1 < len(rest):
-                            _, mode, _, new, status = f.split(" ")
-                            if status[0] != "D" and mode not in ("160000", "120000"):
-                                changes.add((oid, None, None, None, None, None, rest[i + 1], new))
-                yield _rows(found + sorted(changes, key=lambda c: (c[0], c[6], c[7])))
+                found, changes = history_of(repo, dict(zip(part["commit_id"], part["topo"], strict=True)))
+                yield _rows([*(c + (None, None) for c in found), *((c, None, None, None, None, None, path, blob) for c, path, blob in changes)])
 
     ids = _listed(spark, repo, ["rev-list", "--all", "--topo-order", "--reverse"]).select(F.col("id").alias("commit_id"), F.col("n").alias("topo"))
     rows = checkpoint(ids.repartition(partitions, "commit_id").mapInPandas(run, _HISTORY))
@@ -115,14 +132,7 @@ def read_objects(spark: SparkSession, repo: str, partitions: int = 8) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part = batch["blob_id"].iloc[at : at + 256].tolist()
-                stream, out, i = _git(repo, "cat-file", "--batch", data="\n".join(part).encode() + b"\n"), [], 0
-                for _ in part:
-                    end = stream.index(b"\n", i)
-                    oid, _, size = stream[i:end].decode().split(" ")
-                    out.append((oid, stream[end + 1 : end + 1 + int(size)]))
-                    i = end + 2 + int(size)
-                yield pd.DataFrame(out, columns=["blob_id", "content"])
+                yield pd.DataFrame(list(contents_of(repo, batch["blob_id"].iloc[at : at + 256].tolist())), columns=["blob_id", "content"])
 
     return ids.repartition(partitions, "blob_id").mapInPandas(run, "blob_id string, content binary")
 
