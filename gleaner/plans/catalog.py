@@ -24,7 +24,7 @@ from gleaner.functions import templates
 from gleaner.session import checkpoint, shared_folder
 from gleaner.sources import archives
 from gleaner.sources import blobs as B
-from gleaner.sources import git
+from gleaner.sources import git, seen
 from gleaner.sources.git import first_seen_linear
 from gleaner.sources.rules import Rule, at_least, check_rules, load_rules, rules_table, select_rules
 from gleaner.streaming import scan as streams
@@ -235,10 +235,31 @@ def distinct_blobs(spark, sf_dir):
 
 @query(f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {_BLOB_SQL} NOT IN (SELECT {_BLOB_SQL} FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
 def unseen_blobs(spark, sf_dir):
-    """Blobs that an earlier run, over every third document, has not seen."""
+    """Blobs that an earlier run, over every third document, has not seen: by its sketch, and its keys where that speaks for them."""
     blobs = _doc_blobs(spark, sf_dir)
     doc = F.substring(B.path_of(), 5, 30).cast("long")
-    return B.unseen(blobs, blobs.where(doc % 3 == 0)).select(doc.alias("doc_id"))
+    store = f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}"
+    seen.record(blobs.where(doc % 3 == 0), "blob_id", store, "first")
+    return seen.unseen(blobs.select("blob_id", doc.alias("doc_id")), "blob_id", store).select("doc_id")
+
+
+@query("""WITH d AS (SELECT event_id, user_id * 1000 + event_id % 17 AS k, event_id % 4 AS part FROM events)
+SELECT event_id, part FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.k = a.k AND b.part < a.part)""")
+def unseen_over_runs(spark, sf_dir):
+    """Four runs over the events, each with the keys that none before it has seen."""
+    events = _read(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 1000 + F.col("event_id") % 17).alias("k"), (F.col("event_id") % 4).alias("part"))
+    store, out = f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}", None
+    for run in range(4):
+        own = events.where(F.col("part") == run)
+        new = seen.unseen(own, "k", store) if run else own
+        out = new if out is None else out.unionByName(new)
+        if run == 0:
+            seen.record(own, "k", store, "0")
+        else:
+            # the runs before are told apart by their part, so what this one reads does not change
+            out = checkpoint(out)
+            seen.record(own, "k", store, str(run))
+    return out.select("event_id", "part")
 
 
 def _sql_condition(rule: Rule) -> str:
