@@ -130,29 +130,33 @@ def train(
     learned and every text is ``und``.  A language has ``clusters`` centroids, a rare one fewer (one for each 50 of its texts).  The
     model grows with the languages (32 kB for each centroid), not with the rows.
     """
-    rows = checkpoint(sample(docs if eligible is None else docs.where(eligible), per_lang, id_col, text_col, lang_col))
+    chosen = sample(docs if eligible is None else docs.where(eligible), per_lang, id_col, text_col, lang_col)
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, n, df = Grams(), 0, np.zeros(SIZE, np.int64)
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams = Grams()
         for part in in_slices(batches, "text"):
-            for text in part["text"]:
-                if (counts := grams(text)) is not None:
-                    n += 1
-                    df += counts > 0
-        yield pd.DataFrame({"n": [n], "df": [df]})
-
-    parts = rows.mapInPandas(frequencies, "n long, df array<long>").toPandas()
-    total = int(parts["n"].sum())
+            told = [grams(text) for text in part["text"]]
+            part = part[[c is not None for c in told]]
+            at = [np.flatnonzero(c) for c in told if c is not None]
+            yield pd.DataFrame({"lang": part["lang"], "spread": part["spread"], "at": at, "n": [c[i] for c, i in zip((c for c in told if c is not None), at, strict=True)]})
+
+    # at most SIZE numbers for each text, however long it is; the texts themselves go no further
+    rows = chosen.withColumn("spread", F.xxhash64("text")).mapInPandas(counted, "lang string, spread long, at array<int>, n array<float>")
+    rows = checkpoint(rows)
+    total = rows.count()
     if not total:
         return LanguageModel(np.zeros(SIZE), np.zeros((0, SIZE), np.float32), [], np.zeros(0))
-    idf = np.log((1 + total) / (1 + np.sum(np.stack(parts["df"].to_list()), axis=0))) + 1
+    df = np.zeros(SIZE)
+    for r in rows.select(F.explode("at").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect():  # at most SIZE rows
+        df[r["gram"]] = r["n"]
+    idf = np.log((1 + total) / (1 + df)) + 1
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams()
-        counts = [c for c in map(grams, group["text"]) if c is not None]
-        if not counts:
-            return pd.DataFrame({"lang": [], "cluster": [], "reach": [], "v": []})
-        x = _vectors(np.stack(counts), idf)
+        group = group.sort_values("spread", kind="stable")  # the same in every run
+        x = np.zeros((len(group), SIZE), np.float32)
+        for row, at, n in zip(x, group["at"], group["n"], strict=True):
+            row[at] = np.log1p(n.astype(float)) * idf[at]
+        x = _unit(x)
         c, own = _kmeans(x, min(clusters, -(-len(x) // 50)))
         cosine = np.einsum("ij,ij->i", x, c[own])
         used = [j for j in range(len(c)) if (own == j).any()]

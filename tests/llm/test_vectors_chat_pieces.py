@@ -324,9 +324,23 @@ def test_giant_documents_go_through_the_scan(spark):
 
 
 def test_texts_are_encoded_once(spark):
+    """Digests read what encoding has written: texts are read once for short and once for long ones, and never again."""
     (docs,) = tables(spark, "/root/testdata/sf0.001", "documents")
-    plan = sentencepieces.digest(sentencepieces.encode(docs))._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" not in plan and "parquet" not in plan.lower()
+    seen = spark.sparkContext.accumulator(0)
+    texts = docs.select("doc_id", F.col("text")).limit(40)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    watched = texts.mapInPandas(counted, "doc_id long, text string")
+    out = sentencepieces.digest(sentencepieces.encode(watched))
+    assert out.count() == 40
+    before = seen.value
+    assert before <= 2 * 40
+    assert out.agg(F.sum(F.hash(*out.columns))).first()[0] is not None and out.count() == 40
+    assert seen.value == before, "the texts were encoded again"
 
 
 def test_max_plus_product_is_associative():
