@@ -125,6 +125,8 @@ def _scan(args: argparse.Namespace) -> int:
     for r in matches.where("problem is not null").groupBy("rule_id", "problem").count().collect():
         print(f"{r['rule_id']}: {r['problem']} in {r['count']} contents", file=sys.stderr)
     matches = matches.where("problem is null").drop("problem")
+    if not args.no_extract_archives:
+        matches = archives.joined(matches)
     if args.rule_stats:
         for r in report.rule_statistics(matcher.timings(found, rules)).collect():
             print(f"{r['rule_id']}: {r['calls']} contents, {r['total']:.3f} s, mean {r['mean']:.6f}, slowest {r['slowest']:.6f} ({r['slowest_blob']})", file=sys.stderr)

@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.scalars import ZIP_FAMILY, is_archive
+from gleaner.functions.scalars import ZIP_FAMILY, fingerprint, is_archive
+from gleaner.operators.dedup import first_of_each
 from gleaner.sources.blobs import _blobs, origin, path_of
 
 #: A longer member is given in pieces of this many bytes, each beginning with the last ``OVERLAP`` of the one before.
@@ -111,20 +112,27 @@ def _entries(path: str, file: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
 
 
 def _pieces(name: str, file: BinaryIO, piece: int) -> Iterator[tuple[str, bytes]]:
-    """The whole content in pieces; those after the first have their offset in their name."""
     overlap = min(OVERLAP, piece // 2)
-    data, at = file.read(piece), 0
-    yield name, data
-    while len(data) == piece and (more := file.read(piece - overlap)):
+    data, at, feeds, column = file.read(piece), 0, 0, 0
+    more = file.read(piece - overlap) if len(data) == piece else b""
+    if not more:
+        yield name, data
+        return
+    yield f"{name}@0:0:0", data
+    while more:
+        passed = data[: piece - overlap]
+        feeds += passed.count(b"\n")
+        column = len(passed) - 1 - passed.rfind(b"\n") if b"\n" in passed else column + len(passed)
         data, at = data[piece - overlap :] + more, at + piece - overlap
-        yield f"{name}@{at}", data
+        yield f"{name}@{at}:{feeds}:{column}", data
+        more = file.read(piece - overlap) if len(data) == piece else b""
 
 
 def members(path: str, data: bytes | BinaryIO, depth: int = 2, piece: int = PIECE) -> Iterator[tuple[str, bytes]]:
     """(archive!member, bytes) of every regular file in an archive, nested ones down to ``depth``.
 
     Members are read whole: one of more than ``piece`` bytes comes in overlapping pieces, named
-    ``archive!member@offset`` from the second on; archives within are copied to a temporary file.  Names that
+    ``archive!member@offset:lines:column`` by what lies before them (``joined`` puts their findings together); archives within are copied to a temporary file.  Names that
     leave the archive are skipped; what cannot be read to its end as an archive yields itself (too).
     """
     file = io.BytesIO(data) if isinstance(data, bytes) else data
@@ -147,7 +155,37 @@ def members(path: str, data: bytes | BinaryIO, depth: int = 2, piece: int = PIEC
         yield from _pieces(path, file, piece)
 
 
-def expand(blobs: DataFrame, depth: int = 2) -> DataFrame:
+_PIECE_OF = r"^(.*!.*)@([0-9]+):([0-9]+):([0-9]+)$"
+
+
+def joined(findings: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """Findings in pieces of long members as findings in the members: offsets, lines, columns and fingerprints as in the whole, each once.
+
+    What lies wholly in the part that a piece shares with the one before was found there; of findings of a rule that begin at one place the longest
+    stays, as one cut off by the end of a piece is whole in the next.  Other findings stay as they are.
+    """
+    told = lambda i: F.regexp_extract(path_of(), _PIECE_OF, i)
+    pieced = F.coalesce(path_of().rlike(_PIECE_OF), F.lit(False))
+    numbers = {"_at": told(2).try_cast("long"), "_feeds": told(3).try_cast("long"), "_column": told(4).try_cast("long")}
+    # where the whole match ends, of which the value may be a part
+    last = F.get(F.filter("captures", lambda c: c["name"].isNull() & (c["match_number"] == 0)), F.lit(0))["end"]
+    pieces = findings.where(pieced).withColumns(numbers).where((F.col("_at") == 0) | (F.coalesce(last, F.col("end")) > overlap))
+    moved = lambda c, line: F.when(F.col(line) == 1, F.col(c) + F.col("_column")).otherwise(F.col(c)).cast("int")
+    at = F.col("_at")
+    whole = pieces.withColumns(
+        {
+            "start": F.col("start") + at, "end": F.col("end") + at, "column_start": moved("column_start", "line_start"), "column_end": moved("column_end", "line_end"),
+            "line_start": (F.col("line_start") + F.col("_feeds")).cast("int"), "line_end": (F.col("line_end") + F.col("_feeds")).cast("int"),
+            "captures": F.transform("captures", lambda c: c.withField("start", c["start"] + at).withField("end", c["end"] + at)),
+            "origins": F.transform("origins", lambda o: o.withField("path", F.regexp_replace(o["path"], _PIECE_OF, "$1"))),
+        }
+    ).drop(*numbers)
+    whole = first_of_each(whole, [path_of().alias("_path"), F.col("rule_id").alias("_rule"), F.col("start").alias("_start")], [-F.col("end")])
+    whole = whole.withColumn("fingerprint", fingerprint(F.col("secret").cast("binary"), F.lit("file"), F.col("start"), F.col("end")))
+    return findings.where(~pieced).unionByName(whole.select(findings.columns))
+
+
+def expand(blobs: DataFrame, depth: int = 2, piece: int = PIECE) -> DataFrame:
     """Archives replaced by their members (an archive among the members too, down to ``depth``); other blobs stay."""
     path = path_of()
     packed = blobs.where(is_archive(path)).select(path.alias("path"), "content")
@@ -155,7 +193,7 @@ def expand(blobs: DataFrame, depth: int = 2) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                for inner, content in members(name, bytes(data), depth):
+                for inner, content in members(name, bytes(data), depth, piece):
                     yield pd.DataFrame({"path": [inner], "content": [content]})
 
     out = packed.mapInPandas(run, "path string, content binary")

@@ -1,11 +1,14 @@
 """Files scanned by ranges: the same as in one piece, whatever the ranges."""
 
+import io
 import random
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import matcher
-from gleaner.sources import blobs, ranges
+from gleaner.sources import archives, blobs, ranges
 from gleaner.sources.rules import Rule
 
 RULES = [
@@ -45,3 +48,22 @@ def test_a_sparse_file_beyond_the_limit_of_a_row(spark, tmp_path):
         file.write(b"\nkey=e5f6g7h8 ")
     got = {r["secret"]: (r["start"], r["line_start"], r["column_start"]) for r in ranges.scan_files(spark, [str(tmp_path)], RULES[:1]).collect()}
     assert got == {"a1b2c3d4": (4, 1, 4), "x9y8z7w6": (ranges.SIZE - 1, 3, ranges.SIZE - 16), "e5f6g7h8": (size + 5, 5, 4)}
+
+
+@pytest.mark.parametrize("piece", [700, 2500])
+def test_members_in_pieces_give_the_findings_of_the_whole(spark, piece):
+    rng, rows = random.Random(piece), []
+    for i, n in enumerate((9000, 3000, 40)):
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("in/m.txt", _text(rng, n))
+        rows.append((f"a{i}.zip", file.getvalue()))
+    packed = blobs.from_table(spark.createDataFrame(rows, "p string, c binary"), "c", F.col("p"))
+    told = lambda df: sorted(tuple([r["origins"][0]["path"], *(r[f] for f in FIELDS), [(c["start"], c["end"]) for c in r["captures"]]]) for r in df.collect())
+    whole = told(matcher.scan(archives.expand(packed), RULES))
+    pieces = matcher.scan(archives.expand(packed, piece=piece), RULES)
+    overlap = min(archives.OVERLAP, piece // 2)
+    got = told(archives.joined(pieces, overlap))
+    assert [w for w in whole if w not in got] == [] == [g for g in got if g not in whole]
+    assert got == whole and len(whole) > 60
+    assert pieces.count() > len(whole)

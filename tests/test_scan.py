@@ -161,9 +161,10 @@ def test_large_members_are_read_whole():
     seen = {}
     for path, data in items.items():
         for name, part in archives.members(path, data, 2, 4000):
-            member, _, at = name.partition("@")
+            member, _, before = name.partition("@")
             so_far = seen.setdefault(member, b"")
-            at = int(at or 0)
+            at, feeds, column = map(int, before.split(":")) if before else (0, 0, 0)
+            assert (feeds, column) == (so_far.count(b"\n", 0, at), at - so_far.rfind(b"\n", 0, at) - 1)
             assert len(part) <= 4000 and at <= len(so_far) and part.startswith(so_far[at:])
             seen[member] = so_far[:at] + part
     assert set(seen) == {"x.zip!a.txt", "y.tar.gz!b.txt", "y.tar.gz!n.zip!a.txt", "z.asar!c.txt", "g.gz!g", "h.bz2!h", "i.xz!i", "j.zlib!j"}
