@@ -6,7 +6,9 @@ that do occur: tokens, e-mail addresses, dotted quads, licence lines and URLs.
 
 from __future__ import annotations
 
+import gzip
 import io
+import tarfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -208,6 +210,39 @@ def finding_ids(spark, sf_dir):
     return _found(spark, sf_dir, [TOKEN]).select("doc_id", "start", S.finding_id(F.col("rule_sha1"), F.col("captures")).alias("finding_id"))
 
 
+@query(f"""SELECT doc_id, secret, start, "end", 1 + length(b) - length(replace(b, chr(10), '')) AS "line"
+FROM (SELECT *, CASE WHEN start = 0 THEN '' ELSE decode(encode(body)[1:start]) END AS b FROM ({_sql_found([TOKEN, EMAIL])}))""")
+def archive_kinds_scan(spark, sf_dir):
+    """The documents as members of four kinds of archives: gz, tar.gz, a zip within a tar, and a zip in pieces of a thousand bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def tar(name: str, data: bytes, mode: str) -> bytes:
+            file, info = io.BytesIO(), tarfile.TarInfo(name)
+            info.size = len(data)
+            with tarfile.open(fileobj=file, mode=mode) as archive:
+                archive.addfile(info, io.BytesIO(data))
+            return file.getvalue()
+
+        def zipped(name: str, data: bytes) -> bytes:
+            file = io.BytesIO()
+            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr(name, data)
+            return file.getvalue()
+
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                raw, name = text.encode("utf-8"), f"{doc_id}.txt"
+                kind, data = (
+                    ("gz", gzip.compress(raw)), ("tar.gz", tar(name, raw, "w:gz")), ("tar", tar("inner.zip", zipped(name, raw), "w")), ("zip", zipped(name, raw)),
+                )[doc_id % 4]
+                yield pd.DataFrame({"path": [f"{doc_id}.{kind}"], "content": [data]})
+
+    packed = _read(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
+    members = archives.expand(B.from_table(packed, "content", F.col("path")), piece=8000)
+    found = archives.joined(matcher.scan(members, [TOKEN, EMAIL]), 4000)
+    return found.select(F.regexp_extract(B.path_of(), r"^([0-9]+)\.", 1).cast("long").alias("doc_id"), "secret", "start", "end", F.col("line_start").cast("long").alias("line"))
+
+
 @query(f'SELECT doc_id, secret, start, "end" FROM ({_sql_found([TOKEN, EMAIL])})')
 def archive_scan(spark, sf_dir):
     """The documents as members of zip archives, one of each, expanded and scanned."""
@@ -912,18 +947,26 @@ def report_pretty_read(spark, sf_dir):
     )
 
 
-@query(f"SELECT rule_id, rule_name, confidence, visible, min_entropy::FLOAT AS min_entropy FROM {_RULES_SQL} WHERE confidence IN ('medium', 'high')")
+@query(f"""WITH f AS ({_sql_found([r for r in RULES if r.confidence != 'low'])}) SELECT r.rule_id, rule_name, confidence, visible, min_entropy::FLOAT AS min_entropy,
+count(f.rule_id) AS findings, count(DISTINCT f.doc_id) AS documents FROM {_RULES_SQL.replace(' AS rules(', ' AS r(')} LEFT JOIN f USING (rule_id) WHERE confidence IN ('medium', 'high') GROUP BY ALL""")
 def rules_catalog(spark, sf_dir):
+    """The rules of a selection with what they find in the documents."""
     chosen = select_rules(at_least(RULES, "medium"), ["demo"])
-    return rules_table(spark, chosen).select("rule_id", "rule_name", "confidence", "visible", "min_entropy")
+    found = _found(spark, sf_dir, chosen).groupBy("rule_id").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+    told = rules_table(spark, chosen).select("rule_id", "rule_name", "confidence", "visible", "min_entropy").join(found, "rule_id", "left")
+    return told.fillna(0, ["findings", "documents"])
 
 
-@query("SELECT * FROM (VALUES ('demo.broken', 'error'), ('demo.broken', 'warning'), ('demo.short', 'warning')) AS t(rule_id, level)")
+@query("""WITH n AS (SELECT sum(len(regexp_extract_all(text, 'q[a-z]{4}')))::BIGINT AS n FROM documents)
+SELECT * FROM (SELECT 'demo.broken' AS rule_id, 'error' AS level, NULL::BIGINT AS matches UNION ALL SELECT 'demo.broken', 'warning', NULL UNION ALL SELECT 'demo.short', 'warning', n FROM n)""")
 def rules_check(spark, sf_dir):
-    """What the checker says about good and bad rules."""
-    bad = [Rule("demo.broken", "Broken", "([a-z"), Rule("demo.short", "xy", "[a-z]{4}", examples=("abcd",))]
-    found = sorted({(i, level) for i, level, _ in check_rules([*RULES, *load_rules(), *bad])})
-    return spark.createDataFrame(found, "rule_id string, level string")
+    """What the checker says about good and bad rules, and what those that compile match in the documents."""
+    bad = [Rule("demo.broken", "Broken", "([a-z"), Rule("demo.short", "xy", "q[a-z]{4}", min_entropy=-1.0, examples=("quick",))]
+    told = sorted({(i, level) for i, level, _ in check_rules([*RULES, *load_rules(), *bad])})
+    broken = {i for i, level in told if level == "error"}
+    usable = [r for r in bad if r.id not in broken]
+    matches = _found(spark, sf_dir, usable).groupBy("rule_id").agg(F.count("*").alias("matches"))
+    return spark.createDataFrame(told, "rule_id string, level string").join(matches, "rule_id", "left").select("rule_id", "level", "matches")
 
 
 def queries() -> dict[str, Query]:

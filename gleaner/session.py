@@ -12,12 +12,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
     The setting is read from the session.  Where it is unset, a session of one machine gets a
-    temporary folder, one of a cluster a folder in the warehouse, which its executors share.
+    temporary folder; on a cluster that is an error, as no other folder is known to be shared.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        folder = tempfile.mkdtemp(prefix="gleaner-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("Intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
