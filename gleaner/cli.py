@@ -12,7 +12,9 @@ import json
 import os
 import secrets
 import sys
+import threading
 from collections.abc import Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from gleaner.sources.rules import CONFIDENCES, Rule, at_least, check_rules, load_rules, select_rules, with_min_entropy
@@ -25,6 +27,7 @@ def _parser() -> argparse.ArgumentParser:
     scan.add_argument("paths", nargs="*", help="files and folders; - (or none, with piped input) is standard input")
     scan.add_argument("--git-history", action="store_true", help="the paths are repositories; scan only their history")
     scan.add_argument("--no-git", action="store_true", help="do not scan the history of repositories below the paths")
+    scan.add_argument("--git-repo-timeout", type=float, default=1800.0, metavar="SECONDS", help="what reading the history of a repository may take")
     scan.add_argument("--no-validate", action="store_true", help="do not ask services whether secrets are valid")
     scan.add_argument("--transport", metavar="MODULE:FUNCTION", help="what sends validation requests; HTTP without it")
     scan.add_argument("--redact", action="store_true", help="show salted hashes instead of secrets")
@@ -85,6 +88,29 @@ def _transport(name: str | None):
         raise ValueError(f"No transport {name!r}: {error}") from error
 
 
+@contextmanager
+def _time_limit(spark, seconds: float):
+    """Cancels the Spark jobs of the block once it has run for so long; gives an event that is set then."""
+    late, group, context = threading.Event(), f"limited-{secrets.token_hex(8)}", spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        # again and again: a job may be between two
+        while not done.wait(0.2):
+            context.cancelJobGroup(group)
+
+    done, timer = threading.Event(), threading.Timer(seconds, stop)
+    timer.daemon = True
+    context.setJobGroup(group, "reading a history", interruptOnCancel=True)
+    timer.start()
+    try:
+        yield late
+    finally:
+        done.set()
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def _scan(args: argparse.Namespace) -> int:
     from pyspark.sql import DataFrame, SparkSession
     from pyspark.sql import functions as F
@@ -112,8 +138,18 @@ def _scan(args: argparse.Namespace) -> int:
     local = [p for p in paths if "://" not in p and os.path.isdir(p)]
     repos = paths if args.git_history else [] if args.no_git else [r for p in local for r in git.repositories(p)]
     for repo in repos:
-        commits, changes = git.read_history(spark, repo)
-        parts.append(git.from_history(git.read_objects(spark, repo), commits, git.first_seen(commits, changes), repo))
+        with _time_limit(spark, args.git_repo_timeout) as late:
+            try:
+                commits, changes = git.read_history(spark, repo)
+                introduced = git.first_seen(commits, changes)
+            except Exception:
+                if not late.is_set():
+                    raise
+                print(f"{repo}: history not read within {args.git_repo_timeout:g} seconds, left out", file=sys.stderr)
+                continue
+        parts.append(git.from_history(git.read_objects(spark, repo), commits, introduced, repo))
+    if not parts:
+        parts.append(blobs.from_bytes(spark, []))
     found = reduce(DataFrame.unionByName, parts)
     ignore = [line for name in args.ignore for line in open(name, encoding="utf-8").read().splitlines()]
     roots = [os.path.abspath(p) for p in local]

@@ -144,6 +144,8 @@ def test_standard_input_repositories_and_ignore_lists(spark, tmp_path, monkeypat
     code, out = _scan(capfd, *args)
     assert code == 205 and json.loads(out.out)[0]["matches"][0]["finding"]["git_metadata"]["file"]["path"] == "s.txt"
     assert _scan(capfd, *args, "--no-git")[0] == 0
+    code, out = _scan(capfd, *args, "--git-repo-timeout", "0.001")
+    assert code == 0 and "not read within 0.001 seconds" in out.err
     (tmp_path / "in" / "build").mkdir()
     (tmp_path / "in" / "build" / "c.py").write_text("pre_c8z3lmxv7ktrn2wc")
     (tmp_path / "ignore").write_text("/build\n!/build\n/repo/\n")
