@@ -445,7 +445,7 @@ def test_every_operator_is_registered():
     from gleaner import llm
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm.queries())
-    assert numbers == list(range(1, 11)) and set(llm.oracle_sql()) <= set(llm.queries())
+    assert numbers == list(range(1, 14)) and set(llm.oracle_sql()) <= set(llm.queries())
 
 
 def test_license_scan_matches_its_sql(spark):
@@ -459,3 +459,20 @@ def test_license_scan_matches_its_sql(spark):
     want = sorted(connection.sql(llm.oracle_sql()["op6_license_scan"]).fetchall())
     got = sorted(map(tuple, llm.queries()["op6_license_scan"](spark, sf).collect()))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op13_document_fingerprints"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from gleaner import llm
+
+    sf = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    frame, want = llm.queries()[name](spark, sf), connection.sql(llm.oracle_sql()[name])
+    assert sorted(frame.columns) == sorted(want.columns)
+    order = sorted(frame.columns)
+    told = lambda rows, names: sorted(repr(tuple(r[names.index(c)] for c in order)) for r in rows)
+    assert told(map(tuple, frame.collect()), frame.columns) == told(want.fetchall(), want.columns)
