@@ -53,8 +53,9 @@ def nearest_value(targets: DataFrame, values: DataFrame, blob: str = "blob_id",
     )
     order = ["at", "side"]
     back = Window.partitionBy(blob, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(blob, SLICE).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    before, after = F.last("v", ignorenulls=True).over(back), F.first("v", ignorenulls=True).over(ahead)
+    # backwards and from the end: a frame up to the end of a slice would be read again for every row
+    ahead = Window.partitionBy(blob, SLICE).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)
+    before, after = F.last("v", ignorenulls=True).over(back), F.last("v", ignorenulls=True).over(ahead)
     firsts = both.withColumn("before", F.coalesce(before, "earlier")).withColumn("after", F.coalesce(after, "later"))
     distance = lambda c: F.abs(F.col(f"{c}.start") - F.col("at"))
     nearer = F.when(F.col("after").isNull() | (distance("before") <= distance("after")), F.col("before")).otherwise(F.col("after"))
