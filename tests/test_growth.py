@@ -25,3 +25,16 @@ def test_no_window_is_read_again_for_every_row(spark):
     starts = [i * 3 + 1 for i in range(0, 3000, 5)]
     want = {e: min(starts, key=lambda s: (abs(s - e), s)) for e in range(0, 9000, 3)}
     assert {r["end"]: r["value_start"] for r in near.collect()} == want
+
+
+def test_a_row_looks_among_few_of_the_cuts(spark):
+    spans = spark.range(4000).select(F.lit(1).alias("g"), (F.col("id") * 7 % 4000).alias("start"), (F.col("id") * 7 % 4000 + F.col("id") % 11).alias("end"), "id")
+    told = dedup.inside_another(spans, ["g"], tie=["id"], least=50)
+    assert "_far" in _plan(told)
+    rows = [tuple(r) for r in spans.collect()]
+    far, want = -1, set()
+    for _, start, end, i in sorted(rows, key=lambda r: (r[1], -r[2], r[3])):
+        if far >= end:
+            want.add(i)
+        far = max(far, end)
+    assert {r["id"] for r in told.where("contained").collect()} == want
