@@ -18,9 +18,11 @@ from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from gleaner.functions.regexes import Bounded, OutOfTime, compile_bytes, interruptible, time_limit
@@ -185,16 +187,28 @@ def _automaton(literals: set[bytes]):
     return automaton
 
 
+#: From this many matches on they are handed over, however many contents of a batch are left.
+TOGETHER = 1000
+
+
 def find(rules: Sequence[Rule], compat_columns: bool = False, limit: float = LIMIT):
     """A Column function (content, origin kind) -> array of matches (and of problems, where ``problem`` is not null)."""
     rules = list(rules)
 
-    @pandas_udf(ArrayType(MATCH))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scanner = Scanner(rules, compat_columns, limit)
+    @arrow_udf(ArrayType(MATCH))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scanner, kind_of = Scanner(rules, compat_columns, limit), to_arrow_type(ArrayType(MATCH))
         for contents, kinds in batches:
-            found = [scanner(bytes(c), k) if c is not None else [] for c, k in zip(contents, kinds, strict=True)]
-            yield pd.Series(found, dtype=object)
+            found, held = [], 0
+            for content, kind in zip(contents, kinds, strict=True):
+                c = content.as_py()
+                found.append(scanner(bytes(c), kind.as_py()) if c is not None else [])
+                held += len(found[-1])
+                if held >= TOGETHER:
+                    yield pa.array(found, kind_of)
+                    found, held = [], 0
+            if found:
+                yield pa.array(found, kind_of)
 
     return run
 

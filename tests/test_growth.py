@@ -38,3 +38,10 @@ def test_a_row_looks_among_few_of_the_cuts(spark):
             want.add(i)
         far = max(far, end)
     assert {r["id"] for r in told.where("contained").collect()} == want
+
+
+def test_matches_are_handed_over_in_parts():
+    contents = pa.array([b"a@example.org b@example.org", None, b"none"] * 1000, pa.binary())
+    parts = list(matcher.find([catalog.EMAIL]).func(iter([(contents, pa.array(["file"] * 3000))])))
+    assert max(sum(len(x) for x in p) for p in parts) <= matcher.TOGETHER + 1
+    assert sum(map(len, parts)) == 3000 and [len(x) for p in parts for x in p] == [2, 0, 0] * 1000
