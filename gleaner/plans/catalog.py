@@ -229,13 +229,15 @@ def archive_kinds_scan(spark, sf_dir):
                 archive.writestr(name, data)
             return file.getvalue()
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                raw, name = text.encode("utf-8"), f"{doc_id}.txt"
-                kind, data = (
-                    ("gz", gzip.compress(raw)), ("tar.gz", tar(name, raw, "w:gz")), ("tar", tar("inner.zip", zipped(name, raw), "w")), ("zip", zipped(name, raw)),
-                )[doc_id % 4]
-                yield pd.DataFrame({"path": [f"{doc_id}.{kind}"], "content": [data]})
+        def packed(doc_id: int, text: str) -> tuple[str, bytes]:
+            raw, name = text.encode("utf-8"), f"{doc_id}.txt"
+            make = (
+                ("gz", lambda: gzip.compress(raw)), ("tar.gz", lambda: tar(name, raw, "w:gz")), ("tar", lambda: tar("inner.zip", zipped(name, raw), "w")), ("zip", lambda: zipped(name, raw)),
+            )
+            kind, data = make[doc_id % 4]
+            return f"{doc_id}.{kind}", data()
+
+        yield from archives.in_batches(packed(*row) for batch in batches for row in zip(batch["doc_id"], batch["text"], strict=True))
 
     packed = _read(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
     members = archives.expand(B.from_table(packed, "content", F.col("path")), piece=8000)
@@ -248,12 +250,13 @@ def archive_scan(spark, sf_dir):
     """The documents as members of zip archives, one of each, expanded and scanned."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                file = io.BytesIO()
-                with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr(f"{doc_id}.txt", text.encode("utf-8"))
-                yield pd.DataFrame({"path": [f"{doc_id}.zip"], "content": [file.getvalue()]})
+        def packed(doc_id: int, text: str) -> tuple[str, bytes]:
+            file = io.BytesIO()
+            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr(f"{doc_id}.txt", text.encode("utf-8"))
+            return f"{doc_id}.zip", file.getvalue()
+
+        yield from archives.in_batches(packed(*row) for batch in batches for row in zip(batch["doc_id"], batch["text"], strict=True))
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
     packed = B.from_table(docs.mapInPandas(pack, "path string, content binary"), "content", F.col("path"))

@@ -185,16 +185,27 @@ def joined(findings: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     return findings.where(~pieced).unionByName(whole.select(findings.columns))
 
 
+def in_batches(rows: Iterator[tuple[str, bytes]], most: int = 4 << 20, count: int = 512) -> Iterator[pd.DataFrame]:
+    """(path, content) as frames of up to ``count`` rows that end once they hold ``most`` bytes."""
+    paths, contents, held = [], [], 0
+    for path, content in rows:
+        paths.append(path)
+        contents.append(content)
+        held += len(content)
+        if held >= most or len(paths) >= count:
+            yield pd.DataFrame({"path": paths, "content": contents})
+            paths, contents, held = [], [], 0
+    if paths:
+        yield pd.DataFrame({"path": paths, "content": contents})
+
+
 def expand(blobs: DataFrame, depth: int = 2, piece: int = PIECE) -> DataFrame:
     """Archives replaced by their members (an archive among the members too, down to ``depth``); other blobs stay."""
     path = path_of()
     packed = blobs.where(is_archive(path)).select(path.alias("path"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                for inner, content in members(name, bytes(data), depth, piece):
-                    yield pd.DataFrame({"path": [inner], "content": [content]})
+        yield from in_batches(m for batch in batches for name, data in zip(batch["path"], batch["content"], strict=True) for m in members(name, bytes(data), depth, piece))
 
     out = packed.mapInPandas(run, "path string, content binary")
     return blobs.where(~is_archive(path)).unionByName(_blobs(out, F.col("content"), origin("file", F.col("path"))))

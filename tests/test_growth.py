@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import dedup, dependencies, matcher
 from gleaner.plans import catalog
 from gleaner.session import shared_folder
+from gleaner.sources import archives
 from tests.conftest import DATA
 
 
@@ -45,3 +46,8 @@ def test_matches_are_handed_over_in_parts():
     parts = list(matcher.find([catalog.EMAIL]).func(iter([(contents, pa.array(["file"] * 3000))])))
     assert max(sum(len(x) for x in p) for p in parts) <= matcher.TOGETHER + 1
     assert sum(map(len, parts)) == 3000 and [len(x) for p in parts for x in p] == [2, 0, 0] * 1000
+
+
+def test_members_come_in_batches_of_bounded_bytes():
+    frames = list(archives.in_batches(((f"m{i}", b"x" * (5 << 20 if i == 700 else 1)) for i in range(1200))))
+    assert [len(f) for f in frames] == [512, 189, 499]
