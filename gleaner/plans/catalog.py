@@ -340,8 +340,10 @@ def stream_scan(spark, sf_dir):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{folder}/in"  # a stream of files is read from a folder
     events = _read(spark, sf_dir, "events")
-    events.repartition(4).write.parquet(source)
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source).withColumn("seen", F.col("ts").cast("timestamp"))
+    # two batches, each of enough files for all cores
+    files = max(2, spark.sparkContext.defaultParallelism)
+    events.repartition(2 * files).write.parquet(source)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source).withColumn("seen", F.col("ts").cast("timestamp"))
     found = matcher.scan(streams.table_stream(rows, "props", "seen", "event_id"), [_KEY_RULE])
     streams.write_findings(found, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     done = spark.read.parquet(f"{folder}/out")

@@ -51,3 +51,12 @@ def test_matches_are_handed_over_in_parts():
 def test_members_come_in_batches_of_bounded_bytes():
     frames = list(archives.in_batches(((f"m{i}", b"x" * (5 << 20 if i == 700 else 1)) for i in range(1200))))
     assert [len(f) for f in frames] == [512, 189, 499]
+
+
+@pytest.mark.parametrize("name", ["stream_scan"])
+def test_a_stream_has_files_for_all_cores(spark, name):
+    before = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    assert catalog.queries()[name](spark, DATA).count() > 0
+    (new,) = [d for d in os.listdir(shared_folder(spark).removeprefix("file:")) if d.startswith("stream-") and d not in before]
+    files = [f for f in os.listdir(f"{shared_folder(spark).removeprefix('file:')}/{new}/in") if f.endswith(".parquet")]
+    assert len(files) == 2 * spark.sparkContext.defaultParallelism
