@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 from importlib.resources import files
 
 import numpy as np
@@ -53,8 +54,17 @@ def entropy_of(value: bytes) -> float:
     """Shannon entropy in bits per byte, in single precision; empty: 0."""
     if not value:
         return 0.0
+    if len(value) <= 64:
+        # values of one form have one entropy: the numbers of equal bytes, in order of the bytes, tell it
+        return _entropy(tuple(map(value.count, sorted(set(value)))))
     counts = np.bincount(np.frombuffer(value, np.uint8))
-    p = counts[counts > 0].astype(np.float32) / np.float32(len(value))
+    return _entropy.__wrapped__(counts[counts > 0])
+
+
+@lru_cache(65_536)
+def _entropy(counts: Sequence[int]) -> float:
+    counts = np.asarray(counts)
+    p = counts.astype(np.float32) / np.float32(counts.sum())
     return float(-(p * np.log2(p)).sum(dtype=np.float32)) + 0.0
 
 

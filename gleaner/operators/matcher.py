@@ -14,7 +14,7 @@ import time
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from contextlib import nullcontext
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pandas as pd
@@ -51,12 +51,14 @@ MATCH = StructType(
 LIMIT = 60.0
 
 
-def _captures(m: re.Match[bytes]) -> list[tuple]:
+def _captures(m: re.Match[bytes]) -> list[dict]:
     """Named groups first (number -1), then all groups in order; those that took no part are left out."""
     names = m.re.groupindex
-    named = [(n, -1, *m.span(n), m[n]) for n in sorted(names, key=names.get) if m[n] is not None]
-    plain = [(None, i, *m.span(i), m[i]) for i in range(m.re.groups + 1) if m[i] is not None]
-    return [(n, i, s, e, v.decode("utf-8", "replace")) for n, i, s, e, v in named + plain]
+    groups = [*((n, -1, n) for n in sorted(names, key=names.get)), *((None, i, i) for i in range(m.re.groups + 1))]
+    return [
+        {"name": n, "match_number": i, "start": m.start(g), "end": m.end(g), "value": m[g].decode("utf-8", "replace")}
+        for n, i, g in groups if m[g] is not None
+    ]
 
 
 class _Lines:
@@ -67,7 +69,7 @@ class _Lines:
 
     def at(self, offset: int) -> tuple[int, int]:
         if self.feeds is None:  # contents without matches need none
-            self.feeds = np.flatnonzero(np.frombuffer(self.content, np.uint8) == 10).tolist()
+            self.feeds = np.flatnonzero(np.frombuffer(self.content, np.uint8) == 10).tolist() if b"\n" in self.content else []
         before = bisect_left(self.feeds, offset)
         if before < len(self.feeds) and self.feeds[before] == offset:
             return before + 2, 0
@@ -116,9 +118,22 @@ class Scanner:
                 self.by_literal.setdefault(k, []).append(i)
         self.compat = compat_columns
         self.automaton = _automaton(self.literals) if len(self.literals) > MANY_LITERALS else None
+        #: Rules due by the literals present: contents of one form have the same.
+        self.known: dict[frozenset[bytes], list[int]] = {}
+        #: When the present rule began, in a list (see ``time_limit``); None outside ``watching``.
+        self.since: list[float | None] | None = None
         #: Seconds that each rule took on the last content, where asked for.
         self.seconds: dict[str, float] | None = None
 
+    @contextmanager
+    def watching(self) -> Iterator[None]:
+        """Inside, one timer serves all contents; without, each sets its own."""
+        with time_limit(self.limit) if self.stoppable else nullcontext([None]) as self.since:
+            try:
+                yield
+            finally:
+                self.since = None
+
     def _present(self, content: bytes) -> set[bytes]:
         lower = content.lower() if self.literals else b""
         if self.automaton is None:
@@ -127,27 +142,32 @@ class Scanner:
 
     def due(self, content: bytes) -> list[int]:
         """The rules whose conditions the content meets, in order."""
-        present = self._present(content)
-        first = {i for k in present for i in self.by_literal.get(k, ())}
-        return sorted([*self.always, *(i for i in first if not any(present.isdisjoint(c) for c in self.further[i]))])
+        present = frozenset(self._present(content))
+        due = self.known.get(present)
+        if due is None:
+            first = {i for k in present for i in self.by_literal.get(k, ())}
+            due = sorted([*self.always, *(i for i in first if not any(present.isdisjoint(c) for c in self.further[i]))])
+            if len(self.known) < MANY_FORMS:
+                self.known[present] = due
+        return due
 
     def __call__(self, content: bytes, kind: str) -> list[dict]:
         due = [self.rules[i] for i in self.due(content)]
-        lines, out, at = _Lines(content, self.compat), [], 0
+        lines, out = _Lines(content, self.compat), []
         if self.seconds is not None:
             self.seconds.update((r[0], 0.0) for r in self.rules)
-        with time_limit(self.limit) if due and self.stoppable else nullcontext(lambda: None) as again:
-            while at < len(due):
+        with self.watching() if due and self.since is None else nullcontext():
+            for rule in due:
                 before = time.perf_counter()
                 try:
-                    again()  # the limit is each rule's own
-                    self._match(*due[at], content, kind, lines, out)
+                    self.since[0] = before  # the limit is each rule's own
+                    self._match(*rule, content, kind, lines, out)
+                    self.since[0] = None
                 except OutOfTime:
-                    again()
-                    out.append({"rule_id": due[at][0], "problem": f"no end of matching after {self.limit} seconds"})
+                    self.since[0] = None
+                    out.append({"rule_id": rule[0], "problem": f"no end of matching after {self.limit} seconds"})
                 if self.seconds is not None:
-                    self.seconds[due[at][0]] = time.perf_counter() - before
-                at += 1
+                    self.seconds[rule[0]] = time.perf_counter() - before
         return out
 
     @staticmethod
@@ -160,18 +180,19 @@ class Scanner:
             if bits <= least or is_safe(value) or not accepted.accept(start, end):
                 continue
             captures = _captures(m)
-            secret = captures[min(1, len(captures) - 1)][4]
+            secret = captures[min(1, len(captures) - 1)]["value"]
             (l0, c0), (l1, c1) = lines.at(start), lines.at(max(start, end - 1))
             out.append(
                 {
                     "rule_id": rule_id, "start": start, "end": end, "value": value, "secret": secret,
-                    "captures": [dict(zip(("name", "match_number", "start", "end", "value"), c, strict=True)) for c in captures],
-                    "entropy": bits, "line_start": l0, "column_start": c0, "line_end": l1, "column_end": c1,
+                    "captures": captures, "entropy": bits, "line_start": l0, "column_start": c0, "line_end": l1, "column_end": c1,
                     "fingerprint": str(fingerprint_of(secret.encode("utf-8"), kind, start, end)),
                 }
             )
 
 
+#: So many sets of literals are remembered with the rules that they call for.
+MANY_FORMS = 1024
 #: With more literals than this one automaton looks for all of them at once; below, separate searches are faster.
 MANY_LITERALS = 24
 
@@ -199,15 +220,14 @@ def find(rules: Sequence[Rule], compat_columns: bool = False, limit: float = LIM
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scanner, kind_of = Scanner(rules, compat_columns, limit), to_arrow_type(ArrayType(MATCH))
         for contents, kinds in batches:
-            found, held = [], 0
-            for content, kind in zip(contents, kinds, strict=True):
-                c = content.as_py()
-                found.append(scanner(bytes(c), kind.as_py()) if c is not None else [])
-                held += len(found[-1])
-                if held >= TOGETHER:
-                    yield pa.array(found, kind_of)
-                    found, held = [], 0
-            if found:
+            kinds, at = kinds.to_pylist(), 0
+            while at < len(contents):
+                found, held = [], 0
+                with scanner.watching():  # not while the matches are handed over
+                    while at < len(contents) and held < TOGETHER:
+                        content = contents[at].as_py()
+                        found.append(scanner(content, kinds[at]) if content is not None else [])
+                        held, at = held + len(found[-1]), at + 1
                 yield pa.array(found, kind_of)
 
     return run

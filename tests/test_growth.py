@@ -60,3 +60,16 @@ def test_a_stream_has_files_for_all_cores(spark, name):
     (new,) = [d for d in os.listdir(shared_folder(spark).removeprefix("file:")) if d.startswith("stream-") and d not in before]
     files = [f for f in os.listdir(f"{shared_folder(spark).removeprefix('file:')}/{new}/in") if f.endswith(".parquet")]
     assert len(files) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_one_timer_serves_many_contents(monkeypatch):
+    import signal
+
+    from gleaner.operators.matcher import Scanner
+    from gleaner.plans.catalog import _ACCOUNT, _PIN
+
+    set_, scanner = [], Scanner([_ACCOUNT, _PIN])
+    monkeypatch.setattr(signal, "setitimer", lambda *a: set_.append(a))
+    with scanner.watching():
+        found = [scanner(b"acct %d pin %d" % (i, i * 7), "file") for i in range(100)]
+    assert len(set_) == 2 and all([m["secret"] for m in f] == [str(i), str(i * 7)] for i, f in enumerate(found))
