@@ -156,33 +156,42 @@ def plan_requests(matches: DataFrame, rules: Sequence[Rule], values: DataFrame |
     ``values`` are dependency values (blob, rule_id, variable, value).  Secrets are grouped before any
     request is rendered, so a secret found a million times is asked about once.
     """
+    return _planned(matches if values is None else with_values(matches, values, blob), rules)
+
+
+def _planned(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``plan_requests`` for matches as they are, or with the values of ``with_values``."""
     by_id = {r.id: r for r in rules if r.validation and r.validation.get("type") == "Http"}
     secrets = matches.where(F.col("rule_id").isin(list(by_id)))
-    if values is None:
+    if OWN not in matches.columns:
         grouped = secrets.groupBy("rule_id", "secret").agg(F.any_value("captures").alias("captures"))
         grouped = grouped.withColumn("extra", F.lit(None).cast("map<string,string>"))
     else:
-        joined = secrets.join(value_sets(values, blob), [blob, "rule_id"], "left").withColumn("extra_json", _as_key(F.col("extra")))
-        grouped = joined.groupBy("rule_id", "secret", "extra_json").agg(F.any_value("captures").alias("captures"), F.any_value("extra").alias("extra")).drop("extra_json")
+        keyed = secrets.withColumn("extra_json", _as_key(F.col(OWN)))
+        grouped = keyed.groupBy("rule_id", "secret", "extra_json").agg(F.any_value("captures").alias("captures"), F.any_value(OWN).alias("extra")).drop("extra_json")
+
+    # flat columns: nested ones cost more on the way to Python and back than the rendering itself
+    told = F.to_json(F.transform("captures", lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"))))
+    grouped = grouped.select("rule_id", "secret", told.alias("captures"), F.to_json("extra").alias("extra"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row in batch.itertuples():
-                given = dict(row.extra) if row.extra is not None else {}
-                variables = template_variables([dict(c) for c in row.captures]) | given
+            for rule_id, secret, captures, extra in zip(*(batch[c] for c in ("rule_id", "secret", "captures", "extra")), strict=True):
+                given = json.loads(extra) if extra is not None else {}
+                variables = template_variables([{"name": None} | c for c in json.loads(captures)]) | given
                 request, problem, status = None, None, None
                 try:
-                    request = json.dumps(request_of(by_id[row.rule_id], variables), sort_keys=True)
+                    request = json.dumps(request_of(by_id[rule_id], variables), sort_keys=True)
                 except TemplateError as error:
                     problem, status = str(error), 400
                 except Exception as error:  # noqa: BLE001 - a rule that cannot be carried out is an outcome
                     problem, status = f"Validation failed: {error}", 500
-                out.append((row.rule_id, row.secret, given or None, request, problem, status))
+                out.append((rule_id, secret, extra if given else None, request, problem, status))
             yield pd.DataFrame(out, columns=["rule_id", "secret", "extra", "request", "problem", "problem_status"]).astype({"problem_status": "Int32"})
 
-    planned = grouped.mapInPandas(run, "rule_id string, secret string, extra map<string,string>, request string, problem string, problem_status int")
-    return planned.withColumn("request_key", F.concat(F.lit("HTTP:"), F.sha1("request")))
+    planned = grouped.mapInPandas(run, "rule_id string, secret string, extra string, request string, problem string, problem_status int")
+    return planned.withColumns({"extra": F.from_json("extra", "map<string,string>"), "request_key": F.concat(F.lit("HTTP:"), F.sha1("request"))})
 
 
 def http_transport(request: dict[str, Any]) -> tuple[int, dict[str, str], str]:
@@ -315,6 +324,15 @@ def value_sets(values: DataFrame, blob: str = "blob_id") -> DataFrame:
     return given.groupBy(blob, "rule_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("variable", "value")))).alias("extra"))
 
 
+#: The dependency values of a match's rule in its blob.
+OWN = "_own_values"
+
+
+def with_values(matches: DataFrame, values: DataFrame, blob: str = "blob_id") -> DataFrame:
+    """``matches`` with the dependency values of their rule in their blob as one map (null for none)."""
+    return matches.join(value_sets(values, blob).withColumnRenamed("extra", OWN), [blob, "rule_id"], "left").select(*matches.columns, OWN)
+
+
 def _as_key(extra: Column) -> Column:
     """A map as text, the same for equal maps; null for none."""
     return F.to_json(F.sort_array(F.map_entries(extra)))
@@ -328,16 +346,20 @@ def join_back(
     With ``values`` (the dependency values that the requests were planned with) an outcome counts only where the blob holds the values it
     was asked with: a secret that is valid with one blob's account says nothing of another blob's.
     """
+    return _joined_back(matches if values is None else with_values(matches, values, blob), results, missing, blob)
+
+
+def _joined_back(matches: DataFrame, results: DataFrame, missing: DataFrame | None, blob: str) -> DataFrame:
+    """``join_back`` for matches as they are, or with the values of ``with_values``, which are dropped."""
     order = F.struct("success", "status", "body")
     best = results.groupBy("rule_id", "secret", _as_key(F.col("extra")).alias("_extra")).agg(F.max_by(order, order).alias("_r"))
-    if values is None:
+    if OWN not in matches.columns:
         best = best.groupBy("rule_id", "secret").agg(F.max_by("_r", "_r").alias("_r"))
         out = matches.join(best, ["rule_id", "secret"], "left")
     else:
-        sets = value_sets(values, blob).withColumn("_own", _as_key(F.col("extra"))).drop("extra")
-        same = [F.col(f"_m.{c}") == F.col(f"_b.{c}") for c in ("rule_id", "secret")] + [F.col("_m._own").eqNullSafe(F.col("_b._extra"))]
-        mine = matches.join(sets, [blob, "rule_id"], "left").select(*matches.columns, "_own")
-        out = mine.alias("_m").join(best.alias("_b"), same, "left").select(*(f"_m.{c}" for c in matches.columns), "_b._r")
+        same = [F.col(f"_m.{c}") == F.col(f"_b.{c}") for c in ("rule_id", "secret")] + [_as_key(F.col(f"_m.{OWN}")).eqNullSafe(F.col("_b._extra"))]
+        kept = [f"_m.{c}" for c in matches.columns if c != OWN]
+        out = matches.alias("_m").join(best.alias("_b"), same, "left").select(*kept, "_b._r")
     if missing is None:
         out = out.withColumn("_lacking", F.lit(None).cast("string"))
     else:
@@ -375,7 +397,9 @@ def validated(
     spark = matches.sparkSession
     needs = dependencies_table(spark, rules)
     values = dependencies.dependency_values(matches, needs, blob)
-    requests = checkpoint(plan_requests(matches, rules, values, blob))
+    # written once: requests are planned from it, and outcomes joined to it
+    mine = checkpoint(with_values(matches, values, blob))
+    requests = checkpoint(_planned(mine, rules))
     known = responses
     if cache is not None:
         fresh = still_fresh(cache, F.current_timestamp()).select("request_key", "status", "headers", "body")
@@ -394,10 +418,9 @@ def validated(
     raw = [r.id for r in rules if (r.validation or {}).get("type") == "Raw"]
     if raw:
         # once for each set of values, as requests are
-        own = value_sets(values, blob)
-        never = matches.where(F.col("rule_id").isin(raw)).join(own, [blob, "rule_id"], "left").select("rule_id", "secret", F.map_entries("extra").alias("e")).distinct()
+        never = mine.where(F.col("rule_id").isin(raw)).select("rule_id", "secret", F.map_entries(OWN).alias("e")).distinct()
         outcomes = outcomes.unionByName(never.select(
             "rule_id", "secret", F.map_from_entries("e").alias("extra"), F.lit(False).alias("success"), F.lit(501).alias("status"),
             F.lit("Validation of this kind is not supported").alias("body"),
         ))
-    return join_back(matches, outcomes, dependencies.missing_dependencies(matches, needs, blob), blob, values)
+    return _joined_back(mine, outcomes, dependencies.missing_dependencies(matches, needs, blob), blob)

@@ -73,3 +73,18 @@ def test_one_timer_serves_many_contents(monkeypatch):
     with scanner.watching():
         found = [scanner(b"acct %d pin %d" % (i, i * 7), "file") for i in range(100)]
     assert len(set_) == 2 and all([m["secret"] for m in f] == [str(i), str(i * 7)] for i, f in enumerate(found))
+
+
+def test_requests_are_planned_from_flat_columns(spark):
+    from gleaner.operators import validate
+    from gleaner.plans.catalog import _PIN
+
+    captures = "array<struct<name:string,match_number:int,start:long,end:long,value:string>>"
+    rows = [("b1", "demo.pin", "7", [(None, 0, 0, 5, "pin 7"), (None, 1, 4, 5, "7")]), ("b2", "demo.pin", "7", [(None, 0, 0, 5, "pin 7"), (None, 1, 4, 5, "7")])]
+    found = spark.createDataFrame(rows, f"blob_id string, rule_id string, secret string, captures {captures}")
+    values = spark.createDataFrame([("b1", "demo.pin", "AKID", "3")], "blob_id string, rule_id string, variable string, value string")
+    planned = validate.plan_requests(found, [_PIN], values)
+    got = {(r["secret"], tuple((r["extra"] or {}).items()), r["request"].split('"url": ')[1]) for r in planned.collect()}
+    assert got == {("7", (("AKID", "3"),), '"https://api.invalid/3/7"}'), ("7", (), '"https://api.invalid//7"}')}
+    python = planned._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[1].split("\n")[0]
+    assert "array<" not in python and "map<" not in python
