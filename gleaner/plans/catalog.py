@@ -562,9 +562,9 @@ def history_first_seen(spark, sf_dir):
     at = lambda back: F.lag("o_orderkey", back).over(order).cast("string")
     first = F.when(F.col("r") % 2 == 1, at(2)).otherwise(at(1))
     parents = F.array_distinct(F.array_compact(F.array(first, F.when(F.col("r") % 5 == 0, at(1)))))
-    commits = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), parents.alias("parents"), F.col("o_orderkey").alias("topo"))
+    commits = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), parents.alias("parents"), F.col("o_orderkey").alias("topo"), "o_custkey")
     changes = n.select(F.col("o_orderkey").cast("string").alias("commit_id"), F.lit("f").alias("path"), F.concat_ws("/", "o_custkey", "o_orderpriority").alias("blob_id"))
-    return git.first_seen(commits, changes).select(F.col("commit_id").cast("long").alias("commit_id"), "blob_id")
+    return git.first_seen(commits, changes, within="o_custkey").select(F.col("commit_id").cast("long").alias("commit_id"), "blob_id")
 
 
 @query("""WITH n AS (SELECT o_orderkey AS id, o_custkey AS blob_id, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders)
