@@ -638,6 +638,47 @@ def test_scored_runs_are_those_of_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
+def test_runs_do_not_depend_on_how_texts_are_taken_apart(spark):
+    """Templates of both kinds, runs over many groups of blocks, blocks of more than ``held`` characters, repeated blocks between."""
+    rng = random.Random(17)
+    templates = {"A": "a b c d e f g h", "B": "a b c d e f g x y", "C": "c a c b c d", "D": "a b", "E": "p q r s", "L": " ".join(f"l{k}" for k in range(450))}
+    known, texts = {name: licenses.bigrams(t) for name, t in templates.items() if name != "L"}, []
+    for k in range(24):
+        parts = []
+        for _ in range(rng.randrange(2, 14)):
+            words = rng.choice([*list(templates.values())[:5], "c d", "u v", "z z z z", " ".join(f"n{rng.randrange(10**6)}" for _ in range(25))]).split(" ")
+            parts.append("".join(w + rng.choice([" ", " ", "\n", "\n\n", "\n \n\n"]) for w in words) * rng.choice([1, 1, 1, 4]))
+        texts.append("\n\n".join(parts))
+    long = "".join(w + ("\n\n" if k % 90 == 70 else " ") for k, w in enumerate(templates["L"].split(" ")) if k % 40)
+    other = "\n\n".join(" ".join(f"n{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    texts += [f"{other}\n\n{long}\n\nz\n\n{other}", "c d\n\n" * 30, "p q\n\n" + "y y\n\n" * 40 + "r s\n\nend of", "p q\n\n" + "y " * 200 + "\n\nr s\n\nend"]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[3]), (100, texts[3]), (None, texts[4])], "doc_id long, text string")
+    told = lambda held: sorted((str(r["id"]), r["unit"], r["unit_no"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs, templates=templates, held=held).collect())
+    whole = told(licenses.HELD)
+    assert {(u, n) for _, u, _, n, _ in whole} >= {("run", n) for n in "ACEL"}
+    for i, text in enumerate(texts[:24]):
+        assert sorted(_plain_runs(text, known, 0.8)) == sorted((no, n, round(d, 6)) for key, u, no, n, d in whole if key == str(i) and u == "run")
+    assert told(8) == whole
+
+
+def test_of_runs_that_overlap_the_best_stay(spark):
+    """Chains of equal runs, which depend on each other from first to last, and runs of all lengths."""
+    rng, rows, want = random.Random(2), [], []
+    for key in range(12):
+        runs = {(i, i + 3): (-0.9, 3) for i in range(0, 60, 2)} if key % 3 == 0 else {}
+        for _ in range(40 if key else 0):
+            i, size = rng.randrange(60), rng.randrange(6)
+            runs[i, i + size] = (-rng.choice([0.8, 0.9, 0.95]), size)
+        kept = []
+        for (i, j), _ in sorted(runs.items(), key=lambda r: (*r[1], *r[0])):
+            if all(j < a or b < i for a, b in kept):
+                kept.append((i, j))
+        rows += [(key, "x", less, size, i, j) for (i, j), (less, size) in runs.items()]
+        want += [(key, i, j) for i, j in kept]
+    frame = spark.createDataFrame(rows, "key long, license string, less double, blocks int, i int, j int")
+    assert sorted(tuple(r) for r in licenses._apart_runs(frame).select("key", "i", "j").collect()) == sorted(want)
+
+
 def test_one_very_long_text_of_short_lines(spark):
     """Millions of lines in one text, with a licence in the midst."""
     text = "some line\n" * 400_000 + "\n" + licenses.TEMPLATES["MIT"] + "\n\n" + "other words\n" * 400_000
